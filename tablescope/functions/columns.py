@@ -29,7 +29,7 @@ def try_timestamp(c: Column, dtype: T.DataType | None = None) -> Column:
         return c
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
-    return c.try_cast("timestamp_ntz")
+    return try_timestamp_guarded(c.cast("string"))
 
 
 def epoch_seconds(ts_ntz: Column) -> Column:
@@ -96,3 +96,15 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.BinaryType):
         return F.make_valid_utf8(c.cast("string"))
     return c.cast("string")
+
+
+# ISO date or date-time text: the forms a SQL TIMESTAMP literal takes. Spark's
+# own cast also accepts partial forms such as '2024' or '2024-05', which the
+# reference engine rejects, so text must match this first.
+ISO_TIMESTAMP_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?\s*$"
+
+
+def try_timestamp_guarded(text: Column) -> Column:
+    """P4 on text: naive timestamp, NULL for anything that is not an ISO
+    date/date-time or does not name a real instant."""
+    return F.when(text.rlike(ISO_TIMESTAMP_TEXT), text.try_cast("timestamp_ntz"))
