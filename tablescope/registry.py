@@ -273,3 +273,321 @@ def q_groupable_columns(spark, sf):
     prof = P.profile_catalog({t: _t(spark, sf, t) for t in ("events", "customer")},
                              samples=False)
     return P.groupable_columns(prof)
+
+
+# -- files: sources and sinks ---------------------------------------------------
+
+from .operators import adhoc as Q  # noqa: E402
+from .operators import history as H  # noqa: E402
+from .plans import insights as L  # noqa: E402
+from .plans import planner as PL  # noqa: E402
+from .plans import report as RP  # noqa: E402
+from .plans.runner import run_plan  # noqa: E402
+from .sources import files as SRC  # noqa: E402
+from .sources import sinks as SNK  # noqa: E402
+from .streaming.run_state import run_state_stream  # noqa: E402
+
+
+def orders_as_token_text(spark, sf) -> DataFrame:
+    """Stand-in CSV content: orders as text, with null tokens in place of
+    some values and a blank-header index column in front."""
+    o = _t(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("_idx"),
+        F.col("o_orderkey").cast("string").alias("o_orderkey"),
+        F.when(F.col("o_custkey") == 7, F.lit("NA")).otherwise(F.col("o_custkey").cast("string"))
+         .alias("o_custkey"),
+        F.when(F.col("o_orderstatus") == "F", F.lit("N/A")).otherwise(F.col("o_orderstatus"))
+         .alias("o_orderstatus"),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.col("o_orderdate").cast("string").alias("o_orderdate"),
+        F.when(F.col("o_orderpriority") == "5-LOW", F.lit("NULL"))
+         .otherwise(F.col("o_orderpriority")).alias("o_orderpriority"))
+
+
+def _write_token_csv(spark, sf, sep=",", encoding="UTF-8") -> str:
+    path = SRC.scratch_path(spark, "csv")
+    text = orders_as_token_text(spark, sf).withColumnRenamed("_idx", "Unnamed: 0")
+    text.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    return path
+
+
+@query("csv_null_tokens")
+def q_csv_null_tokens(spark, sf):
+    return SRC.read_csv_tokens(spark, _write_token_csv(spark, sf), sep=",")
+
+
+@query("infer_types")
+def q_infer_types(spark, sf):
+    raw = SRC.null_tokens_to_null(orders_as_token_text(spark, sf).drop("_idx"))
+    types = SRC.infer_types(raw)
+    return spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(types.items())],
+                                 "pos int, column string, inferred string")
+
+
+@query("sniff_delimiter")
+def q_sniff_delimiter(spark, sf):
+    rows = []
+    for name, sep in (("comma.csv", ","), ("tab.tsv", "\t"), ("semicolon.txt", ";"),
+                      ("pipe.txt", "|")):
+        path = SRC.scratch_path(spark, name)
+        _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
+                                         "l_extendedprice") \
+            .write.option("header", True).option("sep", sep).csv(path)
+        rows.append((name, sep, SRC.sniff_delimiter(spark, path)))
+    return spark.createDataFrame(rows, "file string, written string, detected string")
+
+
+@query("encoding_fallback")
+def q_encoding_fallback(spark, sf):
+    d = _t(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    path = SRC.scratch_path(spark, "latin1")
+    (d.write.option("header", True).option("encoding", "ISO-8859-1")
+      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+      .csv(path))
+    enc = SRC.detect_encoding(spark, path)
+    back = SRC.read_csv_tokens(spark, path, sep=",", encoding=enc, multi_line=True)
+    return back.select(F.lit(enc).alias("encoding"), "*")
+
+
+@query("scan_json")
+def q_scan_json(spark, sf):
+    path = SRC.scratch_path(spark, "ndjson")
+    (_t(spark, sf, "events").write
+       .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path))
+    return SRC.read_json(spark, path).select("event_id", "ts", "user_id", "event_type",
+                                             "value", "props")
+
+
+@query("file_inventory")
+def q_file_inventory(spark, sf):
+    return SRC.file_inventory(spark, f"{sf.rstrip('/')}/*.parquet")
+
+
+@query("drop_index_columns")
+def q_drop_index_columns(spark, sf):
+    df = SRC.read_csv_tokens(spark, _write_token_csv(spark, sf), sep=",")
+    return df
+
+
+def run_events_from(spark, sf) -> DataFrame:
+    """Stand-in run-event rows: user_id as run id, event_type as status."""
+    e = _t(spark, sf, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("id"), F.col("ts"),
+        F.col("event_type").alias("status"),
+        F.concat(F.lit("upload_"), F.col("event_type"), F.lit(".csv")).alias("filename"),
+        F.when(F.col("event_type") == "purchase", F.col("props")).alias("report_json"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("failed: "), F.col("props")))
+         .alias("error_msg"))
+
+
+@query("run_events_append")
+def q_run_events_append(spark, sf):
+    path = SRC.scratch_path(spark, "runs")
+    ev = run_events_from(spark, sf)
+    SNK.append_run_events(ev.where(F.col("status").isin("view", "click")), path)
+    SNK.append_run_events(ev.where(~F.col("status").isin("view", "click")), path)
+    return SNK.read_run_events(spark, path)
+
+
+@query("run_latest_state")
+def q_run_latest_state(spark, sf):
+    return H.run_latest_state(run_events_from(spark, sf))
+
+
+@query("recent_runs")
+def q_recent_runs(spark, sf):
+    return H.recent_runs(H.run_latest_state(run_events_from(spark, sf)))
+
+
+@query("run_state_stream")
+def q_run_state_stream(spark, sf):
+    events_dir = SRC.scratch_path(spark, "run-log")
+    ev = run_events_from(spark, sf)
+    SNK.append_run_events(ev.where(F.col("status").isin("view", "click")), events_dir)
+    SNK.append_run_events(ev.where(~F.col("status").isin("view", "click")), events_dir)
+    state_dir = SRC.scratch_path(spark, "run-state")
+    q = run_state_stream(spark, events_dir, state_dir, SRC.scratch_path(spark, "run-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(state_dir)
+
+
+@query("last_turns")
+def q_last_turns(spark, sf):
+    return H.last_turns(_t(spark, sf, "conversations"), H.CONTEXT_TURNS)
+
+
+@query("bounded_result")
+def q_bounded_result(spark, sf):
+    return RP.bounded(A.overview(_t(spark, sf, "events"), ["event_id"], RP.TASK_ROWS),
+                      RP.TASK_ROWS)
+
+
+@query("json_safe")
+def q_json_safe(spark, sf):
+    return RP.json_safe(_t(spark, sf, "orders"))
+
+
+@query("adhoc_sql")
+def q_adhoc_sql(spark, sf):
+    return Q.ask_sql(_t(spark, sf, "orders"),
+                     "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS avg_price "
+                     "FROM data_table GROUP BY o_orderpriority ORDER BY n DESC, o_orderpriority")
+
+
+@query("extract_sql")
+def q_extract_sql(spark, sf):
+    c = _t(spark, sf, "conversations")
+    return c.select("conv_id", "turn", Q.extract_sql(F.col("text")).alias("sql"))
+
+
+@query("granularity")
+def q_granularity(spark, sf):
+    c = _t(spark, sf, "conversations")
+    return c.select("conv_id", "turn", A.granularity(F.col("text")).alias("granularity"))
+
+
+# -- plans, insights, charts ------------------------------------------------------
+
+def _prof(spark, sf, names, samples=True):
+    return P.profile_catalog({t: _t(spark, sf, t) for t in names}, samples=samples)
+
+
+def _arr_out(df: DataFrame, *cols: str) -> DataFrame:
+    return df.select(*[F.array_join(c, ",").alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
+@query("heuristic_plan")
+def q_heuristic_plan(spark, sf):
+    return _arr_out(PL.heuristic_plan(_prof(spark, sf, ("events", "orders"), False)), "columns")
+
+
+@query("plan_order")
+def q_plan_order(spark, sf):
+    return PL.plan_order(PL.heuristic_plan(_prof(spark, sf, ("events", "orders"), False)))
+
+
+@query("plan_valid_columns")
+def q_plan_valid_columns(spark, sf):
+    prof = _prof(spark, sf, ("events", "orders"), False)
+    texts = PL.plan_to_text(PL.heuristic_plan(prof))
+    plan = PL.ingest_plan(texts)
+    return _arr_out(PL.plan_valid_columns(plan, prof), "columns", "valid_columns")
+
+
+@query("ingest_plan")
+def q_ingest_plan(spark, sf):
+    prof = _prof(spark, sf, ("events", "orders"), False)
+    return _arr_out(PL.ingest_plan(PL.plan_to_text(PL.heuristic_plan(prof))), "columns")
+
+
+def _run(spark, sf, table, key):
+    df = _t(spark, sf, table)
+    prof = P.profile(df, table)
+    return df, prof, run_plan(df, table, PL.heuristic_plan(prof), prof, key=key)
+
+
+@query("run_plan")
+def q_run_plan(spark, sf):
+    _, _, run = _run(spark, sf, "events", "event_id")
+    return run.index.drop("task_id")
+
+
+@query("template_insights")
+def q_template_insights(spark, sf):
+    _, prof, run = _run(spark, sf, "events", "event_id")
+    return L.template_insights(prof, run.index)
+
+
+@query("variability_flags")
+def q_variability_flags(spark, sf):
+    return L.variability_flags(_prof(spark, sf, ("lineitem",), False))
+
+
+@query("result_digest")
+def q_result_digest(spark, sf):
+    _, _, run = _run(spark, sf, "events", "event_id")
+    return L.result_digest(run.index, run.results)
+
+
+@query("stat_lines")
+def q_stat_lines(spark, sf):
+    return L.stat_lines(_prof(spark, sf, ("lineitem",), False))
+
+
+@query("schema_digest")
+def q_schema_digest(spark, sf):
+    return L.schema_digest(_prof(spark, sf, ("orders",)))
+
+
+@query("report_sections")
+def q_report_sections(spark, sf):
+    df, prof, run = _run(spark, sf, "events", "event_id")
+    counts = R.scaling_strategy(R.table_counts({"events": df}))
+    out = SRC.scratch_path(spark, "report")
+    return RP.write_report(out, counts, prof, A.preview(df, ["event_id"]),
+                           L.template_insights(prof, run.index), run.index)
+
+
+def _vc_results(spark, sf):
+    pairs = [("orders", "o_orderpriority"), ("customer", "c_mktsegment"), ("events", "props"),
+             ("lineitem", "l_linenumber"), ("lineitem", "l_returnflag")]
+    return [(t, c, S.with_seq(A.value_counts(_t(spark, sf, t), c))) for t, c in pairs]
+
+
+@query("chart_kind")
+def q_chart_kind(spark, sf):
+    out = None
+    for t, c, res in _vc_results(spark, sf):
+        k = S.chart_kind(res, "category", "count", "bar").select(
+            F.lit(t).alias("dataset"), F.lit(c).alias("column"), "*")
+        out = k if out is None else out.unionByName(k)
+    return out
+
+
+@query("plottable")
+def q_plottable(spark, sf):
+    out = None
+    for t, c, res in _vc_results(spark, sf):
+        k = S.plottable(res, "category", "count").select(
+            F.lit(t).alias("dataset"), F.lit(c).alias("column"), "*")
+        out = k if out is None else out.unionByName(k)
+    return out
+
+
+@query("series_bar")
+def q_series_bar(spark, sf):
+    res = S.with_seq(A.value_counts(_t(spark, sf, "orders"), "o_orderpriority"))
+    return S.series_bar(res, "category", "count").drop("seq")
+
+
+@query("series_bar_numeric")
+def q_series_bar_numeric(spark, sf):
+    res = S.with_seq(A.histogram(_t(spark, sf, "events"), "value"))
+    return S.series_bar(res, "bin_start", "count").drop("seq")
+
+
+@query("series_line")
+def q_series_line(spark, sf):
+    res = RP.json_safe(A.time_series(_t(spark, sf, "events"), "ts", "value", "day"))
+    return round_doubles(S.series_line(S.with_seq(res), "period", "total_value").drop("seq"), 6)
+
+
+@query("series_scatter")
+def q_series_scatter(spark, sf):
+    res = S.with_seq(A.scatter_clip(_t(spark, sf, "events"), "user_id", "value"))
+    return S.series_scatter(res, "user_id", "value").drop("seq")
+
+
+@query("series_pie")
+def q_series_pie(spark, sf):
+    res = S.with_seq(A.value_counts(_t(spark, sf, "customer"), "c_mktsegment"))
+    return round_doubles(S.series_pie(res, "category", "count").drop("seq"), 6)
+
+
+@query("series_box")
+def q_series_box(spark, sf):
+    return round_doubles(S.series_box(_t(spark, sf, "orders"), "o_orderpriority",
+                                      "o_totalprice"), 6)
