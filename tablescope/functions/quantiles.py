@@ -14,6 +14,14 @@ pass 2  only the rows inside the located segments are counted again,
         joined to the (tiny, broadcast) target list and ranked with a
         running sum per target.
 
+A faster verified path runs first when the data allow it (``_banded``):
+pass 1 counts rows and takes an approximate-percentile sketch around every
+wanted rank; pass 2 puts all rows below a band into one group per target
+(map-side combined) and only the band's distinct values are ranked. The
+result is accepted only if the band provably holds the rank; otherwise,
+and whenever the band could exceed ``BAND_MAX_ROWS`` (very large inputs),
+the range-partition method above answers.
+
 Interpolation follows ``lo + frac * (hi - lo)`` with ``pos = (n - 1) * p``;
 equal neighbours give the neighbour itself, exactly.
 """
@@ -36,6 +44,69 @@ def _sort_key(v: float) -> tuple[int, float]:
     return (1, 0.0) if (v is not None and math.isnan(v)) else (0, v)
 
 
+SKETCH_ACCURACY = 10_000
+BAND_MARGIN = 3.0 / SKETCH_ACCURACY
+BAND_MAX_ROWS = 2_000_000
+
+
+def _interpolate(pos: float, a: float, b: float, same: bool) -> float:
+    frac = pos - math.floor(pos)
+    if same or frac == 0.0:
+        return a
+    return a + frac * (b - a)
+
+
+def _banded(src: DataFrame, probs: Sequence[float]):
+    """Verified two-pass path; returns None when it cannot vouch for the
+    answer (the caller then uses the range-partition method)."""
+    spark = src.sparkSession
+    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
+    stats = src.groupBy("k").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY)
+         .alias("q")).collect()
+    if not stats:
+        return {}
+    targets, plan = [], {}
+    for r in stats:
+        n, q = r["n"], dict(zip(edges, r["q"]))
+        # rows a band may hold: its width plus the sketch's rank error
+        # on both sides (duplicates of one value collapse before ranking)
+        if (2 * BAND_MARGIN + 2.0 / SKETCH_ACCURACY) * n > BAND_MAX_ROWS:
+            return None
+        entries, by_rank = [], {}
+        for p in probs:
+            a = q[min(1.0, max(0.0, p - BAND_MARGIN))]
+            b = q[min(1.0, max(0.0, p + BAND_MARGIN))]
+            pos = (n - 1) * float(p)
+            ids = []
+            for rank in (math.floor(pos), math.ceil(pos)):
+                if rank not in by_rank:
+                    by_rank[rank] = len(targets)
+                    targets.append((len(targets), r["k"], a, b, rank))
+                ids.append(by_rank[rank])
+            entries.append((pos, ids[0], ids[1]))
+        plan[r["k"]] = entries
+    k, v = F.col("k"), F.col("v")
+    emits = F.array(*[F.when((k == F.lit(tk)) & (v <= F.lit(b)),
+                             F.struct(F.lit(t).alias("t"),
+                                      F.when(v >= F.lit(a), v).alias("bv")))
+                      for t, tk, a, b, _ in targets])
+    counted = (src.select(F.inline(F.filter(emits, lambda e: e.isNotNull())))
+                  .groupBy("t", "bv").agg(F.count(F.lit(1)).alias("c")))
+    rank_of = F.create_map(*[x for t, _, _, _, rank in targets for x in (F.lit(t), F.lit(rank))])
+    w = Window.partitionBy("t").orderBy(F.col("bv").asc_nulls_first()) \
+              .rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("cum", F.sum("c").over(w)).withColumn("rk", rank_of[F.col("t")])
+    hits = ranked.where((F.col("cum") > F.col("rk")) & (F.col("cum") - F.col("c") <= F.col("rk"))) \
+                 .select("t", "bv").collect()
+    at = {h["t"]: h["bv"] for h in hits}
+    if len(at) != len(targets) or any(h["bv"] is None for h in hits):
+        return None      # a rank fell outside its band: not vouched for
+    return {key: [_interpolate(pos, at[i], at[j], i == j) for pos, i, j in entries]
+            for key, entries in plan.items()}
+
+
 def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
                       key: str = "k", value: str = "v") -> dict:
     """Exact continuous quantiles of ``value`` for every ``key``.
@@ -43,9 +114,17 @@ def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
     Returns ``{key_value: [q(p) for p in probs]}``; keys without non-null
     values are absent. Values are treated as DOUBLE.
     """
-    spark = long_df.sparkSession
     src = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")) \
                  .where(F.col("v").isNotNull())
+    fast = _banded(src, probs)
+    if fast is not None:
+        return fast
+    return _range_quantiles(src, probs)
+
+
+def _range_quantiles(src: DataFrame, probs: Sequence[float]) -> dict:
+    """The range-partition method (any input size)."""
+    spark = src.sparkSession
     vc = src.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
     parts = shuffle_partitions(spark)
     segs = (vc.repartitionByRange(parts, "k", "v")

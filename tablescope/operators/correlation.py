@@ -8,6 +8,7 @@ coefficient is NULL and skipped, as the reference skips failed pairs."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import qcol
+from ..session import wide_agg_row
 
 MAX_COLUMNS = 10
 
@@ -30,30 +32,34 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str],
     cols = [c for c in columns if c][:max_columns]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    aggs, pairs = [], []
+    aggs, names = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             b = cols[j]
             av = F.when(qcol(b).isNotNull(), qcol(a).cast("double"))
             bv = F.when(qcol(a).isNotNull(), qcol(b).cast("double"))
             r = F.try_divide(F.covar_pop(av, bv), F.stddev_pop(av) * F.stddev_pop(bv))
-            name = f"r_{i}_{j}"
-            aggs.append(r.alias(name))
-            pairs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                  F.col(name).alias("correlation")))
-    wide = df.agg(*aggs)
-    upper = (wide.select(F.inline(F.array(*pairs)))
-                 .where(F.col("correlation").isNotNull() & ~F.isnan("correlation")))
-    mirror = (upper.where(F.col("col_a") != F.col("col_b"))
-                   .select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"),
-                           "correlation"))
-    return upper.unionByName(mirror)
+            aggs.append(r.alias(f"r_{i}_{j}"))
+            names.append((a, b, f"r_{i}_{j}"))
+    # One scan, one row (a proven bound): the long, mirrored matrix is built
+    # from it without touching the data again.
+    # ~10 buffer fields per pair: keep the wide aggregate in codegen.
+    row = wide_agg_row(df, aggs, fields_per_agg=12)
+    out = []
+    for a, b, name in names:
+        r = row[name]
+        if r is None or math.isnan(r):
+            continue
+        out.append((a, b, float(r)))
+        if a != b:
+            out.append((b, a, float(r)))
+    return df.sparkSession.createDataFrame(out, PAIR_SCHEMA)
 
 
 def heatmap_matrix(pairs: DataFrame) -> DataFrame:
     """Long -> wide with sorted labels; missing cells stay NULL. The
     label list is bounded by the ten-column cap."""
-    labels = sorted({r["col_b"] for r in pairs.select("col_b").distinct().collect()})
+    labels = sorted({r["col_b"] for r in pairs.select("col_b").distinct().collect()})  # <= 10
     if not labels:
         return pairs.select("col_a").where(F.lit(False))
     wide = pairs.groupBy("col_a").pivot("col_b", labels).agg(F.first("correlation"))

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_text, qcol
 from ..functions.quantiles import multi_column_quantiles
+from ..session import wide_agg_row
 
 BATCH = 64
 
@@ -106,7 +107,7 @@ def _moments(df: DataFrame, fields: list[T.StructField], approx: bool) -> dict:
                          F.max(c).cast("double").alias(f"mx{i}"),
                          F.avg(c).cast("double").alias(f"av{i}"),
                          F.stddev_samp(v).alias(f"sd{i}")]
-        row = df.agg(*aggs).first().asDict()
+        row = wide_agg_row(df, aggs).asDict()
         out.update(row)
     return out
 
@@ -119,9 +120,20 @@ def long_text_values(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
 
 
 def distinct_counts_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """A3: exact distinct non-null values per column index as (ci, unique_count)."""
-    return (long_text_values(df, fields).select("ci", "v").distinct()
-            .groupBy("ci").agg(F.count(F.lit(1)).alias("unique_count")))
+    """A3: exact distinct non-null values per column index as (ci, unique_count).
+
+    One job: a union of per-column branches, each reading one column,
+    de-duplicating in its own type (map-side first, so a hot value
+    collapses before the shuffle) and counting the survivors."""
+    out = None
+    for i, f in enumerate(fields):
+        c = qcol(f.name)
+        key = F.to_json(c) if isinstance(f.dataType, T.MapType) else c
+        part = (df.where(c.isNotNull()).select(key.alias("x")).distinct()
+                  .agg(F.count(F.lit(1)).alias("unique_count"))
+                  .select(F.lit(i).alias("ci"), "unique_count"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sample_values_long(df: DataFrame, fields: list[T.StructField],
@@ -142,8 +154,10 @@ def sample_values_long(df: DataFrame, fields: list[T.StructField],
 
 
 def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
-            samples: bool = True) -> DataFrame:
-    """The full profile of ``df`` (profiled rows = rows of ``df``)."""
+            samples: bool = True, medians: bool = True) -> DataFrame:
+    """The full profile of ``df`` (profiled rows = rows of ``df``).
+    ``samples``/``medians`` off skip those passes when only categories and
+    counts are needed (planning)."""
     spark = df.sparkSession
     fields = list(df.schema.fields)
     if not fields:
@@ -157,7 +171,7 @@ def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
         uniq = {r["ci"]: r["unique_count"] for r in distinct_counts_long(df, fields).collect()}
     numeric = [f for f in fields if base_category(f.dataType) == "numeric"]
     med = multi_column_quantiles(df, {f.name: qcol(f.name).cast("double") for f in numeric},
-                                 [0.5]) if numeric else {}
+                                 [0.5]) if numeric and medians else {}
     smp: dict = {}
     if samples:
         for r in sample_values_long(df, fields).collect():
@@ -197,11 +211,11 @@ def finish_profile(prof: DataFrame) -> DataFrame:
 
 
 def profile_catalog(tables: dict[str, DataFrame], approx: bool = False,
-                    samples: bool = True) -> DataFrame:
+                    samples: bool = True, medians: bool = True) -> DataFrame:
     """Profiles of many tables, stacked with a ``dataset`` column."""
     out = None
     for name, df in tables.items():
-        p = profile(df, name, approx=approx, samples=samples)
+        p = profile(df, name, approx=approx, samples=samples, medians=medians)
         out = p if out is None else out.unionByName(p)
     return out
 

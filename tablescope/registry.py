@@ -258,20 +258,20 @@ def q_profile_summary(spark, sf):
 
 @query("column_categories")
 def q_column_categories(spark, sf):
-    p = P.profile(_t(spark, sf, "customer"), "customer", samples=False)
+    p = P.profile(_t(spark, sf, "customer"), "customer", samples=False, medians=False)
     return p.select("pos", "name", "dtype", "unique_count", "row_count", "category")
 
 
 @query("cardinality_tags")
 def q_cardinality_tags(spark, sf):
-    p = P.profile(_t(spark, sf, "orders"), "orders", samples=False)
+    p = P.profile(_t(spark, sf, "orders"), "orders", samples=False, medians=False)
     return P.cardinality_tags(p).drop("dataset")
 
 
 @query("groupable_columns")
 def q_groupable_columns(spark, sf):
     prof = P.profile_catalog({t: _t(spark, sf, t) for t in ("events", "customer")},
-                             samples=False)
+                             samples=False, medians=False)
     return P.groupable_columns(prof)
 
 
@@ -450,8 +450,9 @@ def q_granularity(spark, sf):
 
 # -- plans, insights, charts ------------------------------------------------------
 
-def _prof(spark, sf, names, samples=True):
-    return P.profile_catalog({t: _t(spark, sf, t) for t in names}, samples=samples)
+def _prof(spark, sf, names, samples=True, medians=True):
+    return P.profile_catalog({t: _t(spark, sf, t) for t in names}, samples=samples,
+                             medians=medians)
 
 
 def _arr_out(df: DataFrame, *cols: str) -> DataFrame:
@@ -461,17 +462,17 @@ def _arr_out(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("heuristic_plan")
 def q_heuristic_plan(spark, sf):
-    return _arr_out(PL.heuristic_plan(_prof(spark, sf, ("events", "orders"), False)), "columns")
+    return _arr_out(PL.heuristic_plan(_prof(spark, sf, ("events", "orders"), False, False)), "columns")
 
 
 @query("plan_order")
 def q_plan_order(spark, sf):
-    return PL.plan_order(PL.heuristic_plan(_prof(spark, sf, ("events", "orders"), False)))
+    return PL.plan_order(PL.heuristic_plan(_prof(spark, sf, ("events", "orders"), False, False)))
 
 
 @query("plan_valid_columns")
 def q_plan_valid_columns(spark, sf):
-    prof = _prof(spark, sf, ("events", "orders"), False)
+    prof = _prof(spark, sf, ("events", "orders"), False, False)
     texts = PL.plan_to_text(PL.heuristic_plan(prof))
     plan = PL.ingest_plan(texts)
     return _arr_out(PL.plan_valid_columns(plan, prof), "columns", "valid_columns")
@@ -479,7 +480,7 @@ def q_plan_valid_columns(spark, sf):
 
 @query("ingest_plan")
 def q_ingest_plan(spark, sf):
-    prof = _prof(spark, sf, ("events", "orders"), False)
+    prof = _prof(spark, sf, ("events", "orders"), False, False)
     return _arr_out(PL.ingest_plan(PL.plan_to_text(PL.heuristic_plan(prof))), "columns")
 
 

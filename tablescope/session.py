@@ -71,3 +71,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # pragma: no cover - conf always set in practice
         return 200
+
+
+class scoped_conf:
+    """Set SQL confs for the duration of one action, then restore them
+    (e.g. a wide single-row aggregate that needs a larger codegen field
+    limit to stay in whole-stage codegen)."""
+
+    def __init__(self, spark: SparkSession, **confs: str):
+        self.spark, self.confs, self.saved = spark, confs, {}
+
+    def __enter__(self):
+        for k, v in self.confs.items():
+            key = k.replace("__", ".")
+            self.saved[key] = self.spark.conf.get(key, None)
+            self.spark.conf.set(key, v)
+        return self
+
+    def __exit__(self, *exc):
+        for key, v in self.saved.items():
+            if v is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, v)
+        return False
+
+
+def wide_agg_row(df: DataFrame, aggs: list, fields_per_agg: int = 4):
+    """Run a single-row aggregate with many functions and return its row,
+    keeping it inside whole-stage codegen (bounded: one row)."""
+    limit = max(100, fields_per_agg * len(aggs) + 16)
+    with scoped_conf(df.sparkSession, spark__sql__codegen__maxFields=str(limit)):
+        return df.agg(*aggs).first()

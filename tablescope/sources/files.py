@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ISO_TIMESTAMP_TEXT, qcol
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, wide_agg_row
 
 # The null tokens of the CSV reader, in this order.
 NULL_TOKENS = ["NA", "N/A", "n/a", "nan", "NaN", "NAN", "null", "NULL", "None", "NONE",
@@ -66,7 +66,7 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         aggs.append(F.count(qcol(c)).alias(f"n{i}"))
         for t in _TYPE_ORDER:
             aggs.append(F.count_if(_parses(qcol(c), t)).alias(f"{t}_{i}"))
-    row = df.agg(*aggs).first()
+    row = wide_agg_row(df, aggs, fields_per_agg=1)
     out = {}
     for i, c in enumerate(cols):
         n = row[f"n{i}"]
