@@ -51,7 +51,7 @@ BAND_MAX_ROWS = 2_000_000
 
 def _interpolate(pos: float, a: float, b: float, same: bool) -> float:
     frac = pos - math.floor(pos)
-    if same or frac == 0.0:
+    if same or frac == 0.0 or a == b:
         return a
     return a + frac * (b - a)
 
@@ -191,12 +191,7 @@ def _range_quantiles(src: DataFrame, probs: Sequence[float]) -> dict:
     for k, entries in plan.items():
         vals = []
         for pos, id_lo, id_hi in entries:
-            a, b = at[id_lo], at[id_hi]
-            frac = pos - math.floor(pos)
-            if id_lo == id_hi or frac == 0.0:
-                vals.append(a)
-            else:
-                vals.append(a + frac * (b - a))
+            vals.append(_interpolate(pos, at[id_lo], at[id_hi], id_lo == id_hi))
         out[k] = vals
     return out
 

@@ -24,5 +24,7 @@ def ask_sql(df: DataFrame, sql: str, limit: int = ADHOC_ROWS) -> DataFrame:
 
 def extract_sql(text: Column) -> Column:
     """Q2: the first ``<sql>...</sql>`` block (case-insensitive, across
-    lines), trimmed; NULL when there is none."""
-    return F.nullif(F.trim(F.regexp_extract(text, SQL_TAG, 1)), F.lit(""))
+    lines) without surrounding whitespace (line breaks included); NULL when
+    there is none."""
+    body = F.regexp_replace(F.regexp_extract(text, SQL_TAG, 1), r"^\s+|\s+$", "")
+    return F.nullif(body, F.lit(""))
