@@ -15,7 +15,7 @@ pass 2  only the rows inside the located segments are counted again,
         running sum per target.
 
 A faster verified path runs first when the data allow it (``_banded``):
-pass 1 counts rows and takes an approximate-percentile sketch around every
+pass 1 counts rows and takes a KLL sketch, read at a band around every
 wanted rank; pass 2 puts all rows below a band into one group per target
 (map-side combined) and only the band's distinct values are ranked. The
 result is accepted only if the band provably holds the rank; otherwise,
@@ -44,8 +44,8 @@ def _sort_key(v: float) -> tuple[int, float]:
     return (1, 0.0) if (v is not None and math.isnan(v)) else (0, v)
 
 
-SKETCH_ACCURACY = 10_000
-BAND_MARGIN = 3.0 / SKETCH_ACCURACY
+KLL_K = 4000                 # sketch size; normalized rank error ~7e-4
+BAND_MARGIN = 0.002          # band half-width in rank fraction (~3 errors)
 BAND_MAX_ROWS = 2_000_000
 
 
@@ -59,51 +59,61 @@ def _interpolate(pos: float, a: float, b: float, same: bool) -> float:
 def _banded(src: DataFrame, probs: Sequence[float]):
     """Verified two-pass path; returns None when it cannot vouch for the
     answer (the caller then uses the range-partition method)."""
-    spark = src.sparkSession
     edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
-    stats = src.groupBy("k").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY)
-         .alias("q")).collect()
+    sk = src.groupBy("k").agg(F.count(F.lit(1)).alias("n"),
+                              F.kll_sketch_agg_double("v", KLL_K).alias("s"))
+    stats = sk.select("k", "n", F.array(*[F.kll_sketch_get_quantile_double("s", F.lit(e))
+                                          for e in edges]).alias("q")).collect()
     if not stats:
         return {}
-    targets, plan = [], {}
+    plan, intervals, wanted = {}, {}, []
     for r in stats:
-        n, q = r["n"], dict(zip(edges, r["q"]))
-        # rows a band may hold: its width plus the sketch's rank error
-        # on both sides (duplicates of one value collapse before ranking)
-        if (2 * BAND_MARGIN + 2.0 / SKETCH_ACCURACY) * n > BAND_MAX_ROWS:
+        n, q, key = r["n"], dict(zip(edges, r["q"])), r["k"]
+        # rows a band may hold: its width plus the sketch's rank error on
+        # both sides (copies of one value collapse before ranking)
+        if 4 * BAND_MARGIN * n > BAND_MAX_ROWS:
             return None
-        entries, by_rank = [], {}
+        bands, entries = [], []
         for p in probs:
-            a = q[min(1.0, max(0.0, p - BAND_MARGIN))]
-            b = q[min(1.0, max(0.0, p + BAND_MARGIN))]
+            bands.append((q[min(1.0, max(0.0, p - BAND_MARGIN))],
+                          q[min(1.0, max(0.0, p + BAND_MARGIN))]))
             pos = (n - 1) * float(p)
-            ids = []
-            for rank in (math.floor(pos), math.ceil(pos)):
-                if rank not in by_rank:
-                    by_rank[rank] = len(targets)
-                    targets.append((len(targets), r["k"], a, b, rank))
-                ids.append(by_rank[rank])
-            entries.append((pos, ids[0], ids[1]))
-        plan[r["k"]] = entries
+            entries.append((pos, math.floor(pos), math.ceil(pos)))
+        merged = []                      # disjoint, ordered value intervals
+        for lo, hi in sorted(bands, key=lambda b: _sort_key(b[0])):
+            if merged and _sort_key(lo) <= _sort_key(merged[-1][1]):
+                if _sort_key(hi) > _sort_key(merged[-1][1]):
+                    merged[-1] = (merged[-1][0], hi)
+            else:
+                merged.append((lo, hi))
+        intervals[key], plan[key] = merged, entries
+        wanted += [(key, rk) for _, a, b in entries for rk in (a, b)]
     k, v = F.col("k"), F.col("v")
-    emits = F.array(*[F.when((k == F.lit(tk)) & (v <= F.lit(b)),
-                             F.struct(F.lit(t).alias("t"),
-                                      F.when(v >= F.lit(a), v).alias("bv")))
-                      for t, tk, a, b, _ in targets])
-    counted = (src.select(F.inline(F.filter(emits, lambda e: e.isNotNull())))
-                  .groupBy("t", "bv").agg(F.count(F.lit(1)).alias("c")))
-    rank_of = F.create_map(*[x for t, _, _, _, rank in targets for x in (F.lit(t), F.lit(rank))])
-    w = Window.partitionBy("t").orderBy(F.col("bv").asc_nulls_first()) \
-              .rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("cum", F.sum("c").over(w)).withColumn("rk", rank_of[F.col("t")])
-    hits = ranked.where((F.col("cum") > F.col("rk")) & (F.col("cum") - F.col("c") <= F.col("rk"))) \
-                 .select("t", "bv").collect()
-    at = {h["t"]: h["bv"] for h in hits}
-    if len(at) != len(targets) or any(h["bv"] is None for h in hits):
-        return None      # a rank fell outside its band: not vouched for
-    return {key: [_interpolate(pos, at[i], at[j], i == j) for pos, i, j in entries]
+    gap = inside = None
+    for key, merged in intervals.items():
+        g = sum((F.when(v > F.lit(hi), 1).otherwise(0) for _, hi in merged), F.lit(0))
+        ins = None
+        for lo, hi in merged:
+            c = (v >= F.lit(lo)) & (v <= F.lit(hi))
+            ins = c if ins is None else (ins | c)
+        gap = (F.when(k == F.lit(key), g) if gap is None else gap.when(k == F.lit(key), g))
+        inside = (F.when(k == F.lit(key), ins) if inside is None
+                  else inside.when(k == F.lit(key), ins))
+    counted = (src.select("k", gap.alias("g"), inside.alias("ins"), "v")
+                  .groupBy("k", "g", "ins", F.when(F.col("ins"), v).alias("bv"))
+                  .agg(F.count(F.lit(1)).alias("c")))
+    w = Window.partitionBy("k").orderBy("g", "ins", "bv").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("cum", F.sum("c").over(w))
+    rank_list = F.array(*[F.struct(F.lit(key).alias("rk_k"), F.lit(rk).alias("rk"))
+                          for key, rk in sorted(set(wanted), key=lambda t: (str(t[0]), t[1]))])
+    want = src.sparkSession.range(1).select(F.inline(rank_list))
+    hits = (ranked.join(F.broadcast(want), F.col("k") == F.col("rk_k"))
+                  .where((F.col("cum") > F.col("rk")) & (F.col("cum") - F.col("c") <= F.col("rk")))
+                  .select("k", "rk", "ins", "bv").collect())
+    at = {(h["k"], h["rk"]): h["bv"] for h in hits if h["ins"]}
+    if len(at) != len(set(wanted)):
+        return None      # a rank fell outside every band: not vouched for
+    return {key: [_interpolate(pos, at[(key, a)], at[(key, b)], a == b) for pos, a, b in entries]
             for key, entries in plan.items()}
 
 

@@ -36,40 +36,64 @@ def num_or_zero(c: Column) -> Column:
     return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
 
 
-def chart_kind(result: DataFrame, x: str, y: str | None, planned: str) -> DataFrame:
-    """One row (planned, chart_kind, unique_x, x_is_categorical)."""
+def _fact_aggs(x: str, y: str | None) -> list[Column]:
     xc = qcol(x)
-    firsts = F.min_by(xc.cast("string"), F.when(xc.isNotNull(), F.col("seq")))
-    stats = result.agg(firsts.alias("_first"),
-                       F.count_distinct(xc.cast("string")).alias("unique_x"),
-                       F.count(xc).alias("_nx"))
-    is_cat = (~_float_like(F.col("_first"))) | (F.col("unique_x") <= CATEGORICAL_MAX_UNIQUE)
+    aggs = [F.count(F.lit(1)).alias("rows"), F.count(xc).alias("_nx"),
+            F.min_by(xc.cast("string"), F.when(xc.isNotNull(), F.col("seq"))).alias("_first"),
+            F.count_distinct(xc.cast("string")).alias("unique_x")]
+    if y is not None:
+        yc = qcol(y)
+        ynum = yc.cast("string").try_cast("double")
+        aggs += [F.count(yc).alias("_ny"),
+                 F.count_if(yc.isNotNull() & ynum.isNull()).alias("_bad"),
+                 F.count_if(ynum.isNotNull() & (ynum != 0)).alias("_nz")]
+    return aggs
+
+
+def _is_categorical() -> Column:
+    # x is categorical if its first value is not a number or it has few values
+    return (~_float_like(F.col("_first"))) | (F.col("unique_x") <= CATEGORICAL_MAX_UNIQUE)
+
+
+def _kind(planned: str, has_y: bool) -> Column:
+    """C1 rules over the fact columns, in the reference's order."""
+    is_cat = _is_categorical()
     kind = F.lit(planned)
     kind = F.when((kind == "scatter") & is_cat, F.lit("bar")).otherwise(kind)
     kind = F.when((kind == "pie") & (F.col("unique_x") > PIE_MAX_SLICES), F.lit("bar")).otherwise(kind)
-    if y is not None:
+    if has_y:
         kind = F.when((kind == "bar") & is_cat & F.col("unique_x").between(
             PIE_MIN_UNIQUE, PIE_MAX_UNIQUE), F.lit("pie")).otherwise(kind)
-    kind = F.when(F.col("_nx") == 0, F.lit(planned)).otherwise(kind)
-    return stats.select(F.lit(planned).alias("planned"), kind.alias("chart_kind"),
-                        F.col("unique_x").cast("bigint").alias("unique_x"),
-                        F.when(F.col("_nx") > 0, is_cat).alias("x_is_categorical"))
+    return F.when(F.col("_nx") == 0, F.lit(planned)).otherwise(kind)
+
+
+def _plottable(has_y: bool) -> Column:
+    """C2 over the fact columns."""
+    ok = (F.col("rows") >= 2) & (F.col("_nx") > 0)
+    if has_y:
+        ok = ok & (F.col("_ny") > 0) & ((F.col("_bad") > 0) | (F.col("_nz") > 0))
+    return ok
+
+
+def chart_kind(result: DataFrame, x: str, y: str | None, planned: str) -> DataFrame:
+    """One row (planned, chart_kind, unique_x, x_is_categorical)."""
+    return result.agg(*_fact_aggs(x, y)).select(
+        F.lit(planned).alias("planned"), _kind(planned, y is not None).alias("chart_kind"),
+        F.col("unique_x").cast("bigint").alias("unique_x"),
+        F.when(F.col("_nx") > 0, _is_categorical()).alias("x_is_categorical"))
 
 
 def plottable(result: DataFrame, x: str, y: str | None) -> DataFrame:
     """At least two rows, some non-null x, and when y is given some
     non-null y that is not all zero (unparsable y counts as plottable)."""
-    xc = qcol(x)
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count(xc).alias("_nx")]
-    ok = (F.col("rows") >= 2) & (F.col("_nx") > 0)
-    if y is not None:
-        yc = qcol(y)
-        ynum = yc.cast("string").try_cast("double")
-        aggs += [F.count(yc).alias("_ny"),
-                 F.count_if(yc.isNotNull() & ynum.isNull()).alias("_bad"),
-                 F.count_if(ynum.isNotNull() & (ynum != 0)).alias("_nz")]
-        ok = ok & (F.col("_ny") > 0) & ((F.col("_bad") > 0) | (F.col("_nz") > 0))
-    return result.agg(*aggs).select("rows", ok.alias("plottable"))
+    return result.agg(*_fact_aggs(x, y)).select("rows", _plottable(y is not None).alias("plottable"))
+
+
+def chart_facts(result: DataFrame, x: str, y: str | None, planned: str) -> DataFrame:
+    """C1 + C2 + row count of one result in a single aggregate."""
+    return result.agg(*_fact_aggs(x, y)).select(
+        "rows", _kind(planned, y is not None).alias("chart_kind"),
+        _plottable(y is not None).alias("plottable"))
 
 
 def series_bar(result: DataFrame, x: str, y: str | None) -> DataFrame:
@@ -132,3 +156,4 @@ def series_box(df: DataFrame, cat: str, num: str,
     means = {r[0]: r[1] for r in sub.groupBy(c.cast("string")).agg(F.avg(v)).collect()}
     rows = [(k, *q.get(k, [None] * 5), means.get(k)) for k in cats]
     return spark.createDataFrame(rows, schema)
+

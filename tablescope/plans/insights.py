@@ -4,10 +4,11 @@ Spark expressions over profile and results-index tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.profile import cardinality_tag, ordered_names
+from .report import json_safe
 
 # Fixed values of the template findings.
 MISSING_NOTE_PCT = 20
@@ -133,18 +134,20 @@ def template_insights(prof: DataFrame, index: DataFrame | None = None) -> DataFr
 
 
 def result_digest(index: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """The first six non-error results with title, type, row count and
-    their first five rows as JSON (not for the overview)."""
+    """Of the first six results, those without error: title, type, row
+    count and their first five rows as JSON (not for the overview)."""
     spark = index.sparkSession
     heads = []
-    for r in index.where(F.col("error").isNull()).orderBy("dataset", "run_order") \
-                  .limit(DIGEST_RESULTS).collect():
+    w = Window.partitionBy("dataset").orderBy("run_order")   # <= 7 rows per dataset
+    first = index.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= DIGEST_RESULTS)
+    for r in first.where(F.col("error").isNull()).orderBy("dataset", "run_order").collect():
         res = results.get(r["task_id"])
         top = None
         if res is not None and r["task_type"] != "overview":
             ordered = res.orderBy("seq") if "seq" in res.columns else res
             cols = [c for c in ordered.columns if c != "seq"]
-            top = ordered.limit(DIGEST_ROWS).select(F.to_json(F.struct(*cols)).alias("j")) \
+            safe = json_safe(ordered.limit(DIGEST_ROWS).select(*cols))
+            top = safe.select(F.to_json(F.struct(*cols)).alias("j")) \
                          .agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","),
                                        F.lit("]"))).first()[0]
         heads.append((r["dataset"], r["run_order"], r["title"], r["task_type"],

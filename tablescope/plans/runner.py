@@ -100,11 +100,13 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
             if task["type"] == "anomaly":
                 num = next(c for c in task["cols"] if cats.get(c) == "numeric")
                 outliers = A.outlier_count(df, num).first()["outlier_count"]
-            n = res.count()
-            kind, plot = chart, False
-            if n > 0 and t["type"] != "overview" and x is not None:
-                kind = S.chart_kind(res, x, y, chart).first()["chart_kind"]
-                plot = bool(S.plottable(res, x, y).first()["plottable"])
+            if t["type"] != "overview" and x is not None:
+                facts = S.chart_facts(res, x, y, chart).first()
+                n = facts["rows"]
+                kind = facts["chart_kind"] if n > 0 else chart
+                plot = bool(facts["plottable"]) if n > 0 else False
+            else:
+                n, kind, plot = res.count(), chart, False
             rows.append((dataset, order, tid, t["type"], t["title"], t["description"],
                          x, y, n, kind, plot, outliers, None))
             results[tid] = res
