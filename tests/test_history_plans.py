@@ -63,3 +63,29 @@ def test_ask_sql_read_only_and_placeholder(spark):
 def test_extract_sql(spark):
     df = spark.createDataFrame([("x <SQL>\nSELECT 1\n</sql> y <sql>SELECT 2</sql>",), ("none",)], "t string")
     assert [r[0] for r in df.select(Q.extract_sql(F.col("t"))).collect()] == ["SELECT 1", None]
+
+
+def test_template_insight_lines(spark):
+    from tablescope.plans import insights as L
+    prof = spark.createDataFrame([
+        ("d", 0, "a", "numeric", 1000, 300, 30.0, 0.5, 9.0, 2.0, 4.0),
+        ("d", 1, "b", "categorical", 1000, 250, 25.0, None, None, None, None),
+        ("d", 2, "c", "numeric", 1000, 0, 0.0, 1.0, 2.0, 1.5, 0.1),
+    ], "dataset string, pos int, name string, category string, row_count long, "
+       "missing_count long, missing_pct double, min_val double, max_val double, "
+       "mean_val double, std_val double")
+    index = spark.createDataFrame([("d", 7, "anomaly", 50, 182, None)],
+                                  "dataset string, run_order int, task_type string, row_count long, "
+                                  "outlier_total long, error string")
+    got = [(r["kind"], r["seq"], r["text"]) for r in
+           L.template_insights(prof, index).orderBy("kind", "seq").collect()]
+    assert got == [
+        ("anomaly", 0, "a shows high variability (CV=2.0), suggesting outliers."),
+        ("anomaly", 1, "182 statistical outliers detected (z-score > 3)."),
+        ("insight", 0, "Dataset contains 1,000 rows across 3 columns."),
+        ("insight", 1, "Columns with >20% missing values: a, b."),
+        ("insight", 2, "a ranges from 0.5 to 9.0 (mean: 2.00)."),
+        ("recommendation", 0, "Investigate and impute missing values in a, b."),
+        ("recommendation", 1, "Explore correlations between numeric columns: a, c."),
+        ("recommendation", 2, "Consider removing or binning high-cardinality categorical columns."),
+    ]
