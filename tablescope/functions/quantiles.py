@@ -56,14 +56,32 @@ def _interpolate(pos: float, a: float, b: float, same: bool) -> float:
     return a + frac * (b - a)
 
 
-def _banded(src: DataFrame, probs: Sequence[float]):
+def band_edges(probs: Sequence[float]) -> list[float]:
+    """Rank fractions at which the sketch is read (band edges)."""
+    return sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
+
+
+def sketch_agg(v: Column, name: str) -> Column:
+    """KLL sketch of ``v`` for pass 1; can ride along in any aggregate."""
+    return F.kll_sketch_agg_double(v.cast("double"), KLL_K).alias(name)
+
+
+def sketch_edges(sketch: Column, probs: Sequence[float], name: str) -> Column:
+    return F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(e))
+                     for e in band_edges(probs)]).alias(name)
+
+
+def _banded(src: DataFrame, probs: Sequence[float], stats: list | None = None):
     """Verified two-pass path; returns None when it cannot vouch for the
-    answer (the caller then uses the range-partition method)."""
-    edges = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
-    sk = src.groupBy("k").agg(F.count(F.lit(1)).alias("n"),
-                              F.kll_sketch_agg_double("v", KLL_K).alias("s"))
-    stats = sk.select("k", "n", F.array(*[F.kll_sketch_get_quantile_double("s", F.lit(e))
-                                          for e in edges]).alias("q")).collect()
+    answer (the caller then uses the range-partition method). ``stats`` --
+    rows of (k, n, q) with q the sketch read at ``band_edges(probs)`` --
+    may come from an aggregate the caller runs anyway (pass 1 then costs
+    nothing extra)."""
+    edges = band_edges(probs)
+    if stats is None:
+        sk = src.groupBy("k").agg(F.count(F.lit(1)).alias("n"), sketch_agg(F.col("v"), "s"))
+        stats = sk.select("k", "n", sketch_edges(F.col("s"), probs, "q")).collect()
+    stats = [r for r in stats if r["n"]]
     if not stats:
         return {}
     plan, intervals, wanted = {}, {}, []
@@ -118,7 +136,7 @@ def _banded(src: DataFrame, probs: Sequence[float]):
 
 
 def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
-                      key: str = "k", value: str = "v") -> dict:
+                      key: str = "k", value: str = "v", stats: list | None = None) -> dict:
     """Exact continuous quantiles of ``value`` for every ``key``.
 
     Returns ``{key_value: [q(p) for p in probs]}``; keys without non-null
@@ -126,7 +144,7 @@ def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
     """
     src = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")) \
                  .where(F.col("v").isNotNull())
-    fast = _banded(src, probs)
+    fast = _banded(src, probs, stats)
     if fast is not None:
         return fast
     return _range_quantiles(src, probs)
@@ -216,7 +234,8 @@ def column_quantiles(df: DataFrame, expr: Column, probs: Sequence[float],
 
 def multi_column_quantiles(df: DataFrame, exprs: dict[str, Column],
                            probs: Sequence[float],
-                           where: Column | None = None) -> dict[str, list]:
+                           where: Column | None = None,
+                           stats: list | None = None) -> dict[str, list]:
     """Exact quantiles for several columns in the same two passes; the
     columns are unpivoted to (name, value) first."""
     if not exprs:
@@ -226,7 +245,7 @@ def multi_column_quantiles(df: DataFrame, exprs: dict[str, Column],
     packed = F.array(*[F.struct(F.lit(n).alias("k"), exprs[n].cast("double").alias("v"))
                        for n in names])
     long_df = src.select(F.inline(packed))
-    res = grouped_quantiles(long_df, probs)
+    res = grouped_quantiles(long_df, probs, stats=stats)
     return {n: res.get(n, [None] * len(probs)) for n in names}
 
 

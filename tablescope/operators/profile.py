@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_text, qcol
-from ..functions.quantiles import multi_column_quantiles
+from ..functions.quantiles import multi_column_quantiles, sketch_agg, sketch_edges
 from ..session import wide_agg_row
 
 BATCH = 64
@@ -90,12 +90,15 @@ def _batches(items: list, size: int = BATCH):
         yield items[i:i + size]
 
 
-def _moments(df: DataFrame, fields: list[T.StructField], approx: bool) -> dict:
-    """A1 + A5 (no median) + optional approximate distincts, one aggregate
-    per batch of columns."""
+def _moments(df: DataFrame, fields: list[T.StructField], approx: bool,
+             sketch_probs: list[float] | None = None) -> dict:
+    """A1 + A5 moments + optional approximate distincts, one aggregate per
+    batch of columns. With ``sketch_probs`` the same scan also builds the
+    quantile sketch of every numeric column (pass 1 of the medians)."""
     out: dict = {"_rows": None}
     for batch in _batches(list(enumerate(fields))):
         aggs = [F.count(F.lit(1)).alias("_rows")]
+        sketches = []
         for i, f in batch:
             c = qcol(f.name)
             aggs.append(F.count(c).alias(f"n{i}"))
@@ -107,7 +110,16 @@ def _moments(df: DataFrame, fields: list[T.StructField], approx: bool) -> dict:
                          F.max(c).cast("double").alias(f"mx{i}"),
                          F.avg(c).cast("double").alias(f"av{i}"),
                          F.stddev_samp(v).alias(f"sd{i}")]
-        row = wide_agg_row(df, aggs).asDict()
+                if sketch_probs:
+                    aggs.append(sketch_agg(v, f"kll{i}"))
+                    sketches.append(i)
+        if sketches:
+            wide = df.agg(*aggs)
+            row = wide.select(*[c for c in wide.columns if not c.startswith("kll")],
+                              *[sketch_edges(F.col(f"kll{i}"), sketch_probs, f"q{i}")
+                                for i in sketches]).first().asDict()
+        else:
+            row = wide_agg_row(df, aggs).asDict()
         out.update(row)
     return out
 
@@ -119,6 +131,12 @@ def long_text_values(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return df.select(F.inline(packed)).where(F.col("v").isNotNull())
 
 
+def _distinct_branch(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
+    c = qcol(f.name)
+    key = F.to_json(c) if isinstance(f.dataType, T.MapType) else c  # maps: not orderable
+    return df.where(c.isNotNull()).select(key.alias("x")).distinct()
+
+
 def distinct_counts_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """A3: exact distinct non-null values per column index as (ci, unique_count).
 
@@ -127,32 +145,39 @@ def distinct_counts_long(df: DataFrame, fields: list[T.StructField]) -> DataFram
     collapses before the shuffle) and counting the survivors."""
     out = None
     for i, f in enumerate(fields):
-        c = qcol(f.name)
-        key = F.to_json(c) if isinstance(f.dataType, T.MapType) else c
-        part = (df.where(c.isNotNull()).select(key.alias("x")).distinct()
-                  .agg(F.count(F.lit(1)).alias("unique_count"))
-                  .select(F.lit(i).alias("ci"), "unique_count"))
+        part = (_distinct_branch(df, i, f).agg(F.count(F.lit(1)).alias("unique_count"))
+                .select(F.lit(i).alias("ci"), "unique_count"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def sample_values_long(df: DataFrame, fields: list[T.StructField],
-                       k: int = SAMPLE_VALUES) -> DataFrame:
-    """A4: the k smallest distinct non-null values of every column, as text
-    (ci, rank, v). One job; each branch is a bounded top-k."""
+def distinct_and_samples(df: DataFrame, fields: list[T.StructField],
+                         k: int = SAMPLE_VALUES, samples: bool = True) -> DataFrame:
+    """A3 + A4 in one job: per column the distinct values are shuffled
+    once (the exchange is reused) and feed both the count and a bounded
+    top-k of the smallest values. Rows: (ci, kind 'n'|'s', n, v)."""
     out = None
     for i, f in enumerate(fields):
-        c = qcol(f.name)
-        # Maps are not orderable: rank their JSON text instead.
-        is_map = isinstance(f.dataType, T.MapType)
-        key, kind = (F.to_json(c), T.StringType()) if is_map else (c, f.dataType)
-        part = (df.where(c.isNotNull()).select(key.alias("x")).distinct()
-                  .orderBy("x").limit(k)
-                  .select(F.lit(i).alias("ci"), as_text(F.col("x"), kind).alias("v")))
+        d = _distinct_branch(df, i, f)
+        kind = T.StringType() if isinstance(f.dataType, T.MapType) else f.dataType
+        part = d.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(i).alias("ci"), F.lit("n").alias("kind"), "n",
+            F.lit(None).cast("string").alias("v"))
+        if samples:
+            part = part.unionByName(d.orderBy("x").limit(k).select(
+                F.lit(i).alias("ci"), F.lit("s").alias("kind"),
+                F.lit(None).cast("bigint").alias("n"), as_text(F.col("x"), kind).alias("v")))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def sample_values_long(df: DataFrame, fields: list[T.StructField],
+                       k: int = SAMPLE_VALUES) -> DataFrame:
+    """A4: the k smallest distinct non-null values of every column, as text
+    (ci, v). One job; each branch is a bounded top-k."""
+    return distinct_and_samples(df, fields, k).where(F.col("kind") == "s").select("ci", "v")
+
+
 def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
             samples: bool = True, medians: bool = True) -> DataFrame:
     """The full profile of ``df`` (profiled rows = rows of ``df``).
@@ -163,19 +188,24 @@ def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
     if not fields:
         return spark.createDataFrame([], PROFILE_SCHEMA).withColumn(
             "category", F.col("base_category"))
-    m = _moments(df, fields, approx)
+    numeric = [(i, f) for i, f in enumerate(fields) if base_category(f.dataType) == "numeric"]
+    want_med = bool(numeric) and medians
+    m = _moments(df, fields, approx, [0.5] if want_med else None)
     rows = m["_rows"] or 0
+    uniq, smp = {}, {}
     if approx:
         uniq = {i: m[f"u{i}"] for i in range(len(fields))}
-    else:
-        uniq = {r["ci"]: r["unique_count"] for r in distinct_counts_long(df, fields).collect()}
-    numeric = [f for f in fields if base_category(f.dataType) == "numeric"]
-    med = multi_column_quantiles(df, {f.name: qcol(f.name).cast("double") for f in numeric},
-                                 [0.5]) if numeric and medians else {}
-    smp: dict = {}
-    if samples:
-        for r in sample_values_long(df, fields).collect():
-            smp.setdefault(r["ci"], []).append(r["v"])
+    if not approx or samples:
+        for r in distinct_and_samples(df, fields, samples=samples).collect():
+            if r["kind"] == "n" and not approx:
+                uniq[r["ci"]] = r["n"]
+            elif r["kind"] == "s":
+                smp.setdefault(r["ci"], []).append(r["v"])
+    med = {}
+    if want_med:
+        stats = [{"k": f.name, "n": m[f"n{i}"], "q": m[f"q{i}"]} for i, f in numeric]
+        med = multi_column_quantiles(df, {f.name: qcol(f.name).cast("double") for _, f in numeric},
+                                     [0.5], stats=stats)
 
     def _r6(x):
         return None if x is None else float(x)
