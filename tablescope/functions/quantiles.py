@@ -66,9 +66,15 @@ def sketch_agg(v: Column, name: str) -> Column:
     return F.kll_sketch_agg_double(v.cast("double"), KLL_K).alias(name)
 
 
-def sketch_edges(sketch: Column, probs: Sequence[float], name: str) -> Column:
-    return F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(e))
-                     for e in band_edges(probs)]).alias(name)
+def sketch_edges(sketch: Column, probs: Sequence[float], name: str,
+                 count: Column | None = None) -> Column:
+    """The sketch read at the band edges; NULL when it saw no value
+    (``count`` = 0), as an empty sketch cannot be read."""
+    edges = F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(e))
+                      for e in band_edges(probs)])
+    if count is not None:
+        edges = F.when(count > 0, edges)
+    return edges.alias(name)
 
 
 def _banded(src: DataFrame, probs: Sequence[float], stats: list | None = None):

@@ -116,8 +116,8 @@ def _moments(df: DataFrame, fields: list[T.StructField], approx: bool,
         if sketches:
             wide = df.agg(*aggs)
             row = wide.select(*[c for c in wide.columns if not c.startswith("kll")],
-                              *[sketch_edges(F.col(f"kll{i}"), sketch_probs, f"q{i}")
-                                for i in sketches]).first().asDict()
+                              *[sketch_edges(F.col(f"kll{i}"), sketch_probs, f"q{i}",
+                                             F.col(f"n{i}")) for i in sketches]).first().asDict()
         else:
             row = wide_agg_row(df, aggs).asDict()
         out.update(row)
