@@ -135,7 +135,8 @@ def template_insights(prof: DataFrame, index: DataFrame | None = None) -> DataFr
 
 def result_digest(index: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
     """Of the first six results, those without error: title, type, row
-    count and their first five rows as JSON (not for the overview)."""
+    count and their first five rows as JSON (not for the overview, and not
+    for a correlation heatmap, whose result keeps no rows)."""
     spark = index.sparkSession
     heads = []
     w = Window.partitionBy("dataset").orderBy("run_order")   # <= 7 rows per dataset
@@ -143,7 +144,7 @@ def result_digest(index: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
     for r in first.where(F.col("error").isNull()).orderBy("dataset", "run_order").collect():
         res = results.get(r["task_id"])
         top = None
-        if res is not None and r["task_type"] != "overview":
+        if res is not None and r["task_type"] != "overview" and r["chart_kind"] != "heatmap":
             ordered = res.orderBy("seq") if "seq" in res.columns else res
             cols = [c for c in ordered.columns if c != "seq"]
             safe = json_safe(ordered.limit(DIGEST_ROWS).select(*cols))
