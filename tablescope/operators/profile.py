@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_text, qcol
 from ..functions.quantiles import multi_column_quantiles, sketch_agg, sketch_edges
-from ..session import wide_agg_row
+from ..session import parallel_map, wide_agg_row
 
 BATCH = 64
 
@@ -190,17 +190,22 @@ def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
             "category", F.col("base_category"))
     numeric = [(i, f) for i, f in enumerate(fields) if base_category(f.dataType) == "numeric"]
     want_med = bool(numeric) and medians
-    m = _moments(df, fields, approx, [0.5] if want_med else None)
+    # the moments/sketch aggregate and the distinct/sample job are
+    # independent: submit them side by side
+    jobs = [lambda: _moments(df, fields, approx, [0.5] if want_med else None)]
+    if not approx or samples:
+        jobs.append(lambda: distinct_and_samples(df, fields, samples=samples).collect())
+    done = parallel_map(lambda job: job(), jobs)
+    m = done[0]
     rows = m["_rows"] or 0
     uniq, smp = {}, {}
     if approx:
         uniq = {i: m[f"u{i}"] for i in range(len(fields))}
-    if not approx or samples:
-        for r in distinct_and_samples(df, fields, samples=samples).collect():
-            if r["kind"] == "n" and not approx:
-                uniq[r["ci"]] = r["n"]
-            elif r["kind"] == "s":
-                smp.setdefault(r["ci"], []).append(r["v"])
+    for r in (done[1] if len(done) > 1 else []):
+        if r["kind"] == "n" and not approx:
+            uniq[r["ci"]] = r["n"]
+        elif r["kind"] == "s":
+            smp.setdefault(r["ci"], []).append(r["v"])
     med = {}
     if want_med:
         stats = [{"k": f.name, "n": m[f"n{i}"], "q": m[f"q{i}"]} for i, f in numeric]
@@ -242,10 +247,12 @@ def finish_profile(prof: DataFrame) -> DataFrame:
 
 def profile_catalog(tables: dict[str, DataFrame], approx: bool = False,
                     samples: bool = True, medians: bool = True) -> DataFrame:
-    """Profiles of many tables, stacked with a ``dataset`` column."""
+    """Profiles of many tables, stacked with a ``dataset`` column; the
+    tables are profiled side by side from a few driver threads."""
+    profs = parallel_map(lambda item: profile(item[1], item[0], approx=approx, samples=samples,
+                                              medians=medians), list(tables.items()))
     out = None
-    for name, df in tables.items():
-        p = profile(df, name, approx=approx, samples=samples, medians=medians)
+    for p in profs:
         out = p if out is None else out.unionByName(p)
     return out
 

@@ -1,7 +1,8 @@
 """L3: run a plan. Tasks (at most seven per dataset, collected) are
-dispatched in priority order to the templates; each result is a lazy
-DataFrame capped at the fetch limit, described by one results-index row.
-A failing task becomes an error row and the others continue."""
+dispatched in priority order to the templates and run side by side from a
+few driver threads; each result is a DataFrame capped at the fetch limit,
+described by one results-index row. A failing task becomes an error row
+and the others continue."""
 
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from ..operators import analyses as A
 from ..operators import correlation as C
 from ..operators import series as S
+from ..session import parallel_map
 
 TASK_FETCH_ROWS = 5000
 
@@ -79,24 +81,22 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
             prof.where(F.col("dataset") == dataset).select("name", "category").collect()}
     tasks = (plan.where(F.col("dataset") == dataset)
                  .orderBy(F.coalesce("priority", F.lit(3)), "seq").collect())
-    rows, results = [], {}
-    for order, t in enumerate(tasks, start=1):
+    def run_one(item):
+        order, t = item
         task = {"type": t["type"], "title": t["title"], "chart_type": t["chart_type"],
                 "cols": [c for c in (t["columns"] or []) if c in cats]}
         tid = uuid.uuid4().hex[:8]
         try:
             got = _template(df, task, cats, key)
             if got is None:
-                continue
+                return None
             res, x, y, chart = got
-            outliers = None
             if task["type"] == "correlation" and chart == "heatmap":
                 res = res.cache()
-                rows.append((dataset, order, tid, t["type"], t["title"], t["description"],
-                             None, None, 0, "heatmap", res.count() > 0, None, None))
-                results[tid] = res
-                continue
+                return (dataset, order, tid, t["type"], t["title"], t["description"],
+                        None, None, 0, "heatmap", res.count() > 0, None, None), res
             res = S.with_seq(res.limit(TASK_FETCH_ROWS)).cache()
+            outliers = None
             if task["type"] == "anomaly":
                 num = next(c for c in task["cols"] if cats.get(c) == "numeric")
                 outliers = A.outlier_count(df, num).first()["outlier_count"]
@@ -107,11 +107,20 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
                 plot = bool(facts["plottable"]) if n > 0 else False
             else:
                 n, kind, plot = res.count(), chart, False
-            rows.append((dataset, order, tid, t["type"], t["title"], t["description"],
-                         x, y, n, kind, plot, outliers, None))
-            results[tid] = res
+            return (dataset, order, tid, t["type"], t["title"], t["description"],
+                    x, y, n, kind, plot, outliers, None), res
         except Exception as exc:  # one failing task does not stop the run
-            rows.append((dataset, order, tid, t["type"], t["title"], t["description"],
-                         None, None, 0, None, False, None,
-                         f"Task '{t['title']}' failed: {str(exc)[:500]}"))
+            return (dataset, order, tid, t["type"], t["title"], t["description"],
+                    None, None, 0, None, False, None,
+                    f"Task '{t['title']}' failed: {str(exc)[:500]}"), None
+
+    rows, results = [], {}
+    # tasks are independent Spark jobs: run them side by side, keep the order
+    for out in parallel_map(run_one, list(enumerate(tasks, start=1))):
+        if out is None:
+            continue
+        row, res = out
+        rows.append(row)
+        if res is not None:
+            results[row[2]] = res
     return PlanRun(spark.createDataFrame(rows, INDEX_SCHEMA), results)

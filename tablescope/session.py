@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,15 +75,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return 200
 
 
+_CONF_LOCK = threading.RLock()
+
+
 class scoped_conf:
     """Set SQL confs for the duration of one action, then restore them
     (e.g. a wide single-row aggregate that needs a larger codegen field
-    limit to stay in whole-stage codegen)."""
+    limit to stay in whole-stage codegen). Sections are serialised, so
+    concurrent driver threads never see each other's settings."""
 
     def __init__(self, spark: SparkSession, **confs: str):
         self.spark, self.confs, self.saved = spark, confs, {}
 
     def __enter__(self):
+        _CONF_LOCK.acquire()
         for k, v in self.confs.items():
             key = k.replace("__", ".")
             self.saved[key] = self.spark.conf.get(key, None)
@@ -89,11 +96,14 @@ class scoped_conf:
         return self
 
     def __exit__(self, *exc):
-        for key, v in self.saved.items():
-            if v is None:
-                self.spark.conf.unset(key)
-            else:
-                self.spark.conf.set(key, v)
+        try:
+            for key, v in self.saved.items():
+                if v is None:
+                    self.spark.conf.unset(key)
+                else:
+                    self.spark.conf.set(key, v)
+        finally:
+            _CONF_LOCK.release()
         return False
 
 
@@ -103,3 +113,16 @@ def wide_agg_row(df: DataFrame, aggs: list, fields_per_agg: int = 4):
     limit = max(100, fields_per_agg * len(aggs) + 16)
     with scoped_conf(df.sparkSession, spark__sql__codegen__maxFields=str(limit)):
         return df.agg(*aggs).first()
+
+
+DRIVER_THREADS = 4
+
+
+def parallel_map(fn, items, workers: int = DRIVER_THREADS) -> list:
+    """Run independent Spark actions from several driver threads so their
+    jobs share the cluster; results keep the input order."""
+    items = list(items)
+    if len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(workers, len(items))) as pool:
+        return list(pool.map(fn, items))
