@@ -83,3 +83,21 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42,
         rate = min(1.0, rate * 2.0)
     tie = [qcol(k) for k in key] if key else []
     return cand.orderBy(F.col("_h"), *tie).limit(n).drop("_h")
+
+
+def analysis_frames(df: DataFrame, key: Sequence[str] | None = None, seed: int = 42,
+                    full_max: int = FULL_SCAN_MAX_ROWS, sample_max: int = SAMPLE_BAND_MAX_ROWS,
+                    sample_rows: int = SAMPLE_ROWS) -> tuple[str, DataFrame, DataFrame]:
+    """R1-R3 applied: (strategy, frame for aggregates, frame for raw rows).
+
+    ``full``: the table for both. ``sample``: one exact-size sample for
+    both (drawn once, reproducible). ``aggregate``: distributive aggregates
+    keep every row and only raw-row outputs (overview, scatter) read the
+    sample, so the label means what it says."""
+    total = df.count()
+    strategy = ("full" if total <= full_max else "sample" if total <= sample_max
+                else "aggregate")
+    if strategy == "full":
+        return strategy, df, df
+    sample = sample_exact(df, sample_rows, seed=seed, key=key, total=total)
+    return strategy, (sample if strategy == "sample" else df), sample

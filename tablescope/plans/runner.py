@@ -37,12 +37,14 @@ class PlanRun:
     results: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def _template(df, task, cats: dict[str, str], key: str | None):
-    """(result, x, y, chart) for one task, or None when it cannot run."""
+def _template(df, task, cats: dict[str, str], key: str | None, raw=None):
+    """(result, x, y, chart) for one task, or None when it cannot run.
+    Raw-row outputs (overview, scatter) read ``raw`` when given (R3)."""
+    raw = df if raw is None else raw
     ttype, cols, chart, title = task["type"], task["cols"], task["chart_type"], task["title"]
     if ttype == "overview":
         order = [key] if key else df.columns[:1]
-        return A.overview(df, order), None, None, chart
+        return A.overview(raw, order), None, None, chart
     if ttype == "distribution" and cols:
         c = cols[0]
         if cats.get(c) == "numeric":
@@ -55,7 +57,7 @@ def _template(df, task, cats: dict[str, str], key: str | None):
         if chart == "heatmap":
             return C.correlation_matrix(df, nums), None, None, "heatmap"
         x, y = nums[0], nums[1]
-        res = A.scatter(df, x, y, rows=min(A.SCATTER_ROWS, TASK_FETCH_ROWS))
+        res = A.scatter(raw, x, y, rows=min(A.SCATTER_ROWS, TASK_FETCH_ROWS))
         return res, res.columns[0], res.columns[1], chart
     if ttype == "time_series" and len(cols) >= 2:
         grain = df.sparkSession.range(1).select(A.granularity(F.lit(title))).first()[0]
@@ -75,7 +77,7 @@ def _template(df, task, cats: dict[str, str], key: str | None):
 
 
 def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
-             key: str | None = None) -> PlanRun:
+             key: str | None = None, raw: DataFrame | None = None) -> PlanRun:
     spark = df.sparkSession
     cats = {r["name"]: r["category"] for r in
             prof.where(F.col("dataset") == dataset).select("name", "category").collect()}
@@ -87,7 +89,7 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
                 "cols": [c for c in (t["columns"] or []) if c in cats]}
         tid = uuid.uuid4().hex[:8]
         try:
-            got = _template(df, task, cats, key)
+            got = _template(df, task, cats, key, raw)
             if got is None:
                 return None
             res, x, y, chart = got

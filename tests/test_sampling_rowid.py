@@ -58,3 +58,13 @@ def test_row_number_hot_key_is_spread(spark):
 def test_positions_of(spark):
     df = spark.range(0, 100).select((F.col("id") * 2).alias("k"))
     assert positions_of(df, "k", [0, 10, 198]) == {0: 1, 10: 6, 198: 100}
+
+
+def test_analysis_frames(spark):
+    df = spark.range(0, 3000).select("id", (F.col("id") % 7).alias("g"))
+    s, agg, raw = R.analysis_frames(df, key=["id"], full_max=5000)
+    assert s == "full" and agg is df and raw is df
+    s, agg, raw = R.analysis_frames(df, key=["id"], full_max=1000, sample_max=5000, sample_rows=500)
+    assert s == "sample" and agg.count() == 500 and raw.count() == 500
+    s, agg, raw = R.analysis_frames(df, key=["id"], full_max=100, sample_max=1000, sample_rows=500)
+    assert s == "aggregate" and agg.count() == 3000 and raw.count() == 500
