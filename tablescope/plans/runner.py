@@ -72,7 +72,9 @@ def _template(df, task, cats: dict[str, str], key: str | None, raw=None):
         num = next((c for c in cols if cats.get(c) == "numeric"), None)
         if num is None:
             return None
-        return A.zscore_outliers(df, num, key), "row_id", "value", "scatter"
+        task["moments"] = A.column_moments(df, num)   # shared with the outlier count
+        return (A.zscore_outliers(df, num, key, moments=task["moments"]),
+                "row_id", "value", "scatter")
     return None
 
 
@@ -101,7 +103,8 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
             outliers = None
             if task["type"] == "anomaly":
                 num = next(c for c in task["cols"] if cats.get(c) == "numeric")
-                outliers = A.outlier_count(df, num).first()["outlier_count"]
+                outliers = A.outlier_count(df, num, moments=task["moments"]) \
+                    .first()["outlier_count"]
             if t["type"] != "overview" and x is not None:
                 facts = S.chart_facts(res, x, y, chart).first()
                 n = facts["rows"]
