@@ -14,13 +14,14 @@ pass 2  only the rows inside the located segments are counted again,
         joined to the (tiny, broadcast) target list and ranked with a
         running sum per target.
 
-A faster verified path runs first when the data allow it (``_banded``):
-pass 1 counts rows and takes a KLL sketch, read at a band around every
-wanted rank; pass 2 puts all rows below a band into one group per target
-(map-side combined) and only the band's distinct values are ranked. The
-result is accepted only if the band provably holds the rank; otherwise,
-and whenever the band could exceed ``BAND_MAX_ROWS`` (very large inputs),
-the range-partition method above answers.
+A faster verified path runs first (``_banded``): pass 1 counts rows and
+takes a KLL sketch, read at a band around every wanted rank; while a band
+may hold more than ``BAND_MAX_ROWS`` rows, refinement passes count the
+rows below/inside it exactly and sketch only its rows, narrowing it ~100x
+per pass (``_refine``); the last pass puts all rows below a band into one
+group per target (map-side combined) and ranks only the band's distinct
+values. Answers are accepted only if every rank is found inside its band;
+otherwise the range-partition method above answers.
 
 Interpolation follows ``lo + frac * (hi - lo)`` with ``pos = (n - 1) * p``;
 equal neighbours give the neighbour itself, exactly.
@@ -57,8 +58,10 @@ def _interpolate(pos: float, a: float, b: float, same: bool) -> float:
 
 
 def band_edges(probs: Sequence[float]) -> list[float]:
-    """Rank fractions at which the sketch is read (band edges)."""
-    return sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
+    """Rank fractions at which the sketch is read: band edges around every
+    p, plus 0 and 1 (a KLL sketch keeps the exact minimum and maximum)."""
+    return sorted({0.0, 1.0} | {min(1.0, max(0.0, p + d))
+                                for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
 
 
 def sketch_agg(v: Column, name: str) -> Column:
@@ -77,6 +80,55 @@ def sketch_edges(sketch: Column, probs: Sequence[float], name: str,
     return edges.alias(name)
 
 
+MAX_REFINE_PASSES = 6
+
+
+def _refine(src: DataFrame, bands: dict) -> bool:
+    """Shrink bands that may hold more than ``BAND_MAX_ROWS`` rows. Each
+    pass is one scan: per band the exact number of rows below and inside
+    it, and a sketch of the rows inside, read around the rank's relative
+    position -- the band narrows by ~1/(4 * BAND_MARGIN) per pass, so
+    10^12 rows need about three passes and never a full shuffle. False
+    when a rank is found outside its band (the caller falls back)."""
+    k, v = F.col("k"), F.col("v")
+    for _ in range(MAX_REFINE_PASSES):
+        big = {t: b for t, b in bands.items() if b[2] > BAND_MAX_ROWS}
+        if not big:
+            return True
+        aggs = []
+        for i, ((key, rank), (lo, hi, _)) in enumerate(big.items()):
+            mine = k == F.lit(key)
+            inside = mine & (v >= F.lit(lo)) & (v <= F.lit(hi))
+            aggs += [F.count_if(mine & (v < F.lit(lo))).alias(f"b{i}"),
+                     F.count_if(inside).alias(f"i{i}"),
+                     F.approx_count_distinct(F.when(inside, v)).alias(f"d{i}"),
+                     sketch_agg(F.when(inside, v), f"s{i}")]
+        row = src.agg(*aggs).first()
+        # read each band's sketch (tens of KB, bounded) around the rank's
+        # relative position; a constant-rank read of a literal, no scan
+        reads = []
+        for i, ((key, rank), _) in enumerate(big.items()):
+            below, inside = row[f"b{i}"], row[f"i{i}"]
+            if inside > 0 and below <= rank < below + inside:
+                frac = (rank - below) / max(inside - 1, 1)
+                for d in (-BAND_MARGIN, BAND_MARGIN):
+                    reads.append(F.kll_sketch_get_quantile_double(
+                        F.lit(row[f"s{i}"]), F.lit(min(1.0, max(0.0, frac + d)))).alias(f"r{i}_{d > 0:d}"))
+        got = src.sparkSession.range(1).select(*reads).first() if reads else {}
+        for i, ((key, rank), band) in enumerate(big.items()):
+            below, inside, distinct = row[f"b{i}"], row[f"i{i}"], row[f"d{i}"]
+            if not below <= rank < below + inside:
+                return False
+            # what the last pass ranks are distinct values (copies collapse);
+            # the HLL estimate is used with a 2x safety margin
+            if 2 * distinct > BAND_MAX_ROWS and inside > BAND_MAX_ROWS:
+                lo, hi = got[f"r{i}_0"], got[f"r{i}_1"]
+                bands[(key, rank)] = [lo, hi, 4 * BAND_MARGIN * inside]
+            else:
+                band[2] = min(inside, 2 * distinct)
+    return False
+
+
 def _banded(src: DataFrame, probs: Sequence[float], stats: list | None = None):
     """Verified two-pass path; returns None when it cannot vouch for the
     answer (the caller then uses the range-partition method). ``stats`` --
@@ -90,28 +142,37 @@ def _banded(src: DataFrame, probs: Sequence[float], stats: list | None = None):
     stats = [r for r in stats if r["n"]]
     if not stats:
         return {}
-    plan, intervals, wanted = {}, {}, []
+    plan, bands = {}, {}           # bands: (key, rank) -> [lo, hi, estimated rows]
     for r in stats:
         n, q, key = r["n"], dict(zip(edges, r["q"])), r["k"]
-        # rows a band may hold: its width plus the sketch's rank error on
-        # both sides (copies of one value collapse before ranking)
-        if 4 * BAND_MARGIN * n > BAND_MAX_ROWS:
-            return None
-        bands, entries = [], []
+        entries = []
+        small = (n - 1) * BAND_MARGIN < 1   # one rank step is wider than the margin
         for p in probs:
-            bands.append((q[min(1.0, max(0.0, p - BAND_MARGIN))],
-                          q[min(1.0, max(0.0, p + BAND_MARGIN))]))
+            if small:                        # at most ~500 rows: the whole range
+                lo, hi = q[0.0], q[1.0]
+            else:
+                lo = q[min(1.0, max(0.0, p - BAND_MARGIN))]
+                hi = q[min(1.0, max(0.0, p + BAND_MARGIN))]
             pos = (n - 1) * float(p)
+            for rank in (math.floor(pos), math.ceil(pos)):
+                bands[(key, rank)] = [lo, hi, 4 * BAND_MARGIN * n]
             entries.append((pos, math.floor(pos), math.ceil(pos)))
+        plan[key] = entries
+    if not _refine(src, bands):
+        return None
+    intervals = {}
+    for (key, _), (lo, hi, _) in bands.items():
+        intervals.setdefault(key, []).append((lo, hi))
+    for key, lst in intervals.items():
         merged = []                      # disjoint, ordered value intervals
-        for lo, hi in sorted(bands, key=lambda b: _sort_key(b[0])):
+        for lo, hi in sorted(lst, key=lambda b: _sort_key(b[0])):
             if merged and _sort_key(lo) <= _sort_key(merged[-1][1]):
                 if _sort_key(hi) > _sort_key(merged[-1][1]):
                     merged[-1] = (merged[-1][0], hi)
             else:
                 merged.append((lo, hi))
-        intervals[key], plan[key] = merged, entries
-        wanted += [(key, rk) for _, a, b in entries for rk in (a, b)]
+        intervals[key] = merged
+    wanted = list(bands)
     k, v = F.col("k"), F.col("v")
     gap = inside = None
     for key, merged in intervals.items():

@@ -31,11 +31,17 @@ def cases():
             "inf": [float("-inf"), 1.0, 2.0, 3.0, float("inf")] * 20}
 
 
-@pytest.mark.parametrize("force_range", [False, True])
+@pytest.mark.parametrize("mode", ["banded", "refined", "range"])
 @pytest.mark.parametrize("name", list(cases()))
-def test_exact(spark, monkeypatch, name, force_range):
-    if force_range:
-        monkeypatch.setattr(Q, "BAND_MAX_ROWS", 0)
+def test_exact(spark, monkeypatch, name, mode):
+    # banded / refined (tiny bands force refinement passes): the range
+    # fallback is forbidden, so these paths must answer themselves; range:
+    # refinement can never finish, so the range-partition fallback answers
+    monkeypatch.setattr(Q, "BAND_MAX_ROWS", {"banded": 2_000_000, "refined": 10, "range": 0}[mode])
+    if mode in ("refined", "banded"):
+        def no_fallback(*a, **k):
+            raise AssertionError("fell back to the range method")
+        monkeypatch.setattr(Q, "_range_quantiles", no_fallback)
     vals = cases()[name]
     df = spark.createDataFrame([(x,) for x in vals], "v double").repartition(5)
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
