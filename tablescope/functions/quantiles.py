@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shuffle_partitions
+from ..session import parallel_map, shuffle_partitions
 
 
 def _sort_key(v: float) -> tuple[int, float]:
@@ -303,17 +303,21 @@ def multi_column_quantiles(df: DataFrame, exprs: dict[str, Column],
                            probs: Sequence[float],
                            where: Column | None = None,
                            stats: list | None = None) -> dict[str, list]:
-    """Exact quantiles for several columns in the same two passes; the
-    columns are unpivoted to (name, value) first."""
+    """Exact quantiles for several columns. Each column is answered by its
+    own passes over just that column (no row-multiplying unpivot); the
+    columns' jobs are submitted side by side. ``stats`` may carry each
+    column's pass-1 sketch (keyed by column name)."""
     if not exprs:
         return {}
     src = df.where(where) if where is not None else df
-    names = list(exprs)
-    packed = F.array(*[F.struct(F.lit(n).alias("k"), exprs[n].cast("double").alias("v"))
-                       for n in names])
-    long_df = src.select(F.inline(packed))
-    res = grouped_quantiles(long_df, probs, stats=stats)
-    return {n: res.get(n, [None] * len(probs)) for n in names}
+    given = {r["k"]: r for r in (stats or [])}
+
+    def one(name):
+        long_df = src.select(F.lit(name).alias("k"), exprs[name].cast("double").alias("v"))
+        st = [given[name]] if name in given else None
+        return name, grouped_quantiles(long_df, probs, stats=st).get(name, [None] * len(probs))
+
+    return dict(parallel_map(one, list(exprs)))
 
 
 def quantile_frame(spark, values: dict[str, float | None]):
