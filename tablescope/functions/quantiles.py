@@ -318,9 +318,3 @@ def multi_column_quantiles(df: DataFrame, exprs: dict[str, Column],
         return name, grouped_quantiles(long_df, probs, stats=st).get(name, [None] * len(probs))
 
     return dict(parallel_map(one, list(exprs)))
-
-
-def quantile_frame(spark, values: dict[str, float | None]):
-    """One-row DataFrame of computed scalars (names -> DOUBLE)."""
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in values])
-    return spark.createDataFrame([tuple(values.values())], schema)

@@ -42,7 +42,9 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     ranks inside (group, salt) slices, so a group holding a large share of
     all rows is spread over ``salt_buckets`` tasks; the second ranks at most
     ``n * salt_buckets`` survivors per group."""
-    salt = F.pmod(F.xxhash64(*[qcol(c) for c in df.columns]), F.lit(salt_buckets))
+    # a per-row id spreads even a block of identical rows over the salt
+    # buckets; the result does not depend on which bucket a row lands in
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salt_buckets))
     g = [qcol(c) for c in group]
     w1 = Window.partitionBy(*g, F.col("_salt")).orderBy(*order)
     w2 = Window.partitionBy(*g).orderBy(*order)
