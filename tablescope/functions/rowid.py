@@ -24,14 +24,17 @@ def with_row_number(df: DataFrame, order_by: Sequence[str | Column],
                     name: str = "row_id") -> DataFrame:
     """Append a 1-based global row number in ``order_by`` order.
 
-    Rows that tie on ``order_by`` are numbered in a fixed but arbitrary
-    order (hash of the row)."""
+    Rows that tie on ``order_by`` are numbered in an arbitrary order (row
+    hash, then scan position), fixed once the tagging is checkpointed."""
     keys = [qcol(c) if isinstance(c, str) else c for c in order_by]
-    tb = F.xxhash64(*[qcol(f) for f in df.columns]).alias("_tb")
-    with_tb = df.select("*", tb)
+    # tie-breakers: row hash, then a per-row id, so that even a block of
+    # identical rows is spread over many range partitions (identical rows
+    # are interchangeable; the tagging is checkpointed before use)
+    with_tb = df.select("*", F.xxhash64(*[qcol(f) for f in df.columns]).alias("_tb"),
+                        F.monotonically_increasing_id().alias("_ri"))
     parts = shuffle_partitions(df.sparkSession)
-    ordered = (with_tb.repartitionByRange(parts, *keys, F.col("_tb"))
-                      .sortWithinPartitions(*keys, F.col("_tb")))
+    ordered = (with_tb.repartitionByRange(parts, *keys, F.col("_tb"), F.col("_ri"))
+                      .sortWithinPartitions(*keys, F.col("_tb"), F.col("_ri")))
     tagged = materialize(ordered.select(
         "*", F.spark_partition_id().alias("_pid"),
         F.monotonically_increasing_id().alias("_mid")))

@@ -68,3 +68,12 @@ def test_analysis_frames(spark):
     assert s == "sample" and agg.count() == 500 and raw.count() == 500
     s, agg, raw = R.analysis_frames(df, key=["id"], full_max=100, sample_max=1000, sample_rows=500)
     assert s == "aggregate" and agg.count() == 3000 and raw.count() == 500
+
+
+def test_row_number_block_of_identical_rows(spark):
+    # a third of the rows are identical copies (same key, same content)
+    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 == 0, F.lit(-1))
+                                     .otherwise(F.col("id")).alias("k"))
+    out = with_row_number(df, ["k"])
+    assert sorted(r["row_id"] for r in out.collect()) == list(range(1, 6001))
+    assert out.where("k = -1").agg(F.max("row_id")).first()[0] == 2000
