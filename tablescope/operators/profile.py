@@ -1,16 +1,18 @@
 """Column profiling (A1-A7) and semantic typing.
 
 A profile is a DataFrame with one row per column (schema ``PROFILE_SCHEMA``),
-built from a few fused passes instead of several queries per column:
-
-* one aggregate for row count, per-column non-null counts and numeric
-  moments (batched by ``BATCH`` columns for very wide tables);
-* one unpivot + two-level group-by for exact distinct counts (no N-way
-  Expand); ``approx=True`` folds HyperLogLog counts into the first pass;
-* the two-pass distributed quantile for every numeric median at once;
-* one union of per-column ``TakeOrderedAndProject`` for sample values.
-
-Only per-column scalars reach the driver (bounded by the column count).
+built from three passes instead of several queries per column:
+
+* one aggregate for row count, per-column non-null counts, numeric moments
+  and a quantile sketch per numeric column (batched by ``BATCH`` columns);
+  ``approx=True`` adds HyperLogLog distinct counts here instead of pass 2;
+* one union job in which every column is de-duplicated once in its own type
+  (map-side first, so a hot value collapses before the shuffle) and that
+  exchange feeds both the exact distinct count and a bounded top-5 sample;
+* the band pass of the distributed exact median, per numeric column.
+
+The first two are independent and are submitted side by side. Only
+per-column scalars reach the driver (bounded by the column count).
 Everything downstream (categories, tags, plans, insights) is a DataFrame
 transformation of profile tables, so a whole catalog profiles at once.
 """
