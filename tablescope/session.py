@@ -44,9 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one
     already set on the context). Only when neither exists -- a bare local
-    test session -- a fresh scratch folder is created.
-    """
-    sc = spark.sparkContext
+    test session -- a fresh scratch folder is created. Under Spark Connect
+    (no driver-side context) the server's setting is used as it is."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
