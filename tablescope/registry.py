@@ -592,3 +592,8 @@ def q_series_pie(spark, sf):
 def q_series_box(spark, sf):
     return round_doubles(S.series_box(_t(spark, sf, "orders"), "o_orderpriority",
                                       "o_totalprice"), 6)
+
+
+@query("history_kept")
+def q_history_kept(spark, sf):
+    return H.last_turns(_t(spark, sf, "conversations"), H.KEPT_TURNS)

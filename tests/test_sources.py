@@ -100,3 +100,22 @@ def test_malformed_row_fails(spark, tmp):
     path = write(os.path.join(tmp, "m.csv"), 'a,b\n1,2\n"3,4\n')
     with pytest.raises(Exception):
         S.read_csv_tokens(spark, path, sep=",").collect()
+
+
+def test_json_safe_projection(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    from tablescope.plans.report import json_safe
+    df = spark.createDataFrame(
+        [(dt.date(2024, 5, 1), dt.datetime(2024, 5, 1, 8, 30, 0, 120000), dt.datetime(2024, 5, 1),
+          Decimal("12.50"), bytearray(b"ok\xff"), [dt.date(2024, 1, 2)], 3, "x")],
+        "d date, t timestamp_ntz, t0 timestamp_ntz, m decimal(10,2), b binary, "
+        "ds array<date>, n int, s string")
+    r = json_safe(df).first()
+    assert r["d"] == "2024-05-01"
+    assert r["t"] == "2024-05-01T08:30:00.120000" and r["t0"] == "2024-05-01T00:00:00"
+    assert r["m"] == 12.5 and isinstance(r["m"], float)
+    assert r["b"] == "ok�"
+    assert list(r["ds"]) == ["2024-01-02"]
+    assert r["n"] == 3 and r["s"] == "x"
