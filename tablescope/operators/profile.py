@@ -154,12 +154,14 @@ def distinct_counts_long(df: DataFrame, fields: list[T.StructField]) -> DataFram
 
 
 def distinct_and_samples(df: DataFrame, fields: list[T.StructField],
-                         k: int = SAMPLE_VALUES, samples: bool = True) -> DataFrame:
+                         k: int = SAMPLE_VALUES, samples: bool = True,
+                         indices: list[int] | None = None) -> DataFrame:
     """A3 + A4 in one job: per column the distinct values are shuffled
     once (the exchange is reused) and feed both the count and a bounded
-    top-k of the smallest values. Rows: (ci, kind 'n'|'s', n, v)."""
+    top-k of the smallest values. Rows: (ci, kind 'n'|'s', n, v); ``ci`` is
+    the column's position (``indices`` when a batch of columns is given)."""
     out = None
-    for i, f in enumerate(fields):
+    for i, f in zip(indices or range(len(fields)), fields):
         d = _distinct_branch(df, i, f)
         kind = T.StringType() if isinstance(f.dataType, T.MapType) else f.dataType
         part = d.agg(F.count(F.lit(1)).alias("n")).select(
@@ -196,14 +198,17 @@ def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
     # independent: submit them side by side
     jobs = [lambda: _moments(df, fields, approx, [0.5] if want_med else None)]
     if not approx or samples:
-        jobs.append(lambda: distinct_and_samples(df, fields, samples=samples).collect())
+        # one union job per batch of columns (bounded plan size for very wide tables)
+        for batch in _batches(list(enumerate(fields))):
+            jobs.append(lambda b=batch: distinct_and_samples(
+                df, [f for _, f in b], samples=samples, indices=[i for i, _ in b]).collect())
     done = parallel_map(lambda job: job(), jobs)
     m = done[0]
     rows = m["_rows"] or 0
     uniq, smp = {}, {}
     if approx:
         uniq = {i: m[f"u{i}"] for i in range(len(fields))}
-    for r in (done[1] if len(done) > 1 else []):
+    for r in [r for part in done[1:] for r in part]:
         if r["kind"] == "n" and not approx:
             uniq[r["ci"]] = r["n"]
         elif r["kind"] == "s":

@@ -81,3 +81,12 @@ def test_cardinality_tags(spark):
     got = {r["name"]: r["tag"] for r in P.cardinality_tags(prof).collect()}
     assert got == {"a": "BINARY", "b": "CAT-LOW", "c": "CAT-MEDIUM", "d": "TEXT/ID",
                    "e": "TEXT/ID", "f": None}
+
+
+def test_wide_table_batches(spark):
+    # 70 columns = two batches; column j has j + 1 distinct values
+    cols = [(F.col("id") % (j + 1)).alias(f"c{j}") for j in range(70)]
+    df = spark.range(0, 200).select(*cols)
+    p = _by_name(P.profile(df, "wide", samples=True, medians=False))
+    assert all(p[f"c{j}"]["unique_count"] == j + 1 for j in range(70))
+    assert p["c69"]["sample_values"] == ["0", "1", "2", "3", "4"]
