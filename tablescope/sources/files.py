@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ISO_TIMESTAMP_TEXT, qcol
-from ..session import ensure_checkpoint_dir, wide_agg_row
+from ..session import ensure_checkpoint_dir, materialize, wide_agg_row
 
 # The null tokens of the CSV reader, in this order.
 NULL_TOKENS = ["NA", "N/A", "n/a", "nan", "NaN", "NAN", "null", "NULL", "None", "NONE",
@@ -96,18 +96,22 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def read_csv_tokens(spark: SparkSession, path: str, sep: str | None = None,
                     encoding: str | None = None, header: bool = True,
-                    multi_line: bool = False) -> DataFrame:
+                    multi_line: bool = False, materialize_parsed: bool = False) -> DataFrame:
     """CSV with header, 13 null tokens, whole-file type inference;
     malformed rows fail the read (FAILFAST). Delimiter and encoding are
     detected when not given (S2, S3). ``multi_line`` (quoted line breaks)
-    makes every file one unsplittable task, so it is opt-in."""
+    makes every file one unsplittable task, so it is opt-in.
+    ``materialize_parsed`` writes the typed rows once to the shared
+    checkpoint folder, so the many queries of one analysis do not parse the
+    text again each time."""
     sep = sep or sniff_delimiter(spark, path)
     encoding = encoding or detect_encoding(spark, path)
     raw = (spark.read.option("header", header).option("inferSchema", False)
            .option("mode", "FAILFAST").option("sep", sep).option("encoding", encoding)
            .option("multiLine", multi_line).csv(path))
     clean = drop_index_columns(null_tokens_to_null(raw))
-    return apply_types(clean, infer_types(clean))
+    typed = apply_types(clean, infer_types(clean))
+    return materialize(typed) if materialize_parsed else typed
 
 
 # -- S2 / S3 -----------------------------------------------------------------

@@ -119,3 +119,10 @@ def test_json_safe_projection(spark):
     assert r["b"] == "ok�"
     assert list(r["ds"]) == ["2024-01-02"]
     assert r["n"] == 3 and r["s"] == "x"
+
+
+def test_parsed_csv_materialized_once(spark, tmp):
+    text = "a,b\n1,x\n2,NA\n3,z\n"
+    df = S.read_csv_tokens(spark, write(os.path.join(tmp, "m.csv"), text), materialize_parsed=True)
+    assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, "x"), (2, None), (3, "z")]
