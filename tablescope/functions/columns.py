@@ -108,3 +108,13 @@ def try_timestamp_guarded(text: Column) -> Column:
     """P4 on text: naive timestamp, NULL for anything that is not an ISO
     date/date-time or does not name a real instant."""
     return F.when(text.rlike(ISO_TIMESTAMP_TEXT), text.try_cast("timestamp_ntz"))
+
+
+def fill(template: str, *cols: Column) -> Column:
+    """Text template with {0}, {1}, ... filled by column values (concat)."""
+    parts, rest = [], template
+    for i, c in enumerate(cols):
+        head, _, rest = rest.partition("{%d}" % i)
+        parts += [F.lit(head), c]
+    parts.append(F.lit(rest))
+    return F.concat(*parts)

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import fill
 from ..operators.profile import cardinality_tag, ordered_names
 from .report import json_safe
 
@@ -30,15 +31,6 @@ EXPLORE_LINE = "Explore correlations between numeric columns: {0}."
 BINNING_LINE = "Consider removing or binning high-cardinality categorical columns."
 
 
-def _fmt(template: str, *cols: Column) -> Column:
-    parts, rest = [], template
-    for i, c in enumerate(cols):
-        head, _, rest = rest.partition("{%d}" % i)
-        parts += [F.lit(head), c]
-    parts.append(F.lit(rest))
-    return F.concat(*parts)
-
-
 def py_str(c: Column) -> Column:
     """Text of a double the way it prints in the findings."""
     return c.cast("string")
@@ -99,16 +91,16 @@ def template_insights(prof: DataFrame, index: DataFrame | None = None) -> DataFr
     has_first = f["name"].isNotNull()
     cv = cv_expr(f["std_val"], f["mean_val"])
     insights = F.array(
-        _fmt(SIZE_LINE, F.format_number(F.col("rows"), 0), F.col("ncols").cast("string")),
-        F.when(has_missing, _fmt(MISSING_LINE, names)),
-        F.when(has_first, _fmt(RANGE_LINE, f["name"], py_str(f["min_val"]), py_str(f["max_val"]),
+        fill(SIZE_LINE, F.format_number(F.col("rows"), 0), F.col("ncols").cast("string")),
+        F.when(has_missing, fill(MISSING_LINE, names)),
+        F.when(has_first, fill(RANGE_LINE, f["name"], py_str(f["min_val"]), py_str(f["max_val"]),
                                F.format_string("%.2f", f["mean_val"]))))
     anomalies = F.array(
         F.when(has_first & (f["std_val"] > 0) & (cv > HIGH_CV),
-               _fmt(CV_LINE, f["name"], F.format_string("%.1f", cv))))
+               fill(CV_LINE, f["name"], F.format_string("%.1f", cv))))
     recs = F.array(
-        F.when(has_missing, _fmt(IMPUTE_LINE, names)),
-        F.when(F.size("nums") > 0, _fmt(EXPLORE_LINE,
+        F.when(has_missing, fill(IMPUTE_LINE, names)),
+        F.when(F.size("nums") > 0, fill(EXPLORE_LINE,
                                         F.array_join(F.slice("nums", 1, NAMED_COLUMNS), ", "))),
         F.lit(BINNING_LINE))
     base = per
@@ -118,7 +110,7 @@ def template_insights(prof: DataFrame, index: DataFrame | None = None) -> DataFr
                      .groupBy("dataset").agg(F.transform(
                          F.array_sort(F.collect_list(F.struct("run_order", F.coalesce(
                              "outlier_total", "row_count").alias("n")))),
-                         lambda s: _fmt(OUTLIER_LINE, s["n"].cast("string"))).alias("outl")))
+                         lambda s: fill(OUTLIER_LINE, s["n"].cast("string"))).alias("outl")))
         base = per.join(outl, "dataset", "left")
         anomalies = F.concat(anomalies, F.coalesce(F.col("outl"), F.array().cast("array<string>")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import fill
 from ..operators.profile import GROUPABLE_FALLBACK, GROUPABLE_MAX, ordered_names
 
 MAX_TASKS = 7
@@ -45,15 +46,6 @@ OUTLIER_TITLE = "Outliers in {0}"
 OUTLIER_DESC = "Statistical anomalies (z-score > 3) in {0}"
 
 
-def _fmt(template: str, *cols: Column) -> Column:
-    parts, rest = [], template
-    for i, c in enumerate(cols):
-        head, _, rest = rest.partition("{%d}" % i)
-        parts += [F.lit(head), c]
-    parts.append(F.lit(rest))
-    return F.concat(*parts)
-
-
 def _task(cond: Column, type_: str, title: Column, desc: Column, cols: Column,
           chart: str, priority: int) -> Column:
     t = F.struct(F.lit(type_).alias("type"), title.alias("title"), desc.alias("description"),
@@ -80,19 +72,19 @@ def heuristic_plan(prof: DataFrame) -> DataFrame:
     tasks = F.array(
         _task(F.lit(True), "overview", F.lit(OVERVIEW_TITLE), F.lit(OVERVIEW_DESC),
               F.array(), "bar", 1),
-        _task(nn >= 1, "distribution", _fmt(HIST_TITLE, n0), _fmt(HIST_DESC, n0),
+        _task(nn >= 1, "distribution", fill(HIST_TITLE, n0), fill(HIST_DESC, n0),
               F.array(n0), "histogram", 2),
-        _task(has_cat, "distribution", _fmt(TOP_TITLE, c0), _fmt(TOP_DESC, c0),
+        _task(has_cat, "distribution", fill(TOP_TITLE, c0), fill(TOP_DESC, c0),
               F.array(c0), "bar", 2),
         _task(nn >= 3, "correlation", F.lit(MATRIX_TITLE), F.lit(MATRIX_DESC),
               F.slice("nums", 1, CORRELATION_COLUMNS), "heatmap", 3),
-        _task(nn == 2, "correlation", _fmt(PAIR_TITLE, n0, n1), _fmt(PAIR_DESC, n0, n1),
+        _task(nn == 2, "correlation", fill(PAIR_TITLE, n0, n1), fill(PAIR_DESC, n0, n1),
               F.array(n0, n1), "scatter", 3),
-        _task(has_cat & (nn >= 1), "aggregation", _fmt(AGG_TITLE, n0, c0),
-              _fmt(AGG_DESC, n0, c0), F.array(c0, n0), "bar", 3),
-        _task((F.size("dts") > 0) & (nn >= 1), "time_series", _fmt(TREND_TITLE, n0),
-              _fmt(TREND_DESC, n0, d0), F.array(d0, n0), "line", 2),
-        _task(nn >= 1, "anomaly", _fmt(OUTLIER_TITLE, n0), _fmt(OUTLIER_DESC, n0),
+        _task(has_cat & (nn >= 1), "aggregation", fill(AGG_TITLE, n0, c0),
+              fill(AGG_DESC, n0, c0), F.array(c0, n0), "bar", 3),
+        _task((F.size("dts") > 0) & (nn >= 1), "time_series", fill(TREND_TITLE, n0),
+              fill(TREND_DESC, n0, d0), F.array(d0, n0), "line", 2),
+        _task(nn >= 1, "anomaly", fill(OUTLIER_TITLE, n0), fill(OUTLIER_DESC, n0),
               F.array(n0), "scatter", 4),
     )
     kept = F.slice(F.filter(tasks, lambda t: t.isNotNull()), 1, MAX_TASKS)
