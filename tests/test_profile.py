@@ -90,3 +90,12 @@ def test_wide_table_batches(spark):
     p = _by_name(P.profile(df, "wide", samples=True, medians=False))
     assert all(p[f"c{j}"]["unique_count"] == j + 1 for j in range(70))
     assert p["c69"]["sample_values"] == ["0", "1", "2", "3", "4"]
+
+
+def test_approx_mode(spark):
+    df = spark.range(0, 20000).select((F.col("id") % 1000).alias("a"), F.col("id").cast("string").alias("s"))
+    p = _by_name(P.profile(df, "t", approx=True, samples=False))
+    # HyperLogLog with Spark's default relative standard deviation 0.05: 3 sd
+    assert abs(p["a"]["unique_count"] - 1000) <= 150
+    assert abs(p["s"]["unique_count"] - 20000) <= 3000
+    assert p["s"]["category"] == "text"

@@ -126,3 +126,13 @@ def test_parsed_csv_materialized_once(spark, tmp):
     df = S.read_csv_tokens(spark, write(os.path.join(tmp, "m.csv"), text), materialize_parsed=True)
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, "x"), (2, None), (3, "z")]
+
+
+def test_read_any_dispatch(spark, tmp):
+    csv = write(os.path.join(tmp, "a.txt"), "x;y\n1;2\n")
+    js = write(os.path.join(tmp, "b.jsonl"), '{"x": 1}\n')
+    pq = os.path.join(tmp, "c.parquet")
+    spark.range(3).write.parquet(pq)
+    assert S.read_any(spark, csv).columns == ["x", "y"]
+    assert S.read_any(spark, js).count() == 1
+    assert S.read_any(spark, pq).count() == 3
