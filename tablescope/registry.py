@@ -525,11 +525,10 @@ def q_schema_digest(spark, sf):
 
 @query("report_sections")
 def q_report_sections(spark, sf):
-    df, prof, run = _run(spark, sf, "events", "event_id")
-    counts = R.scaling_strategy(R.table_counts({"events": df}))
-    out = SRC.scratch_path(spark, "report")
-    return RP.write_report(out, counts, prof, A.preview(df, ["event_id"]),
-                           L.template_insights(prof, run.index), run.index)
+    from .plans.analyze import analyze
+    out, log = SRC.scratch_path(spark, "report"), SRC.scratch_path(spark, "runs")
+    return analyze(spark, _t(spark, sf, "events"), name="events", key="event_id",
+                   out_dir=out, run_log=log).report
 
 
 def _vc_results(spark, sf):

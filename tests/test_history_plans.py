@@ -89,3 +89,32 @@ def test_template_insight_lines(spark):
         ("recommendation", 1, "Explore correlations between numeric columns: a, c."),
         ("recommendation", 2, "Consider removing or binning high-cardinality categorical columns."),
     ]
+
+
+def test_analyze_end_to_end(spark, tmp_path):
+    from tablescope.operators.history import run_latest_state
+    from tablescope.plans.analyze import analyze
+    from tablescope.sources.sinks import read_run_events
+    path = tmp_path / "sales.csv"
+    lines = ["region,amount,day"] + [f"r{i % 4},{(i * 37) % 101}.5,2024-01-{i % 28 + 1:02d}"
+                                      for i in range(300)]
+    path.write_text("\n".join(lines) + "\n")
+    log = str(tmp_path / "log")
+    a = analyze(spark, str(path), out_dir=str(tmp_path / "report"), run_log=log)
+    assert a.dataset == "sales.csv" and a.strategy == "full"
+    types = {r["type"] for r in a.plan.collect()}
+    assert {"overview", "distribution", "aggregation", "time_series", "anomaly"} <= types
+    sections = {r["section"]: r["rows"] for r in a.report.collect()}
+    assert sections["schema"] == 3 and sections["preview"] == 5
+    state = run_latest_state(read_run_events(spark, log)).first()
+    assert state["status"] == "complete" and state["filename"] == "sales.csv"
+
+
+def test_analyze_records_errors(spark, tmp_path):
+    from tablescope.operators.history import run_latest_state
+    from tablescope.plans.analyze import analyze
+    from tablescope.sources.sinks import read_run_events
+    log = str(tmp_path / "log")
+    with pytest.raises(Exception):
+        analyze(spark, str(tmp_path / "missing.parquet"), run_log=log)
+    assert run_latest_state(read_run_events(spark, log)).first()["status"] == "error"
