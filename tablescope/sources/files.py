@@ -104,8 +104,9 @@ def read_csv_tokens(spark: SparkSession, path: str, sep: str | None = None,
     ``materialize_parsed`` writes the typed rows once to the shared
     checkpoint folder, so the many queries of one analysis do not parse the
     text again each time."""
-    sep = sep or sniff_delimiter(spark, path)
-    encoding = encoding or detect_encoding(spark, path)
+    if sep is None or encoding is None:
+        found_sep, found_enc = text_facts(spark, path)
+        sep, encoding = sep or found_sep, encoding or found_enc
     raw = (spark.read.option("header", header).option("inferSchema", False)
            .option("mode", "FAILFAST").option("sep", sep).option("encoding", encoding)
            .option("multiLine", multi_line).csv(path))
@@ -116,16 +117,30 @@ def read_csv_tokens(spark: SparkSession, path: str, sep: str | None = None,
 
 # -- S2 / S3 -----------------------------------------------------------------
 
-def delimiter_counts(spark: SparkSession, path: str,
-                     candidates: list[str] = DELIMITER_CANDIDATES) -> DataFrame:
-    """Per candidate: min and max number of separators over all non-empty
-    lines, and the line count (one aggregate)."""
-    lines = spark.read.text(path).where(F.length("value") > 0)
+def _delimiter_aggs(candidates: list[str]) -> list[Column]:
+    """Per candidate: min and max number of separators over non-empty lines."""
     aggs = []
+    line = F.col("value")
     for i, d in enumerate(candidates):
-        n = F.size(F.split(F.col("value"), re.escape(d), -1)) - F.lit(1)
+        n = F.when(F.length(line) > 0, F.size(F.split(line, re.escape(d), -1)) - F.lit(1))
         aggs += [F.min(n).alias(f"mn{i}"), F.max(n).alias(f"mx{i}")]
-    row = lines.agg(*aggs).first()
+    return aggs
+
+
+def _pick_delimiter(row, candidates: list[str]) -> str:
+    best, best_n = ",", 0
+    for i, d in enumerate(candidates):
+        mn, mx = row[f"mn{i}"], row[f"mx{i}"]
+        if mn is not None and mn == mx and mn > best_n:
+            best, best_n = d, mn
+    return best
+
+
+def delimiter_counts(spark: SparkSession, path: str,
+                     candidates: list[str] = DELIMITER_CANDIDATES) -> DataFrame:
+    """Per candidate: min and max number of separators over all non-empty
+    lines (one aggregate)."""
+    row = spark.read.text(path).agg(*_delimiter_aggs(candidates)).first()
     data = [(d, row[f"mn{i}"], row[f"mx{i}"]) for i, d in enumerate(candidates)]
     return spark.createDataFrame(data, "delimiter string, min_count int, max_count int")
 
@@ -134,11 +149,17 @@ def sniff_delimiter(spark: SparkSession, path: str,
                     candidates: list[str] = DELIMITER_CANDIDATES) -> str:
     """The candidate that splits every line into the same number (> 0)
     of separators, the most separators winning; ',' if none qualifies."""
-    best, best_n = ",", 0
-    for r in delimiter_counts(spark, path, candidates).collect():
-        if r["min_count"] is not None and r["min_count"] == r["max_count"] and r["min_count"] > best_n:
-            best, best_n = r["delimiter"], r["min_count"]
-    return best
+    return _pick_delimiter(spark.read.text(path).agg(*_delimiter_aggs(candidates)).first(),
+                           candidates)
+
+
+def text_facts(spark: SparkSession, path: str,
+               candidates: list[str] = DELIMITER_CANDIDATES) -> tuple[str, str]:
+    """S2 + S3 in one pass over the raw lines: (delimiter, encoding)."""
+    row = spark.read.text(path).agg(
+        *_delimiter_aggs(candidates),
+        F.count_if(~F.is_valid_utf8("value")).alias("_bad")).first()
+    return _pick_delimiter(row, candidates), ("ISO-8859-1" if row["_bad"] else "UTF-8")
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
