@@ -1,8 +1,9 @@
 """L3: run a plan. Tasks (at most seven per dataset, collected) are
 dispatched in priority order to the templates and run side by side from a
-few driver threads; each result is a DataFrame capped at the fetch limit,
-described by one results-index row. A failing task becomes an error row
-and the others continue."""
+few driver threads; each result is capped at the fetch limit (5,000 rows,
+on which its row count and chart facts are computed) and stored with its
+first 500 rows (the overview whole), described by one results-index row.
+A failing task becomes an error row and the others continue."""
 
 from __future__ import annotations
 
@@ -18,7 +19,8 @@ from ..operators import correlation as C
 from ..operators import series as S
 from ..session import parallel_map
 
-TASK_FETCH_ROWS = 5000
+TASK_FETCH_ROWS = 5000      # rows fetched per task (row count, chart facts)
+TASK_KEPT_ROWS = 500        # rows stored per result, except the overview
 
 INDEX_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()), T.StructField("run_order", T.IntegerType()),
@@ -112,8 +114,9 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
                 plot = bool(facts["plottable"]) if n > 0 else False
             else:
                 n, kind, plot = res.count(), chart, False
+            kept = res if t["type"] == "overview" else res.orderBy("seq").limit(TASK_KEPT_ROWS)
             return (dataset, order, tid, t["type"], t["title"], t["description"],
-                    x, y, n, kind, plot, outliers, None), res
+                    x, y, n, kind, plot, outliers, None), kept
         except Exception as exc:  # one failing task does not stop the run
             return (dataset, order, tid, t["type"], t["title"], t["description"],
                     None, None, 0, None, False, None,
