@@ -87,14 +87,15 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42,
 
 def analysis_frames(df: DataFrame, key: Sequence[str] | None = None, seed: int = 42,
                     full_max: int = FULL_SCAN_MAX_ROWS, sample_max: int = SAMPLE_BAND_MAX_ROWS,
-                    sample_rows: int = SAMPLE_ROWS) -> tuple[str, DataFrame, DataFrame]:
+                    sample_rows: int = SAMPLE_ROWS,
+                    total: int | None = None) -> tuple[str, DataFrame, DataFrame]:
     """R1-R3 applied: (strategy, frame for aggregates, frame for raw rows).
 
     ``full``: the table for both. ``sample``: one exact-size sample for
     both (drawn once, reproducible). ``aggregate``: distributive aggregates
     keep every row and only raw-row outputs (overview, scatter) read the
     sample, so the label means what it says."""
-    total = df.count()
+    total = df.count() if total is None else total
     strategy = ("full" if total <= full_max else "sample" if total <= sample_max
                 else "aggregate")
     if strategy == "full":

@@ -56,18 +56,19 @@ def analyze(spark: SparkSession, source: str | DataFrame, name: str | None = Non
         append_run_events(_event(spark, run_id, "running", filename=name), run_log)
     try:
         df = read_any(spark, source) if isinstance(source, str) else source
-        strategy, agg_df, raw_df = analysis_frames(df, key=[key] if key else None)
+        total = df.count()
+        strategy, agg_df, raw_df = analysis_frames(df, key=[key] if key else None, total=total)
         prof = profile_of(agg_df, name)
         if plan_text is not None:
             plan = ingest_plan(plan_text.select(F.lit(name).alias("dataset"), "text"))
         else:
             plan = heuristic_plan(prof)
         run = run_plan(agg_df, name, plan, prof, key=key, raw=raw_df)
-        findings = template_insights(prof, run.index)
+        findings = template_insights(prof, run.index, total_rows={name: total})
         report = None
         if out_dir:
-            summary = df.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit(name).alias("dataset"), "row_count",
+            summary = spark.range(1).select(
+                F.lit(name).alias("dataset"), F.lit(total).cast("bigint").alias("row_count"),
                 F.lit(len(df.columns)).alias("column_count"), F.lit(strategy).alias("strategy"),
                 F.lit(None if strategy == "full" else SAMPLE_ROWS).cast("bigint").alias("sample_size"))
             order = [key] if key else df.columns[:1]

@@ -75,11 +75,18 @@ def schema_digest(prof: DataFrame) -> DataFrame:
     return prof.select("dataset", "pos", "name", F.to_json(body).alias("digest"))
 
 
-def template_insights(prof: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """L4 (+ L10): findings (dataset, kind, seq, text). The outlier line uses
-    the uncapped outlier count when the results index carries it."""
+def template_insights(prof: DataFrame, index: DataFrame | None = None,
+                      total_rows: dict[str, int] | None = None) -> DataFrame:
+    """L4 (+ L10): findings (dataset, kind, seq, text). The size line uses
+    ``total_rows`` (the full table when the profile ran on a sample) or the
+    profiled rows; the outlier line uses the uncapped outlier count when the
+    results index carries it."""
+    rows = F.max("row_count")
+    if total_rows:
+        given = F.create_map(*[F.lit(x) for kv in total_rows.items() for x in kv])
+        rows = F.coalesce(given[F.first("dataset")], rows)
     per = prof.groupBy("dataset").agg(
-        F.max("row_count").alias("rows"), F.count(F.lit(1)).alias("ncols"),
+        rows.alias("rows"), F.count(F.lit(1)).alias("ncols"),
         ordered_names(prof, F.col("missing_pct") > MISSING_NOTE_PCT, "missing"),
         ordered_names(prof, F.col("category") == "numeric", "nums"),
         F.min_by(F.struct("name", "min_val", "max_val", "mean_val", "std_val"),

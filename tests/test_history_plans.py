@@ -118,3 +118,14 @@ def test_analyze_records_errors(spark, tmp_path):
     with pytest.raises(Exception):
         analyze(spark, str(tmp_path / "missing.parquet"), run_log=log)
     assert run_latest_state(read_run_events(spark, log)).first()["status"] == "error"
+
+
+def test_insights_use_total_rows(spark):
+    from tablescope.plans import insights as L
+    prof = spark.createDataFrame([("d", 0, "a", "numeric", 100, 0, 0.0, 1.0, 2.0, 1.5, 0.5)],
+                                 "dataset string, pos int, name string, category string, row_count long, "
+                                 "missing_count long, missing_pct double, min_val double, max_val double, "
+                                 "mean_val double, std_val double")
+    first = L.template_insights(prof, total_rows={"d": 2500000}).where("kind = 'insight'") \
+             .orderBy("seq").first()["text"]
+    assert first == "Dataset contains 2,500,000 rows across 1 columns."
