@@ -91,7 +91,8 @@ def is_datetime_type(dt: T.DataType) -> bool:
 
 def as_text(c: Column, dtype: T.DataType) -> Column:
     """Render any value as text; nested values through JSON."""
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)) or \
+            type(dtype).__name__ == "VariantType":
         return F.to_json(c)
     if isinstance(dtype, T.BinaryType):
         return F.make_valid_utf8(c.cast("string"))
@@ -118,3 +119,22 @@ def fill(template: str, *cols: Column) -> Column:
         parts += [F.lit(head), c]
     parts.append(F.lit(rest))
     return F.concat(*parts)
+
+
+def groupable(dt: T.DataType) -> bool:
+    """Whether Spark can group and order values of this type (maps,
+    variants and calendar intervals, also nested, cannot)."""
+    if isinstance(dt, T.MapType) or type(dt).__name__ in ("VariantType", "CalendarIntervalType"):
+        return False
+    if isinstance(dt, T.ArrayType):
+        return groupable(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return all(groupable(f.dataType) for f in dt.fields)
+    return True
+
+
+def group_key(df: DataFrame, name: str) -> Column:
+    """The column for grouping: itself, or its JSON text when its type
+    cannot be grouped."""
+    c = qcol(name)
+    return c if groupable(df.schema[name].dataType) else F.to_json(c)

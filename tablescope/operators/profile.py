@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_text, qcol
+from ..functions.columns import as_text, groupable, qcol
 from ..functions.quantiles import multi_column_quantiles, sketch_agg, sketch_edges
 from ..session import parallel_map, wide_agg_row
 
@@ -133,10 +133,17 @@ def long_text_values(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return df.select(F.inline(packed)).where(F.col("v").isNotNull())
 
 
-def _distinct_branch(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
+def _distinct_key(f: T.StructField) -> tuple[Column, T.DataType]:
+    """The value itself, or its JSON text where the type cannot be grouped."""
     c = qcol(f.name)
-    key = F.to_json(c) if isinstance(f.dataType, T.MapType) else c  # maps: not orderable
-    return df.where(c.isNotNull()).select(key.alias("x")).distinct()
+    if groupable(f.dataType):
+        return c, f.dataType
+    return F.to_json(c), T.StringType()
+
+
+def _distinct_branch(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
+    key, _ = _distinct_key(f)
+    return df.where(qcol(f.name).isNotNull()).select(key.alias("x")).distinct()
 
 
 def distinct_counts_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
@@ -163,7 +170,7 @@ def distinct_and_samples(df: DataFrame, fields: list[T.StructField],
     out = None
     for i, f in zip(indices or range(len(fields)), fields):
         d = _distinct_branch(df, i, f)
-        kind = T.StringType() if isinstance(f.dataType, T.MapType) else f.dataType
+        kind = _distinct_key(f)[1]
         part = d.agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(i).alias("ci"), F.lit("n").alias("kind"), "n",
             F.lit(None).cast("string").alias("v"))

@@ -99,3 +99,12 @@ def test_approx_mode(spark):
     assert abs(p["a"]["unique_count"] - 1000) <= 150
     assert abs(p["s"]["unique_count"] - 20000) <= 3000
     assert p["s"]["category"] == "text"
+
+
+def test_ungroupable_types(spark):
+    df = spark.createDataFrame([({"a": 1}, '{"k": 1}', [{"x": 1}]), ({"a": 2}, '{"k": 1}', [{"x": 1}])],
+                               "m map<string,int>, j string, am array<map<string,int>>") \
+              .select("m", F.parse_json("j").alias("v"), "am")
+    p = _by_name(P.profile(df, "t"))
+    assert p["m"]["unique_count"] == 2 and p["v"]["unique_count"] == 1 and p["am"]["unique_count"] == 1
+    assert p["v"]["sample_values"] == ['{"k":1}']
