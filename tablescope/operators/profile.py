@@ -108,9 +108,13 @@ def _moments(df: DataFrame, fields: list[T.StructField], approx: bool,
                 aggs.append(F.approx_count_distinct(as_text(c, f.dataType)).alias(f"u{i}"))
             if base_category(f.dataType) == "numeric":
                 v = c.cast("double")
+                # decimal sums can overflow at scale (an error under ANSI):
+                # exact average where it fits, the double average otherwise
+                mean = F.coalesce(F.try_avg(c).cast("double"), F.avg(v)) \
+                    if isinstance(f.dataType, T.DecimalType) else F.avg(c).cast("double")
                 aggs += [F.min(c).cast("double").alias(f"mn{i}"),
                          F.max(c).cast("double").alias(f"mx{i}"),
-                         F.avg(c).cast("double").alias(f"av{i}"),
+                         mean.alias(f"av{i}"),
                          F.stddev_samp(v).alias(f"sd{i}")]
                 if sketch_probs:
                     aggs.append(sketch_agg(v, f"kll{i}"))
