@@ -37,7 +37,8 @@ def py_str(c: Column) -> Column:
 
 
 def cv_expr(std: Column, mean: Column) -> Column:
-    return std / F.abs(mean + F.lit(CV_EPS))
+    """std / |mean + 1e-9|; NULL instead of an ANSI error if that is 0."""
+    return F.try_divide(std, F.abs(mean + F.lit(CV_EPS)))
 
 
 def variability_flags(prof: DataFrame) -> DataFrame:
