@@ -25,3 +25,39 @@ def test_no_cross_join_no_python(spark, sf001, key):
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                 "ArrowEvalPython", "FlatMapGroupsInPandas"):
         assert bad not in txt, (key, bad)
+
+
+def test_profile_distinct_and_samples_share_exchange(spark, sf001):
+    from tablescope.operators import profile as P
+    df = spark.read.parquet(f"{sf001}/orders.parquet")
+    job = P.distinct_and_samples(df, list(df.schema.fields))
+    job.collect()
+    assert "ReusedExchange" in plan_text(job)
+
+
+def test_top_n_limits_before_shuffle(spark, sf001):
+    txt = plan_text(E.queries()["last_turns"](spark, sf001))
+    assert "WindowGroupLimit" in txt
+
+
+def test_group_by_combines_map_side(spark, sf001):
+    txt = plan_text(E.queries()["value_counts"](spark, sf001))
+    partial = txt.find("HashAggregate")
+    assert "partial_count" in txt and txt.count("HashAggregate") >= 2 and partial >= 0
+
+
+def test_correlation_is_one_scan(spark, sf001):
+    from tablescope.operators import correlation as C
+    li = spark.read.parquet(f"{sf001}/lineitem.parquet")
+    calls = []
+    orig = type(li).agg
+
+    def counting_agg(self, *a, **k):
+        calls.append(1)
+        return orig(self, *a, **k)
+    type(li).agg = counting_agg
+    try:
+        C.correlation_matrix(li, ["l_quantity", "l_extendedprice", "l_tax"]).collect()
+    finally:
+        type(li).agg = orig
+    assert len(calls) == 1
