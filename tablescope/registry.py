@@ -596,3 +596,9 @@ def q_series_box(spark, sf):
 @query("history_kept")
 def q_history_kept(spark, sf):
     return H.last_turns(_t(spark, sf, "conversations"), H.KEPT_TURNS)
+
+
+@query("catalog_profile")
+def q_catalog_profile(spark, sf):
+    prof = P.profile_catalog({t: _t(spark, sf, t) for t in TABLES}, samples=False)
+    return prof.drop("sample_values")
