@@ -121,11 +121,13 @@ def wide_agg_row(df: DataFrame, aggs: list, fields_per_agg: int = 4):
 DRIVER_THREADS = 4
 
 
-def parallel_map(fn, items, workers: int = DRIVER_THREADS) -> list:
+def parallel_map(fn, items, workers: int | None = None) -> list:
     """Run independent Spark actions from several driver threads so their
-    jobs share the cluster; results keep the input order."""
+    jobs share the cluster; results keep the input order. ``workers``
+    defaults to ``DRIVER_THREADS`` as set at call time."""
     items = list(items)
     if len(items) <= 1:
         return [fn(x) for x in items]
+    workers = workers or DRIVER_THREADS
     with ThreadPoolExecutor(max_workers=min(workers, len(items))) as pool:
         return list(pool.map(fn, items))
