@@ -18,12 +18,16 @@ TABLES = (
 
 
 def build_session(master: str | None = None, app: str = "tablescope",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None,
+                  extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Session for tests and the bench. On a cluster, callers bring their own."""
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     parts = shuffle_partitions or int(os.environ.get("BENCH_CPUS", "8"))
+    builder = SparkSession.builder
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master).appName(app)
+        builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
