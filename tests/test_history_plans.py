@@ -129,3 +129,18 @@ def test_insights_use_total_rows(spark):
     first = L.template_insights(prof, total_rows={"d": 2500000}).where("kind = 'insight'") \
              .orderBy("seq").first()["text"]
     assert first == "Dataset contains 2,500,000 rows across 1 columns."
+
+
+def test_analyze_with_ingested_plan(spark):
+    from tablescope.plans.analyze import analyze
+    df = spark.range(0, 400).select("id", (F.col("id") % 5).cast("string").alias("g"),
+                                    (F.col("id") * 1.5).alias("v"))
+    text = spark.createDataFrame([(
+        'Plan: [{"type": "aggregation", "title": "v by g", "columns": ["g", "v"], "priority": 1},'
+        ' {"type": "distribution", "title": "v spread", "columns": ["v"], "chart_type": "histogram"},'
+        ' {"type": "anomaly", "title": "odd", "columns": ["nope"]}]',)], "text string")
+    a = analyze(spark, df, name="t", key="id", plan_text=text)
+    idx = {r["title"]: r for r in a.run.index.collect()}
+    assert set(idx) == {"v by g", "v spread"}          # unknown column: task skipped
+    assert idx["v by g"]["run_order"] == 1 and idx["v by g"]["row_count"] == 5
+    assert idx["v spread"]["chart_kind"] == "histogram"
