@@ -41,6 +41,20 @@ def canon_rows(cols, rows):
     return sorted(tuple(_canon(r[i]) for i in order) for r in rows), sorted(cols)
 
 
+# Spark type -> the DuckDB type the oracle should produce for that column
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+             "date": "DATE"}
+
+
+def type_diff(df, description) -> dict:
+    """Columns whose Spark and DuckDB types disagree: {name: (spark, duck)}."""
+    s = {f.name: DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
+         for f in df.schema.fields}
+    d = {x[0]: str(x[1]) for x in description}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+
+
 def duck(sf_dir):
     con = duckdb.connect()
     for t in TABLES:
@@ -63,11 +77,13 @@ def compare(spark, con, sf_dir, key, fn, sql):
     td = time.time() - t1
     a, ac = canon_rows(scols, srows)
     b, bc = canon_rows(dcols, drows)
-    ok = ac == bc and a == b
+    types = type_diff(df, rel.description)
+    ok = ac == bc and a == b and not types
     out = {"key": key, "match": ok, "rows": len(srows), "oracle_rows": len(drows),
            "spark_s": round(ts, 2), "duck_s": round(td, 3)}
     if not ok:
         out["cols"] = (ac, bc) if ac != bc else "same"
+        out["types"] = types
         diff_a = [r for r in a if r not in set(b)][:3]
         diff_b = [r for r in b if r not in set(a)][:3]
         out["only_spark"], out["only_oracle"] = diff_a, diff_b

@@ -4,14 +4,10 @@ rows-only query for non-emptiness / stable schema."""
 import pytest
 
 import __spark_entry__ as E
-from oracle_compare import canon_rows, duck
+from oracle_compare import canon_rows, duck, type_diff
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-# Spark type -> the DuckDB type the oracle must produce for the same column
-DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
-             "date": "DATE"}
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +21,7 @@ def test_matches_oracle(spark, con, sf001, key):
     srows = [tuple(r) for r in df.collect()]
     rel = con.execute(ORACLE[key])
     dcols = [d[0] for d in rel.description]
-    stypes = {f.name: DUCK_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString())
-              for f in df.schema.fields}
-    assert stypes == {d[0]: str(d[1]) for d in rel.description}
+    assert type_diff(df, rel.description) == {}
     a, ac = canon_rows(df.columns, srows)
     b, bc = canon_rows(dcols, rel.fetchall())
     assert ac == bc
