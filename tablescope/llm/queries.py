@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing
+from . import exact_dedup, fingerprints, mixing, near_dedup
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprints, op6_exact_dedup, op8_mixing)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
+
+
+QUERIES = {f.__name__: f for f in (op4_fingerprints, op6_exact_dedup, op8_mixing, op10_near_dedup)}
 
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
