@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, near_dedup
+from . import exact_dedup, fingerprints, mixing, near_dedup, token_counts
 from .common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; callers with files of their own pass their path."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -20,10 +26,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprints, op6_exact_dedup, op8_mixing, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_fingerprints, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
 
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
