@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, token_counts
+from . import exact_dedup, fingerprints, mixing, near_dedup, sentence_pieces, token_counts
 from .common import table
 
 
@@ -18,6 +19,16 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every text; digests of the ids and of the decoded text."""
+    model, docs = tokenizer_file("piece_bpe_32k.model"), table(spark, sf_dir, "documents")
+    both = sentence_pieces.decode(sentence_pieces.encode(docs, model, ["doc_id"]), model)
+    decoded = F.sha2("text", 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"),
+                       (decoded == F.col("text_sha256")).alias("round_trip"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprints, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
 
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
