@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, mixing, near_dedup, sentence_pieces, token_counts
-from .common import table
+from . import (
+    exact_dedup, fingerprints, language, mixing, near_dedup, personal_data, sentence_pieces, token_counts,
+)
+from .common import fold, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -15,6 +17,17 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = language.learn(docs, fold(docs["doc_id"], 3) != 1)
+    found = language.identify(docs, profiles)
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -45,6 +58,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
 
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
