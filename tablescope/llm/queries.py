@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     exact_dedup, fingerprints, language, mixing, near_dedup, personal_data, sentence_pieces, token_counts,
+    toxicity,
 )
 from .common import fold, table
 
@@ -17,6 +18,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    index = toxicity.learn(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.learn(docs, fold(docs["doc_id"], 3) != 1)
@@ -58,6 +66,6 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
 
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
