@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, squeezed, texts, written
@@ -118,6 +118,19 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return inside.drop("run", "run_text").unionByName(joined)
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs``, columns as they were, without all but one document of equal texts.
+
+    The kept identifier of a normalised text's digest finds the row again; of
+    repeated rows with that identifier, one stays."""
+    stays = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_at"), F.col("text_sha256").alias("_sha"))
+    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_at"),
+                        F.sha2(squeezed(F.coalesce(docs["text"].cast("string"), F.lit(""))), 256).alias("_sha"))
+    one = Window.partitionBy("_at", "_sha").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
+    return (keyed.join(stays.distinct(), ["_at", "_sha"]).withColumn("_n", F.row_number().over(one))
+            .where("_n = 1").select(*docs.columns))
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id,

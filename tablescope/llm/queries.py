@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    exact_dedup, fingerprints, language, mixing, near_dedup, personal_data, sentence_pieces, token_counts,
+    chat, exact_dedup, fingerprints, language, mixing, near_dedup, personal_data, sentence_pieces, token_counts,
     toxicity,
 )
 from .common import fold, table
@@ -54,6 +54,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = chat.perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return rendered.select("conv_id", "perspective", "part", "n_turns", F.length("text").cast("long").alias("n_chars"),
+                           spans.alias("masks"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -66,6 +73,8 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op8_mixing, op9_token_counts, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op7_chat,
+    op8_mixing, op9_token_counts, op10_near_dedup)}
 
-ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}

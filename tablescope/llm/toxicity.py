@@ -23,7 +23,7 @@ itself. Documents without any term get the examples' own rate of that case.
 The evidence is the neighbours with their cosines and labels.
 
 Defined results: null and empty texts have no term; without labelled
-examples every score is 0; labels other than 0 and 1 and nulls are not
+examples every score is 0, with examples of label 1 alone it is 1; labels other than 0 and 1 and nulls are not
 examples; of several labels of one identifier the largest counts. Extra
 columns are ignored. No rows in, no rows out."""
 
@@ -257,6 +257,20 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
                  [scaled(dict(zip(r["terms"], r["times"])), idf) for r in got], stands)
 
 
+def kept(docs: DataFrame, index: Index) -> DataFrame:
+    """``docs``, columns as they were, without the rows whose text is called toxic."""
+    model, names = docs.sparkSession.sparkContext.broadcast(index), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        found = finder(own.terms)
+        for batch in batches:
+            stays = [own.score(frequencies(t or "", found))[0] < THRESHOLD for t in batch["text"].to_pylist()]
+            yield batch.filter(pa.array(stays))
+
+    return docs.select(*names).mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` and ``evidence`` (the neighbours) per document, from the text alone."""
     model = docs.sparkSession.sparkContext.broadcast(index)
