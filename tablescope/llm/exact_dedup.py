@@ -123,12 +123,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     The kept identifier of a normalised text's digest finds the row again; of
     repeated rows with that identifier, one stays."""
-    stays = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_at"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_at"),
-                        F.sha2(squeezed(F.coalesce(docs["text"].cast("string"), F.lit(""))), 256).alias("_sha"))
-    one = Window.partitionBy("_at", "_sha").orderBy(F.xxhash64(*[docs[c] for c in docs.columns]))
-    return (keyed.join(stays.distinct(), ["_at", "_sha"]).withColumn("_n", F.row_number().over(one))
-            .where("_n = 1").select(*docs.columns))
+    stays = exact_dedup(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("at"), F.col("text_sha256").alias("sha"))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                        F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("at"),
+                        F.sha2(squeezed(F.coalesce(docs["text"].cast("string"), F.lit(""))), 256).alias("sha"))
+    one = Window.partitionBy("at", "sha").orderBy(F.xxhash64("doc"))
+    return keyed.join(stays.distinct(), ["at", "sha"]).withColumn("n", F.row_number().over(one)).where("n = 1").select("doc.*")
 
 
 ORACLE = r"""

@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import SPACE, WORD, written
 
 #: Weights of the sources in code point order, repeating, and the most epochs of one source.
 WEIGHTS, EPOCHS = (1, 2, 3), 3
@@ -95,19 +95,19 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a document taken k times
     and r words comes as k rows, and once more cut to its first r words
     (joined by single spaces; ``n_chars`` as its new length) if r > 0."""
-    names = [c for c in docs.columns if c != "doc_id"]
+    packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    each = mix(docs, names).withColumn("first", F.explode(parts))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(F.col("first") == 0, F.col("text")).otherwise(
+    each = mix(packed, ["doc"]).select("doc", F.explode(parts).alias("first"))
+    words = F.filter(F.split("doc.text", SPACE), lambda w: w != "")
+    cut = F.when(F.col("first") == 0, F.col("doc.text")).otherwise(
         F.array_join(F.slice(words, 1, F.greatest(F.col("first"), F.lit(1))), " "))
-    out = each.withColumn("text", cut)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("first") == 0, F.col("n_chars"))
-                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    columns = {c: F.col("doc")[c] for c in docs.columns} | {"text": cut}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("first") == 0, columns["n_chars"]).otherwise(
+            F.length(cut).cast(docs.schema["n_chars"].dataType))
+    return each.select(*[v.alias(c) for c, v in columns.items()])
 
 
 ORACLE = r"""
