@@ -79,6 +79,8 @@ def finder(terms: list[str]):
 def frequencies(text: str, found) -> dict[int, int]:
     """How often each listed term occurs, as ``terms_of`` counts."""
     lower, out = text.lower(), {}
+    if not len(found):                  # no term at all: there is no automaton to run
+        return out
     for last, (size, as_word, as_start) in found.iter(lower):
         at, after = last - size + 1, last + 1
         if at and _letter(lower[at - 1]):
