@@ -18,7 +18,8 @@ from .common import written
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One half round over links (u, v) with u > v."""
     near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the join has two plain sides and Spark can split a node of very many neighbours
+    least = written(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     to = near.join(least, "u")
     if large:
         out = to.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

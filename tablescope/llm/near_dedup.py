@@ -188,19 +188,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     worded = rows.where("digest IS NOT NULL").drop("keys").join(of_node, "digest")
     alone = rows.where("digest IS NULL").drop("keys").withColumn("class", F.col("row"))
     classed = written(worded.unionByName(alone).select("row", "doc_id", "code", "class"), "classed")
-    named = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
-                                         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"].alias("keeps"))
+    # written, so that the join has two plain sides and Spark can split a class of very many documents
+    named = written(classed.groupBy("class").agg(
+        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))["row"].alias("keeps")), "named")
     return classed.join(named, "class").select("doc_id", "code", "class_id", "class_size",
                                                (F.col("row") == F.col("keeps")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one document of each class, columns as they were."""
-    stays = near_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_at"), F.col("code").alias("_code"))
-    names = docs.columns
-    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("_at"),
-                        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("_code"))
-    one = Window.partitionBy("_at", "_code").orderBy(F.xxhash64(*[docs[c] for c in names]))
-    numbered = keyed.withColumn("_n", F.row_number().over(one))
-    copies = stays.withColumn("_n", F.row_number().over(Window.partitionBy("_at", "_code").orderBy(F.lit(0))))
-    return numbered.join(copies, ["_at", "_code", "_n"]).select(*names)
+    stays = near_classes(docs).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("at"), "code")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+                        F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("at"),
+                        F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("code"))
+    # repeated rows without words are classes of their own: as many stay as there are
+    numbered = keyed.withColumn("n", F.row_number().over(Window.partitionBy("at", "code").orderBy(F.xxhash64("doc"))))
+    copies = stays.withColumn("n", F.row_number().over(Window.partitionBy("at", "code").orderBy(F.lit(0))))
+    return numbered.join(copies, ["at", "code", "n"]).select("doc.*")
