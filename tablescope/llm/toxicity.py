@@ -3,13 +3,15 @@
 Examples: of each label the ``PER_LABEL`` labelled documents whose
 identifiers hash smallest, a documented bound. Terms are words and word
 beginnings of 4 to 8 letters (inflected and compounded forms of one insult
-share a beginning); the ``TERMS`` terms that tell the labels apart best among
-the examples are kept, by their likelihood ratio statistic. Their document
-frequencies are counted over all documents. A document's vector holds
+share a beginning). Kept are terms at least ``TIMES`` times as common with
+label 1, with a likelihood ratio statistic of at least ``LEAST`` (of words
+that are equally common with both labels, one in a hundred thousand reaches
+it), the ``TERMS`` best by that statistic. Their document frequencies are counted over all documents. A document's vector holds
 (1 + ln frequency) * idf, scaled to length 1; terms outside the list don't count.
 
-Search: the examples' vectors are an inverted index whose postings are cut
-into blocks of ``BLOCK`` examples, each with its largest weight (block-max).
+Search: the examples' vectors are an inverted index, term by example, whose
+postings are cut into blocks of ``BLOCK`` examples, each with its largest
+weight (block-max).
 For a document, the sums of its weights times the blocks' largest ones bound
 the cosines in every block; blocks are scored in full in the order of their
 bounds until the ``NEAREST`` best cosines are at least the next bound. The
@@ -35,15 +37,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import hash_sample, texts
 
 #: Labelled documents of a label; terms; neighbours; examples in a block; the votes' least distance.
 PER_LABEL, TERMS, NEAREST, BLOCK, NEAR = 3000, 600, 15, 64, 0.05
 #: Fewest examples that hold a term; lengths of word beginnings.
 HELD_BY, BEGINNINGS = 4, range(4, 9)
+#: How much commoner a term is with label 1, and its least likelihood ratio statistic.
+TIMES, LEAST = 3.0, 20.0
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -106,17 +110,11 @@ class Index:
         self.ids, self.labels = np.array(ids, np.int64)[used], np.array(labels, np.int64)[used]
         self.each = stands_for[np.array(labels, np.int64)[used]] if used else np.empty(0)
         blocks = -(-len(used) // BLOCK)
-        # postings of a term in a block: places in the block and weights; the largest weight of each
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.largest = np.zeros((len(terms), blocks), np.float64)
-        lists: dict[tuple[int, int], list] = {}
+        # a term's postings in a block are a row of the block's slab; the largest weight of each
+        self.postings = np.zeros((blocks, len(terms), BLOCK))
         for place, i in enumerate(used):
-            for t, w in zip(*vectors[i]):
-                lists.setdefault((int(t), place // BLOCK), []).append((place % BLOCK, w))
-        for key, found in lists.items():
-            places, weights = zip(*found)
-            self.postings[key] = np.array(places), np.array(weights)
-            self.largest[key] = max(weights)
+            self.postings[place // BLOCK, vectors[i][0], place % BLOCK] = vectors[i][1]
+        self.largest = self.postings.max(axis=2, initial=0.0).T
         rest = [labels[i] for i, (t, _) in enumerate(vectors) if not len(t)]
         weights = [float(stands_for[x]) for x in rest]
         self.without = float(np.dot(rest, weights) / sum(weights)) if sum(weights) else 0.0
@@ -139,10 +137,7 @@ class Index:
             # a block may still hold an equal cosine that comes earlier, so only smaller bounds end the search
             if bounds[b] <= 0 or len(cosines) == self.nearest and bounds[b] < cosines[-1] - 1e-9:
                 break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                if (p := self.postings.get((int(t), int(b)))) is not None:
-                    sums[p[0]] += w * p[1]
+            sums = weights @ self.postings[b, terms]
             if 0 <= but - b * BLOCK < BLOCK:
                 sums[but - b * BLOCK] = 0
             hit = np.flatnonzero(sums > 0)
@@ -199,9 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = Window.partitionBy("toxic").orderBy("hash", "doc_id")
-    chosen = (known.withColumn("hash", F.xxhash64("doc_id")).withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= per_label).drop("n"))
+    chosen = hash_sample(known, "toxic", "doc_id", per_label).withColumnRenamed("u", "hash")
     examples = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "hash", "text")    # at most 2 * per_label identifiers
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +220,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
     a, b, every = F.col("n0"), F.col("n1"), n0 + n1
     statistic = (part(a, n0, a + b, every) + part(b, n1, a + b, every)
                  + part(n0 - a, n0, every - a - b, every) + part(n1 - b, n1, every - a - b, every))
-    listed = (both.where((F.col("term") != "") & (a + b >= HELD_BY) & (b * n0 > a * n1))
-              .select("term", statistic.alias("s")).orderBy(F.desc("s"), "term").limit(terms))
+    listed = (both.where((F.col("term") != "") & (a + b >= HELD_BY) & (b * n0 >= TIMES * a * n1))
+              .select("term", statistic.alias("s")).where(2 * F.col("s") >= LEAST).orderBy(F.desc("s"), "term").limit(terms))
     names = [r["term"] for r in listed.collect()]
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
                                    "terms": pa.array([list(x) for x in own], pa.list_(pa.int32())),
                                    "times": pa.array([list(x.values()) for x in own], pa.list_(pa.int32()))})
 
-    got = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, hash long, terms array<int>, times array<int>").collect(),
+    got = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, hash double, terms array<int>, times array<int>").collect(),
                  key=lambda r: (r["hash"], r["doc_id"], r["terms"], r["times"]))
     here = Counter(r["toxic"] for r in got)
     stands = np.array([sizes.get(i, 0) / max(1, here[i]) for i in (0, 1)], float)
