@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space, tab, line feed, vertical tab, form feed, return.
@@ -62,3 +62,20 @@ def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the identifier's decimal text, modulo ``folds``; a null
     identifier counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
+
+
+def hash_sample(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """Of each group (a label, a language: few) the ``n`` rows whose key hashes
+    smallest, with that hash as ``u`` in [0, 1). Rows that can't be among them
+    are left out where they are read: about n of each group are ever ranked,
+    however large it is."""
+    u = F.pmod(F.xxhash64(key), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
+    if not counts:
+        return rows.withColumn("u", u)
+    rate = F
+    for g, size in counts.items():
+        rate = rate.when(F.col(group).eqNullSafe(F.lit(g)), min(1.0, (n + 10 * n ** 0.5 + 100) / size))
+    order = Window.partitionBy(group).orderBy("u", key)
+    return (rows.withColumn("u", u).where(F.col("u") <= rate).withColumn("rank_in_group", F.row_number().over(order))
+            .where(F.col("rank_in_group") <= n).drop("rank_in_group"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import hash_sample, texts
 
 #: Length of a profile; labelled documents of a language to learn from; letters counted at a time.
 TOP, PER_LANGUAGE, BLOCK = 300, 400, 1 << 18
@@ -96,9 +96,7 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, top
     """Profiles of the languages in ``lang`` among the rows where ``usable`` holds."""
     spark_rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"),
                              docs["lang"].cast("string").alias("lang"), usable.alias("usable")).where("usable AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (spark_rows.select("lang", "doc_id").withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= per_language).select("lang", "doc_id").distinct())
+    chosen = hash_sample(spark_rows.select("lang", "doc_id"), "lang", "doc_id", per_language).select("lang", "doc_id").distinct()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
