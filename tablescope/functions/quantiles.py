@@ -1,53 +1,38 @@
 """H1 -- distributed exact quantiles (continuous interpolation, A8).
 
-Spark's built-in ``percentile`` is exact but merges one value->count map per
-group in a single task, which does not survive a high-cardinality column at
-scale. This module computes the same numbers with two passes that never
-hold more than one range partition of *distinct* values in a task:
-
-pass 1  values -> (key, value, count) with map-side combine (a hot value
-        collapses to one row), range-partitioned on (key, value); one small
-        row per (partition, key): value range and row count. Those rows
-        (bounded by partitions + keys) come to the driver, where prefix sums
-        locate the segment holding each wanted rank.
-pass 2  only the rows inside the located segments are counted again,
-        joined to the (tiny, broadcast) target list and ranked with a
-        running sum per target.
-
-A faster verified path runs first (``_banded``): pass 1 counts rows and
-takes a KLL sketch, read at a band around every wanted rank; while a band
-may hold more than ``BAND_MAX_ROWS`` rows, refinement passes count the
-rows below/inside it exactly and sketch only its rows, narrowing it ~100x
-per pass (``_refine``); the last pass puts all rows below a band into one
-group per target (map-side combined) and ranks only the band's distinct
-values. Answers are accepted only if every rank is found inside its band;
-otherwise the range-partition method above answers.
-
-Interpolation follows ``lo + frac * (hi - lo)`` with ``pos = (n - 1) * p``;
-equal neighbours give the neighbour itself, exactly.
-"""
+Spark's built-in ``percentile`` merges one value->count map per group in a
+single task, which does not survive a high-cardinality column at scale.
+Here the same numbers come from a few passes, by one method at every size:
+
+1. count the numbers and NaNs and take a KLL sketch of the numbers; read at
+   a margin around every wanted rank it gives a band that likely holds it;
+2. count the rows below and inside every band exactly. A rank outside its
+   band moves the band to the side the counts name; a band of more than
+   ``BAND_DISTINCT`` distinct values is narrowed by a sketch of its own
+   rows. Repeat until every band is known to hold its ranks;
+3. take out only the bands' rows, grouped by value, and rank each band by
+   itself, starting at its exact count of rows below.
+
+Nothing but bands and counts reaches the driver, and no task ranks more than
+one band's distinct values. NaN ranks above every number. Interpolation is
+``lo + frac * (hi - lo)`` at ``pos = (n - 1) * p``; equal neighbours give the
+neighbour itself."""
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import parallel_map, shuffle_partitions
-
-
-def _sort_key(v: float) -> tuple[int, float]:
-    # NaN ranks above every number, as in Spark and the SQL oracle.
-    return (1, 0.0) if (v is not None and math.isnan(v)) else (0, v)
-
 
 KLL_K = 4000                 # sketch size; normalized rank error ~7e-4
 BAND_MARGIN = 0.002          # band half-width in rank fraction (~3 errors)
-BAND_MAX_ROWS = 2_000_000
+BAND_DISTINCT = 200_000      # distinct values that one task ranks
+AGG_BANDS = 48               # bands counted in one aggregate (two fields each keep it in generated code)
+
+_NAN = float("nan")
 
 
 def _interpolate(pos: float, a: float, b: float, same: bool) -> float:
@@ -64,257 +49,207 @@ def band_edges(probs: Sequence[float]) -> list[float]:
                                 for p in probs for d in (-BAND_MARGIN, BAND_MARGIN)})
 
 
-def sketch_agg(v: Column, name: str) -> Column:
-    """KLL sketch of ``v`` for pass 1; can ride along in any aggregate."""
-    return F.kll_sketch_agg_double(v.cast("double"), KLL_K).alias(name)
-
-
-def sketch_edges(sketch: Column, probs: Sequence[float], name: str,
-                 count: Column | None = None) -> Column:
-    """The sketch read at the band edges; NULL when it saw no value
-    (``count`` = 0), as an empty sketch cannot be read."""
-    edges = F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(e))
-                      for e in band_edges(probs)])
-    if count is not None:
-        edges = F.when(count > 0, edges)
-    return edges.alias(name)
-
-
-MAX_REFINE_PASSES = 6
-
-
-def _refine(src: DataFrame, bands: dict) -> bool:
-    """Shrink bands that may hold more than ``BAND_MAX_ROWS`` rows. Each
-    pass is one scan: per band the exact number of rows below and inside
-    it, and a sketch of the rows inside, read around the rank's relative
-    position -- the band narrows by ~1/(4 * BAND_MARGIN) per pass, so
-    10^12 rows need about three passes and never a full shuffle. False
-    when a rank is found outside its band (the caller falls back)."""
-    k, v = F.col("k"), F.col("v")
-    for _ in range(MAX_REFINE_PASSES):
-        big = {t: b for t, b in bands.items() if b[2] > BAND_MAX_ROWS}
-        if not big:
-            return True
-        aggs = []
-        for i, ((key, rank), (lo, hi, _)) in enumerate(big.items()):
-            mine = k == F.lit(key)
-            inside = mine & (v >= F.lit(lo)) & (v <= F.lit(hi))
-            aggs += [F.count_if(mine & (v < F.lit(lo))).alias(f"b{i}"),
-                     F.count_if(inside).alias(f"i{i}"),
-                     F.approx_count_distinct(F.when(inside, v)).alias(f"d{i}"),
-                     sketch_agg(F.when(inside, v), f"s{i}")]
-        row = src.agg(*aggs).first()
-        # read each band's sketch (tens of KB, bounded) around the rank's
-        # relative position; a constant-rank read of a literal, no scan
-        reads = []
-        for i, ((key, rank), _) in enumerate(big.items()):
-            below, inside = row[f"b{i}"], row[f"i{i}"]
-            if inside > 0 and below <= rank < below + inside:
-                frac = (rank - below) / max(inside - 1, 1)
-                for d in (-BAND_MARGIN, BAND_MARGIN):
-                    reads.append(F.kll_sketch_get_quantile_double(
-                        F.lit(row[f"s{i}"]), F.lit(min(1.0, max(0.0, frac + d)))).alias(f"r{i}_{d > 0:d}"))
-        got = src.sparkSession.range(1).select(*reads).first() if reads else {}
-        for i, ((key, rank), band) in enumerate(big.items()):
-            below, inside, distinct = row[f"b{i}"], row[f"i{i}"], row[f"d{i}"]
-            if not below <= rank < below + inside:
-                return False
-            # what the last pass ranks are distinct values (copies collapse);
-            # the HLL estimate is used with a 2x safety margin
-            if 2 * distinct > BAND_MAX_ROWS and inside > BAND_MAX_ROWS:
-                lo, hi = got[f"r{i}_0"], got[f"r{i}_1"]
-                bands[(key, rank)] = [lo, hi, 4 * BAND_MARGIN * inside]
-            else:
-                band[2] = min(inside, 2 * distinct)
-    return False
-
-
-def _banded(src: DataFrame, probs: Sequence[float], stats: list | None = None):
-    """Verified two-pass path; returns None when it cannot vouch for the
-    answer (the caller then uses the range-partition method). ``stats`` --
-    rows of (k, n, q) with q the sketch read at ``band_edges(probs)`` --
-    may come from an aggregate the caller runs anyway (pass 1 then costs
-    nothing extra)."""
-    edges = band_edges(probs)
-    if stats is None:
-        sk = src.groupBy("k").agg(F.count(F.lit(1)).alias("n"), sketch_agg(F.col("v"), "s"))
-        stats = sk.select("k", "n", sketch_edges(F.col("s"), probs, "q")).collect()
-    stats = [r for r in stats if r["n"]]
-    if not stats:
-        return {}
-    plan, bands = {}, {}           # bands: (key, rank) -> [lo, hi, estimated rows]
+def _number(v: Column) -> Column:
+    v = v.cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def sketch_aggs(v: Column, n: str, nan: str, sketch: str) -> list[Column]:
+    """Numbers, NaNs and the KLL sketch of the numbers; can ride along in any aggregate."""
+    return [F.count(_number(v)).alias(n), F.count_if(F.isnan(v.cast("double"))).alias(nan),
+            F.kll_sketch_agg_double(_number(v), KLL_K).alias(sketch)]
+
+
+def sketch_edges(sketch: Column, count: Column, probs: Sequence[float], name: str) -> Column:
+    """The sketch read at the band edges; NULL when it saw no number, as an
+    empty sketch cannot be read."""
+    edges = F.array(*[F.kll_sketch_get_quantile_double(sketch, F.lit(e)) for e in band_edges(probs)])
+    return F.when(count > 0, edges).alias(name)
+
+
+@dataclass
+class _Band:
+    key: object
+    ranks: tuple[int, int]
+    lo: float
+    hi: float
+    least: float             # the ranks' values are known to lie in [least, most]
+    most: float
+    rows: float              # rows expected inside
+    below: int = 0
+    margin: float = BAND_MARGIN
+    found: dict = field(default_factory=dict)
+
+    def settle(self, below: int, inside: int, distinct: int | None, narrow: Callable) -> bool:
+        """Take the exact counts; True if the band holds its ranks and is small."""
+        low, high = self.ranks[0] >= below, self.ranks[1] < below + inside
+        if not (low and high):
+            # move to the side of the miss; the other edge stays if it also holds a rank
+            lo, hi = self.lo, self.hi
+            if not low:
+                self.lo = self.least
+                self.hi = hi if self.ranks[1] >= below else lo
+            if not high:
+                self.hi = self.most
+                self.lo = self.lo if self.ranks[0] < below + inside else hi
+            self.rows, self.margin = math.inf, min(0.25, 4 * self.margin)
+            return False
+        if distinct is None and inside > BAND_DISTINCT:
+            self.rows = inside           # more rows than the sketch promised: look at it closer
+            return False
+        self.below, self.least, self.most = below, self.lo, self.hi
+        if distinct is not None and distinct > BAND_DISTINCT and self.lo < self.hi:
+            self.lo, self.hi = narrow([(r - below) / max(inside - 1, 1) + d
+                                       for r, d in zip(self.ranks, (-self.margin, self.margin))])
+            self.rows = 4 * self.margin * inside
+            return False
+        return True
+
+
+def _bands(stats: list, probs: Sequence[float]) -> tuple[dict, list[_Band]]:
+    """Per key the wanted positions, and the bands to search: one per key and
+    wanted position. ``stats``: rows of (k, n, nan, q)."""
+    edges, plan, bands = band_edges(probs), {}, []
     for r in stats:
-        n, q, key = r["n"], dict(zip(edges, r["q"])), r["k"]
-        entries = []
-        small = (n - 1) * BAND_MARGIN < 1   # one rank step is wider than the margin
-        for p in probs:
-            if small:                        # at most ~500 rows: the whole range
-                lo, hi = q[0.0], q[1.0]
-            else:
-                lo = q[min(1.0, max(0.0, p - BAND_MARGIN))]
-                hi = q[min(1.0, max(0.0, p + BAND_MARGIN))]
-            pos = (n - 1) * float(p)
-            for rank in (math.floor(pos), math.ceil(pos)):
-                bands[(key, rank)] = [lo, hi, 4 * BAND_MARGIN * n]
-            entries.append((pos, math.floor(pos), math.ceil(pos)))
-        plan[key] = entries
-    if not _refine(src, bands):
-        return None
-    intervals = {}
-    for (key, _), (lo, hi, _) in bands.items():
-        intervals.setdefault(key, []).append((lo, hi))
-    for key, lst in intervals.items():
-        merged = []                      # disjoint, ordered value intervals
-        for lo, hi in sorted(lst, key=lambda b: _sort_key(b[0])):
-            if merged and _sort_key(lo) <= _sort_key(merged[-1][1]):
-                if _sort_key(hi) > _sort_key(merged[-1][1]):
-                    merged[-1] = (merged[-1][0], hi)
-            else:
-                merged.append((lo, hi))
-        intervals[key] = merged
-    wanted = list(bands)
-    k, v = F.col("k"), F.col("v")
-    gap = inside = None
-    for key, merged in intervals.items():
-        g = sum((F.when(v > F.lit(hi), 1).otherwise(0) for _, hi in merged), F.lit(0))
-        ins = None
-        for lo, hi in merged:
-            c = (v >= F.lit(lo)) & (v <= F.lit(hi))
-            ins = c if ins is None else (ins | c)
-        gap = (F.when(k == F.lit(key), g) if gap is None else gap.when(k == F.lit(key), g))
-        inside = (F.when(k == F.lit(key), ins) if inside is None
-                  else inside.when(k == F.lit(key), ins))
-    counted = (src.select("k", gap.alias("g"), inside.alias("ins"), "v")
-                  .groupBy("k", "g", "ins", F.when(F.col("ins"), v).alias("bv"))
-                  .agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("k").orderBy("g", "ins", "bv").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("cum", F.sum("c").over(w))
-    rank_list = F.array(*[F.struct(F.lit(key).alias("rk_k"), F.lit(rk).alias("rk"))
-                          for key, rk in sorted(set(wanted), key=lambda t: (str(t[0]), t[1]))])
-    want = src.sparkSession.range(1).select(F.inline(rank_list))
-    hits = (ranked.join(F.broadcast(want), F.col("k") == F.col("rk_k"))
-                  .where((F.col("cum") > F.col("rk")) & (F.col("cum") - F.col("c") <= F.col("rk")))
-                  .select("k", "rk", "ins", "bv").collect())
-    at = {(h["k"], h["rk"]): h["bv"] for h in hits if h["ins"]}
-    if len(at) != len(set(wanted)):
-        return None      # a rank fell outside every band: not vouched for
-    return {key: [_interpolate(pos, at[(key, a)], at[(key, b)], a == b) for pos, a, b in entries]
-            for key, entries in plan.items()}
+        n, total = r["n"], r["n"] + r["nan"]
+        if not total:
+            continue
+        plan[r["k"]] = [(total - 1) * float(p) for p in probs]
+        at = dict(zip(edges, r["q"] or []))
+        for p, pos in zip(probs, plan[r["k"]]):
+            ranks = [x for x in (math.floor(pos), math.ceil(pos)) if x < n]
+            if not ranks:
+                continue                 # NaN is above every number
+            # NaNs shift the numbers' fractions, and a margin of less than two ranks is none: search all numbers
+            lo, hi, rows = at[0.0], at[1.0], n
+            if not r["nan"] and BAND_MARGIN * n >= 2:
+                lo, hi, rows = at[max(0.0, p - BAND_MARGIN)], at[min(1.0, p + BAND_MARGIN)], 2 * BAND_MARGIN * n
+            bands.append(_Band(r["k"], (ranks[0], ranks[-1]), lo, hi, at[0.0], at[1.0], rows))
+    return plan, bands
+
+
+def _answers(spark, stats: list, probs: Sequence[float], counts: Callable, values: Callable) -> dict:
+    """The loop over passes 2 and 3. ``counts(bands, sketched)`` gives
+    (below, inside, distinct, sketch) per band; ``values(bands)`` rows of (tid, v, c)."""
+    plan, bands = _bands(stats, probs)
+    todo = list(bands)
+    while todo:
+        left = []
+        # only bands of many rows need their distinct values estimated and a sketch to narrow them by
+        for large in (False, True):
+            some = [b for b in todo if (b.rows > BAND_DISTINCT) == large]
+            for band, (below, inside, distinct, sketch) in zip(some, counts(some, large) if some else []):
+                def narrow(fractions, s=sketch):
+                    reads = [F.kll_sketch_get_quantile_double(F.lit(s), F.lit(min(1.0, max(0.0, f)))) for f in fractions]
+                    return tuple(spark.range(1).select(*reads).first())
+                if not band.settle(below, inside, distinct, narrow):
+                    left.append(band)
+        todo = left
+    if bands:
+        w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        targets = spark.createDataFrame([(i, r - b.below) for i, b in enumerate(bands) for r in sorted(set(b.ranks))],
+                                        "t int, r bigint")
+        hits = (values(bands).groupBy("tid", "v").agg(F.count(F.lit(1)).alias("c"))
+                .withColumn("cum", F.sum("c").over(w)).join(targets, F.col("tid") == F.col("t"))
+                .where((F.col("cum") > F.col("r")) & (F.col("cum") - F.col("c") <= F.col("r")))
+                .select("tid", "r", "v").collect())
+        for h in hits:
+            bands[h["tid"]].found[h["r"] + bands[h["tid"]].below] = h["v"]
+    at = {}
+    for b in bands:
+        at.update({(b.key, r): v for r, v in b.found.items()})
+    return {k: [_interpolate(pos, at.get((k, math.floor(pos)), _NAN), at.get((k, math.ceil(pos)), _NAN),
+                             math.floor(pos) == math.ceil(pos)) for pos in positions]
+            for k, positions in plan.items()}
+
+
+def _inside(v: Column, b: _Band) -> Column:
+    return (v >= F.lit(b.lo)) & (v <= F.lit(b.hi))
 
 
 def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
-                      key: str = "k", value: str = "v", stats: list | None = None) -> dict:
+                      key: str = "k", value: str = "v") -> dict:
     """Exact continuous quantiles of ``value`` for every ``key``.
 
     Returns ``{key_value: [q(p) for p in probs]}``; keys without non-null
-    values are absent. Values are treated as DOUBLE.
-    """
-    src = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")) \
-                 .where(F.col("v").isNotNull())
-    fast = _banded(src, probs, stats)
-    if fast is not None:
-        return fast
-    return _range_quantiles(src, probs)
-
-
-def _range_quantiles(src: DataFrame, probs: Sequence[float]) -> dict:
-    """The range-partition method (any input size)."""
-    spark = src.sparkSession
-    vc = src.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    parts = shuffle_partitions(spark)
-    segs = (vc.repartitionByRange(parts, "k", "v")
-              .groupBy(F.spark_partition_id().alias("pid"), "k")
-              .agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                   F.sum("c").alias("cnt"))
-              .collect())
-    by_key: dict = defaultdict(list)
-    for r in segs:
-        by_key[r["k"]].append((r["lo"], r["hi"], r["cnt"]))
-
-    targets = []          # (tid, k, lo, hi, offset, rank)
-    plan = {}             # k -> list of (pos, tid_lo, tid_hi)
-    tid = 0
-    for k, lst in by_key.items():
-        lst.sort(key=lambda s: _sort_key(s[0]))
-        offsets, acc = [], 0
-        for lo, hi, cnt in lst:
-            offsets.append(acc)
-            acc += cnt
-        n = acc
-        wanted = {}
-        entries = []
-        for p in probs:
-            pos = (n - 1) * float(p)
-            ranks = (math.floor(pos), math.ceil(pos))
-            ids = []
-            for rank in ranks:
-                if rank not in wanted:
-                    for (lo, hi, cnt), off in zip(lst, offsets):
-                        if off <= rank < off + cnt:
-                            wanted[rank] = tid
-                            targets.append((tid, k, lo, hi, off, rank))
-                            tid += 1
-                            break
-                ids.append(wanted[rank])
-            entries.append((pos, ids[0], ids[1]))
-        plan[k] = entries
-    if not targets:
-        return {}
-
-    key_type = src.schema["k"].dataType
-    tschema = T.StructType([
-        T.StructField("tid", T.IntegerType()), T.StructField("tk", key_type),
-        T.StructField("tlo", T.DoubleType()), T.StructField("thi", T.DoubleType()),
-        T.StructField("toff", T.LongType()), T.StructField("trank", T.LongType()),
-    ])
-    tgt = spark.createDataFrame(targets, tschema)
-    cond = None
-    for _, k, lo, hi, _, _ in targets:
-        c = (F.col("k") == F.lit(k)) & F.col("v").between(F.lit(lo), F.lit(hi))
-        cond = c if cond is None else (cond | c)
-    band = src.where(cond).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    joined = band.join(F.broadcast(tgt),
-                       (F.col("k") == F.col("tk")) & F.col("v").between(F.col("tlo"), F.col("thi")))
-    w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = joined.withColumn("cum", F.sum("c").over(w) + F.col("toff"))
-    hits = ranked.where((F.col("cum") > F.col("trank")) &
-                        (F.col("cum") - F.col("c") <= F.col("trank"))) \
-                 .select("tid", "v").collect()
-    at = {r["tid"]: r["v"] for r in hits}
-
-    out = {}
-    for k, entries in plan.items():
-        vals = []
-        for pos, id_lo, id_hi in entries:
-            vals.append(_interpolate(pos, at[id_lo], at[id_hi], id_lo == id_hi))
-        out[k] = vals
-    return out
+    values are absent. Values are treated as DOUBLE. The bands (a row per key
+    and probability) are joined to the rows by key."""
+    spark = long_df.sparkSession
+    src = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    sk = src.groupBy("k").agg(*sketch_aggs(F.col("v"), "n", "nan", "s"))
+    stats = sk.select("k", "n", "nan", sketch_edges(F.col("s"), F.col("n"), probs, "q")).collect()
+    schema = f"tid int, tk {src.schema['k'].dataType.simpleString()}, lo double, hi double"
+    v = F.col("v")
+
+    def joined(bands):
+        rows = spark.createDataFrame([(i, b.key, b.lo, b.hi) for i, b in enumerate(bands)], schema)
+        return src.where(~F.isnan(v)).join(rows, F.col("k") == F.col("tk"))
+
+    def counts(bands, sketched):
+        mine = (v >= F.col("lo")) & (v <= F.col("hi"))
+        aggs = [F.count_if(v < F.col("lo")).alias("below"), F.count_if(mine).alias("inside")]
+        if sketched:
+            aggs += [F.approx_count_distinct(F.when(mine, v)).alias("distinct"),
+                     F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias("sketch")]
+        got = {r["tid"]: r.asDict() for r in joined(bands).groupBy("tid").agg(*aggs).collect()}
+        return [(got[i]["below"], got[i]["inside"], got[i].get("distinct"), got[i].get("sketch")) for i in range(len(bands))]
+
+    def values(bands):
+        return joined(bands).where((v >= F.col("lo")) & (v <= F.col("hi"))).select("tid", "v")
+
+    return _answers(spark, stats, probs, counts, values)
 
 
 def column_quantiles(df: DataFrame, expr: Column, probs: Sequence[float],
                      where: Column | None = None) -> list[float | None]:
     """Exact quantiles of one expression (NULLs ignored)."""
-    src = df.where(where) if where is not None else df
-    res = grouped_quantiles(src.select(F.lit("_").alias("k"), expr.alias("v")), probs)
-    return res.get("_", [None] * len(probs))
+    return multi_column_quantiles(df, {"_": expr}, probs, where=where)["_"]
 
 
 def multi_column_quantiles(df: DataFrame, exprs: dict[str, Column],
                            probs: Sequence[float],
                            where: Column | None = None,
                            stats: list | None = None) -> dict[str, list]:
-    """Exact quantiles for several columns. Each column is answered by its
-    own passes over just that column (no row-multiplying unpivot); the
-    columns' jobs are submitted side by side. ``stats`` may carry each
-    column's pass-1 sketch (keyed by column name)."""
+    """Exact quantiles for several columns; every pass serves all of them, so
+    the number of passes does not depend on the number of columns. ``stats``
+    may carry each column's pass 1 (rows of k = column name, n, nan, q)."""
     if not exprs:
         return {}
+    spark = df.sparkSession
     src = df.where(where) if where is not None else df
-    given = {r["k"]: r for r in (stats or [])}
-
-    def one(name):
-        long_df = src.select(F.lit(name).alias("k"), exprs[name].cast("double").alias("v"))
-        st = [given[name]] if name in given else None
-        return name, grouped_quantiles(long_df, probs, stats=st).get(name, [None] * len(probs))
-
-    return dict(parallel_map(one, list(exprs)))
+    names = list(exprs)
+    src = src.select(*[exprs[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    of = {c: F.col(f"x{i}") for i, c in enumerate(names)}
+    if stats is None:
+        stats = []
+        for at in range(0, len(names), AGG_BANDS):
+            part = names[at:at + AGG_BANDS]
+            aggs = [a for c in part for i in [names.index(c)] for a in sketch_aggs(of[c], f"n{i}", f"m{i}", f"s{i}")]
+            sums = src.agg(*aggs)
+            row = sums.select(*[c for c in sums.columns if c[0] != "s"],
+                              *[sketch_edges(F.col(f"s{names.index(c)}"), F.col(f"n{names.index(c)}"), probs,
+                                             f"q{names.index(c)}") for c in part]).first()
+            stats += [{"k": c, "n": row[f"n{i}"], "nan": row[f"m{i}"], "q": row[f"q{i}"]}
+                      for c in part for i in [names.index(c)]]
+
+    def counts(bands, sketched):
+        out = []
+        for start in range(0, len(bands), AGG_BANDS):
+            aggs = []
+            for i, b in enumerate(bands[start:start + AGG_BANDS]):
+                v, mine = of[b.key], _inside(of[b.key], b)
+                aggs += [F.count_if(v < F.lit(b.lo)).alias(f"b{i}"), F.count_if(mine).alias(f"i{i}")]
+                if sketched:
+                    aggs += [F.approx_count_distinct(F.when(mine, v)).alias(f"d{i}"),
+                             F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias(f"s{i}")]
+            row = src.agg(*aggs).first().asDict()
+            out += [(row[f"b{i}"], row[f"i{i}"], row.get(f"d{i}"), row.get(f"s{i}")) for i in range(len(aggs) // (4 if sketched else 2))]
+        return out
+
+    def values(bands):
+        each = F.array(*[F.when(_inside(of[b.key], b), F.struct(F.lit(i).alias("tid"), of[b.key].alias("v")))
+                         for i, b in enumerate(bands)])
+        return src.select(F.inline(F.filter(each, lambda x: x.isNotNull())))
+
+    got = _answers(spark, stats, probs, counts, values)
+    return {c: got.get(c, [None] * len(probs)) for c in names}

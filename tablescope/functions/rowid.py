@@ -48,15 +48,22 @@ def with_row_number(df: DataFrame, order_by: Sequence[str | Column],
     return out.select(*[qcol(c) for c in df.columns], rid)
 
 
-def positions_of(df: DataFrame, order_col: str, keys: Sequence) -> dict:
-    """1-based position of each given key value in ``order_col`` order over
-    ``df`` (number of rows with a smaller key, plus one). One pass, one
-    comparison per key and row; meant for a small, bounded key list such
-    as a top-k result."""
-    keys = list(keys)
+def positions_of(df: DataFrame, order_col: str, keys: Sequence, then: str | None = None) -> dict:
+    """1-based position of the first row with each given key in the order of
+    ``order_col`` (nulls last) over ``df``: the number of rows before it, plus
+    one. With ``then``, a second column that is never null, keys are pairs. One
+    pass, one comparison per key and row; meant for a small, bounded key
+    list such as a top-k result."""
+    keys = list(dict.fromkeys(keys))
     if not keys:
         return {}
-    c = qcol(order_col)
-    aggs = [F.count_if(c < F.lit(k)).alias(f"_p{i}") for i, k in enumerate(keys)]
+    c, aggs = qcol(order_col), []
+    for i, key in enumerate(keys):
+        k, t = key if then else (key, None)
+        before = c.isNotNull() if k is None else F.coalesce(c < F.lit(k), F.lit(False))
+        if then:
+            same = c.isNull() if k is None else F.coalesce(c == F.lit(k), F.lit(False))
+            before = before | (same & (qcol(then) < F.lit(t)))
+        aggs.append(F.count_if(before).alias(f"_p{i}"))
     row = df.agg(*aggs).first()
     return {k: row[f"_p{i}"] + 1 for i, k in enumerate(keys)}

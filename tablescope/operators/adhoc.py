@@ -7,19 +7,23 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import qcol
+from ..functions.json_safe import json_safe
+from .history import KEPT_TURNS, last_turns
+
 ADHOC_ROWS = 20
 SQL_TAG = r"(?is)<sql>(.*?)</sql>"
 _PLACEHOLDER = re.compile(r"\bdata_table\b")
 
 
-def ask_sql(df: DataFrame, sql: str, limit: int = ADHOC_ROWS) -> DataFrame:
-    """Q1: run caller SQL in which ``data_table`` names the dataset, capped
-    at ``limit`` rows. The text is wrapped as a sub-query, so statements
+def ask_sql(df: DataFrame, sql: str, limit: int | None = None) -> DataFrame:
+    """Q1: run caller SQL in which ``data_table`` names the dataset; all
+    rows, or at most ``limit`` (an answer shows ``ADHOC_ROWS``). The text is wrapped as a sub-query, so statements
     other than queries (INSERT, DROP, ...) fail to parse: read-only."""
     body = sql.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
     body = _PLACEHOLDER.sub("{data_table}", body)
-    return df.sparkSession.sql(f"SELECT * FROM ({body}) AS q LIMIT {int(limit)}",
-                               data_table=df)
+    cut = "" if limit is None else f" LIMIT {int(limit)}"
+    return df.sparkSession.sql(f"SELECT * FROM ({body}) AS q{cut}", data_table=df)
 
 
 def extract_sql(text: Column) -> Column:
@@ -28,3 +32,28 @@ def extract_sql(text: Column) -> Column:
     there is none."""
     body = F.regexp_replace(F.regexp_extract(text, SQL_TAG, 1), r"^\s+|\s+$", "")
     return F.nullif(body, F.lit(""))
+
+
+def follow_up(df: DataFrame, history: DataFrame, conv_id: int, question: str, answer: str,
+              rows: int = ADHOC_ROWS, kept: int = KEPT_TURNS) -> DataFrame:
+    """The follow-up chain: take the SQL out of an answer (Q2), run it on the
+    dataset (Q1, at most ``rows`` rows), make the rows JSON-safe (S13), append
+    question, answer and result to the conversation and keep the last ``kept``
+    turns of every conversation (W2). SQL that fails becomes the result's text.
+
+    ``history``: conv_id, turn, role, text."""
+    spark = df.sparkSession
+    sql = spark.range(1).select(extract_sql(F.lit(answer))).first()[0]
+    said = [("user", question), ("assistant", answer)]
+    if sql is not None:
+        try:
+            found = json_safe(ask_sql(df, sql, rows))
+            lines = [r[0] for r in found.select(F.to_json(F.struct(*[qcol(c) for c in found.columns]))).collect()]
+            said.append(("result", f"[{','.join(lines)}]" if lines else "No rows returned"))
+        except Exception as exc:
+            said.append(("result", f"SQL execution failed: {str(exc)[:500]}"))
+    last = history.where(F.col("conv_id") == conv_id).agg(F.max("turn")).first()[0]
+    first = 0 if last is None else last + 1
+    new = spark.createDataFrame([(conv_id, first + i, role, text) for i, (role, text) in enumerate(said)],
+                                "conv_id long, turn long, role string, text string")
+    return last_turns(history.select("conv_id", "turn", "role", "text").unionByName(new), kept)

@@ -1,10 +1,12 @@
 """A16 correlation matrix and C7 heatmap shaping.
 
-All i <= j pairs of up to ten columns are computed in ONE aggregate (one
-scan). ``corr`` raises DIVIDE_BY_ZERO on a constant column under ANSI, so
-the coefficient is ``try_divide(covar_pop, stddev_pop * stddev_pop)`` over
-pair-non-null rows (each side masked by the other's nullness); an undefined
-coefficient is NULL and skipped, as the reference skips failed pairs."""
+The i <= j pairs of all given columns are computed in aggregates of ``PAIRS``
+pairs (as many as keep an aggregate in generated code), run side by side,
+each reading its own columns only. ``corr`` raises DIVIDE_BY_ZERO on a
+constant column under ANSI, so the coefficient is
+``try_divide(covar_pop, stddev_pop * stddev_pop)`` over pair-non-null rows
+(each side masked by the other's nullness); an undefined coefficient is NULL
+and skipped, as the reference skips failed pairs."""
 
 from __future__ import annotations
 
@@ -16,38 +18,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import qcol
-from ..session import wide_agg_row
+from ..session import parallel_map
 
-MAX_COLUMNS = 10
+PAIRS = 9       # pairs in an aggregate: ~10 buffer fields each
 
 PAIR_SCHEMA = T.StructType([T.StructField("col_a", T.StringType()),
                             T.StructField("col_b", T.StringType()),
                             T.StructField("correlation", T.DoubleType())])
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str],
-                       max_columns: int = MAX_COLUMNS) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str], max_columns: int | None = None) -> DataFrame:
     """Long matrix (col_a, col_b, correlation): every pair with a defined
-    coefficient, mirrored; the diagonal once."""
+    coefficient, mirrored; the diagonal once. All columns, or the first
+    ``max_columns``."""
     cols = [c for c in columns if c][:max_columns]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    aggs, names = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+
+    def one(some):
+        aggs = []
+        for i, (a, b) in enumerate(some):
             av = F.when(qcol(b).isNotNull(), qcol(a).cast("double"))
             bv = F.when(qcol(a).isNotNull(), qcol(b).cast("double"))
-            r = F.try_divide(F.covar_pop(av, bv), F.stddev_pop(av) * F.stddev_pop(bv))
-            aggs.append(r.alias(f"r_{i}_{j}"))
-            names.append((a, b, f"r_{i}_{j}"))
-    # One scan, one row (a proven bound): the long, mirrored matrix is built
-    # from it without touching the data again.
-    # ~10 buffer fields per pair: keep the wide aggregate in codegen.
-    row = wide_agg_row(df, aggs, fields_per_agg=12)
+            aggs.append(F.try_divide(F.covar_pop(av, bv), F.stddev_pop(av) * F.stddev_pop(bv)).alias(f"r{i}"))
+        return list(df.agg(*aggs).first())
+
+    found = [r for part in parallel_map(one, [pairs[i:i + PAIRS] for i in range(0, len(pairs), PAIRS)]) for r in part]
     out = []
-    for a, b, name in names:
-        r = row[name]
+    for (a, b), r in zip(pairs, found):
         if r is None or math.isnan(r):
             continue
         out.append((a, b, float(r)))
@@ -58,8 +57,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str],
 
 def heatmap_matrix(pairs: DataFrame) -> DataFrame:
     """Long -> wide with sorted labels; missing cells stay NULL. The
-    label list is bounded by the ten-column cap."""
-    labels = sorted({r["col_b"] for r in pairs.select("col_b").distinct().collect()})  # <= 10
+    labels are the names of a table's columns."""
+    labels = sorted({r["col_b"] for r in pairs.select("col_b").distinct().collect()})
     if not labels:
         return pairs.select("col_a").where(F.lit(False))
     wide = pairs.groupBy("col_a").pivot("col_b", labels).agg(F.first("correlation"))

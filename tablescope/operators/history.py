@@ -18,16 +18,16 @@ SALT_BUCKETS = 32
 def run_latest_state(events: DataFrame) -> DataFrame:
     """Latest state per run id from the append-only log: first
     filename and creation time, status of the newest event, newest
-    non-null report and error, last update time. All aggregates combine
-    map-side, so a run with very many events is no hot spot."""
-    ts = F.col("ts")
+    non-null report and error, last update time. Of events with one time,
+    the greater value counts as newer (the smaller filename as older). All
+    aggregates combine map-side, so a run with very many events is no hot spot."""
+    def newest(name):
+        return F.max(F.when(F.col(name).isNotNull(), F.struct("ts", name)))[name].alias(name)
     return events.groupBy("id").agg(
-        F.min(ts).alias("created_at"),
-        F.min_by("filename", F.when(F.col("filename").isNotNull(), ts)).alias("filename"),
-        F.max_by("status", ts).alias("status"),
-        F.max_by("report_json", F.when(F.col("report_json").isNotNull(), ts)).alias("report_json"),
-        F.max_by("error_msg", F.when(F.col("error_msg").isNotNull(), ts)).alias("error_msg"),
-        F.max(ts).alias("updated_at"))
+        F.min("ts").alias("created_at"),
+        F.min(F.when(F.col("filename").isNotNull(), F.struct("ts", "filename")))["filename"].alias("filename"),
+        F.max(F.struct("ts", "status"))["status"].alias("status"),
+        newest("report_json"), newest("error_msg"), F.max("ts").alias("updated_at"))
 
 
 def recent_runs(state: DataFrame, n: int = RECENT_RUNS) -> DataFrame:
@@ -55,7 +55,8 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
 
 def last_turns(conversations: DataFrame, n: int = CONTEXT_TURNS) -> DataFrame:
     """The last ``n`` messages of every conversation (6 as model
-    context, 20 kept as history), oldest first."""
-    top = top_n_per_group(conversations, ["conv_id"], [F.col("turn").desc()], n)
+    context, 20 kept as history), oldest first. Messages of one turn are
+    ordered by role, then text."""
+    top = top_n_per_group(conversations, ["conv_id"], [F.col("turn").desc(), F.col("role"), F.col("text")], n)
     return top.select("conv_id", "turn", "role", "text",
                       (F.lit(n) + F.lit(1) - F.col("_rank")).alias("position"))

@@ -1,18 +1,19 @@
 """Column profiling (A1-A7) and semantic typing.
 
 A profile is a DataFrame with one row per column (schema ``PROFILE_SCHEMA``),
-built from three passes instead of several queries per column:
+built in a number of passes that does not depend on the number of columns
+(per batch of ``BATCH`` columns):
 
 * one aggregate for row count, per-column non-null counts, numeric moments
-  and a quantile sketch per numeric column (batched by ``BATCH`` columns);
-  ``approx=True`` adds HyperLogLog distinct counts here instead of pass 2;
-* one union job in which every column is de-duplicated once in its own type
-  (map-side first, so a hot value collapses before the shuffle) and that
-  exchange feeds both the exact distinct count and a bounded top-5 sample;
-* the band pass of the distributed exact median, per numeric column.
-
-The first two are independent and are submitted side by side. Only
-per-column scalars reach the driver (bounded by the column count).
+  and a quantile sketch per numeric column; ``approx=True`` adds HyperLogLog
+  distinct counts here instead of the next pass;
+* one pass for the exact distinct counts: every value becomes its column's
+  number and a 128-bit hash, so no value, however long, is shuffled;
+* ``SAMPLE_VALUES`` small aggregates for the samples, each the smallest value
+  beyond the one before, of all columns at once;
+* two passes for the exact medians of all numeric columns together.
+
+Only per-column scalars reach the driver (bounded by the column count).
 Everything downstream (categories, tags, plans, insights) is a DataFrame
 transformation of profile tables, so a whole catalog profiles at once.
 """
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_text, groupable, qcol
-from ..functions.quantiles import multi_column_quantiles, sketch_agg, sketch_edges
-from ..session import parallel_map, wide_agg_row
+from ..functions.columns import as_text, epoch_seconds, groupable, qcol, try_timestamp
+from ..functions.quantiles import multi_column_quantiles, sketch_aggs, sketch_edges
+from ..session import parallel_map
 
 BATCH = 64
 
@@ -39,6 +40,8 @@ GROUPABLE_MAX = 50
 GROUPABLE_FALLBACK = 3
 HIGH_MISSING_PCT = 30
 SAMPLE_VALUES = 5
+SAMPLE_CHARS = 200           # of a sample value that are shown
+FACT_PROBS = [0.01, 0.5, 0.99]
 
 PROFILE_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()),
@@ -92,15 +95,22 @@ def _batches(items: list, size: int = BATCH):
         yield items[i:i + size]
 
 
+def ranked_value(f: T.StructField) -> Column | None:
+    """What quantiles of a column rank: its number, or its epoch seconds."""
+    if base_category(f.dataType) == "numeric":
+        return qcol(f.name).cast("double")
+    if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return epoch_seconds(try_timestamp(qcol(f.name), f.dataType))
+    return None
+
+
 def _moments(df: DataFrame, fields: list[T.StructField], approx: bool,
-             sketch_probs: list[float] | None = None) -> dict:
+             probs: list[float], ranked: dict[int, Column]) -> dict:
     """A1 + A5 moments + optional approximate distincts, one aggregate per
-    batch of columns. With ``sketch_probs`` the same scan also builds the
-    quantile sketch of every numeric column (pass 1 of the medians)."""
-    out: dict = {"_rows": None}
-    for batch in _batches(list(enumerate(fields))):
-        aggs = [F.count(F.lit(1)).alias("_rows")]
-        sketches = []
+    batch of columns. The same scan builds the quantile sketch of every
+    column in ``ranked`` (pass 1 of the quantiles)."""
+    def one(batch):
+        aggs, sketches = [F.count(F.lit(1)).alias("_rows")], []
         for i, f in batch:
             c = qcol(f.name)
             aggs.append(F.count(c).alias(f"n{i}"))
@@ -116,27 +126,20 @@ def _moments(df: DataFrame, fields: list[T.StructField], approx: bool,
                          F.max(c).cast("double").alias(f"mx{i}"),
                          mean.alias(f"av{i}"),
                          F.stddev_samp(v).alias(f"sd{i}")]
-                if sketch_probs:
-                    aggs.append(sketch_agg(v, f"kll{i}"))
-                    sketches.append(i)
-        if sketches:
-            wide = df.agg(*aggs)
-            row = wide.select(*[c for c in wide.columns if not c.startswith("kll")],
-                              *[sketch_edges(F.col(f"kll{i}"), sketch_probs, f"q{i}",
-                                             F.col(f"n{i}")) for i in sketches]).first().asDict()
-        else:
-            row = wide_agg_row(df, aggs).asDict()
+            if i in ranked:
+                aggs += sketch_aggs(ranked[i], f"num{i}", f"nan{i}", f"kll{i}")
+                sketches.append(i)
+        wide = df.agg(*aggs)
+        return wide.select(*[c for c in wide.columns if not c.startswith("kll")],
+                           *[sketch_edges(F.col(f"kll{i}"), F.col(f"num{i}"), probs, f"q{i}")
+                             for i in sketches]).first().asDict()
+
+    out: dict = {"_rows": None}
+    for row in parallel_map(one, list(_batches(list(enumerate(fields))))):
         out.update(row)
     return out
 
 
-def long_text_values(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """Unpivot to (ci, v): column index and the value as text, NULLs dropped."""
-    packed = F.array(*[F.struct(F.lit(i).alias("ci"), as_text(qcol(f.name), f.dataType).alias("v"))
-                       for i, f in enumerate(fields)])
-    return df.select(F.inline(packed)).where(F.col("v").isNotNull())
-
-
 def _distinct_key(f: T.StructField) -> tuple[Column, T.DataType]:
     """The value itself, or its JSON text where the type cannot be grouped."""
     c = qcol(f.name)
@@ -145,52 +148,59 @@ def _distinct_key(f: T.StructField) -> tuple[Column, T.DataType]:
     return F.to_json(c), T.StringType()
 
 
-def _distinct_branch(df: DataFrame, i: int, f: T.StructField) -> DataFrame:
-    key, _ = _distinct_key(f)
-    return df.where(qcol(f.name).isNotNull()).select(key.alias("x")).distinct()
-
-
-def distinct_counts_long(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """A3: exact distinct non-null values per column index as (ci, unique_count).
-
-    One job: a union of per-column branches, each reading one column,
-    de-duplicating in its own type (map-side first, so a hot value
-    collapses before the shuffle) and counting the survivors."""
-    out = None
-    for i, f in enumerate(fields):
-        part = (_distinct_branch(df, i, f).agg(F.count(F.lit(1)).alias("unique_count"))
-                .select(F.lit(i).alias("ci"), "unique_count"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _hashable(f: T.StructField) -> Column:
+    """Equal values with equal bits: one zero, one NaN."""
+    key, kind = _distinct_key(f)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        v = key.cast("double") + F.lit(0.0)
+        return F.when(F.isnan(v), F.lit(float("nan"))).otherwise(v)
+    return key
 
 
-def distinct_and_samples(df: DataFrame, fields: list[T.StructField],
-                         k: int = SAMPLE_VALUES, samples: bool = True,
+def distinct_counts_long(df: DataFrame, fields: list[T.StructField],
                          indices: list[int] | None = None) -> DataFrame:
-    """A3 + A4 in one job: per column the distinct values are shuffled
-    once (the exchange is reused) and feed both the count and a bounded
-    top-k of the smallest values. Rows: (ci, kind 'n'|'s', n, v); ``ci`` is
-    the column's position (``indices`` when a batch of columns is given)."""
-    out = None
-    for i, f in zip(indices or range(len(fields)), fields):
-        d = _distinct_branch(df, i, f)
-        kind = _distinct_key(f)[1]
-        part = d.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(i).alias("ci"), F.lit("n").alias("kind"), "n",
-            F.lit(None).cast("string").alias("v"))
-        if samples:
-            part = part.unionByName(d.orderBy("x").limit(k).select(
-                F.lit(i).alias("ci"), F.lit("s").alias("kind"),
-                F.lit(None).cast("bigint").alias("n"), as_text(F.col("x"), kind).alias("v")))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """A3: distinct non-null values per column index as (ci, unique_count).
 
+    One pass for all columns: each value is its column's index and 128 bits
+    of hash, de-duplicated map-side first, so that a hot value collapses and
+    a long text costs no more than a number. ``indices``: the columns'
+    numbers when a batch of them is given."""
+    packed = F.array(*[F.when(qcol(f.name).isNotNull(), F.struct(
+        F.lit(i).alias("ci"), F.xxhash64(F.lit(1), _hashable(f)).alias("h1"), F.xxhash64(F.lit(2), _hashable(f)).alias("h2")))
+        for i, f in zip(indices or range(len(fields)), fields)])
+    values = df.select(F.inline(F.filter(packed, lambda x: x.isNotNull())))
+    return values.distinct().groupBy("ci").agg(F.count(F.lit(1)).alias("unique_count"))
 
-def sample_values_long(df: DataFrame, fields: list[T.StructField],
-                       k: int = SAMPLE_VALUES) -> DataFrame:
+
+def smallest_values(df: DataFrame, fields: list[T.StructField], k: int = SAMPLE_VALUES) -> dict[int, list[str]]:
     """A4: the k smallest distinct non-null values of every column, as text
-    (ci, v). One job; each branch is a bounded top-k."""
-    return distinct_and_samples(df, fields, k).where(F.col("kind") == "s").select("ci", "v")
+    of at most ``SAMPLE_CHARS`` characters. The j-th aggregate asks every
+    column for its smallest value beyond the (j-1)-th. NaN is the largest."""
+    keys, found, beyond = {}, {}, {}
+    for i, f in enumerate(fields):
+        key, kind = _distinct_key(f)
+        if isinstance(kind, (T.ArrayType, T.StructType)):
+            key, kind = F.to_json(key), T.StringType()
+        if isinstance(kind, T.StringType):
+            key = F.substring(key, 1, SAMPLE_CHARS)
+        keys[i], found[i] = (key, kind), []
+    live = list(keys)
+    for _ in range(k):
+        rows: dict = {}
+        for batch in _batches(live):
+            aggs = []
+            for i in batch:
+                key, kind = keys[i]
+                least = F.min(F.when(key > F.lit(beyond[i]).cast(kind), key) if i in beyond else key)
+                aggs += [least.alias(f"v{i}"), as_text(least, kind).alias(f"t{i}")]
+            rows.update(df.agg(*aggs).first().asDict())
+        live = [i for i in live if rows[f"t{i}"] is not None]
+        for i in live:
+            found[i].append(rows[f"t{i}"])
+            beyond[i] = rows[f"v{i}"]
+        if not live:
+            break
+    return found
 
 
 def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
@@ -198,56 +208,54 @@ def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
     """The full profile of ``df`` (profiled rows = rows of ``df``).
     ``samples``/``medians`` off skip those passes when only categories and
     counts are needed (planning)."""
+    return profile_with_facts(df, dataset, approx, samples, [0.5] if medians else [])[0]
+
+
+def profile_with_facts(df: DataFrame, dataset: str = "dataset", approx: bool = False, samples: bool = True,
+                       probs: list[float] = FACT_PROBS) -> tuple[DataFrame, dict[str, dict]]:
+    """The profile, and the unrounded statistics that later tasks reuse: per
+    numeric column mean, stddev and its quantiles at ``probs``; per date or
+    time column the quantiles of its epoch seconds."""
     spark = df.sparkSession
     fields = list(df.schema.fields)
     if not fields:
-        return spark.createDataFrame([], PROFILE_SCHEMA).withColumn(
-            "category", F.col("base_category"))
-    numeric = [(i, f) for i, f in enumerate(fields) if base_category(f.dataType) == "numeric"]
-    want_med = bool(numeric) and medians
-    # the moments/sketch aggregate and the distinct/sample job are
-    # independent: submit them side by side
-    jobs = [lambda: _moments(df, fields, approx, [0.5] if want_med else None)]
-    if not approx or samples:
-        # one union job per batch of columns (bounded plan size for very wide tables)
+        return spark.createDataFrame([], PROFILE_SCHEMA).withColumn("category", F.col("base_category")), {}
+    numeric = {i for i, f in enumerate(fields) if base_category(f.dataType) == "numeric"}
+    ranked = {i: ranked_value(f) for i, f in enumerate(fields) if probs and ranked_value(f) is not None
+              and (i in numeric or len(probs) > 1)}
+    jobs = [lambda: _moments(df, fields, approx, probs, ranked)]
+    if not approx:
         for batch in _batches(list(enumerate(fields))):
-            jobs.append(lambda b=batch: distinct_and_samples(
-                df, [f for _, f in b], samples=samples, indices=[i for i, _ in b]).collect())
-    done = parallel_map(lambda job: job(), jobs)
+            jobs.append(lambda b=batch: distinct_counts_long(
+                df, [f for _, f in b], [i for i, _ in b]).collect())
+    if samples:
+        jobs.append(lambda: smallest_values(df, fields))
+    done = parallel_map(lambda job: job(), jobs)      # independent: submitted side by side
     m = done[0]
     rows = m["_rows"] or 0
-    uniq, smp = {}, {}
+    smp = done[-1] if samples else {}
     if approx:
         uniq = {i: m[f"u{i}"] for i in range(len(fields))}
-    for r in [r for part in done[1:] for r in part]:
-        if r["kind"] == "n" and not approx:
-            uniq[r["ci"]] = r["n"]
-        elif r["kind"] == "s":
-            smp.setdefault(r["ci"], []).append(r["v"])
-    med = {}
-    if want_med:
-        stats = [{"k": f.name, "n": m[f"n{i}"], "q": m[f"q{i}"]} for i, f in numeric]
-        med = multi_column_quantiles(df, {f.name: qcol(f.name).cast("double") for _, f in numeric},
-                                     [0.5], stats=stats)
-
-    def _r6(x):
+    else:
+        uniq = {r["ci"]: r["unique_count"] for part in done[1:len(done) - samples] for r in part}
+    stats = [{"k": i, "n": m[f"num{i}"], "nan": m[f"nan{i}"], "q": m[f"q{i}"]} for i in ranked]
+    quant = multi_column_quantiles(df, ranked, probs, stats=stats) if ranked else {}
+
+    def _float(x):
         return None if x is None else float(x)
 
-    data = []
+    data, facts = [], {}
     for i, f in enumerate(fields):
-        is_num = base_category(f.dataType) == "numeric"
+        at = dict(zip(probs, quant.get(i, [])))
+        mean, std = (_float(m[f"av{i}"]), _float(m[f"sd{i}"])) if i in numeric else (None, None)
+        if i in ranked:
+            facts[f.name] = {"mean": mean, "std": std, "quantiles": at}
         data.append((
             dataset, i, f.name, f.dataType.simpleString(), base_category(f.dataType),
-            int(rows), int(rows - m[f"n{i}"]), int(uniq.get(i, 0) or 0),
-            smp.get(i, []),
-            _r6(m.get(f"mn{i}")) if is_num else None,
-            _r6(m.get(f"mx{i}")) if is_num else None,
-            _r6(m.get(f"av{i}")) if is_num else None,
-            _r6(med.get(f.name, [None])[0]) if is_num else None,
-            _r6(m.get(f"sd{i}")) if is_num else None,
-        ))
-    prof = spark.createDataFrame(data, PROFILE_SCHEMA)
-    return finish_profile(prof)
+            int(rows), int(rows - m[f"n{i}"]), int(uniq.get(i, 0) or 0), smp.get(i, []),
+            _float(m[f"mn{i}"]) if i in numeric else None, _float(m[f"mx{i}"]) if i in numeric else None,
+            mean, at.get(0.5) if i in numeric else None, std))
+    return finish_profile(spark.createDataFrame(data, PROFILE_SCHEMA)), facts
 
 
 def finish_profile(prof: DataFrame) -> DataFrame:
@@ -300,7 +308,7 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     names = df.sparkSession.createDataFrame(
         [(i, f.name) for i, f in enumerate(fields)], "ci int, column string")
     counts = distinct_counts_long(df, fields)
-    return (F.broadcast(names).join(counts, "ci", "left")
+    return (names.join(counts, "ci", "left")
             .select(F.col("ci").alias("pos"), "column",
                     F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count")))
 

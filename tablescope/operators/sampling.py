@@ -31,9 +31,8 @@ def scaling_strategy(counts: DataFrame, full_max: int = FULL_SCAN_MAX_ROWS,
                      sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """R1 over a table of (dataset, row_count): one strategy per dataset.
 
-    ``sample`` and ``aggregate`` both analyse the same fixed-size sample for
-    raw-row outputs; under ``aggregate`` (R3) distributive aggregates still
-    run over all rows, which Spark makes cheap."""
+    A label table only: what a size would be labelled, and the sample that
+    label names. No operator switches by it; see ``analysis_frames``."""
     strat = strategy_expr(F.col("row_count"), full_max, sample_max)
     return counts.select(
         "dataset", "row_count", strat.alias("strategy"),
@@ -85,20 +84,11 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42,
     return cand.orderBy(F.col("_h"), *tie).limit(n).drop("_h")
 
 
-def analysis_frames(df: DataFrame, key: Sequence[str] | None = None, seed: int = 42,
-                    full_max: int = FULL_SCAN_MAX_ROWS, sample_max: int = SAMPLE_BAND_MAX_ROWS,
-                    sample_rows: int = SAMPLE_ROWS,
-                    total: int | None = None) -> tuple[str, DataFrame, DataFrame]:
-    """R1-R3 applied: (strategy, frame for aggregates, frame for raw rows).
-
-    ``full``: the table for both. ``sample``: one exact-size sample for
-    both (drawn once, reproducible). ``aggregate``: distributive aggregates
-    keep every row and only raw-row outputs (overview, scatter) read the
-    sample, so the label means what it says."""
-    total = df.count() if total is None else total
-    strategy = ("full" if total <= full_max else "sample" if total <= sample_max
-                else "aggregate")
-    if strategy == "full":
-        return strategy, df, df
-    sample = sample_exact(df, sample_rows, seed=seed, key=key, total=total)
-    return strategy, (sample if strategy == "sample" else df), sample
+def analysis_frames(df: DataFrame, sample_rows: int | None = None, key: Sequence[str] | None = None,
+                    seed: int = 42, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The frames for aggregates and for raw rows. Aggregates read every
+    row at every size; raw-row outputs do too, unless the caller asks for a
+    sample of ``sample_rows`` (drawn once, reproducible)."""
+    if sample_rows is None:
+        return df, df
+    return df, sample_exact(df, sample_rows, seed=seed, key=key, total=total)

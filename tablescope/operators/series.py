@@ -5,9 +5,8 @@ not built. Inputs are task results (bounded by the task limits) carrying a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import qcol
 from ..functions.quantiles import grouped_quantiles
@@ -17,8 +16,8 @@ CATEGORICAL_MAX_UNIQUE = 15
 PIE_MAX_SLICES = 10
 PIE_MIN_UNIQUE = 2
 PIE_MAX_UNIQUE = 5
-PIE_ROWS = 12
-BOX_MAX_CATEGORIES = 10
+PIE_ROWS = 12             # of a report's pie
+BOX_MAX_CATEGORIES = 10  # of a report's box plot
 
 
 def with_seq(result: DataFrame) -> DataFrame:
@@ -56,15 +55,13 @@ def _is_categorical() -> Column:
 
 
 def _kind(planned: str, has_y: bool) -> Column:
-    """C1 rules over the fact columns, in the reference's order."""
-    is_cat = _is_categorical()
-    kind = F.lit(planned)
-    kind = F.when((kind == "scatter") & is_cat, F.lit("bar")).otherwise(kind)
-    kind = F.when((kind == "pie") & (F.col("unique_x") > PIE_MAX_SLICES), F.lit("bar")).otherwise(kind)
-    if has_y:
-        kind = F.when((kind == "bar") & is_cat & F.col("unique_x").between(
-            PIE_MIN_UNIQUE, PIE_MAX_UNIQUE), F.lit("pie")).otherwise(kind)
-    return F.when(F.col("_nx") == 0, F.lit(planned)).otherwise(kind)
+    """A scatter over categories becomes a bar, a pie of many slices a
+    bar, and a bar over two to five categories a pie (if there is a y)."""
+    few = F.col("unique_x").between(PIE_MIN_UNIQUE, PIE_MAX_UNIQUE)
+    as_bar = _is_categorical() if planned == "scatter" else \
+        F.col("unique_x") > PIE_MAX_SLICES if planned == "pie" else F.lit(planned == "bar")
+    as_pie = as_bar & _is_categorical() & few & F.lit(has_y)
+    return F.when(F.col("_nx") == 0, planned).when(as_pie, "pie").when(as_bar, "bar").otherwise(planned)
 
 
 def _plottable(has_y: bool) -> Column:
@@ -100,15 +97,14 @@ def series_bar(result: DataFrame, x: str, y: str | None) -> DataFrame:
     """Numeric axis iff every non-null x parses as a number (and there
     is at least one row); else text labels with NULL -> ''."""
     xc = qcol(x)
-    w = Window.partitionBy()  # bounded result, one small partition
-    all_num = F.coalesce(F.bool_and(F.when(xc.isNotNull(), _float_like(xc))).over(w),
-                         F.lit(True)) & (F.count(F.lit(1)).over(w) > 0)
+    facts = result.agg(F.bool_and(F.when(xc.isNotNull(), _float_like(xc))).alias("num"),
+                       F.count(F.lit(1)).alias("n")).first()          # one row
+    all_num = bool(facts["n"]) and facts["num"] is not False
     yv = num_or_zero(qcol(y)) if y is not None else F.lit(None).cast("double")
     return result.select(
-        "seq",
-        F.when(all_num, F.lit("linear")).otherwise(F.lit("category")).alias("x_axis"),
-        F.when(all_num, num_or_zero(xc)).alias("x_num"),
-        F.when(~all_num, F.coalesce(xc.cast("string"), F.lit(""))).alias("x_label"),
+        "seq", F.lit("linear" if all_num else "category").alias("x_axis"),
+        (num_or_zero(xc) if all_num else F.lit(None).cast("double")).alias("x_num"),
+        (F.lit(None).cast("string") if all_num else F.coalesce(xc.cast("string"), F.lit(""))).alias("x_label"),
         yv.alias("y"))
 
 
@@ -127,33 +123,30 @@ def series_scatter(result: DataFrame, x: str, y: str) -> DataFrame:
     return result.select("seq", num_or_zero(qcol(x)).alias("x"), num_or_zero(qcol(y)).alias("y"))
 
 
-def series_pie(result: DataFrame, x: str, y: str) -> DataFrame:
-    """The first 12 rows with their share of the shown total."""
-    top = result.orderBy("seq").limit(PIE_ROWS)
-    w = Window.partitionBy()  # at most 12 rows
+def series_pie(result: DataFrame, x: str, y: str, rows: int | None = None) -> DataFrame:
+    """Every row, or the first ``rows``, with its share of the total of
+    all rows (one number)."""
     v = num_or_zero(qcol(y))
-    return top.select("seq", _text(qcol(x)).alias("label"), v.alias("value"),
-                      F.try_divide(v, F.sum(v).over(w)).alias("share"))
+    total = result.agg(F.sum(v)).first()[0]
+    shown = result if rows is None else result.orderBy("seq").limit(rows)
+    return shown.select("seq", _text(qcol(x)).alias("label"), v.alias("value"),
+                        F.try_divide(v, F.lit(total).cast("double")).alias("share"))
 
 
-def series_box(df: DataFrame, cat: str, num: str,
-               max_categories: int = BOX_MAX_CATEGORIES) -> DataFrame:
-    """Five-number summary and mean of num for the first ten categories
-    (sorted). Quantiles use the distributed exact method, so a category
-    holding most rows is never gathered into one task."""
+def series_box(df: DataFrame, cat: str, num: str, max_categories: int | None = None) -> DataFrame:
+    """Five-number summary and mean of num per category, in order: all
+    categories or the first ``max_categories``. Quantiles use the distributed
+    exact method, so a category holding most rows is never gathered into
+    one task; what reaches the driver is five numbers per category."""
     spark = df.sparkSession
-    c, v = qcol(cat), qcol(num).cast("double")
-    cats = [r[0] for r in df.where(c.isNotNull()).select(c.cast("string")).distinct()
-                              .orderBy(1).limit(max_categories).collect()]
-    schema = T.StructType([T.StructField("category", T.StringType())] +
-                          [T.StructField(n, T.DoubleType()) for n in
-                           ("min_val", "q1_val", "median_val", "q3_val", "max_val", "mean_val")])
-    if not cats:
-        return spark.createDataFrame([], schema)
-    sub = df.where(c.isNotNull() & c.cast("string").isin(cats))
-    q = grouped_quantiles(sub.select(c.cast("string").alias("k"), v.alias("v")),
-                          [0.0, 0.25, 0.5, 0.75, 1.0])
-    means = {r[0]: r[1] for r in sub.groupBy(c.cast("string")).agg(F.avg(v)).collect()}
-    rows = [(k, *q.get(k, [None] * 5), means.get(k)) for k in cats]
-    return spark.createDataFrame(rows, schema)
-
+    c, v = qcol(cat).cast("string"), qcol(num).cast("double")
+    sub = df.where(c.isNotNull())
+    if max_categories is not None:
+        cats = [r[0] for r in sub.select(c).distinct().orderBy(1).limit(max_categories).collect()]
+        sub = sub.where(c.isin(cats)) if cats else sub.where(F.lit(False))
+    q = grouped_quantiles(sub.select(c.alias("k"), v.alias("v")), [0.0, 0.25, 0.5, 0.75, 1.0])
+    names = ("min_val", "q1_val", "median_val", "q3_val", "max_val")
+    five = spark.createDataFrame([(k, *x) for k, x in q.items()],
+                                 "category string, " + ", ".join(f"{n} double" for n in names))
+    means = sub.groupBy(c.alias("category")).agg(F.avg(v).alias("mean_val"))
+    return means.join(five, "category", "left").select("category", *names, "mean_val").orderBy("category")

@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.analyses import preview
-from ..operators.profile import profile as profile_of
-from ..operators.sampling import SAMPLE_ROWS, analysis_frames
-from ..sources.files import read_any
+from ..operators.profile import profile_with_facts
+from ..operators.sampling import analysis_frames, strategy_expr
+from ..sources.files import parsed_once
 from ..sources.sinks import RUN_EVENT_SCHEMA, append_run_events
 from .insights import template_insights
-from .planner import heuristic_plan, ingest_plan
-from .report import write_report
-from .runner import PlanRun, run_plan
+from .planner import heuristic_plan, ingest_plan, plan_or_rules
+from .report import report_json, write_report
+from .runner import PlanRun, log_rows, run_plan
 
 
 @dataclass(frozen=True)
@@ -43,39 +43,47 @@ def _event(spark: SparkSession, run_id: str, status: str, filename: str | None =
 def analyze(spark: SparkSession, source: str | DataFrame, name: str | None = None,
             key: str | None = None, out_dir: str | None = None,
             plan_text: DataFrame | None = None, run_log: str | None = None,
-            run_id: str | None = None) -> Analysis:
-    """Analyse one dataset. ``source`` is a path (CSV/TSV/TXT, Parquet,
-    JSON) or a DataFrame; ``key`` orders overview rows and row ids and
-    makes the sample partition-independent; ``plan_text`` (rows with a
-    ``text`` column holding a JSON task list) replaces the rule-based plan;
-    ``out_dir`` receives the report sections; ``run_log`` the run events."""
+            run_id: str | None = None, sample_rows: int | None = None) -> Analysis:
+    """Analyse one dataset, all of its rows. ``source`` is a path (CSV/TSV/TXT,
+    Parquet, JSON; text is parsed once and kept as typed Parquet in the shared
+    folder for the run) or a DataFrame; ``key`` orders overview rows and row
+    ids; ``plan_text`` (rows with a ``text`` column holding a JSON task list)
+    replaces the rule-based plan, which still serves where the text holds no
+    task; ``out_dir`` receives the report sections; ``run_log`` the run events
+    and the report's JSON; ``sample_rows``, if given, limits raw-row outputs
+    (overview, scatter) to a random sample of so many rows."""
     if name is None:
         name = os.path.basename(source.rstrip("/")) if isinstance(source, str) else "dataset"
     run_id = run_id or name
     if run_log:
         append_run_events(_event(spark, run_id, "running", filename=name), run_log)
     try:
-        df = read_any(spark, source) if isinstance(source, str) else source
-        total = df.count()
-        strategy, agg_df, raw_df = analysis_frames(df, key=[key] if key else None, total=total)
-        prof = profile_of(agg_df, name)
+        df = parsed_once(spark, source) if isinstance(source, str) else source
+        prof, facts = profile_with_facts(df, name)
+        total = prof.agg(F.max("row_count")).first()[0] or 0
+        strategy = spark.range(1).select(strategy_expr(F.lit(total))).first()[0]
+        agg_df, raw_df = analysis_frames(df, sample_rows, key=[key] if key else None, total=total)
+        notes = []
         if plan_text is not None:
-            plan = ingest_plan(plan_text.select(F.lit(name).alias("dataset"), "text"))
+            ingested = ingest_plan(plan_text.select(F.lit(name).alias("dataset"), "text"))
+            plan = plan_or_rules(ingested, prof)
+            if ingested.isEmpty():
+                notes.append(("warning", "The plan text holds no task; using the rule-based plan"))
         else:
             plan = heuristic_plan(prof)
-        run = run_plan(agg_df, name, plan, prof, key=key, raw=raw_df)
+        notes += [("info", f"  → [{t['type']}] {t['title']}") for t in plan.orderBy("seq").collect()]
+        run = run_plan(agg_df, name, plan, prof, key=key, raw=raw_df, facts=facts)
+        run.log = log_rows(spark, name, "planner", notes).unionByName(run.log)
         findings = template_insights(prof, run.index, total_rows={name: total})
-        report = None
-        if out_dir:
-            summary = spark.range(1).select(
-                F.lit(name).alias("dataset"), F.lit(total).cast("bigint").alias("row_count"),
-                F.lit(len(df.columns)).alias("column_count"), F.lit(strategy).alias("strategy"),
-                F.lit(None if strategy == "full" else SAMPLE_ROWS).cast("bigint").alias("sample_size"))
-            order = [key] if key else df.columns[:1]
-            report = write_report(out_dir, summary, prof, preview(raw_df, order), findings,
-                                  run.index)
+        summary = spark.range(1).select(
+            F.lit(name).alias("dataset"), F.lit(total).cast("bigint").alias("row_count"),
+            F.lit(len(df.columns)).alias("column_count"), F.lit(strategy).alias("strategy"),
+            F.lit(sample_rows).cast("bigint").alias("sample_size"))
+        shown = preview(raw_df, [key] if key else [])
+        report = write_report(out_dir, summary, prof, shown, findings, run) if out_dir else None
         if run_log:
-            append_run_events(_event(spark, run_id, "complete", report=out_dir), run_log)
+            text = report_json(summary, prof, shown, findings, run, out_dir)
+            append_run_events(_event(spark, run_id, "complete", report=text), run_log)
         return Analysis(name, strategy, prof, plan, run, findings, report)
     except Exception as exc:
         if run_log:

@@ -8,19 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fill
+from ..functions.json_safe import json_safe
 from ..operators.profile import cardinality_tag, ordered_names
-from .report import json_safe
+from ..session import parallel_map
 
 # Fixed values of the template findings.
 MISSING_NOTE_PCT = 20
 HIGH_CV = 1.5
 CV_EPS = 1e-9
-MAX_INSIGHTS = 6
-MAX_ANOMALIES = 3
-MAX_RECOMMENDATIONS = 4
-DIGEST_RESULTS = 6
-DIGEST_ROWS = 5
-NAMED_COLUMNS = 3
+DIGEST_ROWS = 5            # first rows of a result that a digest shows
+NAMED_COLUMNS = 3          # columns that a finding's text names
 SIZE_LINE = "Dataset contains {0} rows across {1} columns."
 MISSING_LINE = "Columns with >20% missing values: {0}."
 IMPUTE_LINE = "Investigate and impute missing values in {0}."
@@ -32,8 +29,24 @@ BINNING_LINE = "Consider removing or binning high-cardinality categorical column
 
 
 def py_str(c: Column) -> Column:
-    """Text of a double the way it prints in the findings."""
-    return c.cast("string")
+    """Text of a double the way it prints in the findings: decimal digits
+    from 1e-4 up to 1e16, exponent form outside. Spark prints the same
+    shortest digits, but in exponent form from 1e7 up and below 1e-3."""
+    text = c.cast("string")
+    e = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).cast("int")
+    sign = F.when(c < 0, "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"E.*$", ""), r"[-.]", ""), r"0+$", "")
+    digits = F.when(digits == "", "0").otherwise(digits)
+    whole = F.rpad(digits, F.greatest(e + 1, F.length(digits)), "0")
+    large = F.concat(F.substring(whole, F.lit(1), e + 1), F.lit("."),
+                     F.coalesce(F.nullif(F.substring(whole, e + 2, F.length(whole)), F.lit("")), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    return (F.when(~text.contains("E"), text)
+             .when((F.abs(c) >= 1e7) & (F.abs(c) < 1e16), F.concat(sign, large))
+             .when((F.abs(c) < 1e-3) & (F.abs(c) >= 1e-4), F.concat(sign, small))
+             .otherwise(F.concat(sign, F.substring(digits, F.lit(1), F.lit(1)),
+                                 F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits))))
+                                 .otherwise(""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))))
 
 
 def cv_expr(std: Column, mean: Column) -> Column:
@@ -77,11 +90,11 @@ def schema_digest(prof: DataFrame) -> DataFrame:
 
 
 def template_insights(prof: DataFrame, index: DataFrame | None = None,
-                      total_rows: dict[str, int] | None = None) -> DataFrame:
+                      total_rows: dict[str, int] | None = None, cap: int | None = None) -> DataFrame:
     """L4 (+ L10): findings (dataset, kind, seq, text). The size line uses
     ``total_rows`` (the full table when the profile ran on a sample) or the
     profiled rows; the outlier line uses the uncapped outlier count when the
-    results index carries it."""
+    results index carries it. All findings, or the first ``cap`` of a kind."""
     rows = F.max("row_count")
     if total_rows:
         given = F.create_map(*[F.lit(x) for kv in total_rows.items() for x in kv])
@@ -122,36 +135,36 @@ def template_insights(prof: DataFrame, index: DataFrame | None = None,
         base = per.join(outl, "dataset", "left")
         anomalies = F.concat(anomalies, F.coalesce(F.col("outl"), F.array().cast("array<string>")))
 
-    def _kind(arr: Column, kind: str, cap: int) -> Column:
-        kept = F.slice(F.filter(arr, lambda x: x.isNotNull()), 1, cap)
+    def _kind(arr: Column, kind: str) -> Column:
+        kept = F.filter(arr, lambda x: x.isNotNull())
+        kept = kept if cap is None else F.slice(kept, 1, cap)
         return F.transform(kept, lambda x, i: F.struct(F.lit(kind).alias("kind"),
                                                        i.cast("int").alias("seq"),
                                                        x.alias("text")))
-    allf = F.concat(_kind(insights, "insight", MAX_INSIGHTS),
-                    _kind(anomalies, "anomaly", MAX_ANOMALIES),
-                    _kind(recs, "recommendation", MAX_RECOMMENDATIONS))
+    allf = F.concat(_kind(insights, "insight"), _kind(anomalies, "anomaly"), _kind(recs, "recommendation"))
     return base.select("dataset", F.inline(allf))
 
 
-def result_digest(index: DataFrame, results: dict[str, DataFrame]) -> DataFrame:
-    """Of the first six results, those without error: title, type, row
-    count and their first five rows as JSON (not for the overview, and not
-    for a correlation heatmap, whose result keeps no rows)."""
+def result_digest(index: DataFrame, results: dict[str, DataFrame], first: int | None = None,
+                  rows: int = DIGEST_ROWS) -> DataFrame:
+    """Of all results, or the ``first`` ones, those without error: title,
+    type, row count and their first ``rows`` rows as JSON (not for the overview,
+    and not for a correlation heatmap)."""
     spark = index.sparkSession
-    heads = []
-    w = Window.partitionBy("dataset").orderBy("run_order")   # <= 7 rows per dataset
-    first = index.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= DIGEST_RESULTS)
-    for r in first.where(F.col("error").isNull()).orderBy("dataset", "run_order").collect():
-        res = results.get(r["task_id"])
-        top = None
+    w = Window.partitionBy("dataset").orderBy("run_order")   # a row per task
+    numbered = index.withColumn("_n", F.row_number().over(w))
+    if first is not None:
+        numbered = numbered.where(F.col("_n") <= first)
+    chosen = numbered.where(F.col("error").isNull()).orderBy("dataset", "run_order").collect()
+
+    def one(r):
+        res, top = results.get(r["task_id"]), None
         if res is not None and r["task_type"] != "overview" and r["chart_kind"] != "heatmap":
-            ordered = res.orderBy("seq") if "seq" in res.columns else res
-            cols = [c for c in ordered.columns if c != "seq"]
-            safe = json_safe(ordered.limit(DIGEST_ROWS).select(*cols))
-            top = safe.select(F.to_json(F.struct(*cols)).alias("j")) \
-                         .agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","),
-                                       F.lit("]"))).first()[0]
-        heads.append((r["dataset"], r["run_order"], r["title"], r["task_type"],
-                      r["row_count"], top))
-    return spark.createDataFrame(heads, "dataset string, run_order int, title string, "
-                                        "task_type string, row_count bigint, top_rows string")
+            cols = [c for c in res.columns if c != "seq"]
+            safe = json_safe(res.orderBy("seq").limit(rows).select("seq", *cols))
+            lines = safe.select("seq", F.to_json(F.struct(*cols)).alias("j")).collect()
+            top = "[" + ",".join(x["j"] for x in sorted(lines, key=lambda x: x["seq"])) + "]"
+        return (r["dataset"], r["run_order"], r["title"], r["task_type"], r["row_count"], top)
+
+    return spark.createDataFrame(parallel_map(one, chosen), "dataset string, run_order int, title string, "
+                                 "task_type string, row_count bigint, top_rows string")

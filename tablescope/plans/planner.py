@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 from ..functions.columns import fill
 from ..operators.profile import GROUPABLE_FALLBACK, GROUPABLE_MAX, ordered_names
 
-MAX_TASKS = 7
 DEFAULT_PRIORITY = 3
-CORRELATION_COLUMNS = 8
 
 TASK_TYPE = T.StructType([
     T.StructField("type", T.StringType()),
@@ -25,7 +23,9 @@ TASK_TYPE = T.StructType([
     T.StructField("chart_type", T.StringType()),
     T.StructField("priority", T.IntegerType()),
 ])
-PLAN_TEXT_SCHEMA = T.ArrayType(TASK_TYPE)
+#: As a plan text may have them: a priority can be a number or text.
+PLAN_ITEM_SCHEMA = T.StructType([
+    T.StructField(f.name, T.StringType() if f.name == "priority" else f.dataType) for f in TASK_TYPE.fields])
 
 # Task texts of the rule-based plan, {0}/{1} = column names.
 OVERVIEW_TITLE = "Dataset Overview"
@@ -77,7 +77,7 @@ def heuristic_plan(prof: DataFrame) -> DataFrame:
         _task(has_cat, "distribution", fill(TOP_TITLE, c0), fill(TOP_DESC, c0),
               F.array(c0), "bar", 2),
         _task(nn >= 3, "correlation", F.lit(MATRIX_TITLE), F.lit(MATRIX_DESC),
-              F.slice("nums", 1, CORRELATION_COLUMNS), "heatmap", 3),
+              F.col("nums"), "heatmap", 3),
         _task(nn == 2, "correlation", fill(PAIR_TITLE, n0, n1), fill(PAIR_DESC, n0, n1),
               F.array(n0, n1), "scatter", 3),
         _task(has_cat & (nn >= 1), "aggregation", fill(AGG_TITLE, n0, c0),
@@ -87,7 +87,7 @@ def heuristic_plan(prof: DataFrame) -> DataFrame:
         _task(nn >= 1, "anomaly", fill(OUTLIER_TITLE, n0), fill(OUTLIER_DESC, n0),
               F.array(n0), "scatter", 4),
     )
-    kept = F.slice(F.filter(tasks, lambda t: t.isNotNull()), 1, MAX_TASKS)
+    kept = F.filter(tasks, lambda t: t.isNotNull())
     return (lists.select("dataset", F.posexplode(kept).alias("seq", "task"))
                  .select("dataset", F.col("seq").cast("int").alias("seq"), "task.*"))
 
@@ -107,11 +107,14 @@ def ingest_plan(texts: DataFrame, text_col: str = "text",
                 id_cols: tuple[str, ...] = ("dataset",)) -> DataFrame:
     """L2: take the outermost JSON array out of each text, keep objects that
     have a type and a title, default the rest (description '', columns [],
-    chart 'bar', priority 3). Unparsable text yields no tasks."""
+    chart 'bar', priority 3; a priority may be text, an unreadable one is 3).
+    Unparsable text yields no tasks; ``plan_or_rules`` then falls back."""
     found = F.regexp_extract(F.col(text_col), r"(?s)\[.*\]", 0)
     body = F.when(F.length(found) > 0, found).otherwise(F.col(text_col))
-    parsed = F.from_json(body, PLAN_TEXT_SCHEMA)
-    rows = texts.select(*id_cols, F.posexplode_outer(parsed).alias("seq", "t")) \
+    # item by item, so that one which is no task does not spoil the others
+    items = F.from_json(body, T.ArrayType(T.StringType()))
+    rows = texts.select(*id_cols, F.posexplode_outer(items).alias("seq", "item")) \
+                .select(*id_cols, "seq", F.from_json("item", PLAN_ITEM_SCHEMA).alias("t")) \
                 .where(F.col("t.type").isNotNull() & F.col("t.title").isNotNull())
     return rows.select(
         *id_cols, F.col("seq").cast("int").alias("seq"), F.col("t.type").alias("type"),
@@ -119,7 +122,14 @@ def ingest_plan(texts: DataFrame, text_col: str = "text",
         F.coalesce("t.description", F.lit("")).alias("description"),
         F.coalesce("t.columns", F.array().cast("array<string>")).alias("columns"),
         F.coalesce("t.chart_type", F.lit("bar")).alias("chart_type"),
-        F.coalesce("t.priority", F.lit(DEFAULT_PRIORITY)).alias("priority"))
+        F.coalesce(F.col("t.priority").try_cast("int"), F.col("t.priority").try_cast("double").try_cast("int"),
+                   F.lit(DEFAULT_PRIORITY)).alias("priority"))
+
+
+def plan_or_rules(ingested: DataFrame, prof: DataFrame) -> DataFrame:
+    """Each dataset's ingested plan, or the rule-based plan where it has no task."""
+    without = prof.join(ingested.select("dataset").distinct(), "dataset", "left_anti")
+    return ingested.unionByName(heuristic_plan(without))
 
 
 def plan_order(plan: DataFrame) -> DataFrame:
@@ -132,10 +142,10 @@ def plan_order(plan: DataFrame) -> DataFrame:
 
 def plan_valid_columns(plan: DataFrame, prof: DataFrame) -> DataFrame:
     """Each task's columns that exist in its dataset's profile, in task
-    order. The profile side (one row per column) is broadcast."""
+    order. The profile side has one row per column."""
     names = prof.select("dataset", F.col("name").alias("col"))
     exploded = plan.select("dataset", "seq", F.posexplode("columns").alias("cpos", "col"))
-    valid = exploded.join(F.broadcast(names), ["dataset", "col"], "left_semi")
+    valid = exploded.join(names, ["dataset", "col"], "left_semi")
     agg = valid.groupBy("dataset", "seq").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("cpos", "col"))),
                     lambda s: s["col"]).alias("valid_columns"))

@@ -3,17 +3,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import qcol
+from ..functions.json_safe import json_safe
+from ..session import parallel_map
 from ..sources.sinks import write_report_sections
+from .runner import PlanRun
 
 FETCH_ROWS = 50_000
-TASK_ROWS = 5_000
-KEPT_ROWS = 500
-ADHOC_ROWS = 20
 
 
 def bounded(df: DataFrame, n: int = FETCH_ROWS) -> DataFrame:
@@ -21,35 +22,6 @@ def bounded(df: DataFrame, n: int = FETCH_ROWS) -> DataFrame:
     return df.limit(n)
 
 
-def _iso_ts(c: Column) -> Column:
-    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(c, "SSSSSS")
-    return F.when(c.isNull(), F.lit(None).cast("string")).when(
-        micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
-
-
-def _safe(c: Column, dt: T.DataType) -> Column:
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return _iso_ts(c)
-    if isinstance(dt, T.DateType):
-        return F.date_format(c, "yyyy-MM-dd")
-    if isinstance(dt, T.DecimalType):
-        return c.cast("double")
-    if isinstance(dt, T.BinaryType):
-        return F.make_valid_utf8(c.cast("string"))
-    if type(dt).__name__ in ("DayTimeIntervalType", "YearMonthIntervalType", "TimeType"):
-        return c.cast("string")
-    if isinstance(dt, T.ArrayType):
-        return F.transform(c, lambda x: _safe(x, dt.elementType))
-    return c  # numbers, strings, booleans; structs and maps are not descended
-
-
-def json_safe(df: DataFrame) -> DataFrame:
-    """Dates and times as ISO text, decimals as doubles, bytes as
-    UTF-8 text with replacement, arrays element-wise."""
-    return df.select(*[_safe(qcol(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
-
-
 def report_charts(index: DataFrame) -> DataFrame:
     """charts = results that are plottable and error-free; the
     correlation matrix comes first and appears once."""
@@ -60,9 +32,65 @@ def report_charts(index: DataFrame) -> DataFrame:
              .orderBy("dataset", "_f", "run_order").drop("_f")
 
 
+NO_DATA = "No data available for this chart"
+
+
+def result_rows(run: PlanRun) -> DataFrame:
+    """Every row of every result as JSON: (dataset, task_id, title, seq, row)."""
+    out = None
+    for r in run.index.where(F.col("error").isNull()).collect():
+        res = run.results[r["task_id"]]
+        cols = [c for c in res.columns if c != "seq"]
+        safe = json_safe(res.select("seq", *[qcol(c) for c in cols]))
+        part = safe.select(F.lit(r["dataset"]).alias("dataset"), F.lit(r["task_id"]).alias("task_id"),
+                           F.lit(r["title"]).alias("title"), "seq",
+                           F.to_json(F.struct(*[qcol(c) for c in cols]), {"ignoreNullFields": "false"}).alias("row"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else run.index.sparkSession.createDataFrame(
+        [], "dataset string, task_id string, title string, seq bigint, row string")
+
+
+def chart_data(run: PlanRun) -> DataFrame:
+    """L9 with its data: every point of every chart as JSON, in order; a
+    result that cannot be plotted has one row with a note instead (C9).
+    (dataset, task_id, title, chart_kind, seq, point, note)."""
+    out = None
+    for r in run.index.where(F.col("error").isNull() & (F.col("task_type") != "overview")).collect():
+        series = run.series.get(r["task_id"])
+        if series is None:
+            part = run.index.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("point"),
+                                                          F.lit(NO_DATA).alias("note"))
+        else:
+            cols = [c for c in series.columns if c != "seq"]
+            part = series.select(F.col("seq").cast("bigint").alias("seq"),
+                                 F.to_json(F.struct(*[qcol(c) for c in cols]), {"ignoreNullFields": "false"}).alias("point"),
+                                 F.lit(None).cast("string").alias("note"))
+        part = part.select(F.lit(r["dataset"]).alias("dataset"), F.lit(r["task_id"]).alias("task_id"),
+                           F.lit(r["title"]).alias("title"), F.lit(r["chart_kind"]).alias("chart_kind"), "seq", "point", "note")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else run.index.sparkSession.createDataFrame(
+        [], "dataset string, task_id string, title string, chart_kind string, seq bigint, point string, note string")
+
+
+def error_rows(run: PlanRun) -> DataFrame:
+    return run.index.where(F.col("error").isNotNull()).select("dataset", "run_order", "title", "error")
+
+
+def report_json(dataset: DataFrame, profile: DataFrame, preview: DataFrame, findings: DataFrame,
+                run: PlanRun, path: str | None) -> str:
+    """The report's text for the run log: what is bounded by columns and tasks
+    in full, and where the result rows and chart points are."""
+    sections = {"dataset": dataset, "schema": profile, "preview": json_safe(preview), "findings": findings,
+                "charts": report_charts(run.index), "results": run.index, "log": run.log, "errors": error_rows(run)}
+    rows = parallel_map(lambda df: [r[0] for r in df.select(F.to_json(F.struct("*"))).collect()], list(sections.values()))
+    body = ",".join(f'"{name}":[{",".join(r)}]' for name, r in zip(sections, rows))
+    return "{" + body + f',"rows_and_points":{json.dumps(path)}' + "}"
+
+
 def write_report(path: str, dataset: DataFrame, profile: DataFrame, preview: DataFrame,
-                 findings: DataFrame, index: DataFrame) -> DataFrame:
+                 findings: DataFrame, run: PlanRun) -> DataFrame:
     """Every section as JSON under ``path``; returns (section, rows)."""
     return write_report_sections({
         "dataset": dataset, "schema": profile, "preview": json_safe(preview),
-        "findings": findings, "charts": report_charts(index), "results": index}, path)
+        "findings": findings, "charts": report_charts(run.index), "chart_data": chart_data(run),
+        "results": run.index, "result_rows": result_rows(run), "log": run.log, "errors": error_rows(run)}, path)

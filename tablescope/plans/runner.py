@@ -1,12 +1,14 @@
-"""L3: run a plan. Tasks (at most seven per dataset, collected) are
-dispatched in priority order to the templates and run side by side from a
-few driver threads; each result is capped at the fetch limit (5,000 rows,
-on which its row count and chart facts are computed) and stored with its
-first 500 rows (the overview whole), described by one results-index row.
-A failing task becomes an error row and the others continue."""
+"""L3: run a plan. Tasks (collected: one row each) are dispatched in priority
+order to the templates and run side by side from a few driver threads. Every
+result is kept whole in the shared checkpoint folder, described by one
+results-index row, with its chart's series beside it. Bounds, means and
+deviations come from the profile where it has them. Log rows (U2) say what
+ran, what was skipped and what failed; a failing task becomes an error row
+and the others continue."""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from dataclasses import dataclass, field
 
@@ -14,13 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.json_safe import json_safe
 from ..operators import analyses as A
 from ..operators import correlation as C
 from ..operators import series as S
-from ..session import parallel_map
-
-TASK_FETCH_ROWS = 5000      # rows fetched per task (row count, chart facts)
-TASK_KEPT_ROWS = 500        # rows stored per result, except the overview
+from ..session import materialize, parallel_map
 
 INDEX_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()), T.StructField("run_order", T.IntegerType()),
@@ -31,104 +31,141 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("plottable", T.BooleanType()), T.StructField("outlier_total", T.LongType()),
     T.StructField("error", T.StringType()),
 ])
+LOG_SCHEMA = "dataset string, seq int, agent string, message string, timestamp string, level string"
 
 
 @dataclass
 class PlanRun:
+    """The results index, the whole results and chart series by task id, and the log."""
+
     index: DataFrame
     results: dict[str, DataFrame] = field(default_factory=dict)
+    series: dict[str, DataFrame] = field(default_factory=dict)
+    log: DataFrame | None = None
+
+
+def log_rows(spark, dataset: str, agent: str, entries: list[tuple[str, str]]) -> DataFrame:
+    """(level, message) entries as log rows in their order."""
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat()
+    return spark.createDataFrame([(dataset, i, agent, m, now, level) for i, (level, m) in enumerate(entries)], LOG_SCHEMA)
+
 
+def _bounds(facts: dict, col: str):
+    """The column's 1 % and 99 % quantiles, if the profile has them."""
+    q = facts.get(col, {}).get("quantiles", {})
+    return (q[A.CLIP_LOW], q[A.CLIP_HIGH]) if A.CLIP_LOW in q and A.CLIP_HIGH in q else None
 
-def _template(df, task, cats: dict[str, str], key: str | None, raw=None):
-    """(result, x, y, chart) for one task, or None when it cannot run.
-    Raw-row outputs (overview, scatter) read ``raw`` when given (R3)."""
-    raw = df if raw is None else raw
-    ttype, cols, chart, title = task["type"], task["cols"], task["chart_type"], task["title"]
+
+def _template(df, task, cats: dict[str, str], key: str | None, raw, facts: dict, scatter_rows: int):
+    """(result, x, y, chart, outliers) for one task, or None when it cannot run.
+    Raw-row outputs (overview, scatter) read ``raw``."""
+    ttype, cols, chart = task["type"], task["cols"], task["chart_type"]
     if ttype == "overview":
-        order = [key] if key else df.columns[:1]
-        return A.overview(raw, order), None, None, chart
+        return A.overview(raw, [key] if key else []), None, None, chart, None
     if ttype == "distribution" and cols:
         c = cols[0]
         if cats.get(c) == "numeric":
-            return A.histogram(df, c), "bin_start", "count", chart
-        return A.value_counts(df, c), "category", "count", chart
+            return A.histogram(df, c, bounds=_bounds(facts, c)), "bin_start", "count", chart, None
+        return A.value_counts(df, c), "category", "count", chart, None
     if ttype == "correlation":
         nums = [c for c in cols if cats.get(c) == "numeric"]
         if len(nums) < 2:
             return None
         if chart == "heatmap":
-            return C.correlation_matrix(df, nums), None, None, "heatmap"
-        x, y = nums[0], nums[1]
-        res = A.scatter(raw, x, y, rows=min(A.SCATTER_ROWS, TASK_FETCH_ROWS))
-        return res, res.columns[0], res.columns[1], chart
+            return C.correlation_matrix(df, nums), None, None, "heatmap", None
+        res = A.scatter(raw, nums[0], nums[1], rows=scatter_rows)
+        return res, res.columns[0], res.columns[1], chart, None
     if ttype == "time_series" and len(cols) >= 2:
-        grain = df.sparkSession.range(1).select(A.granularity(F.lit(title))).first()[0]
-        if grain == "hour":
-            return A.hour_of_day(df, cols[0], cols[1]), "hour_of_day", "count", chart
-        return A.time_series(df, cols[0], cols[1], grain), "period", "total_value", chart
+        if task["grain"] == "hour":
+            return A.hour_of_day(df, cols[0], cols[1]), "hour_of_day", "count", chart, None
+        res = A.time_series(df, cols[0], cols[1], task["grain"], bounds=_bounds(facts, cols[0]))
+        return res, "period", "total_value", chart, None
     if ttype == "aggregation" and len(cols) >= 2:
         if cats.get(cols[1]) == "numeric":
-            return A.group_aggregate(df, cols[0], cols[1]), "category", "total_value", chart
-        return A.cross_count(df, cols[0], cols[1]), "category", "count", chart
+            return A.group_aggregate(df, cols[0], cols[1]), "category", "total_value", chart, None
+        return A.cross_count(df, cols[0], cols[1]), "category", "count", chart, None
     if ttype == "anomaly" and cols:
         num = next((c for c in cols if cats.get(c) == "numeric"), None)
         if num is None:
             return None
-        task["moments"] = A.column_moments(df, num)   # shared with the outlier count
-        return (A.zscore_outliers(df, num, key, moments=task["moments"]),
-                "row_id", "value", "scatter")
+        known = facts.get(num)
+        moments = (known["mean"], known["std"]) if known else A.column_moments(df, num)
+        total = A.outlier_count(df, num, moments=moments).first()["outlier_count"]
+        return A.zscore_outliers(df, num, key, moments=moments), "row_id", "value", "scatter", total
     return None
 
 
+def chart_series(df: DataFrame, res: DataFrame, x: str | None, y: str | None, kind: str | None,
+                 cols: list[str]) -> DataFrame | None:
+    """The data of a result's chart (C3-C8), by kind."""
+    if kind == "heatmap":
+        return S.with_seq(C.heatmap_matrix(res))
+    if x is None:
+        return None
+    res = json_safe(res)                 # times as ISO text
+    if kind == "box" and len(cols) >= 2:
+        return S.with_seq(S.series_box(df, cols[0], cols[1]))
+    if kind == "line":
+        return S.series_line(res, x, y)
+    if kind == "scatter":
+        return S.series_scatter(res, x, y)
+    if kind == "pie":
+        return S.series_pie(res, x, y)
+    return S.series_bar(res, x, y)
+
+
 def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
-             key: str | None = None, raw: DataFrame | None = None) -> PlanRun:
-    spark = df.sparkSession
+             key: str | None = None, raw: DataFrame | None = None, facts: dict | None = None,
+             scatter_rows: int = A.SCATTER_ROWS) -> PlanRun:
+    """``facts``: unrounded statistics by column (``profile_with_facts``).
+    ``scatter_rows``: points of a scatter chart's random sample."""
+    spark, facts, raw = df.sparkSession, facts or {}, df if raw is None else raw
     cats = {r["name"]: r["category"] for r in
             prof.where(F.col("dataset") == dataset).select("name", "category").collect()}
-    tasks = (plan.where(F.col("dataset") == dataset)
+    tasks = (plan.where(F.col("dataset") == dataset).withColumn("grain", A.granularity(F.col("title")))
                  .orderBy(F.coalesce("priority", F.lit(3)), "seq").collect())
+
     def run_one(item):
         order, t = item
-        task = {"type": t["type"], "title": t["title"], "chart_type": t["chart_type"],
+        task = {"type": t["type"], "chart_type": t["chart_type"], "grain": t["grain"],
                 "cols": [c for c in (t["columns"] or []) if c in cats]}
-        tid = uuid.uuid4().hex[:8]
+        tid, head = uuid.uuid4().hex[:8], (dataset, order)
+        about = (t["type"], t["title"], t["description"])
+        log = [("info", f"Running: {t['title']}")]
         try:
-            got = _template(df, task, cats, key, raw)
+            got = _template(df, task, cats, key, raw, facts, scatter_rows)
             if got is None:
-                return None
-            res, x, y, chart = got
-            if task["type"] == "correlation" and chart == "heatmap":
-                res = res.cache()
-                return (dataset, order, tid, t["type"], t["title"], t["description"],
-                        None, None, 0, "heatmap", res.count() > 0, None, None), res
-            res = S.with_seq(res.limit(TASK_FETCH_ROWS)).cache()
-            outliers = None
-            if task["type"] == "anomaly":
-                num = next(c for c in task["cols"] if cats.get(c) == "numeric")
-                outliers = A.outlier_count(df, num, moments=task["moments"]) \
-                    .first()["outlier_count"]
-            if t["type"] != "overview" and x is not None:
-                facts = S.chart_facts(res, x, y, chart).first()
-                n = facts["rows"]
-                kind = facts["chart_kind"] if n > 0 else chart
-                plot = bool(facts["plottable"]) if n > 0 else False
+                log.append(("warning", f"Skipped: {t['title']} (type or columns do not fit)"))
+                return None, None, None, log
+            res, x, y, chart, outliers = got
+            res = materialize(S.with_seq(res))
+            if x is not None:
+                found = S.chart_facts(res, x, y, chart).first()
+                n = found["rows"]
+                kind, plot = (found["chart_kind"], bool(found["plottable"])) if n else (chart, False)
             else:
-                n, kind, plot = res.count(), chart, False
-            kept = res if t["type"] == "overview" else res.orderBy("seq").limit(TASK_KEPT_ROWS)
-            return (dataset, order, tid, t["type"], t["title"], t["description"],
-                    x, y, n, kind, plot, outliers, None), kept
+                n = res.count()
+                kind, plot = chart, chart == "heatmap" and n > 0
+            log.append(("success", f"✓ {t['title']} ({n} rows)"))
+            row = (*head, tid, *about, x, y, n, kind, plot, outliers, None)
+            return row, res, chart_series(df, res, x, y, kind, task["cols"]) if plot else None, log
         except Exception as exc:  # one failing task does not stop the run
-            return (dataset, order, tid, t["type"], t["title"], t["description"],
-                    None, None, 0, None, False, None,
-                    f"Task '{t['title']}' failed: {str(exc)[:500]}"), None
+            message = f"Task '{t['title']}' failed: {str(exc)[:500]}"
+            log.append(("error", message))
+            return (*head, tid, *about, None, None, 0, None, False, None, message), None, None, log
 
-    rows, results = [], {}
+    rows, run, entries = [], PlanRun(prof), []
     # tasks are independent Spark jobs: run them side by side, keep the order
-    for out in parallel_map(run_one, list(enumerate(tasks, start=1))):
-        if out is None:
+    for row, res, series, log in parallel_map(run_one, list(enumerate(tasks, start=1))):
+        entries += log
+        if row is None:
             continue
-        row, res = out
         rows.append(row)
         if res is not None:
-            results[row[2]] = res
-    return PlanRun(spark.createDataFrame(rows, INDEX_SCHEMA), results)
+            run.results[row[2]] = res
+        if series is not None:
+            run.series[row[2]] = series
+    entries.append(("success", f"Execution complete — {len(rows)} results"))
+    run.index = spark.createDataFrame(rows, INDEX_SCHEMA)
+    run.log = log_rows(spark, dataset, "execution", entries)
+    return run

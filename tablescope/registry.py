@@ -5,12 +5,15 @@ results compare across engines."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import round_doubles, try_timestamp_guarded
+from .functions.quantiles import multi_column_quantiles
+from .functions.json_safe import json_safe
 from .functions.rowid import with_row_number
 from .operators import analyses as A
 from .operators import correlation as C
@@ -115,22 +118,28 @@ def q_histogram_extprice(spark, sf):
 
 @query("value_counts")
 def q_value_counts(spark, sf):
-    return A.value_counts(_t(spark, sf, "orders"), "o_orderpriority")
+    return A.value_counts(_t(spark, sf, "orders"), "o_orderpriority", A.VALUE_COUNTS_TOP)
 
 
 @query("value_counts_props")
 def q_value_counts_props(spark, sf):
+    """The top-30 report of a column with more values; ``value_counts_all`` has them all."""
+    return A.value_counts(_t(spark, sf, "events"), "props", A.VALUE_COUNTS_TOP)
+
+
+@query("value_counts_all")
+def q_value_counts_all(spark, sf):
     return A.value_counts(_t(spark, sf, "events"), "props")
 
 
 @query("group_aggregate")
 def q_group_aggregate(spark, sf):
-    return A.group_aggregate(_t(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
+    return A.group_aggregate(_t(spark, sf, "orders"), "o_orderpriority", "o_totalprice", A.GROUPS_TOP)
 
 
 @query("cross_count")
 def q_cross_count(spark, sf):
-    return A.cross_count(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+    return A.cross_count(_t(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", A.CROSS_COUNTS_TOP)
 
 
 @query("time_series_day")
@@ -151,8 +160,14 @@ def q_ts_month(spark, sf):
 
 @query("time_series_day_365")
 def q_ts_day_365(spark, sf):
+    """The first 365 days, a chart's limit; ``time_series_all`` has them all."""
     return round_doubles(A.time_series(_t(spark, sf, "lineitem"), "l_shipdate",
-                                       "l_extendedprice", "day"), 6)
+                                       "l_extendedprice", "day", A.PERIODS_MAX), 6)
+
+
+@query("time_series_all")
+def q_ts_all(spark, sf):
+    return round_doubles(A.time_series(_t(spark, sf, "lineitem"), "l_shipdate", "l_extendedprice", "day"), 6)
 
 
 @query("hour_of_day")
@@ -172,7 +187,14 @@ def q_scatter_sample(spark, sf):
 
 @query("zscore_outliers")
 def q_zscore_outliers(spark, sf):
-    return A.zscore_outliers(_t(spark, sf, "events"), "value", order_col="event_id")
+    return A.zscore_outliers(_t(spark, sf, "events"), "value", order_col="event_id", top=A.OUTLIERS_TOP)
+
+
+@query("zscore_dup_key")
+def q_zscore_dup_key(spark, sf):
+    """All outliers, in the order of a key that repeats and has nulls."""
+    k = F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 50)
+    return A.zscore_outliers(_t(spark, sf, "events").select(k.alias("k"), "value"), "value", order_col="k")
 
 
 @query("outlier_count")
@@ -191,6 +213,13 @@ def q_correlation_matrix(spark, sf):
     return round_doubles(C.correlation_matrix(_t(spark, sf, "lineitem"), CORR_COLUMNS), 6)
 
 
+@query("correlation_all_numeric")
+def q_correlation_all(spark, sf):
+    li = _t(spark, sf, "lineitem")
+    names = [f.name for f in li.schema.fields if P.base_category(f.dataType) == "numeric"]
+    return round_doubles(C.correlation_matrix(li, names), 6)
+
+
 @query("heatmap_matrix")
 def q_heatmap_matrix(spark, sf):
     pairs = C.correlation_matrix(_t(spark, sf, "lineitem"), CORR_COLUMNS)
@@ -216,6 +245,20 @@ def q_sample_exact_small(spark, sf):
     return R.sample_exact(li, A.SCATTER_ROWS, seed=7, key=["l_orderkey", "l_linenumber"])
 
 
+@query("sample_facts")
+def q_sample_facts(spark, sf):
+    """Of samples of two sizes: rows, distinct keys, and keys that are the table's."""
+    li, key = _t(spark, sf, "orders"), ["o_orderkey"]
+    out = None
+    for n, seed in ((R.SAMPLE_ROWS, 42), (A.SCATTER_ROWS, 7)):
+        got = R.sample_exact(li, n, seed=seed, key=key)
+        part = (got.agg(F.count("*").alias("rows"), F.count_distinct(*key).alias("distinct_keys"))
+                .crossJoin(got.join(li.select(*key), key, "left_semi").agg(F.count("*").alias("members")))
+                .select(F.lit(n).cast("bigint").alias("asked"), "rows", "distinct_keys", "members"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # -- profile and typing -------------------------------------------------------------
 
 @query("missing_counts")
@@ -285,7 +328,7 @@ from .plans import report as RP  # noqa: E402
 from .plans.runner import run_plan  # noqa: E402
 from .sources import files as SRC  # noqa: E402
 from .sources import sinks as SNK  # noqa: E402
-from .streaming.run_state import run_state_stream  # noqa: E402
+from .streaming.run_state import read_run_state, run_state_stream  # noqa: E402
 
 
 def orders_as_token_text(spark, sf) -> DataFrame:
@@ -338,6 +381,45 @@ def q_sniff_delimiter(spark, sf):
     return spark.createDataFrame(rows, "file string, written string, detected string")
 
 
+@query("sniff_quoted")
+def q_sniff_quoted(spark, sf):
+    """Whole documents, quoted, separators and line breaks in them."""
+    rows = []
+    for name, sep in (("comma.csv", ","), ("tab.tsv", "\t"), ("semicolon.txt", ";"), ("pipe.txt", "|")):
+        path = SRC.scratch_path(spark, name)
+        d = _t(spark, sf, "documents")
+        (d.select("doc_id", "lang", F.concat(F.lit(f"x{sep}y "), "text").alias("text"), "source")
+         .write.option("header", True).option("sep", sep).option("quoteAll", True).csv(path))
+        rows.append((name, sep, SRC.sniff_delimiter(spark, path)))
+    return spark.createDataFrame(rows, "file string, written string, detected string")
+
+
+@query("csv_no_header")
+def q_csv_no_header(spark, sf):
+    path = SRC.scratch_path(spark, "bare")
+    orders_as_token_text(spark, sf).write.option("header", False).csv(path)
+    return SRC.read_csv_tokens(spark, path, sep=",", header=False)
+
+
+@query("keep_real_c1")
+def q_keep_real_c1(spark, sf):
+    """A blank header goes; columns that are called _c1 and _c2 stay."""
+    path = SRC.scratch_path(spark, "named")
+    _t(spark, sf, "orders").select(F.col("o_custkey").alias(" "), F.col("o_orderkey").alias("_c1"), F.col("o_orderstatus").alias("_c2")) \
+        .write.option("header", True).csv(path)
+    return SRC.read_csv_tokens(spark, path, sep=",")
+
+
+@query("json_bad_line")
+def q_json_bad_line(spark, sf):
+    """A truncated record among the good ones, asked to be left out."""
+    path = SRC.scratch_path(spark, "ndjson-bad")
+    e = _t(spark, sf, "events")
+    e.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    spark.createDataFrame([('{"event_id": 1, "ts": "2024-01-01T00:0',)], "value string").write.mode("append").text(path)
+    return SRC.read_json(spark, path, bad_lines="drop").select("event_id", "ts", "user_id", "event_type", "value", "props")
+
+
 @query("encoding_fallback")
 def q_encoding_fallback(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "lang", "source", "text")
@@ -366,8 +448,12 @@ def q_file_inventory(spark, sf):
 
 @query("drop_index_columns")
 def q_drop_index_columns(spark, sf):
-    df = SRC.read_csv_tokens(spark, _write_token_csv(spark, sf), sep=",")
-    return df
+    """The same table with a blank header and pandas' name for the index."""
+    path = SRC.scratch_path(spark, "indexed")
+    text = orders_as_token_text(spark, sf)
+    (text.select(F.col("_idx").alias(" "), F.col("_idx").alias("Unnamed: 1"), *[c for c in text.columns if c != "_idx"])
+     .write.option("header", True).csv(path))
+    return SRC.read_csv_tokens(spark, path, sep=",")
 
 
 def run_events_from(spark, sf) -> DataFrame:
@@ -410,7 +496,7 @@ def q_run_state_stream(spark, sf):
     state_dir = SRC.scratch_path(spark, "run-state")
     q = run_state_stream(spark, events_dir, state_dir, SRC.scratch_path(spark, "run-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(state_dir)
+    return read_run_state(spark, state_dir)
 
 
 @query("last_turns")
@@ -420,13 +506,12 @@ def q_last_turns(spark, sf):
 
 @query("bounded_result")
 def q_bounded_result(spark, sf):
-    return RP.bounded(A.overview(_t(spark, sf, "events"), ["event_id"], RP.TASK_ROWS),
-                      RP.TASK_ROWS)
+    return RP.bounded(A.overview(_t(spark, sf, "events"), ["event_id"], 5000), 5000)
 
 
 @query("json_safe")
 def q_json_safe(spark, sf):
-    return RP.json_safe(_t(spark, sf, "orders"))
+    return json_safe(_t(spark, sf, "orders"))
 
 
 @query("adhoc_sql")
@@ -436,6 +521,13 @@ def q_adhoc_sql(spark, sf):
                      "FROM data_table GROUP BY o_orderpriority ORDER BY n DESC, o_orderpriority")
 
 
+@query("ask_followup")
+def q_ask_followup(spark, sf):
+    """Question, answer with SQL, and its result, appended to a conversation."""
+    return Q.follow_up(_t(spark, sf, "orders"), _t(spark, sf, "conversations"), 0, "How many orders by status?",
+                       "See <sql>SELECT o_orderstatus, count(*) AS n FROM data_table GROUP BY 1 ORDER BY 1</sql>")
+
+
 @query("extract_sql")
 def q_extract_sql(spark, sf):
     c = _t(spark, sf, "conversations")
@@ -486,8 +578,8 @@ def q_ingest_plan(spark, sf):
 
 def _run(spark, sf, table, key):
     df = _t(spark, sf, table)
-    prof = P.profile(df, table)
-    return df, prof, run_plan(df, table, PL.heuristic_plan(prof), prof, key=key)
+    prof, facts = P.profile_with_facts(df, table, samples=False)
+    return df, prof, run_plan(df, table, PL.heuristic_plan(prof), prof, key=key, facts=facts)
 
 
 @query("run_plan")
@@ -496,6 +588,22 @@ def q_run_plan(spark, sf):
     return run.index.drop("task_id")
 
 
+def messy_plan_texts(spark, sf) -> DataFrame:
+    """Stand-in plan answers, one per nation: prose around a list with a
+    task without title, text and number priorities, and items that are no tasks."""
+    name, quoted = F.col("n_name"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    return _t(spark, sf, "nation").select(name.alias("dataset"), F.concat(
+        F.lit('Plan:\n```json\n[{"type": "overview", "title": '), quoted(name), F.lit(', "priority": '), quoted(F.col("n_nationkey")),
+        F.lit('}, {"type": "distribution", "columns": ["x"]}, {"type": "distribution", "title": '), quoted(F.col("n_regionkey")),
+        F.lit(', "description": "d", "columns": ['), quoted(name), F.lit(', "x"], "chart_type": "pie", "priority": "soon"}, '
+              '{"type": "anomaly", "title": "last", "priority": 2}, 7]\n``` done')).alias("text"))
+
+
+@query("ingest_plan_messy")
+def q_ingest_plan_messy(spark, sf):
+    return _arr_out(PL.ingest_plan(messy_plan_texts(spark, sf)), "columns")
+
+
 @query("template_insights")
 def q_template_insights(spark, sf):
     _, prof, run = _run(spark, sf, "events", "event_id")
@@ -518,6 +626,16 @@ def q_stat_lines(spark, sf):
     return L.stat_lines(_prof(spark, sf, ("lineitem",), False))
 
 
+@query("stat_lines_large")
+def q_stat_lines_large(spark, sf):
+    """Statistics from a million to a hundred trillion, one per nation."""
+    m = F.lit(1_000_000.0) * F.pow(F.lit(10.0), (F.col("n_nationkey") % 9).cast("double"))
+    return L.stat_lines(_t(spark, sf, "nation").select(
+        F.lit("big").alias("dataset"), F.col("n_nationkey").cast("int").alias("pos"), F.col("n_name").alias("name"),
+        F.lit("numeric").alias("category"), (m * 1.25).alias("mean_val"), m.alias("min_val"), (m * 1.5).alias("max_val"),
+        F.lit(0.0).alias("missing_pct")))
+
+
 @query("schema_digest")
 def q_schema_digest(spark, sf):
     return L.schema_digest(_prof(spark, sf, ("orders",)))
@@ -531,6 +649,36 @@ def q_report_sections(spark, sf):
                    out_dir=out, run_log=log).report
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Places within a result; results are small sets of periods, categories or cells."""
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("title").orderBy("seq")))
+
+
+@query("report_results")
+def q_report_results(spark, sf):
+    """The rows of the histogram, count, group and time results, out of the report's JSON."""
+    rows = RP.result_rows(_run(spark, sf, "events", "event_id")[2])
+    get = lambda name: F.get_json_object("row", f"$.{name}")
+    kept = rows.where(get("count").isNotNull())
+    return _numbered(kept).select("title", "pos", F.coalesce(get("category"), get("period")).alias("label"),
+                                  get("bin_start").cast("double").alias("x"), get("count").cast("bigint").alias("n"))
+
+
+@query("report_charts_data")
+def q_report_charts_data(spark, sf):
+    """Every chart's points, out of the report's JSON; y of the matrix is its event_id column."""
+    rows = RP.chart_data(_run(spark, sf, "events", "event_id")[2])
+    get = lambda name: F.get_json_object("point", f"$.{name}")
+    return round_doubles(_numbered(rows).select(
+        "title", "chart_kind", "pos", F.coalesce(get("label"), get("x_label"), get("x"), get("col_a")).alias("label"),
+        get("x_num").cast("double").alias("x"), F.coalesce(get("y"), get("event_id"), get("value")).cast("double").alias("y"), "note"), 6)
+
+
+@query("run_log_rows")
+def q_run_log_rows(spark, sf):
+    return _run(spark, sf, "events", "event_id")[2].log.select("seq", "agent", "level", "message")
+
+
 def _vc_results(spark, sf):
     pairs = [("orders", "o_orderpriority"), ("customer", "c_mktsegment"), ("events", "props"),
              ("lineitem", "l_linenumber"), ("lineitem", "l_returnflag")]
@@ -571,7 +719,7 @@ def q_series_bar_numeric(spark, sf):
 
 @query("series_line")
 def q_series_line(spark, sf):
-    res = RP.json_safe(A.time_series(_t(spark, sf, "events"), "ts", "value", "day"))
+    res = json_safe(A.time_series(_t(spark, sf, "events"), "ts", "value", "day"))
     return round_doubles(S.series_line(S.with_seq(res), "period", "total_value").drop("seq"), 6)
 
 
@@ -593,6 +741,32 @@ def q_series_box(spark, sf):
                                       "o_totalprice"), 6)
 
 
+@query("pie_share_all")
+def q_pie_share_all(spark, sf):
+    res = S.with_seq(A.value_counts(_t(spark, sf, "events"), "props"))
+    return round_doubles(S.series_pie(res, "category", "count").drop("seq"), 6)
+
+
+@query("box_all")
+def q_box_all(spark, sf):
+    box = S.series_box(_t(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice")
+    # off the ties of rounding, where the order of a sum would decide
+    return round_doubles(box.withColumn("mean_val", F.col("mean_val") + 1e-9), 6)
+
+
+@query("quantiles_nan")
+def q_quantiles_nan(spark, sf):
+    """Quantiles of columns with some, mostly and only NaN, and with infinities."""
+    nan, v = F.lit(float("nan")), F.col("value")
+    error = F.col("event_type") == "error"
+    cols = {"some": F.when(error, nan).otherwise(v), "every": nan,
+            "most": F.when(F.col("event_id") % 100 < 90, nan).otherwise(v), "edge": F.when(error, F.lit(float("inf"))).otherwise(v)}
+    got = multi_column_quantiles(_t(spark, sf, "events"), cols, [0.0, 0.5, 1.0])
+    rows = [(c, p, math.isnan(q), None if math.isnan(q) or math.isinf(q) else q)
+            for c, qs in got.items() for p, q in zip([0.0, 0.5, 1.0], qs)]
+    return round_doubles(spark.createDataFrame(rows, "column string, p double, is_nan boolean, q double"), 6)
+
+
 @query("history_kept")
 def q_history_kept(spark, sf):
     return H.last_turns(_t(spark, sf, "conversations"), H.KEPT_TURNS)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import threading
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +46,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder.
 
     Uses the folder the cluster names in ``spark.checkpoint.dir`` (or one
-    already set on the context). Only when neither exists -- a bare local
-    test session -- a fresh scratch folder is created. Under Spark Connect
-    (no driver-side context) the server's setting is used as it is."""
+    already set on the context). A local session that names none, as in
+    tests, gets a fresh scratch folder; on a cluster a missing setting
+    raises, for a folder of the driver's machine would be invisible to the
+    executors. Under Spark Connect (no driver-side context) the server's
+    setting is used as it is."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server owns the checkpoint folder
@@ -60,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tablescope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -82,46 +85,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return 200
 
 
-_CONF_LOCK = threading.RLock()
-
-
-class scoped_conf:
-    """Set SQL confs for the duration of one action, then restore them
-    (e.g. a wide single-row aggregate that needs a larger codegen field
-    limit to stay in whole-stage codegen). Sections are serialised, so
-    concurrent driver threads never see each other's settings."""
-
-    def __init__(self, spark: SparkSession, **confs: str):
-        self.spark, self.confs, self.saved = spark, confs, {}
-
-    def __enter__(self):
-        _CONF_LOCK.acquire()
-        for k, v in self.confs.items():
-            key = k.replace("__", ".")
-            self.saved[key] = self.spark.conf.get(key, None)
-            self.spark.conf.set(key, v)
-        return self
-
-    def __exit__(self, *exc):
-        try:
-            for key, v in self.saved.items():
-                if v is None:
-                    self.spark.conf.unset(key)
-                else:
-                    self.spark.conf.set(key, v)
-        finally:
-            _CONF_LOCK.release()
-        return False
-
-
-def wide_agg_row(df: DataFrame, aggs: list, fields_per_agg: int = 4):
-    """Run a single-row aggregate with many functions and return its row,
-    keeping it inside whole-stage codegen (bounded: one row)."""
-    limit = max(100, fields_per_agg * len(aggs) + 16)
-    with scoped_conf(df.sparkSession, spark__sql__codegen__maxFields=str(limit)):
-        return df.agg(*aggs).first()
-
-
 DRIVER_THREADS = 4
 
 

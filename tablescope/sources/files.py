@@ -1,10 +1,12 @@
 """Readers (S1-S7, I1): delimited text with null tokens and whole-file type
 inference, delimiter sniffing, encoding fallback, Parquet, JSON, a file
 inventory and auto-index column removal. All of them are Spark jobs: the
-inference and the sniffing are single aggregates over every line."""
+inference and the sniffing are aggregates over every line; only the first
+line of the data is looked at by itself."""
 
 from __future__ import annotations
 
+import csv
 import re
 import uuid
 
@@ -12,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ISO_TIMESTAMP_TEXT, qcol
-from ..session import ensure_checkpoint_dir, materialize, wide_agg_row
+from ..session import ensure_checkpoint_dir, parallel_map
 
 # The null tokens of the CSV reader, in this order.
 NULL_TOKENS = ["NA", "N/A", "n/a", "nan", "NaN", "NAN", "null", "NULL", "None", "NONE",
@@ -34,6 +36,13 @@ def scratch_path(spark: SparkSession, name: str = "") -> str:
     return f"{base}/tablescope-scratch/{name or 'x'}-{uuid.uuid4().hex[:12]}"
 
 
+def clean_scratch(spark: SparkSession) -> bool:
+    """Remove all scratch folders; nothing that reads them may still be in use."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablescope-scratch")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 # -- S1 / I1 -----------------------------------------------------------------
 
 def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataFrame:
@@ -41,6 +50,7 @@ def null_tokens_to_null(df: DataFrame, tokens: list[str] = NULL_TOKENS) -> DataF
     return df.select(*[F.when(~qcol(c).isin(tokens), qcol(c)).alias(c) for c in df.columns])
 
 
+BATCH = 64
 _TYPE_ORDER = ["boolean", "bigint", "double", "date", "timestamp_ntz"]
 
 
@@ -59,25 +69,19 @@ def _parses(c: Column, t: str) -> Column:
 def infer_types(df: DataFrame) -> dict[str, str]:
     """For every string column the narrowest type that all its
     non-null values parse as (boolean, bigint, double, date, timestamp),
-    else string. One aggregate over all rows: late surprises count."""
-    cols = df.columns
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs.append(F.count(qcol(c)).alias(f"n{i}"))
-        for t in _TYPE_ORDER:
-            aggs.append(F.count_if(_parses(qcol(c), t)).alias(f"{t}_{i}"))
-    row = wide_agg_row(df, aggs, fields_per_agg=1)
-    out = {}
-    for i, c in enumerate(cols):
-        n = row[f"n{i}"]
-        chosen = "string"
-        if n > 0:
-            for t in _TYPE_ORDER:
-                if row[f"{t}_{i}"] == n:
-                    chosen = t
-                    break
-        out[c] = chosen
-    return out
+    else string. Every value becomes the set of types it parses as (one bit
+    each) and a column keeps the bits that all its values share: one
+    aggregate per column, ``BATCH`` columns a pass. Late surprises count."""
+    def one(cols):
+        aggs = []
+        for i, c in enumerate(cols):
+            bits = sum((F.when(_parses(qcol(c), t), 1 << j).otherwise(0) for j, t in enumerate(_TYPE_ORDER)), F.lit(0))
+            aggs.append(F.bit_and(F.when(qcol(c).isNotNull(), bits)).alias(f"b{i}"))
+        return zip(cols, df.agg(*aggs).first())
+
+    batches = [df.columns[i:i + BATCH] for i in range(0, len(df.columns), BATCH)]
+    found = dict(x for part in parallel_map(one, batches) for x in part)
+    return {c: next((t for j, t in enumerate(_TYPE_ORDER) if (found[c] or 0) >> j & 1), "string") for c in df.columns}
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -96,70 +100,85 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 def read_csv_tokens(spark: SparkSession, path: str, sep: str | None = None,
                     encoding: str | None = None, header: bool = True,
-                    multi_line: bool = False, materialize_parsed: bool = False) -> DataFrame:
-    """CSV with header, 13 null tokens, whole-file type inference;
-    malformed rows fail the read (FAILFAST). Delimiter and encoding are
-    detected when not given (S2, S3). ``multi_line`` (quoted line breaks)
-    makes every file one unsplittable task, so it is opt-in.
-    ``materialize_parsed`` writes the typed rows once to the shared
-    checkpoint folder, so the many queries of one analysis do not parse the
-    text again each time."""
+                    multi_line: bool = False) -> DataFrame:
+    """CSV, 13 null tokens, whole-file type inference; malformed rows
+    fail the read (FAILFAST). Delimiter and encoding are detected when not
+    given (S2, S3). Columns whose header is blank, or is one of pandas' index
+    names, are dropped (S7); without a header nothing is. ``multi_line``
+    (quoted line breaks) makes every file one unsplittable task, so it is
+    opt-in. Every later pass parses the text again: ``parsed_once`` keeps it."""
     if sep is None or encoding is None:
         found_sep, found_enc = text_facts(spark, path)
         sep, encoding = sep or found_sep, encoding or found_enc
     raw = (spark.read.option("header", header).option("inferSchema", False)
            .option("mode", "FAILFAST").option("sep", sep).option("encoding", encoding)
            .option("multiLine", multi_line).csv(path))
-    clean = drop_index_columns(null_tokens_to_null(raw))
-    typed = apply_types(clean, infer_types(clean))
-    return materialize(typed) if materialize_parsed else typed
+    if header:
+        names = next(csv.reader([first_line(spark, path)], delimiter=sep), [])
+        blank = {i for i, n in enumerate(names) if not n.strip()}
+        keep = [c for i, c in enumerate(raw.columns) if i not in blank and c not in index_columns([c])]
+        raw = raw.select(*[qcol(c) for c in keep or raw.columns])
+    clean = null_tokens_to_null(raw)
+    return apply_types(clean, infer_types(clean))
 
 
 # -- S2 / S3 -----------------------------------------------------------------
 
-def _delimiter_aggs(candidates: list[str]) -> list[Column]:
-    """Per candidate: min and max number of separators over non-empty lines."""
-    aggs = []
-    line = F.col("value")
-    for i, d in enumerate(candidates):
-        n = F.when(F.length(line) > 0, F.size(F.split(line, re.escape(d), -1)) - F.lit(1))
-        aggs += [F.min(n).alias(f"mn{i}"), F.max(n).alias(f"mx{i}")]
-    return aggs
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line that is not blank (of the first file)."""
+    row = spark.read.text(path).where(F.trim("value") != "").first()
+    return row[0] if row else ""
+
 
+def _separators(line: Column, d: str) -> Column:
+    """How many separators a line has outside quotes."""
+    bare = F.regexp_replace(line, r'"[^"]*"', "")      # a doubled quote ends one section and begins the next
+    return F.size(F.split(bare, re.escape(d), -1)) - F.lit(1)
 
-def _pick_delimiter(row, candidates: list[str]) -> str:
-    best, best_n = ",", 0
+
+def _delimiter_aggs(head: str, candidates: list[str]) -> list[Column]:
+    """Lines, lines that a candidate splits as it does the first one, and the
+    least and most separators of any line."""
+    line = F.col("value")
+    whole = F.trim(line) != ""
+    aggs = [F.count_if(whole).alias("lines")]
     for i, d in enumerate(candidates):
-        mn, mx = row[f"mn{i}"], row[f"mx{i}"]
-        if mn is not None and mn == mx and mn > best_n:
-            best, best_n = d, mn
-    return best
+        n = F.when(whole, _separators(line, d))
+        aggs += [F.count_if(n == _separators(F.lit(head), d)).alias(f"like{i}"),
+                 F.max(_separators(F.lit(head), d)).alias(f"head{i}"), F.min(n).alias(f"mn{i}"), F.max(n).alias(f"mx{i}")]
+    return aggs
 
 
-def delimiter_counts(spark: SparkSession, path: str,
-                     candidates: list[str] = DELIMITER_CANDIDATES) -> DataFrame:
-    """Per candidate: min and max number of separators over all non-empty
-    lines (one aggregate)."""
-    row = spark.read.text(path).agg(*_delimiter_aggs(candidates)).first()
-    data = [(d, row[f"mn{i}"], row[f"mx{i}"]) for i, d in enumerate(candidates)]
-    return spark.createDataFrame(data, "delimiter string, min_count int, max_count int")
+def _pick_delimiter(row, path: str, candidates: list[str]) -> str:
+    """Of the candidates that split the first line: the one that splits most
+    lines likewise (quoted line breaks make some differ), then the one the
+    file's suffix names, then the one with most separators."""
+    named = {"tsv": "\t", "csv": ","}.get(path.rstrip("/").rsplit(".", 1)[-1].lower())
+    ranked = [(row[f"like{i}"], d == named, row[f"head{i}"], -i) for i, d in enumerate(candidates) if row[f"head{i}"]]
+    if ranked:
+        return candidates[-max(ranked)[3]]
+    even = [d for i, d in enumerate(candidates) if row[f"mx{i}"] and row[f"mn{i}"] == row[f"mx{i}"]]
+    if even:
+        return even[0]
+    if any(row[f"mx{i}"] for i in range(len(candidates))):
+        raise ValueError(f"no delimiter splits the first line of {path}; name one")
+    return named or ","                      # one column
 
 
 def sniff_delimiter(spark: SparkSession, path: str,
                     candidates: list[str] = DELIMITER_CANDIDATES) -> str:
-    """The candidate that splits every line into the same number (> 0)
-    of separators, the most separators winning; ',' if none qualifies."""
-    return _pick_delimiter(spark.read.text(path).agg(*_delimiter_aggs(candidates)).first(),
-                           candidates)
+    """The delimiter of delimited text, separators in quotes not counted."""
+    row = spark.read.text(path).agg(*_delimiter_aggs(first_line(spark, path), candidates)).first()
+    return _pick_delimiter(row, path, candidates)
 
 
 def text_facts(spark: SparkSession, path: str,
                candidates: list[str] = DELIMITER_CANDIDATES) -> tuple[str, str]:
     """S2 + S3 in one pass over the raw lines: (delimiter, encoding)."""
     row = spark.read.text(path).agg(
-        *_delimiter_aggs(candidates),
+        *_delimiter_aggs(first_line(spark, path), candidates),
         F.count_if(~F.is_valid_utf8("value")).alias("_bad")).first()
-    return _pick_delimiter(row, candidates), ("ISO-8859-1" if row["_bad"] else "UTF-8")
+    return _pick_delimiter(row, path, candidates), ("ISO-8859-1" if row["_bad"] else "UTF-8")
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -177,20 +196,25 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def is_json_document(spark: SparkSession, path: str) -> bool:
-    """A JSON array or pretty-printed object (as opposed to one record per
-    line): the first non-blank character of the data is '[' or some line
-    is not a complete object."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).where(F.length("v") > 0)
-    r = lines.agg(F.count_if(F.col("v").startswith("[")).alias("arr"),
-                  F.count_if(~(F.col("v").startswith("{") & F.col("v").endswith("}")))
-                  .alias("partial")).first()
-    return bool(r["arr"] or r["partial"])
+    """A JSON array or one pretty-printed object (as opposed to one record
+    per line): the data begin with '[', or the first line is an unfinished
+    object and no line holds a whole one. A bad line among records, be it
+    the first, does not make them a document."""
+    head = first_line(spark, path).lstrip()
+    if not head.startswith("{"):
+        return head.startswith("[")
+    if head.rstrip().endswith("}"):
+        return False
+    line = F.col("value")
+    return spark.read.text(path).where(line.startswith("{") & F.rtrim(line).endswith("}")).isEmpty()
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, bad_lines: str = "raise") -> DataFrame:
     """JSON array or newline-delimited; nested types kept; string
-    fields that hold dates or timestamps are typed as such (I1)."""
-    df = spark.read.option("multiLine", is_json_document(spark, path)).json(path)
+    fields that hold dates or timestamps are typed as such (I1). A line that
+    is no JSON raises, or with ``bad_lines="drop"`` is left out."""
+    mode = {"raise": "FAILFAST", "drop": "DROPMALFORMED"}[bad_lines]
+    df = spark.read.option("multiLine", is_json_document(spark, path)).option("mode", mode).json(path)
     strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     if not strings:
         return df
@@ -200,8 +224,20 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
                        for c in df.columns])
 
 
+def file_format(spark: SparkSession, path: str) -> str:
+    """By the path's suffix, or for a folder without a known one, by its first file's."""
+    def of(name):
+        return FORMAT_BY_SUFFIX.get(name.rsplit(".", 1)[-1].lower()) if "." in name.rsplit("/", 1)[-1] else None
+    found = of(path.rstrip("/"))
+    if found is None:
+        row = spark.read.format("binaryFile").load(path).select("path").orderBy("path").first()
+        found = of(row[0]) if row else None
+    return found or "csv"
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    fmt = FORMAT_BY_SUFFIX.get(path.rsplit(".", 1)[-1].lower() if "." in path else "", "csv")
+    path = path.rstrip("/") or path
+    fmt = file_format(spark, path)
     if fmt == "parquet":
         return read_parquet(spark, path)
     if fmt == "json":
@@ -209,6 +245,17 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_tokens(spark, path)
 
 
+def parsed_once(spark: SparkSession, path: str) -> DataFrame:
+    """The data behind ``path`` for many passes: text is parsed once and kept
+    as typed Parquet in the shared folder (``clean_scratch`` removes it)."""
+    df = read_any(spark, path)
+    if file_format(spark, path) == "parquet":
+        return df
+    kept = scratch_path(spark, "parsed")
+    df.write.parquet(kept)
+    return spark.read.schema(df.schema).parquet(kept)
+
+
 # -- S6 / S7 -----------------------------------------------------------------
 
 def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -225,15 +272,11 @@ def file_inventory(spark: SparkSession, path_glob: str) -> DataFrame:
         F.col("length").alias("size_bytes"))
 
 
-INDEX_COLUMN_PATTERNS = [r"(?i)^unnamed:", r"^column\d{2}$", r"^_c\d+$"]
+#: Names that pandas and spreadsheets give to an index column.
+INDEX_COLUMN_PATTERNS = [r"(?i)^unnamed:", r"^column\d{2}$"]
 
 
 def index_columns(columns: list[str]) -> list[str]:
-    """Pandas-style index columns: 'Unnamed: ...', 'columnNN', and a
-    blank header (Spark names it '_cN')."""
+    """Index columns by their name. Columns with a blank header are
+    known by their place in the header line (``read_csv_tokens``)."""
     return [c for c in columns if any(re.search(p, c) for p in INDEX_COLUMN_PATTERNS)]
-
-
-def drop_index_columns(df: DataFrame) -> DataFrame:
-    junk = index_columns(df.columns)
-    return df.drop(*junk) if junk else df

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import parallel_map
+
 RUN_EVENT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("ts", T.TimestampNTZType()),
@@ -29,10 +31,13 @@ def read_run_events(spark: SparkSession, path: str) -> DataFrame:
 
 def write_report_sections(sections: dict[str, DataFrame], path: str) -> DataFrame:
     """One JSON folder per report section; returns an index of what
-    was written (section, rows)."""
+    was written (section, rows). Rows are counted while they are written."""
     spark = next(iter(sections.values())).sparkSession
-    rows = []
-    for name, df in sections.items():
-        df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
-        rows.append((name, spark.read.json(f"{path.rstrip('/')}/{name}").count()))
-    return spark.createDataFrame(rows, "section string, rows bigint")
+
+    def one(item):
+        name, df = item
+        seen = Observation(f"section-{name}")
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+        return name, seen.get["n"]
+
+    return spark.createDataFrame(parallel_map(one, list(sections.items())), "section string, rows bigint")

@@ -1,6 +1,7 @@
 """Run history, conversation windows, plans and ad-hoc SQL."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,7 +58,32 @@ def test_ask_sql_read_only_and_placeholder(spark):
     with pytest.raises(Exception):
         Q.ask_sql(df, "INSERT INTO data_table VALUES (3, 'c')").collect()
     big = spark.range(0, 100)
-    assert Q.ask_sql(big, "SELECT * FROM data_table").count() == 20
+    assert Q.ask_sql(big, "SELECT * FROM data_table").count() == 100
+    assert Q.ask_sql(big, "SELECT * FROM data_table", limit=Q.ADHOC_ROWS).count() == 20
+
+
+def test_follow_up(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    old = spark.createDataFrame([(1, i, "user", f"m{i}") for i in range(25)] + [(2, 0, "user", "x")],
+                                "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"], r["turn"], r["text"]) for r in Q.follow_up(
+        df, old, 1, "how many?", "<sql>SELECT s, n FROM data_table ORDER BY n</sql>").collect())
+    assert len(got) == 21 and got[-1] == (2, 0, "x")
+    assert got[-2] == (1, 27, '[{"s":"a","n":1},{"s":"b","n":2}]') and got[0][1] == 8
+    bad = Q.follow_up(df, old, 3, "q", "<sql>SELECT nope FROM data_table</sql>").where("conv_id = 3").collect()
+    assert [r["role"] for r in sorted(bad, key=lambda r: r["turn"])] == ["user", "assistant", "result"]
+    assert "SQL execution failed" in max(bad, key=lambda r: r["turn"])["text"]
+
+
+def test_ties_are_decided(spark):
+    t = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([("r", t, s, f, None, None) for s, f in (("running", "b"), ("complete", "a"))],
+                               "id string, ts timestamp_ntz, status string, filename string, report_json string, error_msg string")
+    for df in (ev, ev.orderBy("status"), ev.repartition(2)):
+        r = H.run_latest_state(df).first()
+        assert (r["status"], r["filename"]) == ("running", "a")
+    c = spark.createDataFrame([(1, 5, "b", "x"), (1, 5, "a", "y"), (1, 5, "a", "w")], "conv_id long, turn long, role string, text string")
+    assert [r["text"] for r in H.last_turns(c, 2).orderBy("position").collect()] == ["y", "w"]
 
 
 def test_extract_sql(spark):
@@ -106,8 +132,53 @@ def test_analyze_end_to_end(spark, tmp_path):
     assert {"overview", "distribution", "aggregation", "time_series", "anomaly"} <= types
     sections = {r["section"]: r["rows"] for r in a.report.collect()}
     assert sections["schema"] == 3 and sections["preview"] == 5
+    rows = {r["task_id"]: r["row_count"] for r in a.run.index.collect()}
+    assert sections["result_rows"] == sum(rows.values()) and sections["errors"] == 0
     state = run_latest_state(read_run_events(spark, log)).first()
     assert state["status"] == "complete" and state["filename"] == "sales.csv"
+    text = json.loads(state["report_json"])
+    assert len(text["schema"]) == 3 and len(text["charts"]) == sections["charts"] and text["dataset"][0]["row_count"] == 300
+    assert text["log"][0]["agent"] == "planner" and text["rows_and_points"] == str(tmp_path / "report")
+    points = spark.read.json(str(tmp_path / "report" / "chart_data"))
+    assert points.where("title = 'amount by region'").count() == 4
+
+
+def test_failed_and_skipped_tasks_are_logged(spark):
+    from tablescope.operators.profile import profile
+    from tablescope.plans import report as RP
+    from tablescope.plans.runner import run_plan
+    df = spark.createDataFrame([(i, "x", dt.date(2024, 1, 1 + i)) for i in range(5)], "n int, s string, d date")
+    plan = spark.createDataFrame([
+        ("t", 0, "aggregation", "text as number", "", ["n", "s"], "bar", 1), ("t", 1, "time_series", "bad", "", ["d", "s"], "line", 2),
+        ("t", 2, "nonsense", "unknown", "", ["n"], "bar", 3)],
+        "dataset string, seq int, type string, title string, description string, columns array<string>, chart_type string, priority int")
+    run = run_plan(df, "t", plan, profile(df, "t"))
+    levels = [(r["level"], r["message"][:20]) for r in run.log.orderBy("seq").collect()]
+    assert ("warning", "Skipped: unknown (ty") in levels and any(lv == "error" for lv, _ in levels)
+    assert [r["title"] for r in RP.error_rows(run).collect()] == ["bad"]
+    notes = RP.chart_data(run).where("note is not null").collect()
+    assert all(r["note"] == RP.NO_DATA for r in notes)
+
+
+def test_analyze_uses_all_rows(spark):
+    """No size changes what is analysed."""
+    from tablescope.plans.analyze import analyze
+    li = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_orderkey", "l_quantity", "l_returnflag")
+    a = analyze(spark, li, name="lineitem")
+    assert {r["row_count"] for r in a.profile.collect()} == {600_000}
+    text = {r["title"]: r["row_count"] for r in a.run.index.collect()}
+    assert text["Top Values — l_returnflag"] == 3
+    many = analyze(spark, li.select(F.col("l_quantity"), (F.col("l_orderkey") % 6000).cast("string").alias("c")), name="many",
+                   plan_text=spark.createDataFrame([('[{"type": "distribution", "title": "all", "columns": ["c"]}]',)], "text string"))
+    assert many.run.index.first()["row_count"] == 6000
+
+
+def test_unusable_plan_text_falls_back(spark):
+    from tablescope.plans.analyze import analyze
+    df = spark.range(0, 50).select("id", (F.col("id") * 1.5).alias("v"))
+    a = analyze(spark, df, name="t", plan_text=spark.createDataFrame([("no list here",)], "text string"))
+    assert {"overview", "distribution", "anomaly"} <= {r["task_type"] for r in a.run.index.collect()}
+    assert a.run.log.where("level = 'warning' AND agent = 'planner'").count() == 1
 
 
 def test_analyze_records_errors(spark, tmp_path):

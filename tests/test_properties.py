@@ -31,9 +31,9 @@ def brute(vals, p):
 
 
 @SETTINGS
-@given(vals=values, ps=probs, force_range=st.booleans())
-def test_quantiles_equal_brute_force(spark, monkeypatch, vals, ps, force_range):
-    monkeypatch.setattr(Q, "BAND_MAX_ROWS", 0 if force_range else 2_000_000)
+@given(vals=values, ps=probs, narrow=st.booleans())
+def test_quantiles_equal_brute_force(spark, monkeypatch, vals, ps, narrow):
+    monkeypatch.setattr(Q, "BAND_DISTINCT", 2 if narrow else 200_000)
     df = spark.createDataFrame([(x,) for x in vals], "v double").repartition(3)
     got = Q.column_quantiles(df, F.col("v"), ps)
     for p, g in zip(ps, got):

@@ -1,5 +1,5 @@
-"""H1 against brute force: both the banded fast path and the range
-fallback, edge cases and partition invariance."""
+"""H1 against brute force: wide and narrow bands, edge cases and partition
+invariance."""
 
 import math
 import random
@@ -28,20 +28,20 @@ def cases():
     return {"uniform": uniform, "hot_value": hot, "constant": [4.0] * 100,
             "single": [1.25], "two": [1.0, 3.0],
             "with_nulls": [None, 2.0, None, 8.0, 5.0] * 50,
-            "inf": [float("-inf"), 1.0, 2.0, 3.0, float("inf")] * 20}
-
-
-@pytest.mark.parametrize("mode", ["banded", "refined", "range"])
-@pytest.mark.parametrize("name", list(cases()))
-def test_exact(spark, monkeypatch, name, mode):
-    # banded / refined (tiny bands force refinement passes): the range
-    # fallback is forbidden, so these paths must answer themselves; range:
-    # refinement can never finish, so the range-partition fallback answers
-    monkeypatch.setattr(Q, "BAND_MAX_ROWS", {"banded": 2_000_000, "refined": 10, "range": 0}[mode])
-    if mode in ("refined", "banded"):
-        def no_fallback(*a, **k):
-            raise AssertionError("fell back to the range method")
-        monkeypatch.setattr(Q, "_range_quantiles", no_fallback)
+            "inf": [float("-inf"), 1.0, 2.0, 3.0, float("inf")] * 20,
+            "some_nan": [round(rnd.uniform(-5, 5), 2) for _ in range(700)] + [float("nan")] * 9,
+            "mostly_nan": [1.5, 2.5, 3.5] + [float("nan")] * 400, "all_nan": [float("nan")] * 50}
+
+
+@pytest.mark.parametrize("name,distinct,margin", [
+    *((n, d, Q.BAND_MARGIN) for n in cases() for d in (200_000, 10)),
+    ("uniform", 10, 1e-6), ("hot_value", 200_000, 1e-6), ("some_nan", 10, 1e-6)])
+def test_exact(spark, monkeypatch, name, distinct, margin):
+    # a band of at most ten distinct values forces narrowing passes; a margin
+    # far below the sketch's error makes ranks miss their bands
+    monkeypatch.setattr(Q, "BAND_DISTINCT", distinct)
+    monkeypatch.setattr(Q, "BAND_MARGIN", margin)
+    monkeypatch.setattr(Q, "KLL_K", 4000 if margin > 1e-3 else 64)
     vals = cases()[name]
     df = spark.createDataFrame([(x,) for x in vals], "v double").repartition(5)
     probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
@@ -87,3 +87,29 @@ def test_multi_column_equals_single(spark):
     multi = Q.multi_column_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, [0.3, 0.7])
     assert multi["a"] == Q.column_quantiles(df, F.col("a"), [0.3, 0.7])
     assert multi["b"] == Q.column_quantiles(df, F.col("b"), [0.3, 0.7])
+
+
+def test_grouped_like_columns(spark, monkeypatch):
+    """Many groups of all sizes, NaN in some; narrow bands."""
+    monkeypatch.setattr(Q, "BAND_DISTINCT", 7)
+    rnd = random.Random(2)
+    rows = [(f"g{i % 4}", rnd.choice([rnd.gauss(0, 9), float(rnd.randint(0, 3)), float("nan") if i % 4 == 3 else 1.0]))
+            for i in range(2000)] + [("one", 2.0), ("nan", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = Q.grouped_quantiles(df, [0.0, 0.25, 0.5, 1.0])
+    for k in {r[0] for r in rows}:
+        want = Q.column_quantiles(df.where(F.col("k") == k), F.col("v"), [0.0, 0.25, 0.5, 1.0])
+        assert [repr(x) for x in got[k]] == [repr(x) for x in want], k
+
+
+def test_number_of_jobs_does_not_depend_on_columns(spark):
+    """Narrow and wide tables take the same passes."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n):
+        df = spark.range(0, 2000).select(*[(F.col("id") * (j + 1) % 997).cast("double").alias(f"c{j}") for j in range(n)])
+        spark.sparkContext.setJobGroup(f"quantiles-{n}", "")
+        Q.multi_column_quantiles(df, {f"c{j}": F.col(f"c{j}") for j in range(n)}, [0.5])
+        spark.sparkContext.setJobGroup("other", "")
+        return len(tracker.getJobIdsForGroup(f"quantiles-{n}"))
+    assert jobs(20) == jobs(2)

@@ -60,14 +60,19 @@ def test_positions_of(spark):
     assert positions_of(df, "k", [0, 10, 198]) == {0: 1, 10: 6, 198: 100}
 
 
+def test_positions_of_pairs_and_nulls(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, 7.0), (None, 2.0), (3, 1.0), (None, 9.0), (1, 7.0)], "k int, v double")
+    assert positions_of(df, "k", [(1, 5.0), (1, 7.0), (3, 1.0), (None, 2.0), (None, 9.0)], "v") == \
+        {(1, 5.0): 1, (1, 7.0): 2, (3, 1.0): 4, (None, 2.0): 5, (None, 9.0): 6}
+
+
 def test_analysis_frames(spark):
+    """All rows, whatever their number, unless a sample is asked for; aggregates keep all even then."""
     df = spark.range(0, 3000).select("id", (F.col("id") % 7).alias("g"))
-    s, agg, raw = R.analysis_frames(df, key=["id"], full_max=5000)
-    assert s == "full" and agg is df and raw is df
-    s, agg, raw = R.analysis_frames(df, key=["id"], full_max=1000, sample_max=5000, sample_rows=500)
-    assert s == "sample" and agg.count() == 500 and raw.count() == 500
-    s, agg, raw = R.analysis_frames(df, key=["id"], full_max=100, sample_max=1000, sample_rows=500)
-    assert s == "aggregate" and agg.count() == 3000 and raw.count() == 500
+    agg, raw = R.analysis_frames(df, key=["id"])
+    assert agg is df and raw is df
+    agg, raw = R.analysis_frames(df, 500, key=["id"])
+    assert agg is df and raw.count() == 500
 
 
 def test_row_number_block_of_identical_rows(spark):

@@ -42,4 +42,6 @@ def test_series_bar_axis(spark):
 def test_series_pie_share(spark):
     res = _res(spark, [f"c{i}" for i in range(14)], [float(i + 1) for i in range(14)])
     rows = S.series_pie(res, "x", "y").collect()
-    assert len(rows) == 12 and abs(sum(r["share"] for r in rows) - 1.0) < 1e-12
+    assert len(rows) == 14 and abs(sum(r["share"] for r in rows) - 1.0) < 1e-12
+    first = S.series_pie(res, "x", "y", S.PIE_ROWS).orderBy("seq").collect()
+    assert len(first) == 12 and first[3]["share"] == 4 / 105          # of the whole, not of the twelve

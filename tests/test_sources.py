@@ -106,7 +106,7 @@ def test_json_safe_projection(spark):
     import datetime as dt
     from decimal import Decimal
 
-    from tablescope.plans.report import json_safe
+    from tablescope.functions.json_safe import json_safe
     df = spark.createDataFrame(
         [(dt.date(2024, 5, 1), dt.datetime(2024, 5, 1, 8, 30, 0, 120000), dt.datetime(2024, 5, 1),
           Decimal("12.50"), bytearray(b"ok\xff"), [dt.date(2024, 1, 2)], 3, "x")],
@@ -121,13 +121,51 @@ def test_json_safe_projection(spark):
     assert r["n"] == 3 and r["s"] == "x"
 
 
-def test_parsed_csv_materialized_once(spark, tmp):
+def test_text_is_parsed_once(spark, tmp):
     text = "a,b\n1,x\n2,NA\n3,z\n"
-    df = S.read_csv_tokens(spark, write(os.path.join(tmp, "m.csv"), text), materialize_parsed=True)
-    assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    df = S.parsed_once(spark, write(os.path.join(tmp, "m.csv"), text))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "csv" not in plan.lower().replace("m.csv", "")
     assert sorted((r["a"], r["b"]) for r in df.collect()) == [(1, "x"), (2, None), (3, "z")]
 
 
+def test_bad_json_line(spark, tmp):
+    lines = [f'{{"a": {i}}}' for i in range(100)] + ['{"a": 1, "b']
+    for name, text in (("last", lines), ("first", lines[::-1])):
+        path = write(os.path.join(tmp, name + ".json"), "\n".join(text) + "\n")
+        with pytest.raises(Exception):
+            S.read_json(spark, path).collect()
+        assert S.read_json(spark, path, bad_lines="drop").count() == 100
+
+
+@pytest.mark.parametrize("sep", [",", "\t", ";", "|"])
+def test_separators_in_quotes(spark, tmp, sep):
+    text = f'name{sep}note{sep}n\n' + "".join(f'a{sep}"x{s}y ""q{s}"" \n{s}{s} z"{sep}{i}\n' for i, s in enumerate(",;|\t"))
+    path = write(os.path.join(tmp, "q.txt"), text)
+    assert S.sniff_delimiter(spark, path) == sep
+
+
+def test_delimiter_that_is_none(spark, tmp):
+    with pytest.raises(ValueError):
+        S.sniff_delimiter(spark, write(os.path.join(tmp, "n.txt"), "title\na,b\nc;d,e,f\n"))
+    assert S.sniff_delimiter(spark, write(os.path.join(tmp, "o.txt"), "one\n1\n2\n")) == ","
+
+
+def test_real_c1_and_no_header(spark, tmp):
+    path = write(os.path.join(tmp, "c.csv"), "_c1,x\n1,2\n3,4\n")
+    assert S.read_csv_tokens(spark, path, sep=",").columns == ["_c1", "x"]
+    df = S.read_csv_tokens(spark, write(os.path.join(tmp, "h.csv"), "1,a\n2,b\n"), header=False)
+    assert df.columns == ["_c0", "_c1"] and df.count() == 2
+
+
+def test_folder_with_trailing_slash(spark, tmp):
+    pq = os.path.join(tmp, "events.parquet")
+    spark.range(3).write.parquet(pq)
+    bare = os.path.join(tmp, "events")
+    spark.range(4).write.parquet(bare)
+    assert S.read_any(spark, pq + "/").count() == 3 and S.read_any(spark, bare).count() == 4
+
+
 def test_read_any_dispatch(spark, tmp):
     csv = write(os.path.join(tmp, "a.txt"), "x;y\n1;2\n")
     js = write(os.path.join(tmp, "b.jsonl"), '{"x": 1}\n')

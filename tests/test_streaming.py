@@ -6,7 +6,7 @@ import datetime as dt
 from tablescope.operators.history import run_latest_state
 from tablescope.sources.files import scratch_path
 from tablescope.sources.sinks import append_run_events, read_run_events
-from tablescope.streaming.run_state import run_state_stream
+from tablescope.streaming.run_state import read_run_state, run_state_stream
 
 
 def test_stream_matches_batch(spark):
@@ -20,6 +20,6 @@ def test_stream_matches_batch(spark):
     run_state_stream(spark, events, state, ckpt).awaitTermination()
     append_run_events(ev.where("ts >= '2024-01-01 00:00:25'"), events)
     run_state_stream(spark, events, state, ckpt).awaitTermination()
-    got = sorted(map(tuple, spark.read.parquet(state).collect()))
+    got = sorted(map(tuple, read_run_state(spark, state).collect()))
     want = sorted(map(tuple, run_latest_state(read_run_events(spark, events)).collect()))
     assert got == want
