@@ -528,16 +528,33 @@ def q_ask_followup(spark, sf):
                        "See <sql>SELECT o_orderstatus, count(*) AS n FROM data_table GROUP BY 1 ORDER BY 1</sql>")
 
 
+def answers_with_sql(spark, sf) -> DataFrame:
+    """Stand-in answers: conversation texts, in two of three turns with SQL in
+    tags of different case, over several lines, and a second block."""
+    body = F.concat(F.lit("\n  SELECT "), F.col("role"), F.lit("\nFROM data_table "))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", F.concat(
+        F.col("text"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" <sql>"), body, F.lit("</sql> and <sql>SELECT 2</sql>")))
+        .when(F.col("turn") % 3 == 1, F.concat(F.lit(" <SQL>"), body, F.lit("</Sql>"))).otherwise(F.lit(" <sql> </sql>"))).alias("text"))
+
+
 @query("extract_sql")
 def q_extract_sql(spark, sf):
-    c = _t(spark, sf, "conversations")
+    c = answers_with_sql(spark, sf)
     return c.select("conv_id", "turn", Q.extract_sql(F.col("text")).alias("sql"))
 
 
+#: Ends of stand-in task titles.
+TITLE_ENDS = ["Hourly totals", "by time of day", "per WEEK", "Monthly sales", "by month", "annual sum", "over the years", "by day",
+              "weekly, by hour"]
+
+
 @query("granularity")
 def q_granularity(spark, sf):
+    """Titles made of conversation texts and words for every grain."""
     c = _t(spark, sf, "conversations")
-    return c.select("conv_id", "turn", A.granularity(F.col("text")).alias("granularity"))
+    end = F.element_at(F.array(*[F.lit(t) for t in TITLE_ENDS]), ((F.col("conv_id") + F.col("turn")) % len(TITLE_ENDS) + 1).cast("int"))
+    title = F.concat_ws(" ", "text", end)
+    return c.select("conv_id", "turn", A.granularity(title).alias("granularity"))
 
 
 # -- plans, insights, charts ------------------------------------------------------
@@ -769,7 +786,10 @@ def q_quantiles_nan(spark, sf):
 
 @query("history_kept")
 def q_history_kept(spark, sf):
-    return H.last_turns(_t(spark, sf, "conversations"), H.KEPT_TURNS)
+    """Dialogues of hundreds of turns: each user's events as messages."""
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"),
+                                       F.col("event_type").alias("role"), F.col("props").alias("text"))
+    return H.last_turns(e, H.KEPT_TURNS)
 
 
 @query("catalog_profile")
