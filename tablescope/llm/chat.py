@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rowid import with_row_number
+from .common import slices
 
 PART, LEAD = 256, 64
 SYSTEM, UNKNOWN = "system", "unknown"
@@ -52,7 +53,7 @@ def render(messages: list[dict], perspective: str) -> tuple[str, list[dict]]:
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         messages = batch["messages"].to_pylist()
         both = [render(m, p) for m, p in zip(messages, batch["perspective"].to_pylist())]
         yield pa.record_batch([batch["conv_id"], batch["perspective"], batch["part"],

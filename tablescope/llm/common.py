@@ -3,15 +3,22 @@ lineage, and the table readers of the registered queries."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space as the contracts define it: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a batch that become Python objects at a time.
+SLICE = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -64,6 +71,21 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast an object of this package by value, so that executors need
+    not have the package; the result gives the object, once per task."""
+    raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(raw.value)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few rows at a time become Python objects,
+    which take many times the room they have in Arrow's columns."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hash_sample(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     """Of each group (a label, a language: few) the ``n`` rows whose key hashes
     smallest, with that hash as ``u`` in [0, 1). Rows that can't be among them

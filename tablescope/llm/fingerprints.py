@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, texts
+from .common import partitions, slices, texts
 from .shingles import WORDS, of_words, word_hashes
 
 #: Hashes a sketch holds.
@@ -95,7 +95,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     after it. Only one document is held back."""
     names = [x.split()[0] for x in OUT.split(", ")]
     held = None                                     # (range, doc_id, text, sketch) of the row above
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for at, guest, doc_id, text in zip(*(batch[c].to_pylist() for c in ("range", "guest", "doc_id", "text"))):
             own = sketch(text)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, texts
+from .common import hash_sample, shipped, slices, texts
 
 #: Length of a profile; labelled documents of a language to learn from; letters counted at a time.
 TOP, PER_LANGUAGE, BLOCK = 300, 400, 1 << 18
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, top
     chosen = hash_sample(spark_rows.select("lang", "doc_id"), "lang", "doc_id", per_language).select("lang", "doc_id").distinct()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 seen, times = grams(letters(text or ""))
                 if len(seen):
@@ -118,11 +118,11 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, top
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``doc_id``, ``lang_pred`` and ``score`` per document, from the text alone."""
-    model = docs.sparkSession.sparkContext.broadcast(profiles)
+    model = shipped(docs.sparkSession, profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        for batch in batches:
+        own = model()
+        for batch in slices(batches):
             found = [own.predict(t) for t in batch["text"].to_pylist()]
             yield pa.record_batch({"doc_id": batch["doc_id"], "lang_pred": pa.array([x for x, _ in found], pa.string()),
                                    "score": pa.array([x for _, x in found], pa.float64())})

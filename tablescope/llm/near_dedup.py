@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, texts, written
+from .common import partitions, slices, texts, written
 from .components import components
 from .probminhash import BANDS, band_keys, signature, similarity
 from .shingles import of_words, word_hashes
@@ -46,7 +46,7 @@ BLOCK = 256
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         digests, keys = [], []
         for text in batch["text"].to_pylist():
             words = word_hashes(text)
@@ -62,7 +62,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         items, counts = [], []
         for text in batch["text"].to_pylist():
             x, n = np.unique(of_words(word_hashes(text)), return_counts=True)
@@ -114,7 +114,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = sides
         return list(_forest(left, right or None, band)) if len(left) + len(right) > 1 and left else []
 
-    for batch in batches:
+    for batch in slices(batches):
         found = []
         for row in zip(*(batch[c].to_pylist() for c in ("task", "band", "side", "node", "component", "keys", "items", "counts"))):
             if row[0] != task:

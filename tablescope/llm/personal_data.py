@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import slices, texts
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = 4
@@ -152,7 +152,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     ``kind:start:end`` (code points, end exclusive) and a digest of the base ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, all_spans = [[] for _ in KINDS], [], []
             for text in batch["text"].to_pylist():
                 found = spans(text, anchors)

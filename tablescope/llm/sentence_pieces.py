@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, slices, written
 
 CHUNK = 16384
 MARK = "▁"
@@ -183,7 +183,7 @@ _ENCODED = "row long, chunk long, ids array<int>, matrix array<struct<x:int,p:st
 def _chunked(prefix: str, size: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _CHUNKS.split(", ")]
-        for batch in batches:
+        for batch in slices(batches):
             for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
                 text = prefix + text
                 borders = cuts(text, size)
@@ -215,13 +215,13 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
 
     def short(batches):
         own = Model(file.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids = pa.array(own.encode(batch["text"].to_pylist()), pa.list_(pa.int32()))
             yield pa.record_batch([*[batch[f.name] for f in kept], ids], names=[*[f.name for f in kept], "ids"])
 
     def chunks(batches):
         own = Model(file.value)
-        for batch in batches:
+        for batch in slices(batches):
             ids, matrices = [], []
             for whole, begin, end, opened, closed, body in _chunk_texts(batch):
                 clean = opened and closed
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
 
     def traced(batches):
         own = Model(file.value)
-        for batch in batches:
+        for batch in slices(batches):
             states = zip(*(batch[c].to_pylist() for c in "xpyq"))
             ids = [own.trace(whole, begin, end, (x, p), (y, q), closed)
                    for (whole, begin, end, _, closed, _), (x, p, y, q) in zip(_chunk_texts(batch), states)]
@@ -284,7 +284,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         own = Model(file.value)
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array(own.decode([x or [] for x in batch["ids"].to_pylist()]), pa.string())
             yield pa.record_batch([*batch.columns, texts], names=[*names, "text"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizer_files
-from .common import texts, written
+from .common import slices, texts, written
 
 #: Documents of the sample, about; common pre-tokens and their most characters.
 SAMPLE, COMMON, LONGEST = 4000, 1 << 17, 40
@@ -41,14 +41,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
     def seen(batches):
         """Of a sample: in how many documents a pre-token is."""
         tokens, found = tokenizer_files.load(file.value, kind), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch["text"].to_pylist():
                 found.update(tokens.split(text)[0].keys())
         yield pa.record_batch({"token": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
 
     def pieces(batches):
         tokens = tokenizer_files.load(file.value, kind)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch({"token": batch["token"], "pieces": pa.array(
                 [tokens.count(t) for t in batch["token"].to_pylist()], pa.int64())})
 
@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
 
     def frequencies(batches):
         tokens, known = tokenizer_files.load(file.value, kind), common.value
-        for batch in batches:
+        for batch in slices(batches):
             sizes, sums, ends, rest, times = [], [], [0], [], []
             for text in batch["text"].to_pylist():
                 found, special = tokens.split(text)

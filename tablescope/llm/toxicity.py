@@ -5,8 +5,8 @@ identifiers hash smallest, a documented bound. Terms are words and word
 beginnings of 4 to 8 letters (inflected and compounded forms of one insult
 share a beginning). Kept are terms at least ``TIMES`` times as common with
 label 1, with a likelihood ratio statistic of at least ``LEAST`` (of words
-that are equally common with both labels, one in a hundred thousand reaches
-it), the ``TERMS`` best by that statistic. Their document frequencies are counted over all documents. A document's vector holds
+that are equally common with both labels, one in two thousand reaches it),
+the ``TERMS`` best by that statistic. Their document frequencies are counted over all documents. A document's vector holds
 (1 + ln frequency) * idf, scaled to length 1; terms outside the list don't count.
 
 Search: the examples' vectors are an inverted index, term by example, whose
@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, texts
+from .common import hash_sample, shipped, slices, texts
 
 #: Labelled documents of a label; terms; neighbours; examples in a block; the votes' least distance.
 PER_LABEL, TERMS, NEAREST, BLOCK, NEAR = 3000, 600, 15, 64, 0.05
 #: Fewest examples that hold a term; lengths of word beginnings.
 HELD_BY, BEGINNINGS = 4, range(4, 9)
 #: How much commoner a term is with label 1, and its least likelihood ratio statistic.
-TIMES, LEAST = 3.0, 20.0
+TIMES, LEAST = 3.0, 12.0
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
-        for batch in batches:
+        for batch in slices(batches):
             for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
                 seen[label].update(["", *terms_of(text)])               # the empty term counts the examples
         every = sorted(seen[0] | seen[1])
@@ -226,7 +226,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, seen, documents = finder(names), np.zeros(len(names), np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             documents += batch.num_rows
             for text in batch["text"].to_pylist():
                 for t in frequencies(text, found):
@@ -238,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = finder(names)
-        for batch in batches:
+        for batch in slices(batches):
             own = [frequencies(t, found) for t in batch["text"].to_pylist()]
             yield pa.record_batch({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hash": batch["hash"],
                                    "terms": pa.array([list(x) for x in own], pa.list_(pa.int32())),
@@ -254,12 +254,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
 
 def kept(docs: DataFrame, index: Index) -> DataFrame:
     """``docs``, columns as they were, without the rows whose text is called toxic."""
-    model, names = docs.sparkSession.sparkContext.broadcast(index), docs.columns
+    model, names = shipped(docs.sparkSession, index), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = model()
         found = finder(own.terms)
-        for batch in batches:
+        for batch in slices(batches):
             stays = [own.score(frequencies(t or "", found))[0] < THRESHOLD for t in batch["text"].to_pylist()]
             yield batch.filter(pa.array(stays))
 
@@ -268,12 +268,12 @@ def kept(docs: DataFrame, index: Index) -> DataFrame:
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """``doc_id``, ``score``, ``predicted`` and ``evidence`` (the neighbours) per document, from the text alone."""
-    model = docs.sparkSession.sparkContext.broadcast(index)
+    model = shipped(docs.sparkSession, index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
+        own = model()
         found = finder(own.terms)
-        for batch in batches:
+        for batch in slices(batches):
             got = [own.score(frequencies(t, found)) for t in batch["text"].to_pylist()]
             yield pa.record_batch({
                 "doc_id": batch["doc_id"], "score": pa.array([s for s, _ in got], pa.float64()),
