@@ -168,7 +168,7 @@ def distinct_counts_long(df: DataFrame, fields: list[T.StructField],
     packed = F.array(*[F.when(qcol(f.name).isNotNull(), F.struct(
         F.lit(i).alias("ci"), F.xxhash64(F.lit(1), _hashable(f)).alias("h1"), F.xxhash64(F.lit(2), _hashable(f)).alias("h2")))
         for i, f in zip(indices or range(len(fields)), fields)])
-    values = df.select(F.inline(F.filter(packed, lambda x: x.isNotNull())))
+    values = df.select(F.inline(packed)).where(F.col("ci").isNotNull())
     return values.distinct().groupBy("ci").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
