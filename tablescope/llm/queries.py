@@ -43,7 +43,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text; digests of the ids and of the decoded text."""
     model, docs = tokenizer_file("piece_bpe_32k.model"), table(spark, sf_dir, "documents")
-    both = sentence_pieces.decode(sentence_pieces.encode(docs, model, ["doc_id"]), model)
+    both = sentence_pieces.encode(docs, model, ["doc_id"], decoded=True)
     decoded = F.sha2("text", 256)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"),

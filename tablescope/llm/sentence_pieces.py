@@ -200,9 +200,11 @@ def _chunk_texts(batch: pa.RecordBatch):
         yield text, len(r["before"]), len(r["before"]) + len(r["body"]), r["opened"], r["closed"], r["body"]
 
 
-def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """The carried columns of ``docs``, ``text_sha256`` of the text and ``ids``
-    (array of int) per document. ``model``: path of a sentencepiece file."""
+    (array of int) per document. ``model``: path of a sentencepiece file.
+    ``decoded``: also the ids decoded again, as ``text``, in the same pass
+    over the texts of one chunk, so that no second worker holds them."""
     spark = docs.sparkSession
     with open(model, "rb") as f:
         file = spark.sparkContext.broadcast(f.read())
@@ -216,8 +218,10 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
     def short(batches):
         own = Model(file.value)
         for batch in slices(batches):
-            ids = pa.array(own.encode(batch["text"].to_pylist()), pa.list_(pa.int32()))
-            yield pa.record_batch([*[batch[f.name] for f in kept], ids], names=[*[f.name for f in kept], "ids"])
+            ids = own.encode(batch["text"].to_pylist())
+            more = [pa.array(own.decode(ids), pa.string())] if decoded else []
+            yield pa.record_batch([*[batch[f.name] for f in kept], pa.array(ids, pa.list_(pa.int32())), *more],
+                                  names=[*[f.name for f in kept], "ids", *["text"] * decoded])
 
     def chunks(batches):
         own = Model(file.value)
@@ -258,7 +262,7 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
                    for (whole, begin, end, _, closed, _), (x, p, y, q) in zip(_chunk_texts(batch), states)]
             yield pa.record_batch({"row": batch["row"], "chunk": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    small = rows.where(F.length("text") <= chunk).mapInArrow(short, f"{schema}, ids array<int>")
+    small = rows.where(F.length("text") <= chunk).mapInArrow(short, f"{schema}, ids array<int>" + ", text string" * decoded)
     giants = written(rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giants")
     pieces = written(giants.select("row", "text").mapInArrow(_chunked(mine.prefix, chunk, mine.longest), _CHUNKS)
                      .repartition(partitions(spark), "row", "chunk"), "chunks")
@@ -269,8 +273,8 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
     whole = (first.where("matrix IS NULL").select("row", "chunk", "ids").unionByName(second)
              .groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda s: s["ids"])).alias("ids")))
     large = giants.drop("text").join(whole, "row").drop("row")
-    out = small.unionByName(large)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "text_sha256", "ids")
+    out = small.unionByName(decode(large, model) if decoded else large)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "text_sha256", "ids", *["text"] * decoded)
 
 
 _MATRIX = pa.list_(pa.struct([("x", pa.int32()), ("p", pa.string()), ("y", pa.int32()), ("q", pa.string()), ("w", pa.float64())]))
