@@ -180,16 +180,18 @@ _CHUNKS = "row long, chunk long, before string, body string, after string, opene
 _ENCODED = "row long, chunk long, ids array<int>, matrix array<struct<x:int,p:string,y:int,q:string,w:double>>"
 
 
-def _chunked(prefix: str, size: int, longest: int):
+def _chunked(prefix: str, size: int, longest: int, heads: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _CHUNKS.split(", ")]
         for batch in slices(batches):
-            for row, text in zip(batch["row"].to_pylist(), batch["text"].to_pylist()):
+            for i, (row, text) in enumerate(zip(batch["row"].to_pylist(), batch["text"].to_pylist())):
                 text = prefix + text
                 borders = cuts(text, size)
-                out = [(row, i, text[max(0, a - longest):a], text[a:b], text[b:b + longest], opened, closed)
-                       for i, ((a, opened), (b, closed)) in enumerate(zip(borders, borders[1:]))]
-                yield pa.record_batch([pa.array(c) for c in zip(*out)], names=names)
+                out = [(row, j, text[max(0, a - longest):a], text[a:b], text[b:b + longest], opened, closed)
+                       for j, ((a, opened), (b, closed)) in enumerate(zip(borders, borders[1:]))]
+                # what the document carries goes with its first chunk only
+                first = [pa.concat_arrays([batch[h].slice(i, 1), pa.nulls(len(out) - 1, batch[h].type)]) for h in heads]
+                yield pa.record_batch([*[pa.array(c) for c in zip(*out)], *first], names=[*names, *heads])
     return run
 
 
@@ -263,8 +265,9 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
             yield pa.record_batch({"row": batch["row"], "chunk": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     small = rows.where(F.length("text") <= chunk).mapInArrow(short, f"{schema}, ids array<int>" + ", text string" * decoded)
-    giants = written(rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "giants")
-    pieces = written(giants.select("row", "text").mapInArrow(_chunked(mine.prefix, chunk, mine.longest), _CHUNKS)
+    giants = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    heads = [f.name for f in kept]
+    pieces = written(giants.mapInArrow(_chunked(mine.prefix, chunk, mine.longest, heads), f"{_CHUNKS}, {schema}")
                      .repartition(partitions(spark), "row", "chunk"), "chunks")
     first = written(pieces.mapInArrow(chunks, _ENCODED), "encoded")
     knots = first.where("matrix IS NOT NULL").select("row", "chunk", "matrix").groupBy("row").applyInPandas(
@@ -272,7 +275,7 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
     second = pieces.join(knots, ["row", "chunk"]).mapInArrow(traced, "row long, chunk long, ids array<int>")
     whole = (first.where("matrix IS NULL").select("row", "chunk", "ids").unionByName(second)
              .groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda s: s["ids"])).alias("ids")))
-    large = giants.drop("text").join(whole, "row").drop("row")
+    large = pieces.where("chunk = 0").select("row", *heads).join(whole, "row").drop("row")
     out = small.unionByName(decode(large, model) if decoded else large)
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "text_sha256", "ids", *["text"] * decoded)
 
