@@ -212,8 +212,8 @@ def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
 
 
 def profile_with_facts(df: DataFrame, dataset: str = "dataset", approx: bool = False, samples: bool = True,
-                       probs: list[float] = FACT_PROBS) -> tuple[DataFrame, dict[str, dict]]:
-    """The profile, and the unrounded statistics that later tasks reuse: per
+                       probs: list[float] = FACT_PROBS, distincts: bool = True) -> tuple[DataFrame, dict[str, dict]]:
+    """The profile (``distincts`` off leaves unique_count 0), and the unrounded statistics that later tasks reuse: per
     numeric column mean, stddev and its quantiles at ``probs``; per date or
     time column the quantiles of its epoch seconds."""
     spark = df.sparkSession
@@ -224,7 +224,7 @@ def profile_with_facts(df: DataFrame, dataset: str = "dataset", approx: bool = F
     ranked = {i: ranked_value(f) for i, f in enumerate(fields) if probs and ranked_value(f) is not None
               and (i in numeric or len(probs) > 1)}
     jobs = [lambda: _moments(df, fields, approx, probs, ranked)]
-    if not approx:
+    if distincts and not approx:
         for batch in _batches(list(enumerate(fields))):
             jobs.append(lambda b=batch: distinct_counts_long(
                 df, [f for _, f in b], [i for i, _ in b]).collect())
@@ -315,9 +315,9 @@ def distinct_counts(df: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame) -> DataFrame:
     """A5: min, max, mean, median, sample stddev of every numeric column."""
-    p = profile(df.select(*[qcol(f.name) for f in df.schema.fields
-                            if base_category(f.dataType) == "numeric"]),
-                samples=False)
+    p, _ = profile_with_facts(df.select(*[qcol(f.name) for f in df.schema.fields
+                                          if base_category(f.dataType) == "numeric"]),
+                              samples=False, probs=[0.5], distincts=False)
     return p.select(F.col("name").alias("column"), "min_val", "max_val", "mean_val",
                     "median_val", "std_val")
 
