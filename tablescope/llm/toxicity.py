@@ -3,25 +3,26 @@
 Examples: of each label the ``PER_LABEL`` labelled documents whose
 identifiers hash smallest, a documented bound. Terms are words and word
 beginnings of 4 to 8 letters (inflected and compounded forms of one insult
-share a beginning). Kept are terms at least ``TIMES`` times as common with
-label 1, with a likelihood ratio statistic of at least ``LEAST`` (of words
-that are equally common with both labels, one in two thousand reaches it),
-the ``TERMS`` best by that statistic. Their document frequencies are counted over all documents. A document's vector holds
-(1 + ln frequency) * idf, scaled to length 1; terms outside the list don't count.
-
-Search: the examples' vectors are an inverted index, term by example, whose
-postings are cut into blocks of ``BLOCK`` examples, each with its largest
-weight (block-max).
-For a document, the sums of its weights times the blocks' largest ones bound
-the cosines in every block; blocks are scored in full in the order of their
-bounds until the ``NEAREST`` best cosines are at least the next bound. The
-neighbours are exact; ties go to the example that comes first by identifier hash.
+share a beginning): all that any example holds. Their document frequencies
+are counted over all documents. A document's vector holds
+(1 + ln frequency) * idf * lean, scaled to length 1; terms that no example
+holds don't count. The lean is the square root of 1 + the likelihood ratio
+statistic of a term that is commoner with label 1, and 1 for every other
+term: it weighs terms, it leaves none out.
+
+Search: the examples' vectors are an inverted index, term by example. The
+postings of a document's terms are summed up in single precision, those of
+the ``COMMON`` commonest terms as a matrix product for a slice of documents;
+examples that come within ``SLACK`` of the ``NEAREST`` best sums are computed
+again in double precision, so the neighbours are exact; ties go to the
+example that comes first by identifier hash.
 
 Score: neighbours vote with weight 1 / (1 - cosine + ``NEAR``), times the
 number of labelled documents each stands for; examples share no term with
 the document are no neighbours. The share of the vote is calibrated to a
 probability by isotonic regression over the examples, each scored without
-itself. Documents without any term get the examples' own rate of that case.
+itself. Documents without any term get the examples' own rate of that case,
+0 if no example is without.
 The evidence is the neighbours with their cosines and labels.
 
 Defined results: null and empty texts have no term; without labelled
@@ -40,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, shipped, slices, texts
+from .common import SLICE, hash_sample, shipped, slices, texts
 
-#: Labelled documents of a label; terms; neighbours; examples in a block; the votes' least distance.
-PER_LABEL, TERMS, NEAREST, BLOCK, NEAR = 3000, 600, 15, 64, 0.05
-#: Fewest examples that hold a term; lengths of word beginnings.
-HELD_BY, BEGINNINGS = 4, range(4, 9)
-#: How much commoner a term is with label 1, and its least likelihood ratio statistic.
-TIMES, LEAST = 3.0, 12.0
+#: Labelled documents of a label; neighbours; examples in a dense slab; the votes' least distance.
+PER_LABEL, NEAREST, BLOCK, NEAR = 3000, 15, 64, 0.05
+#: Lengths of word beginnings.
+BEGINNINGS = range(4, 9)
+#: Terms whose postings are a matrix; what sums in single precision may be off by.
+COMMON, SLACK = 2048, 1e-5
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -65,43 +66,43 @@ def terms_of(text: str) -> Counter:
     return found
 
 
-def finder(terms: list[str]):
-    """An Aho-Corasick automaton of the terms' letters; its matches still need their word borders checked."""
-    import ahocorasick
+class Finder:
+    """Which terms a word counts for: itself and its beginnings, as far as listed."""
 
-    found = ahocorasick.Automaton()
-    for i, t in enumerate(terms):
-        whole, key = not t.endswith("*"), t.rstrip("*")
-        # a word and an equal beginning share an entry
-        found.add_word(key, (len(key), *found.get(key, (0, -1, -1))[1:]) if found.exists(key) else (len(key), -1, -1))
-        size, as_word, as_start = found.get(key)
-        found.add_word(key, (size, i if whole else as_word, as_start if whole else i))
-    found.make_automaton()
-    return found
+    def __init__(self, terms: list[str]):
+        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
+        self.starts = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
+        self.known: dict[str, tuple[int, ...]] = {}
 
+    def __len__(self) -> int:
+        return len(self.words) + len(self.starts)
 
-def frequencies(text: str, found) -> dict[int, int]:
-    """How often each listed term occurs, as ``terms_of`` counts."""
-    lower, out = text.lower(), {}
-    if not len(found):                  # no term at all: there is no automaton to run
-        return out
-    for last, (size, as_word, as_start) in found.iter(lower):
-        at, after = last - size + 1, last + 1
-        if at and _letter(lower[at - 1]):
-            continue
-        inside = after < len(lower) and _letter(lower[after])
-        term = as_start if inside else as_word
-        if term >= 0:
-            out[term] = out.get(term, 0) + 1
-    return out
+    def of(self, word: str) -> tuple[int, ...]:
+        got = self.known.get(word)
+        if got is None:
+            whole, size = self.words.get(word), len(word)
+            starts = [i for n in BEGINNINGS if n < size and (i := self.starts.get(word[:n])) is not None] if size > BEGINNINGS[0] else []
+            got = tuple(starts) if whole is None else (whole, *starts)
+            if whole is not None:               # as many as there are terms at most
+                self.known[word] = got
+        return got
 
 
-def _letter(c: str) -> bool:
-    return _WORDS.match(c) is not None
+def finder(terms: list[str]) -> Finder:
+    return Finder(terms)
+
+
+def frequencies(text: str, found: Finder) -> dict[int, int]:
+    """How often each listed term occurs, as ``terms_of`` counts."""
+    out: dict[int, int] = {}
+    for word, n in Counter(_WORDS.findall(text.lower())).items():
+        for term in found.of(word):
+            out[term] = out.get(term, 0) + n
+    return out
 
 
 class Index:
-    """The examples as a block-max inverted index, with votes and calibration."""
+    """The examples as an inverted index, with votes and calibration."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int],
                  vectors: list[tuple[np.ndarray, np.ndarray]], stands_for: np.ndarray, nearest: int = NEAREST):
@@ -109,69 +110,118 @@ class Index:
         used = [i for i, (t, _) in enumerate(vectors) if len(t)]        # the others have no posting
         self.ids, self.labels = np.array(ids, np.int64)[used], np.array(labels, np.int64)[used]
         self.each = stands_for[np.array(labels, np.int64)[used]] if used else np.empty(0)
-        blocks = -(-len(used) // BLOCK)
-        # a term's postings in a block are a row of the block's slab; the largest weight of each
-        self.postings = np.zeros((blocks, len(terms), BLOCK))
-        for place, i in enumerate(used):
-            self.postings[place // BLOCK, vectors[i][0], place % BLOCK] = vectors[i][1]
-        self.largest = self.postings.max(axis=2, initial=0.0).T
+        # example by example: what each holds
+        self.ends = np.cumsum([0, *(len(vectors[i][0]) for i in used)])
+        self.holds = np.concatenate([np.empty(0, np.int32), *(vectors[i][0].astype(np.int32) for i in used)])
+        self.weighs = np.concatenate([np.empty(0, np.float32), *(vectors[i][1].astype(np.float32) for i in used)])
+        # term by term: the postings of all but the commonest
+        held_by = np.bincount(self.holds, minlength=len(terms))
+        self.row = np.full(len(terms), -1, np.int32)
+        common = np.argsort(-held_by, kind="stable")[:COMMON]
+        self.row[common] = np.arange(len(common))
+        order = np.argsort(self.holds, kind="stable")
+        order = order[self.row[self.holds[order]] < 0]
+        place = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(self.ends))
+        self.posted, self.posted_weighs = place[order], self.weighs[order]
+        self.starts = np.append(0, np.cumsum(np.where(self.row < 0, held_by, 0)))
+        self.matrix = None
         rest = [labels[i] for i, (t, _) in enumerate(vectors) if not len(t)]
         weights = [float(stands_for[x]) for x in rest]
         self.without = float(np.dot(rest, weights) / sum(weights)) if sum(weights) else 0.0
         self.steps, self.levels = np.empty(0), np.empty(0)
         if used:
-            raw = np.array([self.vote(*vectors[i], but=p) for p, i in enumerate(used)])
-            self.steps, self.levels = isotonic(raw, self.labels.astype(float), self.each)
+            raw = []
+            for at in range(0, len(used), SLICE):
+                some = range(at, min(at + SLICE, len(used)))
+                raw += [self.vote(*n) for n in self.searches([vectors[used[p]] for p in some], list(some))]
+            self.steps, self.levels = isotonic(np.array(raw), self.labels.astype(float), self.each)
+
+    def __getstate__(self):
+        return {**self.__dict__, "matrix": None}            # made again where it is used
+
+    @property
+    def postings(self) -> Iterator[np.ndarray]:
+        """The vectors as dense slabs, terms by ``BLOCK`` examples, one at a time."""
+        for at in range(0, len(self.ids), BLOCK):
+            slab = np.zeros((len(self.terms), BLOCK))
+            for p in range(at, min(at + BLOCK, len(self.ids))):
+                own = slice(self.ends[p], self.ends[p + 1])
+                slab[self.holds[own], p - at] = self.weighs[own]
+            yield slab
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         return scaled(counts, self.idf)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples, best first; only those that share a term."""
-        places, cosines = np.empty(0, np.int64), np.empty(0)
-        if not self.largest.shape[1] or not len(terms):
-            return places, cosines
-        bounds = weights @ self.largest[terms]
-        order = np.argsort(-bounds, kind="stable")
-        for b in order:
-            # a block may still hold an equal cosine that comes earlier, so only smaller bounds end the search
-            if bounds[b] <= 0 or len(cosines) == self.nearest and bounds[b] < cosines[-1] - 1e-9:
-                break
-            sums = weights @ self.postings[b, terms]
-            if 0 <= but - b * BLOCK < BLOCK:
-                sums[but - b * BLOCK] = 0
-            hit = np.flatnonzero(sums > 0)
-            places = np.concatenate([places, hit + b * BLOCK])
-            cosines = np.concatenate([cosines, np.round(sums[hit], 12)])
+    def _sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Cosines with every example, in single precision."""
+        if self.matrix is None:
+            self.matrix = np.zeros((min(COMMON, len(self.terms)), len(self.ids)), np.float32)
+            place = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
+            row = self.row[self.holds]
+            self.matrix[row[row >= 0], place[row >= 0]] = self.weighs[row >= 0]
+        common = np.zeros((len(vectors), len(self.matrix)), np.float32)
+        for k, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            common[k, row[row >= 0]] = weights[row >= 0]
+        sums = common @ self.matrix
+        for k, (terms, weights) in enumerate(vectors):
+            rare = self.row[terms] < 0
+            terms, weights = terms[rare], weights[rare]
+            first, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+            at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            sums[k] += np.bincount(self.posted[at], self.posted_weighs[at] * np.repeat(weights, sizes), len(self.ids))
+        return sums
+
+    def searches(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each document the places and cosines of the nearest examples, best
+        first; only those that share a term. ``but``: the example each one is itself."""
+        none = np.empty(0, np.int64), np.empty(0)
+        if not len(self.ids):
+            return [none] * len(vectors)
+        sums, own, out = self._sums(vectors), np.zeros(len(self.terms)), []
+        if but is not None:
+            sums[np.arange(len(vectors)), but] = 0
+        for (terms, weights), row in zip(vectors, sums):
+            least = np.partition(row, -self.nearest)[-self.nearest] - SLACK if len(row) > self.nearest else 0
+            places = np.flatnonzero((row > 0) & (row >= least))
+            if not len(places):
+                out.append(none)
+                continue
+            own[terms] = weights
+            sizes = self.ends[places + 1] - self.ends[places]
+            first = np.cumsum(sizes) - sizes
+            at = np.arange(sizes.sum()) + np.repeat(self.ends[places] - first, sizes)
+            cosines = np.round(np.add.reduceat(own[self.holds[at]] * self.weighs[at], first), 12)
+            own[terms] = 0
             best = np.lexsort((places, -cosines))[:self.nearest]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
+            out.append((places[best], cosines[best]))
+        return out
+
+    def search(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.searches([(terms, weights)])[0]
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, but: int = -1) -> float:
-        places, cosines = self.search(terms, weights, but)
+    def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         if not len(places):
             return 0.0
         votes = self.each[places] / (1 - np.minimum(cosines, 1) + NEAR)
         return float((votes * self.labels[places]).sum() / votes.sum())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[dict]]:
-        terms, weights = self.vector(counts)
-        if not len(terms):
-            return self.without, []
-        places, cosines = self.search(terms, weights)
-        if not len(places):
-            return self.without, []
-        votes = self.each[places] / (1 - np.minimum(cosines, 1) + NEAR)
-        raw = float((votes * self.labels[places]).sum() / votes.sum())
-        near = [{"doc_id": int(self.ids[p]), "cosine": float(c), "toxic": int(self.labels[p])} for p, c in zip(places, cosines)]
-        return float(np.interp(raw, self.steps, self.levels)), near
+    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, list[dict]]]:
+        """Of each document its score and its neighbours."""
+        out = []
+        for places, cosines in self.searches([self.vector(c) for c in counts]):
+            near = [{"doc_id": int(self.ids[p]), "cosine": float(c), "toxic": int(self.labels[p])} for p, c in zip(places, cosines)]
+            out.append((float(np.interp(self.vote(places, cosines), self.steps, self.levels)) if near else self.without, near))
+        return out
 
 
 def scaled(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not counts:
         return np.empty(0, np.int64), np.empty(0)
-    terms = np.array(sorted(counts))
-    weights = (1 + np.log([counts[t] for t in terms])) * idf[terms]
+    terms, times = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+    order = np.argsort(terms)
+    terms = terms[order]
+    weights = (1 + np.log(times[order])) * idf[terms]
     return terms, weights / np.sqrt((weights ** 2).sum())
 
 
@@ -186,10 +236,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = PER_LABEL, terms: int = TERMS) -> Index:
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = PER_LABEL) -> Index:
     """The index from ``labels`` (doc_id, toxic) of documents where ``usable``,
-    a condition on ``doc_id``, holds. All that reaches the driver: the terms,
-    at most ``per_label`` vectors of at most ``terms`` entries a label, and counts."""
+    a condition on ``doc_id``, holds. All that reaches the driver: the
+    terms and vectors of at most ``per_label`` examples a label, and counts."""
     context, rows = docs.sparkSession.sparkContext, texts(docs)
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -220,36 +270,42 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = P
     a, b, every = F.col("n0"), F.col("n1"), n0 + n1
     statistic = (part(a, n0, a + b, every) + part(b, n1, a + b, every)
                  + part(n0 - a, n0, every - a - b, every) + part(n1 - b, n1, every - a - b, every))
-    listed = (both.where((F.col("term") != "") & (a + b >= HELD_BY) & (b * n0 >= TIMES * a * n1))
-              .select("term", statistic.alias("s")).where(2 * F.col("s") >= LEAST).orderBy(F.desc("s"), "term").limit(terms))
-    names = [r["term"] for r in listed.collect()]
+    lean = F.when(b * n0 > a * n1, F.sqrt(1 + 2 * F.greatest(statistic, F.lit(0.0)))).otherwise(1.0)
+    listed = both.where(F.col("term") != "").select("term", lean.alias("lean")).toArrow().sort_by("term")
+    names, leans = listed["term"].to_pylist(), listed["lean"].to_numpy()
+    listed_by = shipped(docs.sparkSession, names)
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen, documents = finder(names), np.zeros(len(names), np.int64), 0
+        found, documents = finder(listed_by()), 0
+        seen = np.zeros(len(found), np.int64)
         for batch in slices(batches):
             documents += batch.num_rows
             for text in batch["text"].to_pylist():
-                for t in frequencies(text, found):
-                    seen[t] += 1
-        yield pa.record_batch({"term": pa.array([-1, *range(len(names))], pa.int32()), "n": pa.array([documents, *seen], pa.int64())})
+                own = set().union(*map(found.of, set(_WORDS.findall(text.lower()))))
+                seen[np.fromiter(own, np.int64, len(own))] += 1
+        here = np.flatnonzero(seen)
+        yield pa.record_batch({"term": pa.array([-1, *here], pa.int32()), "n": pa.array([documents, *seen[here]], pa.int64())})
 
-    counts = {r["term"]: r["n"] for r in rows.select("text").mapInArrow(holds, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + counts[-1]) / (1 + np.array([counts[i] for i in range(len(names))], float))) + 1 if names else np.empty(0)
+    counts = rows.select("text").mapInArrow(holds, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counts["term"].to_numpy(), counts["n"].to_numpy()
+    held_by = np.zeros(len(names))
+    held_by[term[term >= 0]] = n[term >= 0]
+    idf = (np.log((1 + n[term < 0].sum()) / (1 + held_by)) + 1) * leans
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = finder(names)
+        found = finder(listed_by())
         for batch in slices(batches):
             own = [frequencies(t, found) for t in batch["text"].to_pylist()]
             yield pa.record_batch({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hash": batch["hash"],
-                                   "terms": pa.array([list(x) for x in own], pa.list_(pa.int32())),
-                                   "times": pa.array([list(x.values()) for x in own], pa.list_(pa.int32()))})
+                                   "terms": pa.array([np.array(sorted(x), "<i4").tobytes() for x in own], pa.binary()),
+                                   "times": pa.array([np.array([x[t] for t in sorted(x)], "<i4").tobytes() for x in own], pa.binary())})
 
-    got = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, hash double, terms array<int>, times array<int>").collect(),
+    got = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, hash double, terms binary, times binary").toArrow().to_pylist(),
                  key=lambda r: (r["hash"], r["doc_id"], r["terms"], r["times"]))
     here = Counter(r["toxic"] for r in got)
     stands = np.array([sizes.get(i, 0) / max(1, here[i]) for i in (0, 1)], float)
     return Index(names, idf, [r["doc_id"] for r in got], [r["toxic"] for r in got],
-                 [scaled(dict(zip(r["terms"], r["times"])), idf) for r in got], stands)
+                 [scaled(dict(zip(np.frombuffer(r["terms"], "<i4").tolist(), np.frombuffer(r["times"], "<i4").tolist())), idf) for r in got], stands)
 
 
 def kept(docs: DataFrame, index: Index) -> DataFrame:
@@ -260,7 +316,7 @@ def kept(docs: DataFrame, index: Index) -> DataFrame:
         own = model()
         found = finder(own.terms)
         for batch in slices(batches):
-            stays = [own.score(frequencies(t or "", found))[0] < THRESHOLD for t in batch["text"].to_pylist()]
+            stays = [s < THRESHOLD for s, _ in own.scores([frequencies(t or "", found) for t in batch["text"].to_pylist()])]
             yield batch.filter(pa.array(stays))
 
     return docs.select(*names).mapInArrow(run, docs.schema)
@@ -274,7 +330,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
         own = model()
         found = finder(own.terms)
         for batch in slices(batches):
-            got = [own.score(frequencies(t, found)) for t in batch["text"].to_pylist()]
+            got = own.scores([frequencies(t, found) for t in batch["text"].to_pylist()])
             yield pa.record_batch({
                 "doc_id": batch["doc_id"], "score": pa.array([s for s, _ in got], pa.float64()),
                 "predicted": pa.array([int(s >= THRESHOLD) for s, _ in got], pa.int32()),

@@ -355,6 +355,17 @@ def test_toxicity_odd(index, odd, none, spark):
     assert {r.score for r in toxicity.score(odd, nothing).collect()} == {0.0}
 
 
+def test_every_word_of_the_examples_is_searched(index):
+    """No term of an example is left out, and every document that shares one has neighbours."""
+    docs, labels, ix = index
+    toxic = {r.doc_id for r in labels.collect() if r.toxic is not None}
+    rows = {r.doc_id: toxicity.terms_of(r.text or "") for r in docs.collect()}
+    held = set().union(*(t for i, t in rows.items() if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2))
+    assert set(ix.terms) == held and len(ix.idf) == len(held) and (ix.idf >= 1).all()
+    near = {r.doc_id: len(r.evidence) for r in toxicity.score(docs, ix).collect()}
+    assert {i for i, n in near.items() if n} == {i for i, t in rows.items() if held & set(t)}
+
+
 def test_isotonic():
     steps, levels = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.9]), np.array([0., 1., 0., 1.]), np.array([1., 1., 3., 1.]))
     assert levels.tolist() == [0.0, 0.25, 1.0] and steps[1] == pytest.approx(1.1 / 4)
