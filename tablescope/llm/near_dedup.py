@@ -1,7 +1,10 @@
 """Near-duplicates: ProbMinHash, banding, verification.
 
 1. One pass turns each text into its five-word shingles with their counts,
-   a ProbMinHash signature (``probminhash``) and 40 band keys. Texts with the same words
+   a ProbMinHash signature (``probminhash``) and 40 band keys. Texts that repeat
+   a shingle get a second signature, with all weights 1, and its band keys too
+   (without repeats the two are one): links by plain and by weighted similarity
+   have the same chance to share a band. Texts with the same words
    in the same order are one node; copies never meet pairwise.
 2. Nodes that share a band key are a bucket. Buckets with the same members
    are kept once, in their lowest band.
@@ -56,7 +59,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             items, counts = np.unique(of_words(words), return_counts=True)
             digests.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-            keys.append(band_keys(signature(items, counts.astype(float))))
+            own = band_keys(signature(items, counts.astype(float))).tolist()
+            if (counts > 1).any():
+                plain = band_keys(signature(items, np.ones(len(items)))).tolist()
+                own += [None if b == a else b for a, b in zip(own, plain)]      # a key once a text
+            keys.append(own)
         yield pa.record_batch({"doc_id": batch["doc_id"], "code": batch["code"], "digest": pa.array(digests, pa.binary()),
                                "keys": pa.array(keys, pa.list_(pa.int64()))})
 
@@ -72,6 +79,12 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                "counts": pa.array(counts, pa.binary())})
 
 
+def _weighted_and_plain(keys: list[int | None]) -> np.ndarray:
+    """Two rows of band keys, equal for a text without repeated shingles."""
+    weighted, plain = keys[:BANDS], keys[BANDS:] or keys[:BANDS]
+    return np.array([weighted, [a if b is None else b for a, b in zip(weighted, plain)]])
+
+
 def _linked(a: tuple, b: tuple) -> bool:
     """Members (.., items as a set, items and counts)."""
     if min(len(a[3]), len(b[3])) * 10 < 7 * max(len(a[3]), len(b[3])) and not (a[5] or b[5]):
@@ -94,10 +107,11 @@ def _forest(left: list[tuple], right: list[tuple] | None, band: int) -> Iterator
         return x
 
     others = left if right is None else right
-    keys = np.array([m[2] for m in others]) if others else np.empty((0, BANDS))
+    keys = np.array([m[2] for m in others]) if others else np.empty((0, 2, BANDS))
+    kinds = [(0, 0), (0, 1), (1, 0), (1, 1)] if any(m[5] for m in [*left, *others]) else [(0, 0)]
     for i, a in enumerate(left):
         start = i + 1 if right is None else 0
-        earlier = (keys[start:, :band] == a[2][:band]).any(axis=1)       # compared in a lower band
+        earlier = np.any([(keys[start:, k, :band] == a[2][of, :band]).any(axis=1) for k, of in kinds], axis=0)    # compared in a lower band
         for j in np.flatnonzero(~earlier) + start:
             b = others[j]
             x, y = root(a[1]), root(b[1])
@@ -122,7 +136,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 task, band, sides = row[0], row[1], ([], [])
             items = np.frombuffer(row[6], np.uint64)
             counts = np.ones(len(items), np.uint32) if row[7] is None else np.frombuffer(row[7], np.uint32)
-            sides[row[2]].append((row[3], row[4], np.array(row[5]), set(items.tolist()), (items, counts), row[7] is not None))
+            sides[row[2]].append((row[3], row[4], _weighted_and_plain(row[5]), set(items.tolist()), (items, counts), row[7] is not None))
         if found:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
     if found := links():
@@ -148,7 +162,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     # a node is the first row of a digest
     nodes = written(rows.drop("digest").join(of_digest, "row"), "nodes")
 
-    banded = nodes.select(F.col("row").alias("node"), F.posexplode("keys").alias("band", "key"))
+    banded = (nodes.select(F.col("row").alias("node"), F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL")
+              .select("node", (F.col("at") % BANDS).alias("band"), "key"))
     buckets = (banded.groupBy("key").agg(F.count("*").alias("members"), F.min("band").alias("band"), F.min("node").alias("low"),
                                          F.max("node").alias("high"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
                .where("members > 1"))

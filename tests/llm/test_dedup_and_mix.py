@@ -215,6 +215,23 @@ def test_near_classes_against_all_pairs(spark, monkeypatch):
     assert got == by_hand(rows)
 
 
+def test_near_classes_by_plain_similarity_alone(spark, monkeypatch):
+    """Copies with passages repeated many times: plain similarity 0.97, weighted
+    0.17; one repeats in both texts, and blocks are small."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rows = []
+    for n in range(6):
+        text = " ".join(f"w{n}x{i}" for i in range(404))
+        loud = " ".join(f"l{n}x{i}" for i in range(10))
+        other = " ".join(f"o{n}x{i}" for i in range(10))
+        rows += [(10 * n, text), (10 * n + 1, f"{text} " + " ".join([loud] * 200))]
+        if n > 2:
+            rows += [(10 * n + 2, f"{text} " + " ".join([other] * 150)), (10 * n + 3, f"{text} {text}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = Counter(tuple(r) for r in near_dedup.near_classes(df).drop("code").collect())
+    assert got == by_hand(rows) and {r[2] for r in got} == {2, 4}
+
+
 def test_near_dedup_keeps_columns(odd):
     out = near_dedup.near_dedup(odd)
     assert out.columns == odd.columns
