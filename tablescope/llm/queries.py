@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, exact_dedup, fingerprints, language, mixing, near_dedup, personal_data, sentence_pieces, token_counts,
-    toxicity,
+    chat, exact_dedup, fingerprints, language, mixing, near_dedup, packing, periodic_runs, personal_data,
+    sentence_pieces, spelling, token_counts, toxicity,
 )
 from .common import fold, table
 
@@ -73,8 +75,38 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("code")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.word_counts(table(spark, sf_dir, "documents"), spelling.one_letter_less))
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """For one document in ten, by its identifier's crc32, the words from some place on repeat a few of them."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    at = g % n
+    unit = words[at:at + 1 + (n - at) // (3 + g % 8)]
+    return words[:at] + (unit * ((n - at) // len(unit) + 1))[:n - at]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), repeated_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = found.select("*", periodic_runs.longest_run().alias("best"))
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), closing_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op7_chat,
-    op8_mixing, op9_token_counts, op10_near_dedup)}
+    op8_mixing, op9_token_counts, op10_near_dedup, op11_spelling_variants, op12_periodic_runs, op13_packing)}
 
 ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}

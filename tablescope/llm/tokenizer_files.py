@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from collections import Counter
 
 #: Texts of these characters only are in normal form, and Python's lower case and
 #: white space are the library's; all others take the library's own steps.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]")
 _CACHED = 1 << 17
+#: Words of a generation whose ids are kept.
+_GENERATION = 1 << 18
+#: Whether an array of four-byte integers is little-endian here.
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def read(path: str) -> bytes:
@@ -87,6 +93,38 @@ class Json:
         return len(self.library.model.tokenize(pre_token))
 
 
+class Ids(dict):
+    """Token ids of texts by a tokenizers file, as little-endian 32-bit integers: the library's,
+    without added, begin or end tokens, truncation or padding. Texts in normal form are joined
+    from their words' ids, each word's kept once it is known: the last ``_GENERATION`` words and
+    those of the generation before, from which words still in use are taken over."""
+
+    def __init__(self, raw: bytes):
+        super().__init__()
+        self.before: dict[str, bytes] = {}
+        self.file = Json(raw)
+        self.file.library.no_truncation()
+        self.file.library.no_padding()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= _GENERATION:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(word)
+        if ids is None:
+            tokenize, letter = self.file.library.model.tokenize, self.file.letter.__getitem__
+            ids = b"".join(t.id.to_bytes(4, "little") for part in self.file.pattern.findall(word)
+                           for t in tokenize("".join(map(letter, part.encode()))))
+        self[word] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if self.file.pattern is None or _PLAIN.search(text) or self.file.added.search(text):
+            ids = self.file.library.encode(text, add_special_tokens=False).ids
+            return array("I", ids).tobytes() if _LITTLE else b"".join(i.to_bytes(4, "little") for i in ids)
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
 class Pieces:
     """A sentencepiece file whose pieces hold white space only in front."""
 
