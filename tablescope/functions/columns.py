@@ -23,6 +23,15 @@ def strict_double(name: str) -> Column:
     return qcol(name).cast("double")
 
 
+# Numbers as text. Spark's own cast also takes Java's type letters (12d, 3F).
+NUMBER_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$"
+
+
+def try_number(text: Column) -> Column:
+    """A double from text, NULL where it is no number."""
+    return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
+
+
 def try_timestamp(c: Column, dtype: T.DataType | None = None) -> Column:
     """Tolerant cast to a naive timestamp; NULL on bad text."""
     if isinstance(dtype, T.TimestampNTZType):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import qcol
+from ..functions.columns import qcol, try_number
 from ..functions.quantiles import grouped_quantiles
 
 # Fixed values of the chart rules.
@@ -27,12 +27,12 @@ def with_seq(result: DataFrame) -> DataFrame:
 
 def _float_like(c: Column) -> Column:
     """True when the value's text parses as a number."""
-    return c.cast("string").try_cast("double").isNotNull()
+    return try_number(c.cast("string")).isNotNull()
 
 
 def num_or_zero(c: Column) -> Column:
     """Chart numbers: NULL or unparsable -> 0.0."""
-    return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
+    return F.coalesce(try_number(c.cast("string")), F.lit(0.0))
 
 
 def _fact_aggs(x: str, y: str | None) -> list[Column]:
@@ -42,7 +42,7 @@ def _fact_aggs(x: str, y: str | None) -> list[Column]:
             F.count_distinct(xc.cast("string")).alias("unique_x")]
     if y is not None:
         yc = qcol(y)
-        ynum = yc.cast("string").try_cast("double")
+        ynum = try_number(yc.cast("string"))
         aggs += [F.count(yc).alias("_ny"),
                  F.count_if(yc.isNotNull() & ynum.isNull()).alias("_bad"),
                  F.count_if(ynum.isNotNull() & (ynum != 0)).alias("_nz")]

@@ -351,7 +351,7 @@ def orders_as_token_text(spark, sf) -> DataFrame:
 def _write_token_csv(spark, sf, sep=",", encoding="UTF-8") -> str:
     path = SRC.scratch_path(spark, "csv")
     text = orders_as_token_text(spark, sf).withColumnRenamed("_idx", "Unnamed: 0")
-    text.write.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    text.write.option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"').csv(path)
     return path
 
 
@@ -376,7 +376,7 @@ def q_sniff_delimiter(spark, sf):
         path = SRC.scratch_path(spark, name)
         _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag",
                                          "l_extendedprice") \
-            .write.option("header", True).option("sep", sep).csv(path)
+            .write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
         rows.append((name, sep, SRC.sniff_delimiter(spark, path)))
     return spark.createDataFrame(rows, "file string, written string, detected string")
 
@@ -389,7 +389,7 @@ def q_sniff_quoted(spark, sf):
         path = SRC.scratch_path(spark, name)
         d = _t(spark, sf, "documents")
         (d.select("doc_id", "lang", F.concat(F.lit(f"x{sep}y "), "text").alias("text"), "source")
-         .write.option("header", True).option("sep", sep).option("quoteAll", True).csv(path))
+         .write.option("header", True).option("sep", sep).option("quoteAll", True).option("escape", '"').csv(path))
         rows.append((name, sep, SRC.sniff_delimiter(spark, path)))
     return spark.createDataFrame(rows, "file string, written string, detected string")
 
@@ -397,7 +397,7 @@ def q_sniff_quoted(spark, sf):
 @query("csv_no_header")
 def q_csv_no_header(spark, sf):
     path = SRC.scratch_path(spark, "bare")
-    orders_as_token_text(spark, sf).write.option("header", False).csv(path)
+    orders_as_token_text(spark, sf).write.option("header", False).option("escape", '"').csv(path)
     return SRC.read_csv_tokens(spark, path, sep=",", header=False)
 
 
@@ -406,10 +406,55 @@ def q_keep_real_c1(spark, sf):
     """A blank header goes; columns that are called _c1 and _c2 stay."""
     path = SRC.scratch_path(spark, "named")
     _t(spark, sf, "orders").select(F.col("o_custkey").alias(" "), F.col("o_orderkey").alias("_c1"), F.col("o_orderstatus").alias("_c2")) \
-        .write.option("header", True).csv(path)
+        .write.option("header", True).option("escape", '"').csv(path)
     return SRC.read_csv_tokens(spark, path, sep=",")
 
 
+def _written_as_text(df: DataFrame, path: str) -> str:
+    """CSV as other programs write it: doubled quotes, cells as they are."""
+    (df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+@query("csv_doubled_quotes")
+def q_csv_doubled_quotes(spark, sf):
+    """Cells with quotes, separators and backslashes, some at a cell's end."""
+    said = F.concat(F.lit('say "'), "source", F.lit('", '), "text", F.lit(' "so"'))
+    df = _t(spark, sf, "documents").select("doc_id", said.alias("said"), F.concat("lang", F.lit(':\\')).alias("folder"), "n_chars")
+    return SRC.read_csv_tokens(spark, _written_as_text(df, SRC.scratch_path(spark, "quotes")), sep=",")
+
+
+@query("csv_line_breaks")
+def q_csv_line_breaks(spark, sf):
+    """Quoted line breaks and doubled quotes, found and cut by the reader itself."""
+    broken = F.replace(F.replace("text", F.lit(". "), F.lit('.\n"')), F.lit(", "), F.lit('",\n\n'))
+    df = _t(spark, sf, "documents").select("doc_id", broken.alias("text"), "source", "lang")
+    return SRC.read_csv_tokens(spark, _written_as_text(df, SRC.scratch_path(spark, "breaks")))
+
+
+@query("csv_letter_codes")
+def q_csv_letter_codes(spark, sf):
+    """Codes that end in d, f or D look like Java's number literals; they are text."""
+    o = _t(spark, sf, "orders")
+    code = lambda letter: F.concat((F.col("o_custkey") % 90).cast("string"), F.lit(letter))
+    df = o.select("o_orderkey", code("d").alias("desk"), code("F").alias("floor"), code("e1").alias("tens"))
+    return SRC.read_csv_tokens(spark, _written_as_text(df, SRC.scratch_path(spark, "codes")))
+
+
+@query("json_array_split")
+def q_json_array_split(spark, sf):
+    """One file that is one array, with brackets and quotes in its strings, read by many tasks."""
+    e, path = _t(spark, sf, "events"), SRC.scratch_path(spark, "array")
+    said = e.withColumn("note", F.concat(F.lit('}], {"'), "event_type", F.lit('\\"')))
+    first = e.agg(F.min("event_id")).first()[0]
+    line = F.concat(F.when(F.col("event_id") == first, "").otherwise(","), F.to_json(F.struct("*"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}))
+    ends = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, event_id long, value string")
+    rows = said.select(F.lit(1).alias("part"), "event_id", line.alias("value"))
+    ends.unionByName(rows).coalesce(1).sortWithinPartitions("part", "event_id").select("value").write.text(path)
+    return SRC.read_json(spark, path).select("event_id", "ts", "user_id", "event_type", "value", "props", "note")
+
+
 @query("json_bad_line")
 def q_json_bad_line(spark, sf):
     """A truncated record among the good ones, asked to be left out."""
@@ -426,9 +471,9 @@ def q_encoding_fallback(spark, sf):
     path = SRC.scratch_path(spark, "latin1")
     (d.write.option("header", True).option("encoding", "ISO-8859-1")
       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-      .csv(path))
+      .option("escape", '"').csv(path))
     enc = SRC.detect_encoding(spark, path)
-    back = SRC.read_csv_tokens(spark, path, sep=",", encoding=enc, multi_line=True)
+    back = SRC.read_csv_tokens(spark, path, sep=",", encoding=enc)
     return back.select(F.lit(enc).alias("encoding"), "*")
 
 
@@ -452,7 +497,7 @@ def q_drop_index_columns(spark, sf):
     path = SRC.scratch_path(spark, "indexed")
     text = orders_as_token_text(spark, sf)
     (text.select(F.col("_idx").alias(" "), F.col("_idx").alias("Unnamed: 1"), *[c for c in text.columns if c != "_idx"])
-     .write.option("header", True).csv(path))
+     .write.option("header", True).option("escape", '"').csv(path))
     return SRC.read_csv_tokens(spark, path, sep=",")
 
 

@@ -7,14 +7,16 @@ line of the data is looked at by itself."""
 from __future__ import annotations
 
 import csv
+import io
 import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ISO_TIMESTAMP_TEXT, qcol
+from ..functions.columns import ISO_TIMESTAMP_TEXT, qcol, try_number
 from ..session import ensure_checkpoint_dir, parallel_map
+from .records import csv_records, json_records, may_be_open
 
 # The null tokens of the CSV reader, in this order.
 NULL_TOKENS = ["NA", "N/A", "n/a", "nan", "NaN", "NAN", "null", "NULL", "None", "NONE",
@@ -60,7 +62,7 @@ def _parses(c: Column, t: str) -> Column:
     if t == "bigint":
         return c.try_cast("bigint").isNotNull()
     if t == "double":
-        return c.try_cast("double").isNotNull()
+        return try_number(c).isNotNull()
     if t == "date":
         return c.rlike(ISO_DATE_TEXT) & c.try_cast("date").isNotNull()
     return c.rlike(ISO_TIMESTAMP_TEXT) & c.try_cast("timestamp_ntz").isNotNull()
@@ -98,23 +100,55 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
+def _header_names(cells: list[str]) -> list[str]:
+    """Column names of a header as Spark gives them: a blank one and one that
+    another has too get their place's number."""
+    lower = [c.lower() for c in cells]
+    return [f"_c{i}" if not c else f"{c}{i}" if lower.count(c.lower()) > 1 else c for i, c in enumerate(cells)]
+
+
+def _cut_csv(spark: SparkSession, path: str, sep: str, encoding: str, header: bool) -> tuple[DataFrame, list[str]]:
+    """Text columns and header cells of delimited text whose cells hold line
+    breaks: cut into records by many tasks, parsed, and kept as Parquet in the
+    shared folder, so that the cutting is done once."""
+    records = csv_records(spark, path, sep).select("header", F.decode("record", encoding).alias("record"))
+    first = records.where("header").first()
+    if first is None:
+        return spark.createDataFrame([], "_c0 string"), []
+    cells = next(csv.reader(io.StringIO(first["record"], newline=""), delimiter=sep))
+    options = {"sep": sep, "mode": "FAILFAST", "escape": '"'}
+    schema = ", ".join(f"c{i} string" for i in range(len(cells)))
+    parsed = records.where(~F.col("header") if header else F.lit(True)).select(F.from_csv("record", schema, options).alias("r")).select("r.*")
+    kept = scratch_path(spark, "records")
+    parsed.write.parquet(kept)
+    names = _header_names(cells) if header else [f"_c{i}" for i in range(len(cells))]
+    return spark.read.schema(schema).parquet(kept).toDF(*names), cells
+
+
 def read_csv_tokens(spark: SparkSession, path: str, sep: str | None = None,
                     encoding: str | None = None, header: bool = True,
-                    multi_line: bool = False) -> DataFrame:
-    """CSV, 13 null tokens, whole-file type inference; malformed rows
-    fail the read (FAILFAST). Delimiter and encoding are detected when not
-    given (S2, S3). Columns whose header is blank, or is one of pandas' index
-    names, are dropped (S7); without a header nothing is. ``multi_line``
-    (quoted line breaks) makes every file one unsplittable task, so it is
-    opt-in. Every later pass parses the text again: ``parsed_once`` keeps it."""
+                    multi_line: bool | None = None) -> DataFrame:
+    """CSV as RFC 4180 has it (quotes in quoted cells doubled), 13 null
+    tokens, whole-file type inference; malformed rows fail the read (FAILFAST).
+    Delimiter and encoding are detected when not given (S2, S3), and so is
+    whether a line may end within a quoted cell (``multi_line``: it does, it
+    doesn't). Columns whose header is blank, or is one of pandas' index
+    names, are dropped (S7); without a header nothing is. Every later pass
+    parses the text again: ``parsed_once`` keeps it."""
     if sep is None or encoding is None:
-        found_sep, found_enc = text_facts(spark, path)
+        found_sep, found_enc, found_open = _text_facts(spark, path)
+        if sep is None:
+            multi_line = found_open if multi_line is None else multi_line
         sep, encoding = sep or found_sep, encoding or found_enc
-    raw = (spark.read.option("header", header).option("inferSchema", False)
-           .option("mode", "FAILFAST").option("sep", sep).option("encoding", encoding)
-           .option("multiLine", multi_line).csv(path))
+    if multi_line is None:
+        multi_line = not spark.read.text(path).where(may_be_open(F.col("value"), sep)).isEmpty()
+    if multi_line:
+        raw, names = _cut_csv(spark, path, sep, encoding, header)
+    else:
+        raw = (spark.read.option("header", header).option("inferSchema", False).option("escape", '"')
+               .option("mode", "FAILFAST").option("sep", sep).option("encoding", encoding).csv(path))
+        names = next(csv.reader([first_line(spark, path)], delimiter=sep), []) if header else []
     if header:
-        names = next(csv.reader([first_line(spark, path)], delimiter=sep), [])
         blank = {i for i, n in enumerate(names) if not n.strip()}
         keep = [c for i, c in enumerate(raw.columns) if i not in blank and c not in index_columns([c])]
         raw = raw.select(*[qcol(c) for c in keep or raw.columns])
@@ -172,13 +206,21 @@ def sniff_delimiter(spark: SparkSession, path: str,
     return _pick_delimiter(row, path, candidates)
 
 
-def text_facts(spark: SparkSession, path: str,
-               candidates: list[str] = DELIMITER_CANDIDATES) -> tuple[str, str]:
-    """S2 + S3 in one pass over the raw lines: (delimiter, encoding)."""
+def _text_facts(spark: SparkSession, path: str, candidates: list[str] = DELIMITER_CANDIDATES) -> tuple[str, str, bool]:
+    """S2 + S3 in one pass over the raw lines: delimiter, encoding, and whether
+    a line may end within a quoted cell."""
     row = spark.read.text(path).agg(
         *_delimiter_aggs(first_line(spark, path), candidates),
+        *[F.bool_or(may_be_open(F.col("value"), d)).alias(f"open{i}") for i, d in enumerate(candidates)],
         F.count_if(~F.is_valid_utf8("value")).alias("_bad")).first()
-    return _pick_delimiter(row, path, candidates), ("ISO-8859-1" if row["_bad"] else "UTF-8")
+    sep = _pick_delimiter(row, path, candidates)
+    return sep, "ISO-8859-1" if row["_bad"] else "UTF-8", bool(row[f"open{candidates.index(sep)}"])
+
+
+def text_facts(spark: SparkSession, path: str,
+               candidates: list[str] = DELIMITER_CANDIDATES) -> tuple[str, str]:
+    """S2 + S3 in one pass over the raw lines: (delimiter, encoding)."""
+    return _text_facts(spark, path, candidates)[:2]
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -209,12 +251,22 @@ def is_json_document(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).where(line.startswith("{") & F.rtrim(line).endswith("}")).isEmpty()
 
 
+def _compressed(spark: SparkSession, path: str) -> bool:
+    return any(re.search(r"\.(gz|bz2|zst|lz4|snappy|deflate)$", f) for f in spark.read.text(path).inputFiles())
+
+
 def read_json(spark: SparkSession, path: str, bad_lines: str = "raise") -> DataFrame:
     """JSON array or newline-delimited; nested types kept; string
-    fields that hold dates or timestamps are typed as such (I1). A line that
-    is no JSON raises, or with ``bad_lines="drop"`` is left out."""
+    fields that hold dates or timestamps are typed as such (I1). An array's
+    elements (or pretty-printed objects) are first written one a line, by as
+    many tasks as the file has blocks. What is no JSON raises, or with
+    ``bad_lines="drop"`` is left out."""
     mode = {"raise": "FAILFAST", "drop": "DROPMALFORMED"}[bad_lines]
-    df = spark.read.option("multiLine", is_json_document(spark, path)).option("mode", mode).json(path)
+    lines, document = path, is_json_document(spark, path)
+    if document and not _compressed(spark, path):          # what is compressed can't be read in parts
+        lines, document = scratch_path(spark, "elements"), False
+        json_records(spark, path).select(F.col("record").cast("string").alias("value")).write.text(lines)
+    df = spark.read.option("multiLine", document).option("mode", mode).json(lines)
     strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
     if not strings:
         return df
