@@ -23,6 +23,7 @@ repeated. Extra columns are ignored. No rows in, no rows out."""
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +41,23 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 WIDE = 4
 
 
-def closest_sum(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length give the largest sum that is at most ``room``."""
+def closest_sum(counts: dict[int, int], room: int, lengths: list[int] | None = None) -> dict[int, int]:
+    """How many of each length give the largest sum that is at most ``room``.
+    ``lengths``: the lengths in order, where they are known so."""
     reach, within, steps = 1, (1 << room + 1) - 1, []
-    for length in sorted(counts, reverse=True):
+    lengths = sorted(counts) if lengths is None else lengths
+    for at in range(bisect_right(lengths, room) - 1, -1, -1):
+        length = lengths[at]
         left, some = min(counts[length], room // length), 1
-        while left and not reach >> room & 1:
+        while left:
             some = min(some, left)
             more = (reach | reach << length * some) & within
             if more != reach:
                 steps.append((length, some, reach))
                 reach = more
             left, some = left - some, some * 2
+        if reach >> room & 1:
+            break
     used: dict[int, int] = {}
     total = reach.bit_length() - 1
     for length, some, before in reversed(steps):
@@ -66,35 +72,43 @@ class Window:
 
     def __init__(self):
         self.pieces: dict[int, list[tuple]] = {}
+        self.counts: dict[int, int] = {}
+        self.lengths: list[int] = []
         self.n = self.tokens = 0
 
     def add(self, piece: tuple) -> None:
         length = len(piece[2]) // WIDE
-        self.pieces.setdefault(length, []).append(piece)
+        if length not in self.pieces:
+            self.pieces[length], self.counts[length] = [], 0
+            insort(self.lengths, length)
+        self.pieces[length].append(piece)
+        self.counts[length] += 1
         self.n, self.tokens = self.n + 1, self.tokens + length
 
     def take(self, length: int) -> tuple:
         own = self.pieces[length]
         piece = own.pop()
+        self.counts[length] -= 1
         if not own:
-            del self.pieces[length]
+            del self.pieces[length], self.counts[length], self.lengths[bisect_right(self.lengths, length) - 1]
         self.n, self.tokens = self.n - 1, self.tokens - length
         return piece
 
     def filled(self, size: int) -> Iterator[list[tuple]]:
         """Sequences of ``size`` tokens, at least one; the window holds as many tokens."""
-        counts = {length: len(own) for length, own in self.pieces.items() if length <= size}
         used: dict[int, int] = {}
-        if counts:
-            longest = max(counts)
-            counts[longest] -= 1
-            used = closest_sum({k: v for k, v in counts.items() if v}, size - longest)
+        fitting = bisect_right(self.lengths, size)
+        if fitting:
+            longest = self.lengths[fitting - 1]
+            self.counts[longest] -= 1
+            used = closest_sum(self.counts, size - longest, self.lengths)
+            self.counts[longest] += 1
             used[longest] = used.get(longest, 0) + 1
         slack = size - sum(k * v for k, v in used.items())
         for _ in range(1 if slack else min(len(self.pieces[k]) // v for k, v in used.items())):
             chosen = [self.take(k) for k, v in used.items() for _ in range(v)]
             if slack:
-                doc, start, ids, whole = self.take(min(k for k in self.pieces if k > slack))
+                doc, start, ids, whole = self.take(self.lengths[bisect_right(self.lengths, slack)])
                 chosen.append((doc, start, ids[:slack * WIDE], whole))
                 self.add((doc, start + slack, ids[slack * WIDE:], whole))
             yield chosen

@@ -102,6 +102,7 @@ class Ids(dict):
     def __init__(self, raw: bytes):
         super().__init__()
         self.before: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.file = Json(raw)
         self.file.library.no_truncation()
         self.file.library.no_padding()
@@ -112,12 +113,24 @@ class Ids(dict):
             self.clear()
         ids = self.before.get(word)
         if ids is None:
-            tokenize, letter = self.file.library.model.tokenize, self.file.letter.__getitem__
-            ids = b"".join(t.id.to_bytes(4, "little") for part in self.file.pattern.findall(word)
-                           for t in tokenize("".join(map(letter, part.encode()))))
+            plain = word.isascii() and word.isalpha()               # one part, of letters that stand for themselves
+            ids = self.pieces(word) if plain else b"".join(map(self.part, self.file.pattern.findall(word)))
         self[word] = ids
         return ids
 
+    def part(self, part: str) -> bytes:
+        """Ids of a part, which words with other signs around it share."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(self.parts) >= _GENERATION:
+                self.parts.clear()
+            ids = self.parts[part] = self.pieces("".join(map(self.file.letter.__getitem__, part.encode())))
+        return ids
+
+    def pieces(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.file.library.model.tokenize(letters)]).tobytes() if _LITTLE else \
+            b"".join(t.id.to_bytes(4, "little") for t in self.file.library.model.tokenize(letters))
+
     def of(self, text: str) -> bytes:
         if self.file.pattern is None or _PLAIN.search(text) or self.file.added.search(text):
             ids = self.file.library.encode(text, add_special_tokens=False).ids

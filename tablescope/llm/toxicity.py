@@ -1,24 +1,25 @@
 """Toxicity by the nearest labelled examples.
 
 Examples: of each label the ``PER_LABEL`` labelled documents whose
-identifiers hash smallest, a documented bound. Terms are words and word
-beginnings of 4 to 8 letters (inflected and compounded forms of one insult
-share a beginning): all that any example holds. Their document frequencies
-are counted over all documents. A document's vector holds
-(1 + ln frequency) * idf * lean, scaled to length 1; terms that no example
-holds don't count. The lean is the square root of 1 + the likelihood ratio
-statistic of a term that is commoner with label 1, and 1 for every other
-term: it weighs terms, it leaves none out.
-
-Search: the examples' vectors are an inverted index, term by example. The
-postings of a document's terms are summed up in single precision, those of
-the ``COMMON`` commonest terms as a matrix product for a slice of documents;
-examples that come within ``SLACK`` of the ``NEAREST`` best sums are computed
-again in double precision, so the neighbours are exact; ties go to the
-example that comes first by identifier hash.
+identifiers hash smallest, a documented bound; terms are the words that any of
+them holds, none left out, with the number of examples that hold each. A
+document's vector holds (1 + ln frequency) * idf * lean, scaled to length 1;
+words that no example holds don't count. The lean is the square root of 1 + the
+likelihood ratio statistic of a term that is commoner with label 1, and 1 for
+every other term: it weighs terms, it leaves none out.
+
+Search: a block-max inverted index. Examples that resemble each other are next
+to each other, ``BLOCK`` to a block. A term's postings (example, weight) are in
+that order, and for each block that has any the index holds the largest weight
+and where the block's postings are. For a document, the largest weights bound
+the cosine with any example of a block; blocks are scored exactly, from their
+postings of the document's terms, in the order of their bounds, twice as many
+each time, until the next bound is below the ``NEAREST``-th best cosine found.
+Blocks behind that are skipped; the neighbours are those of a search of all.
+Ties go to the example that comes first by identifier hash.
 
 Score: neighbours vote with weight 1 / (1 - cosine + ``NEAR``), times the
-number of labelled documents each stands for; examples share no term with
+number of labelled documents each stands for; examples that share no term with
 the document are no neighbours. The share of the vote is calibrated to a
 probability by isotonic regression over the examples, each scored without
 itself. Documents without any term get the examples' own rate of that case,
@@ -41,164 +42,149 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, hash_sample, shipped, slices, texts
+from .common import hash_sample, shipped, slices, texts
 
-#: Labelled documents of a label; neighbours; examples in a dense slab; the votes' least distance.
+#: Labelled documents of a label; neighbours; examples of a block; the votes' least distance.
 PER_LABEL, NEAREST, BLOCK, NEAR = 3000, 15, 64, 0.05
-#: Lengths of word beginnings.
-BEGINNINGS = range(4, 9)
-#: Terms whose postings are a matrix; what sums in single precision may be off by.
-COMMON, SLACK = 2048, 1e-5
+#: Blocks scored first; what bounds may be off by, added up in another order.
+FIRST, SLACK = 2, 1e-9
+#: Coordinates of the sketches that resemblance of examples is judged by, rounds of grouping them.
+SKETCH, ROUNDS = 64, 5
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_NONE = np.empty(0, np.int64), np.empty(0)
 
 
-def terms_of(text: str) -> Counter:
-    """Words and their beginnings (marked *), in lower case, with frequencies."""
-    found: Counter = Counter()
-    for word, n in Counter(_WORDS.findall(text.lower())).items():
-        found[word] += n
-        for size in BEGINNINGS:
-            if len(word) <= size:
-                break
-            found[word[:size] + "*"] += n
-    return found
+def words_of(text: str) -> Counter:
+    """Words in lower case, with frequencies."""
+    return Counter(_WORDS.findall(text.lower()))
 
 
-class Finder:
-    """Which terms a word counts for: itself and its beginnings, as far as listed."""
-
-    def __init__(self, terms: list[str]):
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
-        self.starts = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __len__(self) -> int:
-        return len(self.words) + len(self.starts)
-
-    def of(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            whole, size = self.words.get(word), len(word)
-            starts = [i for n in BEGINNINGS if n < size and (i := self.starts.get(word[:n])) is not None] if size > BEGINNINGS[0] else []
-            got = tuple(starts) if whole is None else (whole, *starts)
-            if whole is not None:               # as many as there are terms at most
-                self.known[word] = got
-        return got
-
-
-def finder(terms: list[str]) -> Finder:
-    return Finder(terms)
-
-
-def frequencies(text: str, found: Finder) -> dict[int, int]:
-    """How often each listed term occurs, as ``terms_of`` counts."""
-    out: dict[int, int] = {}
-    for word, n in Counter(_WORDS.findall(text.lower())).items():
-        for term in found.of(word):
-            out[term] = out.get(term, 0) + n
-    return out
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 class Index:
-    """The examples as an inverted index, with votes and calibration."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int],
-                 vectors: list[tuple[np.ndarray, np.ndarray]], stands_for: np.ndarray, nearest: int = NEAREST):
-        self.terms, self.idf, self.nearest = terms, idf, nearest
-        used = [i for i, (t, _) in enumerate(vectors) if len(t)]        # the others have no posting
-        self.ids, self.labels = np.array(ids, np.int64)[used], np.array(labels, np.int64)[used]
-        self.each = stands_for[np.array(labels, np.int64)[used]] if used else np.empty(0)
-        # example by example: what each holds
-        self.ends = np.cumsum([0, *(len(vectors[i][0]) for i in used)])
-        self.holds = np.concatenate([np.empty(0, np.int32), *(vectors[i][0].astype(np.int32) for i in used)])
-        self.weighs = np.concatenate([np.empty(0, np.float32), *(vectors[i][1].astype(np.float32) for i in used)])
-        # term by term: the postings of all but the commonest
-        held_by = np.bincount(self.holds, minlength=len(terms))
-        self.row = np.full(len(terms), -1, np.int32)
-        common = np.argsort(-held_by, kind="stable")[:COMMON]
-        self.row[common] = np.arange(len(common))
-        order = np.argsort(self.holds, kind="stable")
-        order = order[self.row[self.holds[order]] < 0]
-        place = np.repeat(np.arange(len(used), dtype=np.int32), np.diff(self.ends))
-        self.posted, self.posted_weighs = place[order], self.weighs[order]
-        self.starts = np.append(0, np.cumsum(np.where(self.row < 0, held_by, 0)))
-        self.matrix = None
-        rest = [labels[i] for i, (t, _) in enumerate(vectors) if not len(t)]
-        weights = [float(stands_for[x]) for x in rest]
-        self.without = float(np.dot(rest, weights) / sum(weights)) if sum(weights) else 0.0
+    """Examples as a block-max inverted index, with votes and calibration.
+    ``held``: of each example the places in ``words`` of what it holds, one
+    example after the other; ``times``: how often; ``ends``: where each one ends."""
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, labels: np.ndarray, held: np.ndarray, times: np.ndarray,
+                 ends: np.ndarray, sizes: tuple[float, float], nearest: int = NEAREST):
+        self.words, self.nearest = words, nearest
+        self.number: dict[str, int] | None = None
+        each = np.array([n / max(1, (labels == label).sum()) for label, n in enumerate(sizes)])[labels] if len(labels) else np.empty(0)
+        empty = np.diff(ends, prepend=0) == 0
+        weight = each[empty].sum()
+        self.without = float((each * labels)[empty].sum() / weight) if weight else float(len(labels) > 0 and labels.all())
+        place = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+        self.idf = self._idf(held, labels[place], labels, len(words))
+        weights = (1 + np.log(times)) * self.idf[held]
+        weights /= np.sqrt(np.bincount(place, weights ** 2, len(ids)))[place]
+        # examples with any term, those that resemble each other side by side
+        used = np.flatnonzero(~empty)
+        order = used[self._grouped(place, held, weights, len(ids))[used].argsort(kind="stable")]
+        new = np.full(len(ids), -1)
+        new[order] = np.arange(len(order))
+        self.ids, self.labels, self.each, self.first = ids[order], labels[order], each[order], order
+        by_term = np.lexsort((new[place], held))
+        self.example, self.weight, term = new[place][by_term].astype(np.int32), weights[by_term], held[by_term]
+        # a row for each term and block: where its postings begin, their largest weight
+        begins = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(self.example // BLOCK, prepend=-1) != 0))
+        self.begins = np.append(begins, len(term))
+        self.block = self.example[begins] // BLOCK
+        self.largest = np.maximum.reduceat(self.weight, begins) if len(begins) else np.empty(0)
+        self.rows = np.searchsorted(term[begins], np.arange(len(words) + 1))
+        self.blocks = -(-len(order) // BLOCK)
         self.steps, self.levels = np.empty(0), np.empty(0)
-        if used:
-            raw = []
-            for at in range(0, len(used), SLICE):
-                some = range(at, min(at + SLICE, len(used)))
-                raw += [self.vote(*n) for n in self.searches([vectors[used[p]] for p in some], list(some))]
-            self.steps, self.levels = isotonic(np.array(raw), self.labels.astype(float), self.each)
+        if len(order):
+            votes = [0.0] * len(order)
+            for i in used.tolist():
+                own = slice(ends[i - 1] if i else 0, ends[i])
+                votes[new[i]] = self.vote(*self.search(held[own], weights[own], new[i]))
+            self.steps, self.levels = isotonic(np.array(votes), self.labels.astype(float), self.each)
+
+    @staticmethod
+    def _idf(held: np.ndarray, held_by: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
+        """idf times the lean of each word."""
+        b, n1 = np.bincount(held, held_by, n), float(labels.sum())
+        a, n0 = np.bincount(held, minlength=n) - b, len(labels) - n1
+        idf = np.log((1 + len(labels)) / (1 + a + b)) + 1
+        if not n0 or not n1:
+            return idf
+
+        def part(seen: np.ndarray, of: float, all_seen: np.ndarray) -> np.ndarray:
+            return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(all_seen * of / (n0 + n1), 1e-300)), 0)
+        statistic = part(a, n0, a + b) + part(b, n1, a + b) + part(n0 - a, n0, n0 + n1 - a - b) + part(n1 - b, n1, n0 + n1 - a - b)
+        return idf * np.where(b * n0 > a * n1, np.sqrt(1 + 2 * np.maximum(statistic, 0)), 1)
+
+    @staticmethod
+    def _grouped(place: np.ndarray, held: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """A number of the group each example falls in, by sketches of their vectors."""
+        hashed = (held + 1) * 0x9E3779B1 % (1 << 32)
+        signs = np.where(hashed >> 31, weights, -weights)
+        sketch = np.bincount(place * SKETCH + (hashed >> 16) % SKETCH, signs, n * SKETCH).astype(float).reshape(n, SKETCH)
+        sketch /= np.maximum(np.linalg.norm(sketch, axis=1, keepdims=True), 1e-12)
+        groups = max(1, n // BLOCK)
+        centres = sketch[np.linspace(0, n - 1, groups).astype(int)] if n else sketch
+        group = np.zeros(n, np.int64)
+        for _ in range(ROUNDS if n else 0):
+            group = (sketch @ centres.T).argmax(axis=1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, group, sketch)
+            centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        if groups > 2:                                              # groups that resemble each other are neighbours
+            along = np.linalg.svd(centres, full_matrices=False)[0][:, 0]
+            group = along.argsort(kind="stable").argsort(kind="stable")[group]
+        return group
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a document's known words and their weights."""
+        if self.number is None:
+            self.number = {w: i for i, w in enumerate(self.words.to_pylist())}
+        known = np.array([self.number.get(w, -1) for w in counts], np.int64)
+        times = np.fromiter(counts.values(), float, len(counts))[known >= 0]
+        known = known[known >= 0]
+        weights = (1 + np.log(times)) * self.idf[known]
+        return known, weights / np.sqrt((weights ** 2).sum()) if len(known) else weights
 
     def __getstate__(self):
-        return {**self.__dict__, "matrix": None}            # made again where it is used
-
-    @property
-    def postings(self) -> Iterator[np.ndarray]:
-        """The vectors as dense slabs, terms by ``BLOCK`` examples, one at a time."""
-        for at in range(0, len(self.ids), BLOCK):
-            slab = np.zeros((len(self.terms), BLOCK))
-            for p in range(at, min(at + BLOCK, len(self.ids))):
-                own = slice(self.ends[p], self.ends[p + 1])
-                slab[self.holds[own], p - at] = self.weighs[own]
-            yield slab
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        return scaled(counts, self.idf)
-
-    def _sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Cosines with every example, in single precision."""
-        if self.matrix is None:
-            self.matrix = np.zeros((min(COMMON, len(self.terms)), len(self.ids)), np.float32)
-            place = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
-            row = self.row[self.holds]
-            self.matrix[row[row >= 0], place[row >= 0]] = self.weighs[row >= 0]
-        common = np.zeros((len(vectors), len(self.matrix)), np.float32)
-        for k, (terms, weights) in enumerate(vectors):
-            row = self.row[terms]
-            common[k, row[row >= 0]] = weights[row >= 0]
-        sums = common @ self.matrix
-        for k, (terms, weights) in enumerate(vectors):
-            rare = self.row[terms] < 0
-            terms, weights = terms[rare], weights[rare]
-            first, sizes = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
-            at = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-            sums[k] += np.bincount(self.posted[at], self.posted_weighs[at] * np.repeat(weights, sizes), len(self.ids))
-        return sums
-
-    def searches(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Of each document the places and cosines of the nearest examples, best
-        first; only those that share a term. ``but``: the example each one is itself."""
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(self.ids):
-            return [none] * len(vectors)
-        sums, own, out = self._sums(vectors), np.zeros(len(self.terms)), []
-        if but is not None:
-            sums[np.arange(len(vectors)), but] = 0
-        for (terms, weights), row in zip(vectors, sums):
-            least = np.partition(row, -self.nearest)[-self.nearest] - SLACK if len(row) > self.nearest else 0
-            places = np.flatnonzero((row > 0) & (row >= least))
-            if not len(places):
-                out.append(none)
-                continue
-            own[terms] = weights
-            sizes = self.ends[places + 1] - self.ends[places]
-            first = np.cumsum(sizes) - sizes
-            at = np.arange(sizes.sum()) + np.repeat(self.ends[places] - first, sizes)
-            cosines = np.round(np.add.reduceat(own[self.holds[at]] * self.weighs[at], first), 12)
-            own[terms] = 0
-            best = np.lexsort((places, -cosines))[:self.nearest]
-            out.append((places[best], cosines[best]))
-        return out
-
-    def search(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.searches([(terms, weights)])[0]
+        return {**self.__dict__, "number": None}            # made again where it is used
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the nearest examples, best first; only those
+        that share a term. ``but``: the example that the document is itself."""
+        return self.search_counted(terms, weights, but)[0]
+
+    def search_counted(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+        """Also how many blocks were scored."""
+        sizes = self.rows[terms + 1] - self.rows[terms]
+        rows, times = _spans(self.rows[terms], sizes), np.repeat(weights, sizes)
+        block = self.block[rows]
+        bounds = np.bincount(block, self.largest[rows] * times, self.blocks) + SLACK
+        order = (-bounds).argsort(kind="stable")[:int((bounds > SLACK).sum())]
+        cosines, least, scored, some = np.zeros(len(self.ids)), 0.0, 0, FIRST
+        while scored < len(order) and bounds[order[scored]] >= least:
+            now = order[scored:scored + some]
+            now = now[bounds[now] >= least]
+            scored, some = scored + len(now), some * 2
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            mine = chosen[block]
+            first, by = rows[mine], times[mine]
+            sizes = self.begins[first + 1] - self.begins[first]
+            postings = _spans(self.begins[first], sizes)
+            cosines += np.bincount(self.example[postings], self.weight[postings] * np.repeat(by, sizes), len(cosines))
+            if but is not None:
+                cosines[but] = 0
+            if len(cosines) > self.nearest:
+                least = np.partition(cosines, -self.nearest)[-self.nearest]
+        places = np.flatnonzero((cosines > 0) & (cosines >= least - SLACK))
+        cosines = np.round(cosines[places], 12)
+        best = np.lexsort((self.first[places], -cosines))[:self.nearest]
+        return (places[best], cosines[best]), scored
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         if not len(places):
@@ -206,30 +192,23 @@ class Index:
         votes = self.each[places] / (1 - np.minimum(cosines, 1) + NEAR)
         return float((votes * self.labels[places]).sum() / votes.sum())
 
-    def scores(self, counts: list[dict[int, int]]) -> list[tuple[float, list[dict]]]:
-        """Of each document its score and its neighbours."""
-        out = []
-        for places, cosines in self.searches([self.vector(c) for c in counts]):
-            near = [{"doc_id": int(self.ids[p]), "cosine": float(c), "toxic": int(self.labels[p])} for p, c in zip(places, cosines)]
-            out.append((float(np.interp(self.vote(places, cosines), self.steps, self.levels)) if near else self.without, near))
-        return out
-
-
-def scaled(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not counts:
-        return np.empty(0, np.int64), np.empty(0)
-    terms, times = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
-    order = np.argsort(terms)
-    terms = terms[order]
-    weights = (1 + np.log(times[order])) * idf[terms]
-    return terms, weights / np.sqrt((weights ** 2).sum())
+    def score(self, text: str) -> tuple[float, list[dict]]:
+        """A document's score and its neighbours."""
+        places, cosines = self.search(*self.vector(words_of(text)))
+        if not len(places):
+            return self.without, []
+        near = [{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in
+                zip(self.ids[places].tolist(), cosines.tolist(), self.labels[places].tolist())]
+        return float(np.interp(self.vote(places, cosines), self.steps, self.levels)), near
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Non-decreasing fit by pooling neighbours that are out of order: each pool's mean x and level."""
+    """Non-decreasing fit by pooling equal x, then neighbours that are out of order: each pool's mean x and level."""
+    values, at = np.unique(np.round(x, 12), return_inverse=True)
+    mass, hits = np.bincount(at, weight, len(values)), np.bincount(at, weight * y, len(values))
     pools: list[list[float]] = []
-    for i in np.argsort(x, kind="stable"):
-        pools.append([weight[i] * x[i], weight[i] * y[i], weight[i]])
+    for pool in zip((mass * values).tolist(), hits.tolist(), mass.tolist()):
+        pools.append(list(pool))
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [a + b for a, b in zip(pools[-1], last)]
@@ -238,74 +217,32 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = PER_LABEL) -> Index:
     """The index from ``labels`` (doc_id, toxic) of documents where ``usable``,
-    a condition on ``doc_id``, holds. All that reaches the driver: the
-    terms and vectors of at most ``per_label`` examples a label, and counts."""
-    context, rows = docs.sparkSession.sparkContext, texts(docs)
+    a condition on ``doc_id``, holds. All that reaches the driver: the distinct
+    words of at most ``per_label`` examples a label, as one table of columns."""
     known = (labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = hash_sample(known, "toxic", "doc_id", per_label).withColumnRenamed("u", "hash")
-    examples = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "hash", "text")    # at most 2 * per_label identifiers
+    examples = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "hash", "text")    # at most 2 * per_label identifiers
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
         for batch in slices(batches):
-            for label, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
-                seen[label].update(["", *terms_of(text)])               # the empty term counts the examples
-        every = sorted(seen[0] | seen[1])
-        yield pa.record_batch({"term": pa.array(every, pa.string()), "n0": pa.array([seen[0][t] for t in every], pa.int64()),
-                               "n1": pa.array([seen[1][t] for t in every], pa.int64())})
-
-    both = (examples.select("toxic", "text").mapInArrow(held, "term string, n0 long, n1 long")
-            .groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    whole = both.where("term = ''").first()
-    if whole is None or not whole["n0"] or not whole["n1"]:
-        rate = float(whole is not None and whole["n1"] > 0)
-        return Index([], np.empty(0), [0], [int(rate)], [scaled({}, np.empty(0))], np.ones(2))
-    n0, n1 = whole["n0"], whole["n1"]
-
-    # the likelihood ratio statistic, of terms that are commoner with label 1
-    def part(seen, of, all_seen, all_of):
-        return F.when(seen > 0, seen * F.log(seen / (all_seen * of / all_of))).otherwise(0.0)
-    a, b, every = F.col("n0"), F.col("n1"), n0 + n1
-    statistic = (part(a, n0, a + b, every) + part(b, n1, a + b, every)
-                 + part(n0 - a, n0, every - a - b, every) + part(n1 - b, n1, every - a - b, every))
-    lean = F.when(b * n0 > a * n1, F.sqrt(1 + 2 * F.greatest(statistic, F.lit(0.0)))).otherwise(1.0)
-    listed = both.where(F.col("term") != "").select("term", lean.alias("lean")).toArrow().sort_by("term")
-    names, leans = listed["term"].to_pylist(), listed["lean"].to_numpy()
-    listed_by = shipped(docs.sparkSession, names)
-
-    def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, documents = finder(listed_by()), 0
-        seen = np.zeros(len(found), np.int64)
-        for batch in slices(batches):
-            documents += batch.num_rows
-            for text in batch["text"].to_pylist():
-                own = set().union(*map(found.of, set(_WORDS.findall(text.lower()))))
-                seen[np.fromiter(own, np.int64, len(own))] += 1
-        here = np.flatnonzero(seen)
-        yield pa.record_batch({"term": pa.array([-1, *here], pa.int32()), "n": pa.array([documents, *seen[here]], pa.int64())})
-
-    counts = rows.select("text").mapInArrow(holds, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = counts["term"].to_numpy(), counts["n"].to_numpy()
-    held_by = np.zeros(len(names))
-    held_by[term[term >= 0]] = n[term >= 0]
-    idf = (np.log((1 + n[term < 0].sum()) / (1 + held_by)) + 1) * leans
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = finder(listed_by())
-        for batch in slices(batches):
-            own = [frequencies(t, found) for t in batch["text"].to_pylist()]
+            found = [words_of(t) for t in batch["text"].to_pylist()]
             yield pa.record_batch({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hash": batch["hash"],
-                                   "terms": pa.array([np.array(sorted(x), "<i4").tobytes() for x in own], pa.binary()),
-                                   "times": pa.array([np.array([x[t] for t in sorted(x)], "<i4").tobytes() for x in own], pa.binary())})
-
-    got = sorted(examples.mapInArrow(vectors, "doc_id long, toxic int, hash double, terms binary, times binary").toArrow().to_pylist(),
-                 key=lambda r: (r["hash"], r["doc_id"], r["terms"], r["times"]))
-    here = Counter(r["toxic"] for r in got)
-    stands = np.array([sizes.get(i, 0) / max(1, here[i]) for i in (0, 1)], float)
-    return Index(names, idf, [r["doc_id"] for r in got], [r["toxic"] for r in got],
-                 [scaled(dict(zip(np.frombuffer(r["terms"], "<i4").tolist(), np.frombuffer(r["times"], "<i4").tolist())), idf) for r in got], stands)
+                                   "words": pa.array([list(f.keys()) for f in found], pa.list_(pa.string())),
+                                   "times": pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))})
+
+    counted = examples.mapInArrow(held, "doc_id long, toxic int, hash double, words array<string>, times array<int>")
+    got = (counted.withColumn("text", F.xxhash64("words", "times")).toArrow()
+           .sort_by([("hash", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]).combine_chunks())
+    toxic = got["toxic"].to_numpy().astype(np.int64)
+    if not toxic.any():                                       # nothing that could be called toxic
+        got, toxic = got.slice(0, 0), toxic[:0]
+    words = got["words"].combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    return Index(coded.dictionary, got["doc_id"].to_numpy(), toxic, coded.indices.to_numpy().astype(np.int64),
+                 got["times"].combine_chunks().flatten().to_numpy().astype(float), np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64),
+                 (sizes.get(0, 0), sizes.get(1, 0)))
 
 
 def kept(docs: DataFrame, index: Index) -> DataFrame:
@@ -314,10 +251,8 @@ def kept(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()
-        found = finder(own.terms)
         for batch in slices(batches):
-            stays = [s < THRESHOLD for s, _ in own.scores([frequencies(t or "", found) for t in batch["text"].to_pylist()])]
-            yield batch.filter(pa.array(stays))
+            yield batch.filter(pa.array([own.score(t or "")[0] < THRESHOLD for t in batch["text"].to_pylist()]))
 
     return docs.select(*names).mapInArrow(run, docs.schema)
 
@@ -328,9 +263,8 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()
-        found = finder(own.terms)
         for batch in slices(batches):
-            got = own.scores([frequencies(t, found) for t in batch["text"].to_pylist()])
+            got = [own.score(t) for t in batch["text"].to_pylist()]
             yield pa.record_batch({
                 "doc_id": batch["doc_id"], "score": pa.array([s for s, _ in got], pa.float64()),
                 "predicted": pa.array([int(s >= THRESHOLD) for s, _ in got], pa.int32()),
