@@ -16,7 +16,7 @@ FULL_SCAN_MAX_ROWS = 500_000
 SAMPLE_BAND_MAX_ROWS = 5_000_000
 SAMPLE_ROWS = 100_000
 
-_TWO53 = float(2 ** 53)
+TWO53 = float(2 ** 53)
 
 
 def strategy_expr(row_count: Column, full_max: int = FULL_SCAN_MAX_ROWS,
@@ -74,7 +74,7 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42,
     h = _row_hash(df, key, seed)
     rate = min(1.0, (n + 8.0 * math.sqrt(n) + 64.0) / total)
     with_h = df.select("*", h.alias("_h"))
-    u = F.pmod(F.col("_h"), F.lit(2 ** 53)).cast("double") / F.lit(_TWO53)
+    u = F.pmod(F.col("_h"), F.lit(2 ** 53)).cast("double") / F.lit(TWO53)
     while True:
         cand = materialize(with_h.where(u < F.lit(rate)))
         if rate >= 1.0 or cand.count() >= n:

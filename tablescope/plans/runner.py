@@ -1,5 +1,7 @@
 """L3: run a plan. Tasks (collected: one row each) are dispatched in priority
-order to the templates and run side by side from a few driver threads. Every
+order; what they ask of the table is computed together, in a number of passes
+that does not depend on their number (``shared_scan``), or, where a task fails,
+by each task's own template, side by side from a few driver threads. Every
 result is kept whole in the shared checkpoint folder, described by one
 results-index row, with its chart's series beside it. Bounds, means and
 deviations come from the profile where it has them. Log rows (U2) say what
@@ -9,6 +11,7 @@ and the others continue."""
 from __future__ import annotations
 
 import datetime as dt
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -21,6 +24,7 @@ from ..operators import analyses as A
 from ..operators import correlation as C
 from ..operators import series as S
 from ..session import materialize, parallel_map
+from .shared_scan import Wanted, run_together
 
 INDEX_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()), T.StructField("run_order", T.IntegerType()),
@@ -50,51 +54,72 @@ def log_rows(spark, dataset: str, agent: str, entries: list[tuple[str, str]]) ->
     return spark.createDataFrame([(dataset, i, agent, m, now, level) for i, (level, m) in enumerate(entries)], LOG_SCHEMA)
 
 
-def _bounds(facts: dict, col: str):
-    """The column's 1 % and 99 % quantiles, if the profile has them."""
-    q = facts.get(col, {}).get("quantiles", {})
-    return (q[A.CLIP_LOW], q[A.CLIP_HIGH]) if A.CLIP_LOW in q and A.CLIP_HIGH in q else None
-
-
-def _template(df, task, cats: dict[str, str], key: str | None, raw, facts: dict, scatter_rows: int):
-    """(result, x, y, chart, outliers) for one task, or None when it cannot run.
-    Raw-row outputs (overview, scatter) read ``raw``."""
-    ttype, cols, chart = task["type"], task["cols"], task["chart_type"]
+def _asked(task, cats: dict[str, str]) -> tuple | None:
+    """What a task asks for, as a field of ``Wanted`` (or overview) and its
+    columns; None when its type or columns do not fit."""
+    ttype, cols = task["type"], task["cols"]
+    nums = [c for c in cols if cats.get(c) == "numeric"]
     if ttype == "overview":
-        return A.overview(raw, [key] if key else []), None, None, chart, None
+        return "overview", None
     if ttype == "distribution" and cols:
-        c = cols[0]
-        if cats.get(c) == "numeric":
-            return A.histogram(df, c, bounds=_bounds(facts, c)), "bin_start", "count", chart, None
-        return A.value_counts(df, c), "category", "count", chart, None
-    if ttype == "correlation":
-        nums = [c for c in cols if cats.get(c) == "numeric"]
-        if len(nums) < 2:
-            return None
-        if chart == "heatmap":
-            return C.correlation_matrix(df, nums), None, None, "heatmap", None
-        res = A.scatter(raw, nums[0], nums[1], rows=scatter_rows)
-        return res, res.columns[0], res.columns[1], chart, None
+        return "histograms" if cats.get(cols[0]) == "numeric" else "counts", cols[0]
+    if ttype == "correlation" and len(nums) >= 2:
+        return ("matrices", nums) if task["chart_type"] == "heatmap" else ("scatters", (nums[0], nums[1]))
     if ttype == "time_series" and len(cols) >= 2:
-        if task["grain"] == "hour":
-            return A.hour_of_day(df, cols[0], cols[1]), "hour_of_day", "count", chart, None
-        res = A.time_series(df, cols[0], cols[1], task["grain"], bounds=_bounds(facts, cols[0]))
-        return res, "period", "total_value", chart, None
+        return ("hours", (cols[0], cols[1])) if task["grain"] == "hour" else ("series", (cols[0], cols[1], task["grain"]))
     if ttype == "aggregation" and len(cols) >= 2:
-        if cats.get(cols[1]) == "numeric":
-            return A.group_aggregate(df, cols[0], cols[1]), "category", "total_value", chart, None
-        return A.cross_count(df, cols[0], cols[1]), "category", "count", chart, None
-    if ttype == "anomaly" and cols:
-        num = next((c for c in cols if cats.get(c) == "numeric"), None)
-        if num is None:
-            return None
-        known = facts.get(num)
-        moments = (known["mean"], known["std"]) if known else A.column_moments(df, num)
-        total = A.outlier_count(df, num, moments=moments).first()["outlier_count"]
-        return A.zscore_outliers(df, num, key, moments=moments), "row_id", "value", "scatter", total
+        return "totals" if cats.get(cols[1]) == "numeric" else "crossed", (cols[0], cols[1])
+    if ttype == "anomaly" and nums:
+        return "outliers", nums[0]
     return None
 
 
+def _alone(df: DataFrame, raw: DataFrame, asked: tuple, key: str | None, facts: dict, scatter_rows: int) -> DataFrame:
+    """A task's result by its own template."""
+    kind, cols = asked
+    bounds, moments = _known(facts)
+    if kind == "histograms":
+        return A.histogram(df, cols, bounds=bounds.get(cols))
+    if kind == "counts":
+        return A.value_counts(df, cols)
+    if kind == "matrices":
+        return C.correlation_matrix(df, cols)
+    if kind == "scatters":
+        return A.scatter(raw, *cols, rows=scatter_rows)
+    if kind == "series":
+        return A.time_series(df, *cols, bounds=bounds.get(cols[0]))
+    if kind == "outliers":
+        return A.zscore_outliers(df, cols, key, moments=moments.get(cols))
+    if kind == "overview":
+        return A.overview(raw, [key] if key else [])
+    return {"hours": A.hour_of_day, "totals": A.group_aggregate, "crossed": A.cross_count}[kind](df, *cols)
+
+
+def _known(facts: dict) -> tuple[dict, dict]:
+    """What the profile knows: 1 % and 99 % quantiles, finite means and deviations, by column."""
+    bounds, moments = {}, {}
+    for c, f in facts.items():
+        q = f.get("quantiles", {})
+        if A.CLIP_LOW in q and A.CLIP_HIGH in q:
+            bounds[c] = (q[A.CLIP_LOW], q[A.CLIP_HIGH])
+        if all(x is not None and math.isfinite(x) for x in (f.get("mean"), f.get("std"))):
+            moments[c] = (f["mean"], f["std"])
+    return bounds, moments
+
+
+def _axes(kind: str, res: DataFrame, chart: str) -> tuple:
+    """(x, y, chart) of a result."""
+    if kind == "overview":
+        return None, None, chart
+    if kind == "matrices":
+        return None, None, "heatmap"
+    if kind == "scatters":
+        return res.columns[0], res.columns[1], chart
+    return {"histograms": ("bin_start", "count", chart), "counts": ("category", "count", chart), "hours": ("hour_of_day", "count", chart),
+            "series": ("period", "total_value", chart), "totals": ("category", "total_value", chart),
+            "crossed": ("category", "count", chart), "outliers": ("row_id", "value", "scatter")}[kind]
+
+
 def chart_series(df: DataFrame, res: DataFrame, x: str | None, y: str | None, kind: str | None,
                  cols: list[str]) -> DataFrame | None:
     """The data of a result's chart (C3-C8), by kind."""
@@ -125,30 +150,44 @@ def run_plan(df: DataFrame, dataset: str, plan: DataFrame, prof: DataFrame,
     tasks = (plan.where(F.col("dataset") == dataset).withColumn("grain", A.granularity(F.col("title")))
                  .orderBy(F.coalesce("priority", F.lit(3)), "seq").collect())
 
+    asked, wanted = {}, Wanted()
+    for order, t in enumerate(tasks, start=1):
+        asked[order] = _asked({"type": t["type"], "chart_type": t["chart_type"], "grain": t["grain"],
+                               "cols": [c for c in (t["columns"] or []) if c in cats]}, cats)
+        if asked[order] and asked[order][0] != "overview":
+            getattr(wanted, asked[order][0])[order] = asked[order][1]
+    try:
+        together = run_together(df, raw, wanted, key, *_known(facts), scatter_rows)
+    except Exception:                    # some task fails: each runs by itself, and its own error is its row
+        together = {}
+    if any(a and a[0] == "overview" for a in asked.values()):
+        shown = A.overview(raw, [key] if key else [])
+        together |= {order: shown for order, a in asked.items() if a and a[0] == "overview"}
+
     def run_one(item):
         order, t = item
-        task = {"type": t["type"], "chart_type": t["chart_type"], "grain": t["grain"],
-                "cols": [c for c in (t["columns"] or []) if c in cats]}
+        cols = [c for c in (t["columns"] or []) if c in cats]
         tid, head = uuid.uuid4().hex[:8], (dataset, order)
         about = (t["type"], t["title"], t["description"])
         log = [("info", f"Running: {t['title']}")]
         try:
-            got = _template(df, task, cats, key, raw, facts, scatter_rows)
-            if got is None:
+            if asked[order] is None:
                 log.append(("warning", f"Skipped: {t['title']} (type or columns do not fit)"))
                 return None, None, None, log
-            res, x, y, chart, outliers = got
+            kind = asked[order][0]
+            res = together[order] if order in together else _alone(df, raw, asked[order], key, facts, scatter_rows)
+            x, y, chart = _axes(kind, res, t["chart_type"])
             res = materialize(S.with_seq(res))
             if x is not None:
                 found = S.chart_facts(res, x, y, chart).first()
                 n = found["rows"]
-                kind, plot = (found["chart_kind"], bool(found["plottable"])) if n else (chart, False)
+                chart, plot = (found["chart_kind"], bool(found["plottable"])) if n else (chart, False)
             else:
                 n = res.count()
-                kind, plot = chart, chart == "heatmap" and n > 0
+                plot = chart == "heatmap" and n > 0
             log.append(("success", f"✓ {t['title']} ({n} rows)"))
-            row = (*head, tid, *about, x, y, n, kind, plot, outliers, None)
-            return row, res, chart_series(df, res, x, y, kind, task["cols"]) if plot else None, log
+            row = (*head, tid, *about, x, y, n, chart, plot, n if kind == "outliers" else None, None)
+            return row, res, chart_series(df, res, x, y, chart, cols) if plot else None, log
         except Exception as exc:  # one failing task does not stop the run
             message = f"Task '{t['title']}' failed: {str(exc)[:500]}"
             log.append(("error", message))

@@ -190,6 +190,25 @@ def q_zscore_outliers(spark, sf):
     return A.zscore_outliers(_t(spark, sf, "events"), "value", order_col="event_id", top=A.OUTLIERS_TOP)
 
 
+def odd_values(spark, sf) -> DataFrame:
+    """Events whose values are NaN or infinite now and then."""
+    v = F.when(F.col("event_id") % 97 == 0, float("nan")).when(F.col("event_id") % 997 == 0, float("-inf")).otherwise(F.col("value"))
+    return _t(spark, sf, "events").select("event_id", v.alias("value"))
+
+
+@query("zscore_nan")
+def q_zscore_nan(spark, sf):
+    found = A.zscore_outliers(odd_values(spark, sf), "value", order_col="event_id")
+    return found.select("row_id", F.col("value").cast("string").alias("value"), F.col("z_score").cast("string").alias("z_score")) \
+        .where("value = '-Infinity'").unionByName(found.where("value > -1e300").select(
+            "row_id", F.lit("finite").alias("value"), F.round(F.col("z_score") * 1000).cast("bigint").cast("string").alias("z_score")))
+
+
+@query("outlier_count_nan")
+def q_outlier_count_nan(spark, sf):
+    return A.outlier_count(odd_values(spark, sf), "value")
+
+
 @query("zscore_dup_key")
 def q_zscore_dup_key(spark, sf):
     """All outliers, in the order of a key that repeats and has nulls."""

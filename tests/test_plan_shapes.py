@@ -85,8 +85,80 @@ def test_group_by_combines_map_side(spark, sf001):
     assert "partial_count" in txt and txt.count("HashAggregate") >= 2 and partial >= 0
 
 
-def test_correlation_reads_only_its_pairs(spark, sf001):
+def _scans(spark, df, work):
+    """How often the rows of ``df`` are read while ``work`` runs on it."""
+    read, n = spark.sparkContext.accumulator(0), df.count()
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    work(df.mapInArrow(counted, df.schema))
+    return read.value / n
+
+
+def test_correlation_takes_two_scans(spark):
     from tablescope.operators import correlation as C
-    li = spark.read.parquet(f"{sf001}/lineitem.parquet")
-    n = _jobs(spark, "pairs", lambda: C.correlation_matrix(li, ["l_quantity", "l_extendedprice", "l_tax"]))
-    assert n <= 2          # one aggregate (its stages may count as jobs)
+    few, many = (spark.range(0, 400).select(*[(F.col("id") * (j + 1) % 97).cast("double").alias(f"c{j}") for j in range(n)]) for n in (3, 150))
+    for df in (few, many):
+        assert _scans(spark, df, lambda d: C.correlation_matrix(d, d.columns).collect()) == 2
+    assert _scans(spark, few, lambda d: C.correlation_matrix(d, d.columns, means={c: 48.0 for c in d.columns}).collect()) == 1
+
+
+def test_outliers_take_three_scans_and_no_exchange_of_all_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 40_000).select("id", F.when(F.col("id") % 200 == 7, 1e3).otherwise(F.col("id") % 10 * 1.0).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    found = {}
+    scans = _scans(spark, df, lambda d: found.update(n=A.zscore_outliers(d, "v", "id").count()))
+    assert found["n"] == 200 and scans == 3                       # moments, outliers, rows before them
+    text = plan_text(A.zscore_outliers(df, "v", "id"))
+    assert "FileScan" not in text and "rangepartitioning(id" not in text
+
+
+def _plan_of(spark, n):
+    """n tasks of every kind."""
+    rows = []
+    for i in range(n):
+        rows += [("t", "distribution", f"h{i}", ["a"], "histogram"), ("t", "distribution", f"c{i}", ["g"], "bar"),
+                 ("t", "aggregation", f"s{i}", ["g", "b"], "bar"), ("t", "aggregation", f"x{i}", ["g", "k"], "bar"),
+                 ("t", "time_series", f"weekly {i}", ["d", "a"], "line"), ("t", "time_series", f"hourly {i}", ["d", "b"], "bar"),
+                 ("t", "correlation", f"m{i}", ["a", "b"], "heatmap"), ("t", "correlation", f"p{i}", ["a", "b"], "scatter"),
+                 ("t", "anomaly", f"z{i}", ["b"], "scatter")]
+    return spark.createDataFrame([(d, i, t, title, "", cols, chart, 3) for i, (d, t, title, cols, chart) in enumerate(rows)],
+                                 "dataset string, seq int, type string, title string, description string, columns array<string>, chart_type string, priority int")
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    return spark.range(0, 3000).select(
+        "id", (F.col("id") % 83).cast("double").alias("a"), F.when(F.col("id") % 211 == 5, 900).otherwise(F.col("id") % 17).alias("b"),
+        F.concat(F.lit("g"), F.col("id") % 4).alias("g"), (F.col("id") % 3 == 0).alias("k"),
+        F.timestamp_add("HOUR", F.col("id") % 999, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("d"))
+
+
+def test_plan_scans_do_not_depend_on_its_tasks(spark, mixed):
+    from tablescope.operators.profile import profile_with_facts
+    from tablescope.plans.runner import run_plan
+    prof, facts = profile_with_facts(mixed, "t", samples=False)
+    prof = spark.createDataFrame(prof.toArrow())
+    scans = [_scans(spark, mixed, lambda d, n=n: run_plan(d, "t", _plan_of(spark, n), prof, key="id", facts=facts)) for n in (1, 3)]
+    assert scans[0] == scans[1] <= 9          # sums, products, outliers 2, a scatter chart 5
+
+
+def test_shared_scan_equals_the_templates(spark, mixed):
+    from tablescope.operators.profile import profile
+    from tablescope.plans import runner
+    df = mixed.withColumn("g", F.when(F.col("id") % 50 != 0, F.col("g")))
+    prof, plan = profile(df, "t"), _plan_of(spark, 1)
+    run = runner.run_plan(df, "t", plan, prof, key="id")
+    index = {r["title"]: r for r in run.index.collect()}
+    assert len(index) == 9 and not any(r["error"] for r in index.values())
+    asked = {"h0": A.histogram(df, "a"), "c0": A.value_counts(df, "g"), "s0": A.group_aggregate(df, "g", "b"), "x0": A.cross_count(df, "g", "k"),
+             "weekly 0": A.time_series(df, "d", "a", "week"), "hourly 0": A.hour_of_day(df, "d", "b"), "z0": A.zscore_outliers(df, "b", "id")}
+    for title, want in asked.items():
+        got = run.results[index[title]["task_id"]].orderBy("seq").drop("seq")
+        assert got.schema.simpleString() == want.schema.simpleString(), title
+        assert got.collect() == want.collect(), title
+    assert run.results[index["p0"]["task_id"]].count() == min(3000, A.scatter_clip(df, "a", "b").count())
