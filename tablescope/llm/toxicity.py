@@ -9,14 +9,17 @@ likelihood ratio statistic of a term that is commoner with label 1, and 1 for
 every other term: it weighs terms, it leaves none out.
 
 Search: a block-max inverted index. Examples that resemble each other are next
-to each other, ``BLOCK`` to a block. A term's postings (example, weight) are in
-that order, and for each block that has any the index holds the largest weight
-and where the block's postings are. For a document, the largest weights bound
-the cosine with any example of a block; blocks are scored exactly, from their
-postings of the document's terms, in the order of their bounds, twice as many
-each time, until the next bound is below the ``NEAREST``-th best cosine found.
-Blocks behind that are skipped; the neighbours are those of a search of all.
-Ties go to the example that comes first by identifier hash.
+to each other, ``BLOCK`` to a block, and every term's postings (example, weight)
+are in that order. Most of all postings are those of the ``COMMON`` commonest
+terms; they are kept a slab a block, with the largest weight of each term in
+each block. A slice of documents is searched at a time: the postings of a
+document's other terms, few each, are added up; with the largest weights of its
+common terms they bound its cosine with any example of a block. Blocks are
+scored in the order of their bounds, the first ``FIRST``, then all whose bound
+reaches the ``NEAREST``-th best cosine found; the others are skipped. What comes
+within ``SLACK`` of the best, single precision's share, is computed again in
+double, so the neighbours are those of a search of all. Ties go to the example
+that comes first by identifier hash.
 
 Score: neighbours vote with weight 1 / (1 - cosine + ``NEAR``), times the
 number of labelled documents each stands for; examples that share no term with
@@ -42,12 +45,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, shipped, slices, texts
+from .common import SLICE, hash_sample, shipped, slices, texts
 
 #: Labelled documents of a label; neighbours; examples of a block; the votes' least distance.
 PER_LABEL, NEAREST, BLOCK, NEAR = 3000, 15, 64, 0.05
-#: Blocks scored first; what bounds may be off by, added up in another order.
-FIRST, SLACK = 2, 1e-9
+#: Terms whose postings are slabs; blocks scored first; what single precision may be off by.
+COMMON, FIRST, SLACK = 512, 8, 1e-5
 #: Coordinates of the sketches that resemblance of examples is judged by, rounds of grouping them.
 SKETCH, ROUNDS = 64, 5
 THRESHOLD = 0.3
@@ -61,6 +64,14 @@ def words_of(text: str) -> Counter:
     return Counter(_WORDS.findall(text.lower()))
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` in parts so small that the library keeps to this task's own thread."""
+    out, some = np.empty((len(a), b.shape[1]), np.float32), max(1, (1 << 18) // max(1, b.size))
+    for at in range(0, len(a), some):
+        np.matmul(a[at:at + some], b, out=out[at:at + some])
+    return out
+
+
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of all spans, one after the other."""
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
@@ -89,21 +100,27 @@ class Index:
         new = np.full(len(ids), -1)
         new[order] = np.arange(len(order))
         self.ids, self.labels, self.each, self.first = ids[order], labels[order], each[order], order
+        # example by example: what each holds; term by term: the postings of all but the commonest
+        by_example = np.lexsort((held, new[place]))
+        self.held, self.weight = held[by_example], weights[by_example]
+        self.ends = np.append(0, np.cumsum(np.bincount(new[place], minlength=len(order))))
+        self.common = np.full(len(words), -1, np.int32)
+        commonest = (-np.bincount(held, minlength=len(words))).argsort(kind="stable")[:COMMON]
+        self.common[commonest] = np.arange(len(commonest))
         by_term = np.lexsort((new[place], held))
-        self.example, self.weight, term = new[place][by_term].astype(np.int32), weights[by_term], held[by_term]
-        # a row for each term and block: where its postings begin, their largest weight
-        begins = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(self.example // BLOCK, prepend=-1) != 0))
-        self.begins = np.append(begins, len(term))
-        self.block = self.example[begins] // BLOCK
-        self.largest = np.maximum.reduceat(self.weight, begins) if len(begins) else np.empty(0)
-        self.rows = np.searchsorted(term[begins], np.arange(len(words) + 1))
+        by_term = by_term[self.common[held[by_term]] < 0]
+        self.example, self.posted = new[place][by_term].astype(np.int32), weights[by_term]
+        self.starts = np.searchsorted(held[by_term], np.arange(len(words) + 1))
         self.blocks = -(-len(order) // BLOCK)
+        self.slabs: np.ndarray | None = None
+        self.room: np.ndarray | None = None
         self.steps, self.levels = np.empty(0), np.empty(0)
         if len(order):
-            votes = [0.0] * len(order)
-            for i in used.tolist():
-                own = slice(ends[i - 1] if i else 0, ends[i])
-                votes[new[i]] = self.vote(*self.search(held[own], weights[own], new[i]))
+            votes: list[float] = []
+            for at in range(0, len(order), SLICE):
+                some = range(at, min(at + SLICE, len(order)))
+                own = [slice(self.ends[i], self.ends[i + 1]) for i in some]
+                votes += [self.vote(*n) for n in self.searches([(self.held[o], self.weight[o]) for o in own], list(some))]
             self.steps, self.levels = isotonic(np.array(votes), self.labels.astype(float), self.each)
 
     @staticmethod
@@ -151,40 +168,76 @@ class Index:
         return known, weights / np.sqrt((weights ** 2).sum()) if len(known) else weights
 
     def __getstate__(self):
-        return {**self.__dict__, "number": None}            # made again where it is used
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the nearest examples, best first; only those
-        that share a term. ``but``: the example that the document is itself."""
-        return self.search_counted(terms, weights, but)[0]
-
-    def search_counted(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-        """Also how many blocks were scored."""
-        sizes = self.rows[terms + 1] - self.rows[terms]
-        rows, times = _spans(self.rows[terms], sizes), np.repeat(weights, sizes)
-        block = self.block[rows]
-        bounds = np.bincount(block, self.largest[rows] * times, self.blocks) + SLACK
-        order = (-bounds).argsort(kind="stable")[:int((bounds > SLACK).sum())]
-        cosines, least, scored, some = np.zeros(len(self.ids)), 0.0, 0, FIRST
-        while scored < len(order) and bounds[order[scored]] >= least:
-            now = order[scored:scored + some]
-            now = now[bounds[now] >= least]
-            scored, some = scored + len(now), some * 2
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            mine = chosen[block]
-            first, by = rows[mine], times[mine]
-            sizes = self.begins[first + 1] - self.begins[first]
-            postings = _spans(self.begins[first], sizes)
-            cosines += np.bincount(self.example[postings], self.weight[postings] * np.repeat(by, sizes), len(cosines))
-            if but is not None:
-                cosines[but] = 0
-            if len(cosines) > self.nearest:
-                least = np.partition(cosines, -self.nearest)[-self.nearest]
-        places = np.flatnonzero((cosines > 0) & (cosines >= least - SLACK))
-        cosines = np.round(cosines[places], 12)
+        return {**self.__dict__, "number": None, "slabs": None, "largest": None, "room": None}            # made again where it is used
+
+    def _slabs(self) -> np.ndarray:
+        """Blocks by common terms by examples; sets ``largest`` too, terms by blocks."""
+        if self.slabs is None:
+            slabs = np.zeros((self.blocks, (self.common >= 0).sum(), BLOCK), np.float32)
+            example = np.repeat(np.arange(len(self.ids)), np.diff(self.ends))
+            row = self.common[self.held]
+            mine = row >= 0
+            slabs[example[mine] // BLOCK, row[mine], example[mine] % BLOCK] = self.weight[mine]
+            self.slabs, self.largest = slabs, np.ascontiguousarray(slabs.max(axis=2).T) if self.blocks else np.zeros((0, 0), np.float32)
+        return self.slabs
+
+    def searches(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each document the places and cosines of the nearest examples, best
+        first; only those that share a term. ``but``: the example each one is itself."""
+        return self.searches_counted(vectors, but)[0]
+
+    def searches_counted(self, vectors: list[tuple[np.ndarray, np.ndarray]], but: list[int] | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """Also how many blocks were scored, of all documents together."""
+        if not len(self.ids) or not vectors:
+            return [_NONE] * len(vectors), 0
+        slabs, n = self._slabs(), len(vectors)
+        common = np.zeros((n, slabs.shape[1]), np.float32)
+        sums = np.zeros((n, self.blocks * BLOCK), np.float32)
+        for k, (terms, weights) in enumerate(vectors):
+            row = self.common[terms]
+            common[k, row[row >= 0]] = weights[row >= 0]
+            rest, by = terms[row < 0], weights[row < 0]
+            sizes = self.starts[rest + 1] - self.starts[rest]
+            at = _spans(self.starts[rest], sizes)
+            sums[k] = np.bincount(self.example[at], self.posted[at] * np.repeat(by, sizes), sums.shape[1])
+        if but is not None:
+            sums[np.arange(n), but] = -np.inf
+        by_block = sums.reshape(n, self.blocks, BLOCK)
+        bounds = by_block.max(axis=2) + _product(common, self.largest) + np.float32(SLACK)
+        order = (-bounds).argsort(axis=1, kind="stable")[:, :FIRST]
+        chosen = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(chosen, order, True, axis=1)
+        known = np.full_like(sums, -np.inf).reshape(by_block.shape)
+        scored = 0
+        for _ in range(2):
+            for b in np.flatnonzero(chosen.any(axis=0)).tolist():
+                mine = np.flatnonzero(chosen[:, b])
+                known[mine, b] = by_block[mine, b] + _product(common[mine], slabs[b])
+                scored += len(mine)
+            flat = known.reshape(n, -1)
+            some = min(self.nearest, flat.shape[1])
+            least = np.maximum(np.partition(flat, -some, axis=1)[:, -some], 0)[:, None]
+            chosen = (bounds >= least) & ~chosen
+        return [self._exact(*v, np.flatnonzero((row > 0) & (row >= low - SLACK))) for v, row, low in zip(vectors, flat, least)], scored
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest of some examples, in double precision."""
+        if not len(places):
+            return _NONE
+        own = self._scratch
+        own[terms] = weights
+        sizes = self.ends[places + 1] - self.ends[places]
+        at = _spans(self.ends[places], sizes)
+        cosines = np.round(np.add.reduceat(own[self.held[at]] * self.weight[at], np.cumsum(sizes) - sizes), 12)
+        own[terms] = 0
         best = np.lexsort((self.first[places], -cosines))[:self.nearest]
-        return (places[best], cosines[best]), scored
+        return places[best], cosines[best]
+
+    @property
+    def _scratch(self) -> np.ndarray:
+        if self.room is None:
+            self.room = np.zeros(len(self.words))
+        return self.room
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         if not len(places):
@@ -192,14 +245,14 @@ class Index:
         votes = self.each[places] / (1 - np.minimum(cosines, 1) + NEAR)
         return float((votes * self.labels[places]).sum() / votes.sum())
 
-    def score(self, text: str) -> tuple[float, list[dict]]:
-        """A document's score and its neighbours."""
-        places, cosines = self.search(*self.vector(words_of(text)))
-        if not len(places):
-            return self.without, []
-        near = [{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in
-                zip(self.ids[places].tolist(), cosines.tolist(), self.labels[places].tolist())]
-        return float(np.interp(self.vote(places, cosines), self.steps, self.levels)), near
+    def scores(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
+        """Of each document its score and its neighbours."""
+        out: list[tuple[float, list[dict]]] = []
+        for places, cosines in self.searches([self.vector(words_of(t)) for t in texts]):
+            near = [{"doc_id": i, "cosine": c, "toxic": t} for i, c, t in
+                    zip(self.ids[places].tolist(), cosines.tolist(), self.labels[places].tolist())]
+            out.append((float(np.interp(self.vote(places, cosines), self.steps, self.levels)) if near else self.without, near))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +305,7 @@ def kept(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()
         for batch in slices(batches):
-            yield batch.filter(pa.array([own.score(t or "")[0] < THRESHOLD for t in batch["text"].to_pylist()]))
+            yield batch.filter(pa.array([s < THRESHOLD for s, _ in own.scores([t or "" for t in batch["text"].to_pylist()])]))
 
     return docs.select(*names).mapInArrow(run, docs.schema)
 
@@ -264,7 +317,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model()
         for batch in slices(batches):
-            got = [own.score(t) for t in batch["text"].to_pylist()]
+            got = own.scores(batch["text"].to_pylist())
             yield pa.record_batch({
                 "doc_id": batch["doc_id"], "score": pa.array([s for s, _ in got], pa.float64()),
                 "predicted": pa.array([int(s >= THRESHOLD) for s, _ in got], pa.int32()),
