@@ -1,5 +1,5 @@
 """A corpus pipeline of the training-data operators: toxicity, exact and near
-duplicates, mixing, SentencePiece ids.
+duplicates, mixing, SentencePiece encoding and decoding.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame that the caller writes as Parquet and reads again as the
@@ -38,8 +38,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every row, with ``text_sha256`` of the text."""
-    return sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), ["doc_id", "lang", "source"])
+    """SentencePiece ids of every row, with ``text_sha256`` of the text, that of
+    the ids decoded again, and whether the two are one (``round_trip``)."""
+    both = sentence_pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), ["doc_id", "lang", "source"], decoded=True)
+    return both.withColumn("decoded_sha256", F.sha2("text", 256)).drop("text").withColumn(
+        "round_trip", F.col("decoded_sha256") == F.col("text_sha256"))
 
 
 STAGES = [
@@ -47,7 +50,7 @@ STAGES = [
     ("exact dedup", without_copies),
     ("MinHash near-dedup", without_near_copies),
     ("mixing sources", mixed),
-    ("SentencePiece ids", tokenised),
+    ("SentencePiece encoding and decoding", tokenised),
 ]
 
 #: The first stage is learned and the third and last are no SQL; tests compare with brute force instead.
