@@ -9,8 +9,8 @@ built in a number of passes that does not depend on the number of columns
   distinct counts here instead of the next pass;
 * one pass for the exact distinct counts: every value becomes its column's
   number and a 128-bit hash, so no value, however long, is shuffled;
-* ``SAMPLE_VALUES`` small aggregates for the samples, each the smallest value
-  beyond the one before, of all columns at once;
+* one pass for the samples: each task's smallest values of every column,
+  merged over the tasks;
 * two passes for the exact medians of all numeric columns together.
 
 Only per-column scalars reach the driver (bounded by the column count).
@@ -20,13 +20,21 @@ transformation of profile tables, so a whole catalog profiles at once.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import as_text, epoch_seconds, groupable, qcol, try_timestamp
 from ..functions.quantiles import multi_column_quantiles, sketch_aggs, sketch_edges
-from ..session import parallel_map
+from ..session import materialize, parallel_map
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need not have the package
 
 BATCH = 64
 
@@ -172,19 +180,10 @@ def distinct_counts_long(df: DataFrame, fields: list[T.StructField],
     return values.distinct().groupBy("ci").agg(F.count(F.lit(1)).alias("unique_count"))
 
 
-def smallest_values(df: DataFrame, fields: list[T.StructField], k: int = SAMPLE_VALUES) -> dict[int, list[str]]:
-    """A4: the k smallest distinct non-null values of every column, as text
-    of at most ``SAMPLE_CHARS`` characters. The j-th aggregate asks every
-    column for its smallest value beyond the (j-1)-th. NaN is the largest."""
-    keys, found, beyond = {}, {}, {}
-    for i, f in enumerate(fields):
-        key, kind = _distinct_key(f)
-        if isinstance(kind, (T.ArrayType, T.StructType)):
-            key, kind = F.to_json(key), T.StringType()
-        if isinstance(kind, T.StringType):
-            key = F.substring(key, 1, SAMPLE_CHARS)
-        keys[i], found[i] = (key, kind), []
-    live = list(keys)
+def _least(df: DataFrame, keys: dict[int, tuple[Column, T.DataType]], k: int) -> dict[int, list[str]]:
+    """The k smallest distinct values of each key, as text: the j-th aggregate
+    asks every column for its smallest value beyond the (j-1)-th. For small tables."""
+    found, beyond, live = {i: [] for i in keys}, {}, list(keys)
     for _ in range(k):
         rows: dict = {}
         for batch in _batches(live):
@@ -192,7 +191,7 @@ def smallest_values(df: DataFrame, fields: list[T.StructField], k: int = SAMPLE_
             for i in batch:
                 key, kind = keys[i]
                 least = F.min(F.when(key > F.lit(beyond[i]).cast(kind), key) if i in beyond else key)
-                aggs += [least.alias(f"v{i}"), as_text(least, kind).alias(f"t{i}")]
+                aggs += [least.alias(f"v{i}"), F.substring(as_text(least, kind), 1, SAMPLE_CHARS).alias(f"t{i}")]
             rows.update(df.agg(*aggs).first().asDict())
         live = [i for i in live if rows[f"t{i}"] is not None]
         for i in live:
@@ -203,6 +202,49 @@ def smallest_values(df: DataFrame, fields: list[T.StructField], k: int = SAMPLE_
     return found
 
 
+def smallest_values(df: DataFrame, fields: list[T.StructField], k: int = SAMPLE_VALUES) -> dict[int, list[str]]:
+    """A4: the k smallest distinct non-null values of every column, compared
+    whole, of which ``SAMPLE_CHARS`` characters are shown. NaN is the largest.
+
+    One pass: each task keeps a sorted set of k values a column and merges its
+    batches into it; the tasks' sets, k rows each, are merged in the same way."""
+    keys = {}
+    for i, f in enumerate(fields):
+        key, kind = _distinct_key(f)
+        if isinstance(kind, (T.ArrayType, T.StructType)):
+            key, kind = F.to_json(key), T.StringType()
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            key = F.when(key == 0, F.lit(0.0).cast(kind)).otherwise(key)          # one zero
+        if isinstance(kind, T.StringType):
+            kind = T.StringType()
+        keys[i] = (key, kind)
+    width = len(keys)
+    if not width:
+        return {}
+
+    def least(column: pa.Array, kept: pa.Array | None) -> pa.Array:
+        column = column.drop_null()
+        if kept is not None and len(kept) == k:
+            column = column.filter(pc.less(column, kept[-1]))                       # hardly any, after some batches
+        if not len(column) and kept is not None:
+            return kept
+        column = pc.unique(column if kept is None else pa.concat_arrays([kept, column]))
+        return column.take(pc.array_sort_indices(column))[:k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.Array | None] = [None] * width
+        names: list[str] = []
+        for batch in batches:
+            names = batch.schema.names
+            kept = [least(column, old) for column, old in zip(batch.columns, kept)]
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.nulls(k - len(x), x.type)]) for x in kept], names)
+
+    wide = df.select(*[key.cast(kind).alias(f"c{i}") for i, (key, kind) in keys.items()])
+    sets = materialize(wide.mapInArrow(run, wide.schema))
+    return _least(sets, {i: (F.col(f"c{i}"), kind) for i, (_, kind) in keys.items()}, k)
+
+
 def profile(df: DataFrame, dataset: str = "dataset", approx: bool = False,
             samples: bool = True, medians: bool = True) -> DataFrame:
     """The full profile of ``df`` (profiled rows = rows of ``df``).

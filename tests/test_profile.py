@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.operators import profile as P
 
@@ -108,3 +109,25 @@ def test_ungroupable_types(spark):
     p = _by_name(P.profile(df, "t"))
     assert p["m"]["unique_count"] == 2 and p["v"]["unique_count"] == 1 and p["am"]["unique_count"] == 1
     assert p["v"]["sample_values"] == ['{"k":1}']
+
+
+def test_samples_compare_whole_values_in_one_scan(spark):
+    import datetime as dt
+    import decimal
+
+    from tablescope.operators import profile as P
+    head = "h" * 220
+    nan = float("nan")
+    rows = [(f"{head}{i % 9}", [None, nan, -0.0, 0.0, 2.5, 1e9, -1.0, float("inf")][i % 8], dt.date(2024, 1, 1 + i % 7), i % 2 == 0,
+             bytes([i % 11]), decimal.Decimal(i % 13) / 4, [i % 6], {"k": i % 4}, dt.datetime(2024, 1, 1, i % 23)) for i in range(500)]
+    df = spark.createDataFrame(rows, "t string, d double, day date, b boolean, raw binary, n decimal(9,2), a array<int>, m map<string,int>, "
+                                     "ts timestamp_ntz").repartition(7)
+    fields = df.schema.fields
+    got = P.smallest_values(df, fields)
+    keys = {i: P._distinct_key(f) for i, f in enumerate(fields)}
+    want = P._least(df.select(*[F.to_json("a").alias(f.name) if f.name == "a" else F.col(f.name) for f in fields]),
+                    {i: (k, T.StringType() if f.name == "a" else t) for (i, (k, t)), f in zip(keys.items(), fields)}, 5)
+    assert {i: len(v) for i, v in got.items()} == {0: 5, 1: 5, 2: 5, 3: 2, 4: 5, 5: 5, 6: 5, 7: 4, 8: 5}
+    assert {i: v for i, v in got.items() if i != 1} == {i: v for i, v in want.items() if i != 1}
+    assert got[1] == ["-1.0", "0.0", "2.5", "1.0E9", "Infinity"] and set(got[0]) == {"h" * 200}
+    assert P.smallest_values(df.limit(0), fields) == {i: [] for i in range(len(fields))}
