@@ -6,12 +6,12 @@ Here the same numbers come from a few passes, by one method at every size:
 
 1. count the numbers and NaNs and take a KLL sketch of the numbers; read at
    a margin around every wanted rank it gives a band that likely holds it;
-2. count the rows below and inside every band exactly. A rank outside its
-   band moves the band to the side the counts name; a band of more than
-   ``BAND_DISTINCT`` distinct values is narrowed by a sketch of its own
-   rows. Repeat until every band is known to hold its ranks;
-3. take out only the bands' rows, grouped by value, and rank each band by
-   itself, starting at its exact count of rows below.
+2. in one pass, count the rows below every band and take out the rows inside,
+   grouped by value. A rank outside its band moves the band to the side the
+   counts name, and the pass is repeated for such bands; a band of more than
+   ``BAND_DISTINCT`` rows is first counted and narrowed by a sketch of its own
+   rows, until it is smaller or holds few distinct values;
+3. rank each band's values by itself, starting at its exact count of rows below.
 
 Nothing but bands and counts reaches the driver, and no task ranks more than
 one band's distinct values. NaN ranks above every number. Interpolation is
@@ -27,6 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 KLL_K = 4000                 # sketch size; normalized rank error ~7e-4
 BAND_MARGIN = 0.002          # band half-width in rank fraction (~3 errors)
 BAND_DISTINCT = 200_000      # distinct values that one task ranks
@@ -129,32 +131,41 @@ def _bands(stats: list, probs: Sequence[float]) -> tuple[dict, list[_Band]]:
 
 
 def _answers(spark, stats: list, probs: Sequence[float], counts: Callable, values: Callable) -> dict:
-    """The loop over passes 2 and 3. ``counts(bands, sketched)`` gives
-    (below, inside, distinct, sketch) per band; ``values(bands)`` rows of (tid, v, c)."""
+    """The loop over passes 2 and 3. ``counts(bands)`` gives (below, inside,
+    distinct, sketch) per band; ``values(bands)`` the rows (tid, v) of each band
+    and below it, these with v NULL."""
     plan, bands = _bands(stats, probs)
-    todo = list(bands)
+    todo, w = list(bands), Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     while todo:
-        left = []
         # only bands of many rows need their distinct values estimated and a sketch to narrow them by
-        for large in (False, True):
-            some = [b for b in todo if (b.rows > BAND_DISTINCT) == large]
-            for band, (below, inside, distinct, sketch) in zip(some, counts(some, large) if some else []):
-                def narrow(fractions, s=sketch):
-                    reads = [F.kll_sketch_get_quantile_double(F.lit(s), F.lit(min(1.0, max(0.0, f)))) for f in fractions]
-                    return tuple(spark.range(1).select(*reads).first())
-                if not band.settle(below, inside, distinct, narrow):
-                    left.append(band)
-        todo = left
-    if bands:
-        w = Window.partitionBy("tid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        targets = spark.createDataFrame([(i, r - b.below) for i, b in enumerate(bands) for r in sorted(set(b.ranks))],
-                                        "t int, r bigint")
-        hits = (values(bands).groupBy("tid", "v").agg(F.count(F.lit(1)).alias("c"))
+        large, small = [b for b in todo if b.rows > BAND_DISTINCT], [b for b in todo if b.rows <= BAND_DISTINCT]
+        for band, (below, inside, distinct, sketch) in zip(large, counts(large) if large else []):
+            def narrow(fractions, s=sketch):
+                reads = [F.kll_sketch_get_quantile_double(F.lit(s), F.lit(min(1.0, max(0.0, f)))) for f in fractions]
+                return tuple(spark.range(1).select(*reads).first())
+            if band.settle(below, inside, distinct, narrow):
+                band.rows = 0                # many rows of few values
+        todo = large
+        if not small:
+            continue
+        taken = materialize(values(small).groupBy("tid", "v").agg(F.count(F.lit(1)).alias("c")))
+        sums = {r["tid"]: r for r in taken.groupBy("tid").agg(
+            F.sum(F.when(F.col("v").isNull(), F.col("c")).otherwise(0)).alias("below"),
+            F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("inside"), F.count("v").alias("distinct")).collect()}
+        held = {}
+        for i, band in enumerate(small):
+            below, inside, distinct = (sums[i][c] for c in ("below", "inside", "distinct")) if i in sums else (0, 0, 0)
+            if band.settle(below, inside, distinct if distinct <= BAND_DISTINCT else None, None):
+                held[i] = band
+            else:
+                todo.append(band)
+        targets = spark.createDataFrame([(i, r - b.below) for i, b in held.items() for r in sorted(set(b.ranks))], "t int, r bigint")
+        hits = (taken.where(F.col("v").isNotNull()).join(targets.select("t").distinct(), F.col("tid") == F.col("t"), "left_semi")
                 .withColumn("cum", F.sum("c").over(w)).join(targets, F.col("tid") == F.col("t"))
                 .where((F.col("cum") > F.col("r")) & (F.col("cum") - F.col("c") <= F.col("r")))
-                .select("tid", "r", "v").collect())
+                .select("tid", "r", "v").collect() if held else [])
         for h in hits:
-            bands[h["tid"]].found[h["r"] + bands[h["tid"]].below] = h["v"]
+            held[h["tid"]].found[h["r"] + held[h["tid"]].below] = h["v"]
     at = {}
     for b in bands:
         at.update({(b.key, r): v for r, v in b.found.items()})
@@ -185,17 +196,15 @@ def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
         rows = spark.createDataFrame([(i, b.key, b.lo, b.hi) for i, b in enumerate(bands)], schema)
         return src.where(~F.isnan(v)).join(rows, F.col("k") == F.col("tk"))
 
-    def counts(bands, sketched):
+    def counts(bands):
         mine = (v >= F.col("lo")) & (v <= F.col("hi"))
-        aggs = [F.count_if(v < F.col("lo")).alias("below"), F.count_if(mine).alias("inside")]
-        if sketched:
-            aggs += [F.approx_count_distinct(F.when(mine, v)).alias("distinct"),
-                     F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias("sketch")]
-        got = {r["tid"]: r.asDict() for r in joined(bands).groupBy("tid").agg(*aggs).collect()}
-        return [(got[i]["below"], got[i]["inside"], got[i].get("distinct"), got[i].get("sketch")) for i in range(len(bands))]
+        aggs = [F.count_if(v < F.col("lo")).alias("below"), F.count_if(mine).alias("inside"),
+                F.approx_count_distinct(F.when(mine, v)).alias("distinct"), F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias("sketch")]
+        got = {r["tid"]: r for r in joined(bands).groupBy("tid").agg(*aggs).collect()}
+        return [tuple(got[i][c] for c in ("below", "inside", "distinct", "sketch")) for i in range(len(bands))]
 
     def values(bands):
-        return joined(bands).where((v >= F.col("lo")) & (v <= F.col("hi"))).select("tid", "v")
+        return joined(bands).where(v <= F.col("hi")).select("tid", F.when(v >= F.col("lo"), v).alias("v"))
 
     return _answers(spark, stats, probs, counts, values)
 
@@ -232,22 +241,20 @@ def multi_column_quantiles(df: DataFrame, exprs: dict[str, Column],
             stats += [{"k": c, "n": row[f"n{i}"], "nan": row[f"m{i}"], "q": row[f"q{i}"]}
                       for c in part for i in [names.index(c)]]
 
-    def counts(bands, sketched):
+    def counts(bands):
         out = []
         for start in range(0, len(bands), AGG_BANDS):
-            aggs = []
-            for i, b in enumerate(bands[start:start + AGG_BANDS]):
+            aggs, some = [], bands[start:start + AGG_BANDS]
+            for i, b in enumerate(some):
                 v, mine = of[b.key], _inside(of[b.key], b)
-                aggs += [F.count_if(v < F.lit(b.lo)).alias(f"b{i}"), F.count_if(mine).alias(f"i{i}")]
-                if sketched:
-                    aggs += [F.approx_count_distinct(F.when(mine, v)).alias(f"d{i}"),
-                             F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias(f"s{i}")]
-            row = src.agg(*aggs).first().asDict()
-            out += [(row[f"b{i}"], row[f"i{i}"], row.get(f"d{i}"), row.get(f"s{i}")) for i in range(len(aggs) // (4 if sketched else 2))]
+                aggs += [F.count_if(v < F.lit(b.lo)).alias(f"b{i}"), F.count_if(mine).alias(f"i{i}"),
+                         F.approx_count_distinct(F.when(mine, v)).alias(f"d{i}"), F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias(f"s{i}")]
+            row = src.agg(*aggs).first()
+            out += [tuple(row[f"{c}{i}"] for c in "bids") for i in range(len(some))]
         return out
 
     def values(bands):
-        each = F.array(*[F.when(_inside(of[b.key], b), F.struct(F.lit(i).alias("tid"), of[b.key].alias("v")))
+        each = F.array(*[F.when(of[b.key] <= F.lit(b.hi), F.struct(F.lit(i).alias("tid"), F.when(of[b.key] >= F.lit(b.lo), of[b.key]).alias("v")))
                          for i, b in enumerate(bands)])
         return src.select(F.inline(F.filter(each, lambda x: x.isNotNull())))
 
