@@ -178,35 +178,90 @@ def _inside(v: Column, b: _Band) -> Column:
     return (v >= F.lit(b.lo)) & (v <= F.lit(b.hi))
 
 
-def grouped_quantiles(long_df: DataFrame, probs: Sequence[float],
-                      key: str = "k", value: str = "v") -> dict:
-    """Exact continuous quantiles of ``value`` for every ``key``.
-
-    Returns ``{key_value: [q(p) for p in probs]}``; keys without non-null
-    values are absent. Values are treated as DOUBLE. The bands (a row per key
-    and probability) are joined to the rows by key."""
-    spark = long_df.sparkSession
-    src = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    sk = src.groupBy("k").agg(*sketch_aggs(F.col("v"), "n", "nan", "s"))
-    stats = sk.select("k", "n", "nan", sketch_edges(F.col("s"), F.col("n"), probs, "q")).collect()
-    schema = f"tid int, tk {src.schema['k'].dataType.simpleString()}, lo double, hi double"
-    v = F.col("v")
-
-    def joined(bands):
-        rows = spark.createDataFrame([(i, b.key, b.lo, b.hi) for i, b in enumerate(bands)], schema)
-        return src.where(~F.isnan(v)).join(rows, F.col("k") == F.col("tk"))
-
-    def counts(bands):
-        mine = (v >= F.col("lo")) & (v <= F.col("hi"))
-        aggs = [F.count_if(v < F.col("lo")).alias("below"), F.count_if(mine).alias("inside"),
-                F.approx_count_distinct(F.when(mine, v)).alias("distinct"), F.kll_sketch_agg_double(F.when(mine, v), KLL_K).alias("sketch")]
-        got = {r["tid"]: r for r in joined(bands).groupBy("tid").agg(*aggs).collect()}
-        return [tuple(got[i][c] for c in ("below", "inside", "distinct", "sketch")) for i in range(len(bands))]
-
-    def values(bands):
-        return joined(bands).where(v <= F.col("hi")).select("tid", F.when(v >= F.col("lo"), v).alias("v"))
-
-    return _answers(spark, stats, probs, counts, values)
+GROUP_ROWS = 10_000          # rows of a group that are sorted as one array
+
+
+def _at(values: Column, pos: Column) -> Column:
+    """Interpolation of a sorted array at a position (from 0)."""
+    low, frac = F.floor(pos).cast("int"), pos - F.floor(pos)
+    a, b = F.get(values, low), F.get(values, F.ceil(pos).cast("int"))
+    return F.when((frac == 0) | (a == b), a).otherwise(a + frac * (b - a))
+
+
+def grouped_quantiles(long_df: DataFrame, probs: Sequence[float], key: str = "k", value: str = "v") -> DataFrame:
+    """Exact continuous quantiles of ``value`` for every ``key``: k, and q, an
+    array in the order of ``probs``. Keys without non-null values are absent;
+    values are DOUBLE.
+
+    Nothing of a key reaches the driver. A group of at most ``GROUP_ROWS`` rows
+    is sorted as one array. Larger ones are read through bands, a table of one
+    row per key and probability, joined to the rows by key: one pass sketches
+    the groups, one takes the bands' rows out and counts those below. The bands'
+    values are ranked by range partitions, however many a band has. A band that
+    misses its ranks, known by its counts, is taken again as wide as its group."""
+    src = long_df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("k").isNotNull() & F.col("v").isNotNull())
+    sizes = materialize(src.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    small = sizes.where(F.col("n") <= GROUP_ROWS).select("k")
+    arrays = src.join(small, "k").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("all"))
+    last = F.size("all").cast("double") - 1
+    out = arrays.select("k", F.array(*[_at(F.col("all"), last * F.lit(float(p))) for p in probs]).alias("q"))
+    large = sizes.where(F.col("n") > GROUP_ROWS)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_banded(src.join(large.select("k"), "k"), probs))
+
+
+def _banded(src: DataFrame, probs: Sequence[float]) -> DataFrame:
+    numbers = src.where(~F.isnan("v"))
+    sketched = src.groupBy("k").agg(*sketch_aggs(F.col("v"), "n", "nan", "s"))
+    edges, at = band_edges(probs), {e: i for i, e in enumerate(band_edges(probs))}
+    stats = sketched.select("k", "n", "nan", sketch_edges(F.col("s"), F.col("n"), probs, "e"))
+    narrow = (F.col("nan") == 0) & (F.col("n") * BAND_MARGIN >= 2)       # NaNs shift the fractions
+    whole = (F.col("e")[0], F.col("e")[len(edges) - 1])
+
+    def edge(p: float, side: int) -> Column:
+        return F.when(narrow, F.col("e")[at[min(1.0, max(0.0, p + side * BAND_MARGIN))]]).otherwise(whole[side > 0])
+
+    pos = [(F.col("n") + F.col("nan") - 1) * F.lit(float(p)) for p in probs]
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("pos"), edge(p, -1).alias("lo"), edge(p, 1).alias("hi"))
+                     for i, (p, x) in enumerate(zip(probs, pos))])
+    bands = materialize(stats.select("k", "n", whole[0].alias("least"), whole[1].alias("most"), F.inline(rows))
+                        .withColumn("r0", F.floor("pos")).withColumn("r1", F.least(F.ceil("pos"), F.col("n") - 1)))
+    found, todo = None, bands.where(F.col("r0") < F.col("n"))            # NaN is above every number
+    for _ in range(2):
+        limits = todo.select("k", "i", "lo", "hi")
+        v = F.col("v")
+        taken = materialize(numbers.join(limits, "k").where(v <= F.col("hi")).select("k", "i", F.when(v >= F.col("lo"), v).alias("v"))
+                            .groupBy("k", "i", "v").agg(F.count(F.lit(1)).alias("c")))
+        c = F.col("c")
+        sums = taken.groupBy("k", "i").agg(F.sum(F.when(v.isNull(), c).otherwise(0)).alias("below"), F.sum(c).alias("upto"))
+        judged = materialize(todo.join(sums, ["k", "i"], "left").withColumn(
+            "holds", F.coalesce((F.col("r0") >= F.col("below")) & (F.col("r1") < F.col("upto")), F.lit(False))))
+        held = judged.where("holds").select("k", "i", "r0", "r1")
+        ranked = _cumulated(taken)
+        hits = (ranked.join(held, ["k", "i"]).where(v.isNotNull()).groupBy("k", "i")
+                .agg(*[F.min(F.when((F.col("cum") > F.col(r)) & (F.col("cum") - c <= F.col(r)), v)).alias(a) for r, a in (("r0", "a"), ("r1", "b"))]))
+        found = hits if found is None else found.unionByName(hits)
+        missed = judged.where("NOT holds")
+        if missed.isEmpty():
+            break
+        todo = missed.drop("below", "upto", "holds").withColumns({"lo": F.col("least"), "hi": F.col("most")})
+    frac = F.col("pos") - F.floor("pos")
+    a, b = F.coalesce("a", F.lit(_NAN)), F.when(F.ceil("pos") < F.col("n"), F.col("b")).otherwise(F.lit(_NAN))
+    q = F.when((frac == 0) | (a == b), a).otherwise(a + frac * (b - a))
+    each = bands.join(found, ["k", "i"], "left").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", q.alias("q")))).alias("all"))
+    return each.select("k", F.col("all.q").alias("q"))
+
+
+def _cumulated(taken: DataFrame) -> DataFrame:
+    """``cum``: of each (k, i) the rows up to a value, this one's included.
+    Rows are spread by ranges of (k, i, v), so a group may lie over many tasks."""
+    parts = materialize(taken.repartitionByRange("k", "i", F.col("v").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("k", "i").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("k", "i", "part").agg(F.sum("c").alias("s"))
+    offsets = sums.select("k", "i", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("off"))
+    within = Window.partitionBy("k", "i", "part").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return parts.withColumn("own", F.sum("c").over(within)).join(offsets, ["k", "i", "part"]).withColumn("cum", F.col("off") + F.col("own"))
 
 
 def column_quantiles(df: DataFrame, expr: Column, probs: Sequence[float],

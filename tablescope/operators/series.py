@@ -137,8 +137,7 @@ def series_box(df: DataFrame, cat: str, num: str, max_categories: int | None = N
     """Five-number summary and mean of num per category, in order: all
     categories or the first ``max_categories``. Quantiles use the distributed
     exact method, so a category holding most rows is never gathered into
-    one task; what reaches the driver is five numbers per category."""
-    spark = df.sparkSession
+    one task, and nothing of a category reaches the driver."""
     c, v = qcol(cat).cast("string"), qcol(num).cast("double")
     sub = df.where(c.isNotNull())
     if max_categories is not None:
@@ -146,7 +145,6 @@ def series_box(df: DataFrame, cat: str, num: str, max_categories: int | None = N
         sub = sub.where(c.isin(cats)) if cats else sub.where(F.lit(False))
     q = grouped_quantiles(sub.select(c.alias("k"), v.alias("v")), [0.0, 0.25, 0.5, 0.75, 1.0])
     names = ("min_val", "q1_val", "median_val", "q3_val", "max_val")
-    five = spark.createDataFrame([(k, *x) for k, x in q.items()],
-                                 "category string, " + ", ".join(f"{n} double" for n in names))
+    five = q.select(F.col("k").alias("category"), *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
     means = sub.groupBy(c.alias("category")).agg(F.avg(v).alias("mean_val"))
     return means.join(five, "category", "left").select("category", *names, "mean_val").orderBy("category")

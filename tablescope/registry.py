@@ -670,12 +670,12 @@ def q_run_plan(spark, sf):
 
 
 def messy_plan_texts(spark, sf) -> DataFrame:
-    """Stand-in plan answers, one per nation: prose around a list with a
+    """Stand-in plan answers, one per customer: prose around a list with a
     task without title, text and number priorities, and items that are no tasks."""
-    name, quoted = F.col("n_name"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
-    return _t(spark, sf, "nation").select(name.alias("dataset"), F.concat(
-        F.lit('Plan:\n```json\n[{"type": "overview", "title": '), quoted(name), F.lit(', "priority": '), quoted(F.col("n_nationkey")),
-        F.lit('}, {"type": "distribution", "columns": ["x"]}, {"type": "distribution", "title": '), quoted(F.col("n_regionkey")),
+    name, quoted = F.col("c_name"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    return _t(spark, sf, "customer").select(name.alias("dataset"), F.concat(
+        F.lit('Plan:\n```json\n[{"type": "overview", "title": '), quoted(name), F.lit(', "priority": '), quoted(F.col("c_custkey")),
+        F.lit('}, {"type": "distribution", "columns": ["x"]}, {"type": "distribution", "title": '), quoted(F.col("c_nationkey")),
         F.lit(', "description": "d", "columns": ['), quoted(name), F.lit(', "x"], "chart_type": "pie", "priority": "soon"}, '
               '{"type": "anomaly", "title": "last", "priority": 2}, 7]\n``` done')).alias("text"))
 
@@ -709,10 +709,11 @@ def q_stat_lines(spark, sf):
 
 @query("stat_lines_large")
 def q_stat_lines_large(spark, sf):
-    """Statistics from a million to a hundred trillion, one per nation."""
-    m = F.lit(1_000_000.0) * F.pow(F.lit(10.0), (F.col("n_nationkey") % 9).cast("double"))
-    return L.stat_lines(_t(spark, sf, "nation").select(
-        F.lit("big").alias("dataset"), F.col("n_nationkey").cast("int").alias("pos"), F.col("n_name").alias("name"),
+    """Statistics from a million to a quadrillion: a customer's orders, counted in units of that size."""
+    m = F.col("n") * F.lit(1_000_000.0) * F.pow(F.lit(10.0), (F.col("o_custkey") % 9).cast("double"))
+    counted = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return L.stat_lines(counted.select(
+        F.lit("big").alias("dataset"), F.col("o_custkey").cast("int").alias("pos"), F.concat(F.lit("customer "), "o_custkey").alias("name"),
         F.lit("numeric").alias("category"), (m * 1.25).alias("mean_val"), m.alias("min_val"), (m * 1.5).alias("max_val"),
         F.lit(0.0).alias("missing_pct")))
 
@@ -835,6 +836,13 @@ def q_box_all(spark, sf):
     return round_doubles(box.withColumn("mean_val", F.col("mean_val") + 1e-9), 6)
 
 
+@query("box_by_part")
+def q_box_by_part(spark, sf):
+    """More categories than any driver should see."""
+    box = S.series_box(_t(spark, sf, "lineitem"), "l_partkey", "l_extendedprice")
+    return round_doubles(box.withColumn("mean_val", F.col("mean_val") + 1e-9), 6)
+
+
 @query("quantiles_nan")
 def q_quantiles_nan(spark, sf):
     """Quantiles of columns with some, mostly and only NaN, and with infinities."""

@@ -77,7 +77,7 @@ def test_partition_invariance(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     one = Q.grouped_quantiles(df.coalesce(1), [0.1, 0.5, 0.9])
     many = Q.grouped_quantiles(df.repartition(16), [0.1, 0.5, 0.9])
-    assert one == many
+    assert sorted(one.collect()) == sorted(many.collect())
 
 
 def test_multi_column_equals_single(spark):
@@ -89,17 +89,43 @@ def test_multi_column_equals_single(spark):
     assert multi["b"] == Q.column_quantiles(df, F.col("b"), [0.3, 0.7])
 
 
-def test_grouped_like_columns(spark, monkeypatch):
-    """Many groups of all sizes, NaN in some; narrow bands."""
-    monkeypatch.setattr(Q, "BAND_DISTINCT", 7)
+@pytest.mark.parametrize("rows_of_an_array, margin", [(10_000, Q.BAND_MARGIN), (50, Q.BAND_MARGIN), (50, 1e-6), (0, 0.05)])
+def test_grouped_like_columns(spark, monkeypatch, rows_of_an_array, margin):
+    """Many groups of all sizes, NaN in some; arrays, bands, and bands that miss their ranks."""
+    monkeypatch.setattr(Q, "GROUP_ROWS", rows_of_an_array)
+    monkeypatch.setattr(Q, "BAND_MARGIN", margin)
+    monkeypatch.setattr(Q, "KLL_K", 4000 if margin > 1e-3 else 64)
     rnd = random.Random(2)
     rows = [(f"g{i % 4}", rnd.choice([rnd.gauss(0, 9), float(rnd.randint(0, 3)), float("nan") if i % 4 == 3 else 1.0]))
-            for i in range(2000)] + [("one", 2.0), ("nan", float("nan"))]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
-    got = Q.grouped_quantiles(df, [0.0, 0.25, 0.5, 1.0])
-    for k in {r[0] for r in rows}:
-        want = Q.column_quantiles(df.where(F.col("k") == k), F.col("v"), [0.0, 0.25, 0.5, 1.0])
-        assert [repr(x) for x in got[k]] == [repr(x) for x in want], k
+            for i in range(8000)] + [("one", 2.0), ("nan", float("nan")), ("two", 1.0), ("two", float("inf"))] + [("nans", float("nan"))] * 60
+    df = spark.createDataFrame([*rows, ("none", None), (None, 1.0)], "k string, v double").repartition(4)
+    probs = [0.0, 0.25, 0.5, 1.0]
+    got = {r["k"]: r["q"] for r in Q.grouped_quantiles(df, probs).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    for k in got:
+        values = sorted((math.isnan(v), v) for g, v in rows if g == k)
+        for p, q in zip(probs, got[k]):
+            pos = (len(values) - 1) * p
+            a, b = values[math.floor(pos)][1], values[math.ceil(pos)][1]
+            want = a if a == b or pos == math.floor(pos) else a + (pos - math.floor(pos)) * (b - a)
+            assert repr(q) == repr(want), (k, p)
+
+
+def test_grouped_quantiles_leave_the_driver_alone(spark, monkeypatch):
+    """Twenty thousand groups, and neither a row of them collected nor a table made from the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    monkeypatch.setattr(Q, "GROUP_ROWS", 30)
+    df = spark.range(0, 300_000).select((F.col("id") % 20_000).alias("k"), F.col("id").cast("double").alias("v"))
+    df = df.unionByName(spark.range(0, 20_000).select(F.lit(7).cast("long").alias("k"), (F.col("id") * 1.0).alias("v")))
+    with monkeypatch.context() as m:
+        def refuse(*args, **kw):
+            raise AssertionError("rows on the driver")
+        for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+            m.setattr(Classic, name, refuse)
+        m.setattr(type(spark), "createDataFrame", refuse)
+        found = Q.grouped_quantiles(df, [0.0, 0.5])
+    assert found.count() == 20_000
+    assert found.where("k = 3").first()["q"] == [3.0, 140_003.0]
 
 
 def test_number_of_jobs_does_not_depend_on_columns(spark):
