@@ -4,9 +4,11 @@ A text is a lattice whose edges are pieces; its encoding is the best path.
 Weights add along a path and the best of several counts (max-plus), so what
 a chunk does to a path is a matrix from the states in which a piece may
 cross its left border to those of its right border, and matrices of
-neighbouring chunks combine associatively. Chunks are encoded wherever
-Spark puts them; only their matrices meet, per document; then every chunk
-traces its own part back from the states that were found at its borders.
+neighbouring chunks combine associatively: ``FAN`` at a time, wherever Spark
+puts them, then ``FAN`` of the products, until a document has one. From the
+top down the products' border states give those of their factors, and every
+chunk traces its own part back from the states at its borders. No task holds
+more than ``FAN`` matrices of a document, however long it is.
 
 * Unigram models: an edge weighs its piece's score; a state is how far the
   crossing piece reaches into the next chunk.
@@ -18,8 +20,9 @@ traces its own part back from the states that were found at its borders.
 
 Chunks of about ``CHUNK`` characters end where a word begins, if one does:
 pieces have white space only in front, so no piece crosses that border, the
-matrix has one entry and the library encodes the chunk as it is. Only texts
-without white space for a chunk's length need the lattice itself.
+matrix has one entry, its weight that of the library's encoding of the chunk,
+which is then the chunk's part of the best path. Only texts without white space
+for a chunk's length need the lattice itself. A text of one chunk has no border.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 text; every row is encoded by itself, whether its identifier is null or
@@ -33,14 +36,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, written
 
-CHUNK = 16384
+#: Characters of a chunk; matrices that are multiplied at a time.
+CHUNK, FAN = 16384, 64
 MARK = "▁"
 NEVER = float("-inf")
 _WORD_START = re.compile("(?<![ ▁])[ ▁]")
@@ -87,6 +90,10 @@ class Model:
             i = min(found)[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
+    def total(self, ids: list[int]) -> float:
+        """What an encoding by the library weighs."""
+        return float(sum(self.plain.get_score(ids))) if self.unigram and ids else 0.0
+
     def weight(self, last: str, piece: str) -> float:
         if self.unigram:
             return self.pieces[piece][1] if piece in self.pieces else self.least - 10
@@ -166,6 +173,30 @@ def combined(a: list[tuple[State, State, float]], b: list[tuple[State, State, fl
     return [(x, z, w) for (x, z), w in best.items()]
 
 
+def product(matrices: list[list[tuple[State, State, float]]]) -> list[tuple[State, State, float]]:
+    """Of neighbours from left to right, halves first."""
+    while len(matrices) > 1:
+        matrices = [combined(*matrices[i:i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def states_between(matrices: list[list[tuple[State, State, float]]], start: State, to: State) -> list[tuple[State, State]]:
+    """The states at each factor's borders on the best path between two states."""
+    before: list[dict[State, float]] = [{start: 0.0}]
+    for m in matrices:
+        after: dict[State, float] = {}
+        for x, y, w in m:
+            if x in before[-1]:
+                after[y] = max(after.get(y, NEVER), before[-1][x] + w)
+        before.append(after)
+    out = []
+    for m, reached in zip(reversed(matrices), reversed(before[:-1])):
+        x = max((reached.get(x, NEVER) + w, x) for x, y, w in m if y == to)[1]
+        out.append((x, to))
+        to = x
+    return out[::-1]
+
+
 def cuts(text: str, size: int = CHUNK) -> list[tuple[int, bool]]:
     """Borders of chunks and whether no piece can cross them."""
     found = [(0, True)]
@@ -177,7 +208,8 @@ def cuts(text: str, size: int = CHUNK) -> list[tuple[int, bool]]:
 
 
 _CHUNKS = "row long, chunk long, before string, body string, after string, opened boolean, closed boolean"
-_ENCODED = "row long, chunk long, ids array<int>, matrix array<struct<x:int,p:string,y:int,q:string,w:double>>"
+_ENTRIES = "array<struct<x:int,p:string,y:int,q:string,w:double>>"
+_ENCODED = f"row long, node long, ids array<int>, matrix {_ENTRIES}"
 
 
 def _chunked(prefix: str, size: int, longest: int, heads: list[str]):
@@ -232,29 +264,9 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
             for whole, begin, end, opened, closed, body in _chunk_texts(batch):
                 clean = opened and closed
                 ids.append(own.plain.encode(body) if clean else None)
-                matrices.append(None if clean else [
-                    {"x": x[0], "p": x[1], "y": y[0], "q": y[1], "w": w} for x, y, w in own.matrix(whole, begin, end, opened, closed)])
-            yield pa.record_batch({"row": batch["row"], "chunk": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32())),
-                                   "matrix": pa.array(matrices, _MATRIX)})
-
-    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One document's chunks that need the lattice: the states at their borders."""
-        pdf, out = pdf.sort_values("chunk"), []
-        reach, run = None, []                     # prefix products of the run of chunks so far
-        for no, m in zip(pdf["chunk"], pdf["matrix"]):
-            own = [((e["x"], e["p"]), (e["y"], e["q"]), e["w"]) for e in m]
-            reach = own if not run else combined(reach, own)
-            run.append((no, own, {y: w for _, y, w in reach}))
-            if set(run[-1][2]) == {(0, "")}:      # a clean border ends the run
-                to: State = (0, "")
-                for i in range(len(run) - 1, -1, -1):
-                    no_, own_, _ = run[i]
-                    before = run[i - 1][2] if i else {(0, ""): 0.0}
-                    start = max((before.get(x, NEVER) + w, x) for x, y, w in own_ if y == to)[1]
-                    out.append((pdf["row"].iloc[0], no_, start[0], start[1], to[0], to[1]))
-                    to = start
-                run = []
-        return pd.DataFrame(out, columns=["row", "chunk", "x", "p", "y", "q"])
+                matrices.append([((0, ""), (0, ""), own.total(ids[-1]))] if clean else own.matrix(whole, begin, end, opened, closed))
+            yield pa.record_batch({"row": batch["row"], "node": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32())),
+                                   "matrix": _packed(matrices)})
 
     def traced(batches):
         own = Model(file.value)
@@ -262,7 +274,7 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
             states = zip(*(batch[c].to_pylist() for c in "xpyq"))
             ids = [own.trace(whole, begin, end, (x, p), (y, q), closed)
                    for (whole, begin, end, _, closed, _), (x, p, y, q) in zip(_chunk_texts(batch), states)]
-            yield pa.record_batch({"row": batch["row"], "chunk": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32()))})
+            yield pa.record_batch({"row": batch["row"], "node": batch["chunk"], "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     small = rows.where(F.length("text") <= chunk).mapInArrow(short, f"{schema}, ids array<int>" + ", text string" * decoded)
     giants = rows.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
@@ -270,11 +282,11 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
     pieces = written(giants.mapInArrow(_chunked(mine.prefix, chunk, mine.longest, heads), f"{_CHUNKS}, {schema}")
                      .repartition(partitions(spark), "row", "chunk"), "chunks")
     first = written(pieces.mapInArrow(chunks, _ENCODED), "encoded")
-    knots = first.where("matrix IS NOT NULL").select("row", "chunk", "matrix").groupBy("row").applyInPandas(
-        borders, "row long, chunk long, x int, p string, y int, q string")
-    second = pieces.join(knots, ["row", "chunk"]).mapInArrow(traced, "row long, chunk long, ids array<int>")
-    whole = (first.where("matrix IS NULL").select("row", "chunk", "ids").unionByName(second)
-             .groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda s: s["ids"])).alias("ids")))
+    knots = border_states(levels(first.select("row", "node", "matrix")))
+    second = (pieces.where("NOT (opened AND closed)").join(knots.withColumnRenamed("node", "chunk"), ["row", "chunk"])
+              .mapInArrow(traced, "row long, node long, ids array<int>"))
+    whole = (first.where("ids IS NOT NULL").select("row", "node", "ids").unionByName(second)
+             .groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("node", "ids"))), lambda s: s["ids"])).alias("ids")))
     large = pieces.where("chunk = 0").select("row", *heads).join(whole, "row").drop("row")
     out = small.unionByName(decode(large, model) if decoded else large)
     return out.select(*[F.col(n).alias(c) for c, n in zip(carry, names)], "text_sha256", "ids", *["text"] * decoded)
@@ -283,6 +295,52 @@ def encode(docs: DataFrame, model: str, carry: Sequence[str] = (), chunk: int =
 _MATRIX = pa.list_(pa.struct([("x", pa.int32()), ("p", pa.string()), ("y", pa.int32()), ("q", pa.string()), ("w", pa.float64())]))
 
 
+def _packed(matrices: list[list[tuple[State, State, float]]]) -> pa.Array:
+    return pa.array([[{"x": x[0], "p": x[1], "y": y[0], "q": y[1], "w": w} for x, y, w in m] for m in matrices], _MATRIX)
+
+
+def _unpacked(entries: list[dict]) -> list[tuple[State, State, float]]:
+    return [((e["x"], e["p"]), (e["y"], e["q"]), e["w"]) for e in entries]
+
+
+def _factors(nodes: DataFrame) -> DataFrame:
+    """Each next level's nodes with their factors in order, ``FAN`` at most."""
+    return (nodes.groupBy("row", F.floor(F.col("node") / FAN).alias("above"))
+            .agg(F.sort_array(F.collect_list(F.struct("node", "matrix"))).alias("factors")))
+
+
+def levels(nodes: DataFrame) -> list[DataFrame]:
+    """The chunks' matrices (row, node, matrix), the products of ``FAN`` of them, of these, ... up to one a document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [product([_unpacked(f["matrix"]) for f in factors]) for factors in batch["factors"].to_pylist()]
+            yield pa.record_batch({"row": batch["row"], "node": batch["above"], "matrix": _packed(found)})
+
+    out = [nodes]
+    while not out[-1].where("node > 0").isEmpty():
+        out.append(written(_factors(out[-1]).mapInArrow(run, f"row long, node long, matrix {_ENTRIES}"), "products"))
+    return out
+
+
+def border_states(products: list[DataFrame]) -> DataFrame:
+    """row, node, x, p, y, q: the states at the borders of every chunk, from the products down."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for r in batch.to_pylist():
+                found = states_between([_unpacked(f["matrix"]) for f in r["factors"]], (r["x"], r["p"]), (r["y"], r["q"]))
+                out += [(r["row"], f["node"], *a, *b) for f, (a, b) in zip(r["factors"], found)]
+            yield pa.record_batch({n: pa.array(c, t) for n, t, c in zip(
+                ("row", "node", "x", "p", "y", "q"), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), zip(*out))})
+
+    ends = {"x": F.lit(0), "p": F.lit(""), "y": F.lit(0), "q": F.lit("")}
+    states = products[-1].select("row", "node").withColumns(ends)
+    for nodes in reversed(products[:-1]):
+        states = (_factors(nodes).join(states.withColumnRenamed("node", "above"), ["row", "above"])
+                  .mapInArrow(run, "row long, node long, x int, p string, y int, q string"))
+    return states
+
+
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` with its ``ids`` decoded into a column ``text``."""
     with open(model, "rb") as f:

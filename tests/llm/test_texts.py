@@ -247,6 +247,28 @@ def test_scan_equals_library(unigram):
             assert got == want, t
 
 
+def test_every_chunk_of_a_giant_has_a_matrix(spark, monkeypatch):
+    """Matrices of all chunks, products of few up to one a document, states back down; the ids are the library's."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.length("text") > sentence_pieces.CHUNK)
+    rnd = random.Random(3)
+    solid = ["".join(rnd.choice("aehinst") for _ in range(3000)), "ab" * 1700, "x" * 2500 + " word " + "é" * 900]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(solid)], "doc_id long, text string"))
+    seen = []
+    monkeypatch.setattr(sentence_pieces, "FAN", 3)
+    whole = sentence_pieces.levels
+    monkeypatch.setattr(sentence_pieces, "levels", lambda nodes: seen.append(whole(nodes)) or seen[-1])
+    got = sentence_pieces.encode(docs, tokenizer_file(MODEL), ["doc_id"], 600).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    import sentencepiece
+    lib = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(MODEL))
+    assert {r.doc_id: r.ids for r in got} == {i: lib.encode(t) for i, t in texts.items()}
+    chunks = sum(len(sentence_pieces.cuts(" " + t, 600)) - 1 for t in texts.values())
+    sizes = [level.count() for level in seen[0]]
+    assert sizes[0] == chunks > 1000 and sizes[-1] == len(texts) and len(sizes) > 4
+    assert all(r.matrix for level in seen[0] for r in level.collect())
+    assert seen[0][0].where("size(matrix) > 1").count() > 5                  # borders that pieces may cross
+
+
 @pytest.mark.parametrize("chunk", [sentence_pieces.CHUNK, 500])
 def test_encode_decode(spark, odd, none, chunk):
     import sentencepiece
