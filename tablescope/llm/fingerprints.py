@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, slices, texts
@@ -115,6 +115,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in OUT.split(", ")]
 
 
+def one_a_partition(spark: SparkSession, number: Column, n: int) -> Column:
+    """A key for each number modulo ``n`` that hashing puts into a partition of its own."""
+    of = F.pmod(F.hash("id"), F.lit(n))
+    keys = {r["p"]: r["id"] for r in spark.range(0, 32 * n + 64).groupBy(of.alias("p")).agg(F.min("id").alias("id")).collect()}
+    return F.element_at(F.lit([keys.get(i, i) for i in range(n)]).cast("array<bigint>"), (F.pmod(number, F.lit(n)) + 1).cast("int"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its sketch, the sketch of its edited text, and how alike
     they and the next document's are. Also the estimated numbers of distinct
@@ -143,7 +150,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
               .withColumn("n", F.row_number().over(first)).where("n = 1")
               .select(F.col("host").alias("range"), F.lit(True).alias("guest"), F.lit(None).cast("long").alias("doc_id"), "text"))
     both = keyed.withColumn("guest", F.lit(False)).unionByName(guests)
-    return (both.repartition(n, "range")
+    return (both.repartition(n, one_a_partition(spark, F.col("range"), n))
             .sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
             .mapInArrow(_pairs, OUT))
 

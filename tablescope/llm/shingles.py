@@ -1,13 +1,16 @@
 """Word shingles as 64-bit hashes, with numpy; whole texts, block by block.
 
-Words are runs of letters, digits, underscores and all characters beyond
-ASCII, in lower case. A text that has no word but other characters has its
-runs of non-space characters as words; an empty or blank text has none. A
+Words are runs of letters, marks, digits and underscores, in lower case, by
+Unicode's classes: punctuation, symbols and spaces of any script end a word.
+Each letter of a script written without spaces (Chinese characters, Kana, Thai,
+Lao, Khmer, Burmese) is a word. A text that has no word but other characters has
+its runs of non-space characters as words; an empty or blank text has none. A
 text of fewer words than a shingle has one shingle, of all its words."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
@@ -20,6 +23,31 @@ _BYTE, _PLACE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _IN_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 _NO_SPACE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
 _powers = np.ones(1, _U)
+#: ASCII and Latin letters: texts of these alone need no look at Unicode's classes.
+_OTHER = re.compile("[^\x00-\x7f\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]")
+_UNSPACED = re.compile("(CJK|HIRAGANA|KATAKANA|BOPOMOFO|THAI|LAO|KHMER|MYANMAR|YI SYLLABLE|TIBETAN) ")
+
+
+class _Borders(dict):
+    """What a character beyond ASCII stands for between words: a space, itself as a word, or itself."""
+
+    def __missing__(self, code: int) -> str:
+        letter = chr(code)
+        kind = unicodedata.category(letter)
+        if code < 128 or kind[0] in "LN" and not _UNSPACED.match(unicodedata.name(letter, "")) or kind[0] == "M" or kind == "Cf":
+            out = letter
+        else:
+            out = f" {letter} " if kind[0] in "LN" else " "
+        self[code] = out
+        return out
+
+
+_borders = _Borders()
+
+
+def bordered(text: str) -> str:
+    """The text with spaces where its words end or begin."""
+    return text if text.isascii() or not _OTHER.search(text) else text.translate(_borders)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,9 +88,8 @@ def blocks(text: str):
 
 
 def word_hashes(text: str) -> np.ndarray:
-    raws = [np.frombuffer(b.lower().encode("utf-8", "replace"), np.uint8) for b in blocks(text)]
-    for kind in (_IN_WORD, _NO_SPACE):
-        found = np.concatenate([_hashed(raw, kind) for raw in raws])
+    for kind, spaced in ((_IN_WORD, bordered), (_NO_SPACE, str)):
+        found = np.concatenate([_hashed(np.frombuffer(spaced(b.lower()).encode("utf-8", "replace"), np.uint8), kind) for b in blocks(text)])
         if len(found):
             return found
     return found

@@ -313,6 +313,33 @@ def test_long_dialogue_in_parts(spark):
         assert "".join(p[2] for p in parts) == whole
 
 
+def test_word_borders_of_any_script():
+    from tablescope.llm.shingles import bordered, word_hashes
+    same = lambda a, b: np.array_equal(word_hashes(a), word_hashes(b))
+    assert same("He said “no”—twice…", "he said no twice") and same("a\u00a0b\u2003c", "a b c") and same("«Été»", "été")
+    assert len(word_hashes("汉字很多。没有空格")) == 8 and same("汉字，很", "汉 字 很") and len(word_hashes("ภาษาไทย")) >= 5
+    assert len(word_hashes("हिन्दी में")) == 2 and len(word_hashes("любовь, мир")) == 2 and len(word_hashes("تعليم الآن")) == 2
+    assert len(word_hashes("😀 😀")) == 2 and len(word_hashes("…")) == 1 and len(word_hashes(" \u3000")) <= 1
+    assert bordered("naïve Straße œuvre") == "naïve Straße œuvre"
+
+
+def test_a_changed_character_leaves_a_text_without_spaces_alike(spark):
+    from tablescope.llm import near_dedup
+    rnd = random.Random(4)
+    text = "".join(chr(rnd.randrange(0x4e00, 0x9000)) for _ in range(208))
+    other = text[:100] + "的" + text[101:]
+    rows = spark.createDataFrame([(1, text), (2, other), (3, text[::-1]), (4, "He said “no” to it " * 20), (5, 'He said "no" to it ' * 20)], "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(rows).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_ranges_have_partitions_of_their_own(spark):
+    for n in (1, 8, 51):
+        key = fingerprints.one_a_partition(spark, F.col("id"), n)
+        parts = spark.range(0, n).repartition(n, key).select(F.spark_partition_id()).distinct().count()
+        assert parts == n
+
+
 # -- toxicity
 
 
