@@ -67,7 +67,9 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42,
     Every row gets a seeded 64-bit hash; a Bernoulli pre-filter on that hash
     keeps about ``n`` plus a safety margin of rows, which are checkpointed
     and counted (raising the rate if short), and the ``n`` smallest hashes
-    win. With ``key`` the result does not depend on partitioning."""
+    win: the n-th smallest is found by counting, 16 bits of it at a time, and
+    the rows up to it are filtered, so nothing is sorted. With ``key`` the result
+    does not depend on partitioning (of rows with one key any may stay)."""
     total = df.count() if total is None else total
     if total <= n:
         return df
@@ -80,8 +82,24 @@ def sample_exact(df: DataFrame, n: int, seed: int = 42,
         if rate >= 1.0 or cand.count() >= n:
             break
         rate = min(1.0, rate * 2.0)
-    tie = [qcol(k) for k in key] if key else []
-    return cand.orderBy(F.col("_h"), *tie).limit(n).drop("_h")
+    cut, left = _nth_smallest(cand, "_h", n)
+    last = cand.where(F.col("_h") == F.lit(cut)).limit(left)              # of rows with that hash as many as there is room for
+    return cand.where(F.col("_h") < F.lit(cut)).unionByName(last).drop("_h")
+
+
+def _nth_smallest(df: DataFrame, name: str, n: int) -> tuple[int, int]:
+    """The n-th smallest of a column of 64-bit numbers (df has as many rows), and
+    how many rows with that very number are among the n smallest."""
+    rows, left, prefix = df.select(name), n, None
+    for shift in (48, 32, 16, 0):                                        # at most 65,536 counts a round
+        at = F.shiftright(name, shift)
+        here = rows if prefix is None else rows.where(F.shiftright(name, shift + 16) == F.lit(prefix))
+        for value, count in sorted((r[0], r[1]) for r in here.groupBy(at).count().collect()):
+            if left <= count:
+                break
+            left -= count
+        prefix = value
+    return prefix, left
 
 
 def analysis_frames(df: DataFrame, sample_rows: int | None = None, key: Sequence[str] | None = None,

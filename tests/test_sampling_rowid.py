@@ -82,3 +82,21 @@ def test_row_number_block_of_identical_rows(spark):
     out = with_row_number(df, ["k"])
     assert sorted(r["row_id"] for r in out.collect()) == list(range(1, 6001))
     assert out.where("k = -1").agg(F.max("row_id")).first()[0] == 2000
+
+
+def test_sample_is_the_rows_of_smallest_hashes(spark):
+    from tablescope.operators import sampling as R
+    df = spark.range(0, 20_000).select("id", (F.col("id") % 7).alias("g")).repartition(9)
+    rate = (700 + 8 * 700 ** 0.5 + 64) / 20_000
+    some = df.withColumn("h", F.xxhash64("id", F.lit(5))).where(F.pmod("h", F.lit(2 ** 53)) / F.lit(float(2 ** 53)) < rate)
+    want = {r["id"] for r in some.orderBy("h").limit(700).collect()}
+    got = R.sample_exact(df, 700, seed=5, key=["id"])
+    assert {r["id"] for r in got.collect()} == want and got.count() == 700 and got.columns == df.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    hot = R.sample_exact(df, 5000, seed=5, key=["g"])                     # seven hashes, some 2,857 rows each
+    assert hot.count() == 5000 and hot.select("g").distinct().count() == 2
+    values = [-(1 << 63), -1, 0, 5, 5, 5, 9, (1 << 63) - 1]
+    numbers = spark.createDataFrame([(v,) for v in values], "h long")
+    assert [R._nth_smallest(numbers, "h", n) for n in range(1, 9)] == [
+        (v, values[:i + 1].count(v)) for i, v in enumerate(values)]
