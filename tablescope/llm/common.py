@@ -101,3 +101,17 @@ def hash_sample(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
     order = Window.partitionBy(group).orderBy("u", key)
     return (rows.withColumn("u", u).where(F.col("u") <= rate).withColumn("rank_in_group", F.row_number().over(order))
             .where(F.col("rank_in_group") <= n).drop("rank_in_group"))
+
+
+#: DuckDB: the unsigned crc32 of a list of bytes, by the polynomial's table; and a text's bytes.
+CRC_SQL = """crc_table AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) AS r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """Of a text expression; ``crc_table`` must be in reach."""
+    digit = "(strpos('0123456789ABCDEF', substr(hex(encode({t})), 2 * k + {n}, 1)) - 1)".replace("{t}", text)
+    at = f"16 * {digit.replace('{n}', '1')} + {digit.replace('{n}', '2')}"
+    steps = f"list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({text}))), lambda k: {at}))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import CRC_SQL, crc_sql, slices, texts
 
 #: Words of a run; its least exponent; the smallest scale; bytes of texts that are one array.
 LEAST, EXPONENT, FIRST, TOGETHER = 6, 4, 4, 1 << 21
@@ -190,3 +190,24 @@ def longest_run() -> Column:
     ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short")))
     best = F.array_max(ranked)
     return F.when(F.size("runs") > 0, F.struct((-best["before"]).alias("start"), best["length"].alias("length"), (-best["short"]).alias("period")))
+
+
+#: By definition: stretches of places that equal the place q later, of every q, without those that lie in one of a smaller period.
+ORACLE = f"""WITH {CRC_SQL},
+split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc_sql("doc_id::VARCHAR")} AS h FROM documents, crc_table),
+sized AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a, h // 10 AS g FROM split),
+edited AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1]) AS w FROM sized),
+placed AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM edited),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM placed x JOIN placed y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND y.i - x.i <= x.n // 4),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same) GROUP BY doc_id, q, part),
+long AS (SELECT * FROM stretches WHERE length >= greatest({LEAST}, {EXPONENT} * q)),
+runs AS (SELECT * FROM long r WHERE NOT EXISTS (SELECT 1 FROM stretches s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start
+  AND s.start + s.length >= r.start + r.length)),
+summed AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := q), struct_pack(a := -length, b := start, c := q)) AS best,
+  string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM placed ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM edited e LEFT JOIN summed USING (doc_id) LEFT JOIN left_over USING (doc_id)"""

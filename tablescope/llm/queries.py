@@ -109,4 +109,5 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_language, op3_personal_data, op4_fingerprints, op5_sentence_pieces, op6_exact_dedup, op7_chat,
     op8_mixing, op9_token_counts, op10_near_dedup, op11_spelling_variants, op12_periodic_runs, op13_packing)}
 
-ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op7_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE,
+          "op11_spelling_variants": spelling.ORACLE, "op12_periodic_runs": periodic_runs.ORACLE}

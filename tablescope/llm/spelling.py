@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import CRC_SQL, crc_sql, slices, texts, written
 
 #: Letters of a word, its occurrences, how much commoner a form is.
 SHORTEST, LEAST, TIMES = 5, 3, 2
@@ -172,3 +172,23 @@ def one_letter_less(doc_id: int | None) -> Callable[[str], str] | None:
         return run[:at] + run[at + 1:]
 
     return change
+
+
+#: Near words by definition: a letter deleted gives the other word, or the same letter's place deleted of both the same rest.
+ORACLE = f"""WITH RECURSIVE {CRC_SQL},
+seen AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents) GROUP BY ALL),
+marked AS (SELECT run, n, {crc_sql("doc_id || ':' || run")} AS h FROM seen, crc_table WHERE length(run) >= {SHORTEST}),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+  sum(n)::BIGINT AS n FROM marked GROUP BY 1 HAVING length(word) >= {SHORTEST} AND sum(n) >= {LEAST}),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word)))::INT AS i FROM words)),
+near AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(struct_pack(w := other, n := n), struct_pack(less := -n, w := encode(other))) AS b
+  FROM near JOIN words ON words.word = near.other GROUP BY near.word),
+formed AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= {TIMES} * words.n THEN b.w END AS form,
+  CASE WHEN b.n >= {TIMES} * words.n THEN b.n END AS form_n FROM words LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS at FROM formed UNION ALL SELECT path.word, f.form FROM path JOIN formed f ON f.word = path.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, path.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN path USING (word)
+JOIN formed last ON last.word = path.at AND last.form IS NULL"""
