@@ -9,13 +9,12 @@ from __future__ import annotations
 import csv
 import io
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ISO_TIMESTAMP_TEXT, qcol, try_number
-from ..session import ensure_checkpoint_dir, parallel_map
+from ..session import ensure_checkpoint_dir, parallel_map, scratch_path
 from .records import csv_records, json_records, may_be_open
 
 # The null tokens of the CSV reader, in this order.
@@ -30,12 +29,9 @@ DELIMITER_CANDIDATES = [",", "\t", ";", "|"]
 
 ISO_DATE_TEXT = r"^\s*\d{4}-\d{1,2}-\d{1,2}\s*$"
 BOOL_TEXT = r"^(?i)\s*(true|false)\s*$"
-
-
-def scratch_path(spark: SparkSession, name: str = "") -> str:
-    """A fresh folder under the cluster's shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tablescope-scratch/{name or 'x'}-{uuid.uuid4().hex[:12]}"
+# What a cast to bigint may take. Elsewhere the cast raises and catches an
+# exception that quotes the whole value, which costs more than all other tests.
+INTEGER_TEXT = r"^[\x00-\x20\x7F]*[+-]?[0-9]+[\x00-\x20\x7F]*$"
 
 
 def clean_scratch(spark: SparkSession) -> bool:
@@ -60,7 +56,7 @@ def _parses(c: Column, t: str) -> Column:
     if t == "boolean":
         return c.rlike(BOOL_TEXT)
     if t == "bigint":
-        return c.try_cast("bigint").isNotNull()
+        return F.when(c.rlike(INTEGER_TEXT), c.try_cast("bigint")).isNotNull()
     if t == "double":
         return try_number(c).isNotNull()
     if t == "date":
@@ -136,10 +132,8 @@ def read_csv_tokens(spark: SparkSession, path: str, sep: str | None = None,
     names, are dropped (S7); without a header nothing is. Every later pass
     parses the text again: ``parsed_once`` keeps it."""
     if sep is None or encoding is None:
-        found_sep, found_enc, found_open = _text_facts(spark, path)
-        if sep is None:
-            multi_line = found_open if multi_line is None else multi_line
-        sep, encoding = sep or found_sep, encoding or found_enc
+        sep, found_enc, found_open = _text_facts(spark, path, sep=sep)
+        encoding, multi_line = encoding or found_enc, found_open if multi_line is None else multi_line
     if multi_line is None:
         multi_line = not spark.read.text(path).where(may_be_open(F.col("value"), sep)).isEmpty()
     if multi_line:
@@ -166,31 +160,41 @@ def first_line(spark: SparkSession, path: str) -> str:
 
 def _separators(line: Column, d: str) -> Column:
     """How many separators a line has outside quotes."""
-    bare = F.regexp_replace(line, r'"[^"]*"', "")      # a doubled quote ends one section and begins the next
-    return F.size(F.split(bare, re.escape(d), -1)) - F.lit(1)
+    # a doubled quote ends one section and begins the next
+    bare = F.when(line.contains('"'), F.regexp_replace(line, r'"[^"]*"', "")).otherwise(line)
+    gone = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(d), F.lit("")))
+    return gone if len(d.encode()) == 1 else (gone / F.lit(len(d.encode()))).cast("int")
 
 
-def _delimiter_aggs(head: str, candidates: list[str]) -> list[Column]:
-    """Lines, lines that a candidate splits as it does the first one, and the
-    least and most separators of any line."""
-    line = F.col("value")
-    whole = F.trim(line) != ""
-    aggs = [F.count_if(whole).alias("lines")]
-    for i, d in enumerate(candidates):
-        n = F.when(whole, _separators(line, d))
-        aggs += [F.count_if(n == _separators(F.lit(head), d)).alias(f"like{i}"),
-                 F.max(_separators(F.lit(head), d)).alias(f"head{i}"), F.min(n).alias(f"mn{i}"), F.max(n).alias(f"mx{i}")]
-    return aggs
+def _in_head(head: str, candidates: list[str]) -> list[int]:
+    """How many separators the first line has outside quotes."""
+    bare = re.sub(r'"[^"]*"', "", head)
+    return [bare.count(d) for d in candidates]
 
 
-def _pick_delimiter(row, path: str, candidates: list[str]) -> str:
+def _delimiter_aggs(head: str, candidates: list[str]) -> list[Column]:
+    """Lines that a candidate splits as it does the first one; if none splits
+    that, the least and most separators of any line. Only what the choice needs:
+    a candidate that alone splits the first line needs nothing."""
+    line, heads = F.col("value"), _in_head(head, candidates)
+    n = [F.when(F.trim(line) != "", _separators(line, d)) for d in candidates]
+    if any(heads):
+        several = sum(map(bool, heads)) > 1
+        return [F.count_if(n[i] == F.lit(h)).alias(f"like{i}") for i, h in enumerate(heads) if h and several]
+    return [f(n[i]).alias(f"{a}{i}") for i in range(len(candidates)) for f, a in ((F.min, "mn"), (F.max, "mx"))]
+
+
+def _pick_delimiter(row, path: str, head: str, candidates: list[str]) -> str:
     """Of the candidates that split the first line: the one that splits most
     lines likewise (quoted line breaks make some differ), then the one the
     file's suffix names, then the one with most separators."""
     named = {"tsv": "\t", "csv": ","}.get(path.rstrip("/").rsplit(".", 1)[-1].lower())
-    ranked = [(row[f"like{i}"], d == named, row[f"head{i}"], -i) for i, d in enumerate(candidates) if row[f"head{i}"]]
-    if ranked:
-        return candidates[-max(ranked)[3]]
+    heads = _in_head(head, candidates)
+    able = [i for i, h in enumerate(heads) if h]
+    if len(able) == 1:
+        return candidates[able[0]]
+    if able:
+        return candidates[-max((row[f"like{i}"], candidates[i] == named, heads[i], -i) for i in able)[3]]
     even = [d for i, d in enumerate(candidates) if row[f"mx{i}"] and row[f"mn{i}"] == row[f"mx{i}"]]
     if even:
         return even[0]
@@ -202,19 +206,23 @@ def _pick_delimiter(row, path: str, candidates: list[str]) -> str:
 def sniff_delimiter(spark: SparkSession, path: str,
                     candidates: list[str] = DELIMITER_CANDIDATES) -> str:
     """The delimiter of delimited text, separators in quotes not counted."""
-    row = spark.read.text(path).agg(*_delimiter_aggs(first_line(spark, path), candidates)).first()
-    return _pick_delimiter(row, path, candidates)
+    head = first_line(spark, path)
+    aggs = _delimiter_aggs(head, candidates)
+    row = spark.read.text(path).agg(*aggs).first() if aggs else None
+    return _pick_delimiter(row, path, head, candidates)
 
 
-def _text_facts(spark: SparkSession, path: str, candidates: list[str] = DELIMITER_CANDIDATES) -> tuple[str, str, bool]:
-    """S2 + S3 in one pass over the raw lines: delimiter, encoding, and whether
-    a line may end within a quoted cell."""
+def _text_facts(spark: SparkSession, path: str, candidates: list[str] = DELIMITER_CANDIDATES, sep: str | None = None) -> tuple[str, str, bool]:
+    """S2 + S3 in one pass over the raw lines: delimiter (the given one, if one
+    is), encoding, and whether a line may end within a quoted cell."""
+    head = first_line(spark, path) if sep is None else ""
+    able = [d for d, h in zip(candidates, _in_head(head, candidates)) if h] or candidates if sep is None else [sep]
     row = spark.read.text(path).agg(
-        *_delimiter_aggs(first_line(spark, path), candidates),
-        *[F.bool_or(may_be_open(F.col("value"), d)).alias(f"open{i}") for i, d in enumerate(candidates)],
+        *(_delimiter_aggs(head, candidates) if sep is None else []),
+        *[F.bool_or(may_be_open(F.col("value"), d)).alias(f"open{i}") for i, d in enumerate(able)],
         F.count_if(~F.is_valid_utf8("value")).alias("_bad")).first()
-    sep = _pick_delimiter(row, path, candidates)
-    return sep, "ISO-8859-1" if row["_bad"] else "UTF-8", bool(row[f"open{candidates.index(sep)}"])
+    sep = sep or _pick_delimiter(row, path, head, candidates)
+    return sep, "ISO-8859-1" if row["_bad"] else "UTF-8", bool(row[f"open{able.index(sep)}"])
 
 
 def text_facts(spark: SparkSession, path: str,

@@ -113,3 +113,21 @@ def test_empty_arrays(spark):
     assert R.json_records(spark, written("a.json", "[]\n")).count() == 0
     assert R.json_records(spark, written("b.json", " [ ] ")).count() == 0
     assert R.json_records(spark, written("c.json", '[{"a": 1}]')).count() == 1
+
+
+def test_a_named_delimiter_needs_no_sniffing(spark):
+    """None of the usual ones splits the first line, and some lines have commas."""
+    got = S.read_csv_tokens(spark, written("a.txt", "k:t\n1:x,y\n2:z\n"), sep=":").collect()
+    assert [tuple(r) for r in got] == [(1, "x,y"), (2, "z")]
+
+
+@pytest.mark.parametrize("text", ["12", " 12 ", "+5", "-7\t", "\x01 12\x7f", "12\n", "12.", "12.0", "9223372036854775807", "9223372036854775808", "", "+", "1 2", "٣", "12\u00a0", "\x8512", "x" * 3000])
+def test_integers_are_what_the_cast_takes(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(S._parses(F.col("t"), "bigint"), F.col("t").try_cast("bigint").isNotNull()).first()[:] == (df.select(F.col("t").try_cast("bigint").isNotNull()).first()[0],) * 2
+
+
+def test_integer_test_casts_nothing_else(spark):
+    """The cast raises and catches inside for each value that is none."""
+    plan = spark.range(1).select(S._parses(F.col("id").cast("string"), "bigint"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan or "if (" in plan
