@@ -5,8 +5,8 @@ a quoted cell or string, and how deep in brackets, depends on all before it.
 So each block is first summed up for both cases, begun outside and inside: how it ends then,
 and by how much the depth changes. Run over a file's blocks in their order,
 these sums tell how each one truly begins, and a second pass cuts every block
-from there. A record that lies across blocks is left as its parts,
-at most two of a block, which are put together afterwards. Nothing but ten
+from there, once, for its pieces are kept in the shared folder. A record that lies
+across blocks is left as its parts, at most two of a block, which are put together afterwards. Nothing but ten
 numbers a block, for every 128 MB or so of text, reaches the driver.
 
 The cutting runs on Arrow batches in the order of the file; what follows,
@@ -25,6 +25,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])     # executors need not have the package
 
 #: What a piece of text is: a record, or the first, the last, another part of one.
@@ -47,18 +49,25 @@ def _lines(spark: SparkSession, path: str, sep: str) -> DataFrame:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Iterator[bytes]]]:
     """(file, start, block, size) and the texts of each block; a task reads its blocks one after the other."""
-    rows = ((key, value) for batch in batches for key, value in
-            zip(zip(*(batch[c].to_pylist() for c in ("file", "start", "block", "size"))), batch["value"].to_pylist()))
-    ahead = next(rows, None)
+    def runs() -> Iterator[tuple[tuple, list[bytes]]]:
+        for batch in batches:
+            block = batch["block"].to_numpy()
+            ends = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for at, end in zip(ends, ends[1:]):
+                if at < end:
+                    yield tuple(batch[c][at].as_py() for c in ("file", "start", "block", "size")), batch["value"].slice(at, end - at).to_pylist()
+
+    some = runs()
+    ahead = next(some, None)
     while ahead is not None:
         key = ahead[0]
 
         def own() -> Iterator[bytes]:
             nonlocal ahead
             while ahead is not None and ahead[0] == key:
-                value = ahead[1]
-                ahead = next(rows, None)
-                yield value
+                values, ahead = ahead[1], None
+                yield from values
+                ahead = next(some, None)
 
         yield key, own()
 
@@ -67,7 +76,7 @@ def _begun(summed: DataFrame) -> np.ndarray:
     """How each block begins, a column a block in order of their numbers: number,
     inside quotes, depth, marks. One pass over a file's blocks in their order."""
     found, file = [], None
-    rows = summed.orderBy("file", "start").collect()
+    rows = sorted(summed.collect(), key=lambda r: (r["file"], r["start"]))       # Spark's sort would read all text twice, once to sample
     for r, after in zip(rows, [*rows[1:], None]):
         if r["file"] != file:
             file, inside, depth, read = r["file"], 0, 0, 0
@@ -102,7 +111,9 @@ def _cut(lines: DataFrame, begun: np.ndarray, cutter: Callable[..., Iterator[tup
         if rows:
             yield _batch(rows)
 
-    pieces = lines.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, _PIECES)
+    kept = scratch_path(lines.sparkSession, "pieces")
+    lines.withColumn("value", F.col("value").cast("binary")).mapInArrow(run, _PIECES).write.parquet(kept)
+    pieces = lines.sparkSession.read.schema(_PIECES).parquet(kept)
     parts = pieces.where(F.col("part") != WHOLE).withColumn("begins", (F.col("part") == BEGINS).cast("int"))
     order = Window.partitionBy("file").orderBy("start", "begins").rowsBetween(Window.unboundedPreceding, 0)
     joined = (parts.withColumn("number", F.sum("begins").over(order)).groupBy("file", "number")

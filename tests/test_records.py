@@ -115,6 +115,12 @@ def test_empty_arrays(spark):
     assert R.json_records(spark, written("c.json", '[{"a": 1}]')).count() == 1
 
 
+def test_text_is_cut_once(spark, small_blocks):
+    """What follows reads the pieces that were kept, not the text again."""
+    for records in (R.csv_records(spark, written("a.csv", 'k,t\n' + '1,"x\ny"\n' * 200)), R.json_records(spark, written("a.json", json.dumps(elements(3, 40))))):
+        assert "MapInArrow" not in records._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_named_delimiter_needs_no_sniffing(spark):
     """None of the usual ones splits the first line, and some lines have commas."""
     got = S.read_csv_tokens(spark, written("a.txt", "k:t\n1:x,y\n2:z\n"), sep=":").collect()
