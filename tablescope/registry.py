@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -466,11 +468,20 @@ def q_json_array_split(spark, sf):
     """One file that is one array, with brackets and quotes in its strings, read by many tasks."""
     e, path = _t(spark, sf, "events"), SRC.scratch_path(spark, "array")
     said = e.withColumn("note", F.concat(F.lit('}], {"'), "event_type", F.lit('\\"')))
-    first = e.agg(F.min("event_id")).first()[0]
-    line = F.concat(F.when(F.col("event_id") == first, "").otherwise(","), F.to_json(F.struct("*"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}))
-    ends = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "part int, event_id long, value string")
-    rows = said.select(F.lit(1).alias("part"), "event_id", line.alias("value"))
-    ends.unionByName(rows).coalesce(1).sortWithinPartitions("part", "event_id").select("value").write.text(path)
+    rows = said.select(F.to_json(F.struct("*"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("value"))
+
+    def framed(batches):
+        """The array's elements as they come: one file has one writer, which holds a batch at a time."""
+        yield pa.record_batch({"value": pa.array(["["])})
+        lead = ""
+        for batch in batches:
+            for value in (batch["value"].slice(0, 1), batch["value"].slice(1)):
+                if len(value):
+                    yield pa.record_batch({"value": pc.binary_join_element_wise(lead, value, "")})
+                    lead = ","
+        yield pa.record_batch({"value": pa.array(["]"])})
+
+    rows.coalesce(1).mapInArrow(framed, "value string").write.text(path)
     return SRC.read_json(spark, path).select("event_id", "ts", "user_id", "event_type", "value", "props", "note")
 
 

@@ -137,3 +137,18 @@ def test_integer_test_casts_nothing_else(spark):
     """The cast raises and catches inside for each value that is none."""
     plan = spark.range(1).select(S._parses(F.col("id").cast("string"), "bigint"))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan or "if (" in plan
+
+
+def test_an_array_of_events_is_json(spark, tmp_path, monkeypatch):
+    """One file, valid also where the smallest identifier repeats or is null; no task sorts the table."""
+    from tablescope.registry import QUERIES
+
+    spark.sql("""SELECT * FROM VALUES (1L, TIMESTAMP_NTZ'2024-01-01 00:00:00', 5L, 'a', 1.5D, '{}'), (1L, TIMESTAMP_NTZ'2024-01-01 00:00:01', 6L, 'b', 2.5D, '[{'),
+              (null, TIMESTAMP_NTZ'2024-01-01 00:00:02', 7L, 'c', 3.5D, null) t(event_id, ts, user_id, event_type, value, props)""") \
+        .repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(S, "scratch_path", lambda spark, name="": f"{tmp_path}/{name}")
+    rows = QUERIES["json_array_split"](spark, str(tmp_path)).collect()
+    file, = [f for f in os.listdir(tmp_path / "array") if f.startswith("part-")]
+    assert len(json.loads((tmp_path / "array" / file).read_text())) == 3
+    assert sorted((r["user_id"], r["event_id"], r["props"], r["note"]) for r in rows) == [
+        (5, 1, "{}", '}], {"a\\"'), (6, 1, "[{", '}], {"b\\"'), (7, None, None, '}], {"c\\"')]
