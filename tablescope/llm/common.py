@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: White space as the contracts define it: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of a batch that become Python objects at a time.
-SLICE = 256
+#: Rows of a batch that become Python objects at a time, and their bytes in Arrow's columns.
+SLICE, SLICE_BYTES = 256, 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -78,12 +78,18 @@ def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(raw.value)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that few rows at a time become Python objects,
-    which take many times the room they have in Arrow's columns."""
+    which take many times the room they have in Arrow's columns. A slice of
+    several rows has no more than ``size`` bytes there."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
 
 
 def hash_sample(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:

@@ -520,3 +520,16 @@ def test_pipeline(spark, sf001, tmp_path):
     assert Counter((r.doc_id, tuple(r.ids)) for r in frames[4]) == Counter((r.doc_id, tuple(lib.encode(r.text))) for r in frames[3])
     assert all(r.round_trip == ("▁" not in r3) for r, r3 in ((r, before[r.doc_id].text) for r in frames[4])) and any(r.round_trip for r in frames[4])
     assert Counter((r.doc_id, tuple(r.ids)) for r in c.run(spark, sf001).collect()) == Counter((r.doc_id, tuple(r.ids)) for r in frames[4])
+
+
+def test_slices_are_few_bytes():
+    """Long texts go a few at a time, whatever their number; a row is never cut."""
+    import pyarrow as pa
+
+    from tablescope.llm.common import SLICE_BYTES, slices
+
+    texts = ["x" * n for n in [10, 3 * SLICE_BYTES, *[SLICE_BYTES // 3] * 40, 5]]
+    batch = pa.record_batch({"text": pa.array(texts)})
+    parts = list(slices([batch, batch.slice(0, 0)]))
+    assert [x for p in parts for x in p["text"].to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.nbytes <= SLICE_BYTES for p in parts) and max(p.num_rows for p in parts) > 1
