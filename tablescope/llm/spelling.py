@@ -19,7 +19,9 @@ until no word moves (counts at least double, so a few rounds do).
 
 Copies and common words meet in the counting only, which is summed up where
 texts are read. A word has few near words (at most some hundred letters fit),
-and a signature's words are met by a join that splits where it is uneven.
+and a signature's words are met by a join that splits where it is uneven. Every
+join is a merge join: all tables grow with the words, and Spark would broadcast
+some, taking each word's signatures for one row and Parquet's bytes for those of rows.
 
 Defined results: a null text has no word; a null identifier changes no run.
 Extra columns are ignored. No rows in, no rows out; words without a near word
@@ -128,7 +130,7 @@ def near_pairs(counts: DataFrame) -> DataFrame:
                 ("word", "n", "role", "key"), (pa.string(), pa.int64(), pa.int8(), pa.int64()), zip(*rows))})
 
     signed = counts.mapInArrow(run, "word string, n long, role byte, key long")
-    a, b = signed.where("role != 2").alias("a"), signed.where("role != 1").alias("b")
+    a, b = merged(signed.where("role != 2")).alias("a"), signed.where("role != 1").alias("b")
     met = a.join(b, F.expr("a.key = b.key AND (a.role = 0 AND b.role = 0 AND a.word < b.word OR a.role = 1 AND b.role = 2)"))
     pairs = met.where("levenshtein(a.word, b.word, 1) = 1").selectExpr(
         "inline(array(struct(a.word AS word, a.n AS n, b.word AS near, b.n AS near_n), "
@@ -136,6 +138,11 @@ def near_pairs(counts: DataFrame) -> DataFrame:
     return pairs.repartition("word").distinct()               # grouped by word already when it is counted by word
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """One side of a join that is to sort and merge, whatever size Spark takes either side for."""
+    return df.hint("merge")
+
+
 def spelling_variants(counts: DataFrame) -> DataFrame:
     """``word``, ``form``, ``root``, ``n``, ``n_near``, ``form_n`` of each counted word (``word``, ``n``)."""
     counts = written(counts, "words")
@@ -143,18 +150,18 @@ def spelling_variants(counts: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     near = near_pairs(counts).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     is_form = -F.col("best.less") >= TIMES * F.col("n")
-    formed = written(counts.join(near, "word", "left").select(
+    formed = written(counts.join(merged(near), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(is_form, F.col("best.near")).alias("form"),
         F.when(is_form, -F.col("best.less")).alias("form_n")), "forms")
     to = formed.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:                                           # every round doubles the step
         to = written(to, "roots")
         on = to.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        further = to.join(on, "root", "left")
+        further = to.join(merged(on), "root", "left")
         if further.where("further IS NOT NULL").isEmpty():
             break
         to = further.select("word", F.coalesce("further", "root").alias("root"))
-    return formed.join(to, "word", "left").select(
+    return formed.join(merged(to), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

@@ -83,6 +83,25 @@ def test_variants_of_random_words(spark):
     assert rows_of(got) == variants_by_hand(n)
 
 
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Small tables, as Spark sees them: a word's 26 signatures as one row, Parquet files by their bytes."""
+    plans = {}
+
+    def ran(df, name):
+        df.collect()                                    # the plan as it ended, with what Spark changed meanwhile
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    written = spelling.written
+    monkeypatch.setattr(spelling, "written", ran)
+    n = {"wordy": 3, "words": 6, "wards": 12, "yards": 24, "other": 5}
+    words = ran(spelling.spelling_variants(spark.createDataFrame(list(n.items()), "word string, n long")), "result")
+    assert rows_of(words) == variants_by_hand(n)
+    assert {"forms", "roots", "result"} <= set(plans)
+    assert all("SortMergeJoin" in plans[name] for name in ("forms", "roots", "result"))
+    assert not [name for name, plan in plans.items() if "Broadcast" in plan]
+
+
 def test_variants_of_documents(spark, sf001, documents):
     by_hand = variants_by_hand(words_by_hand([tuple(r) for r in documents.select("doc_id", "text").collect()]))
     assert rows_of(queries.op11_spelling_variants(spark, sf001)) == by_hand
